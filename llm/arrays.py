@@ -1,0 +1,155 @@
+"""Vectorised text primitives shared by the operators of this subpackage.
+
+All functions work on the UTF-8 buffer of many texts at once, so a task spends
+its time in numpy and not in a Python loop over rows, words or bytes.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+
+#: Bytes of text handled at once; keeps the working arrays inside the cache.
+SLICE_BYTES = 1 << 20
+
+_rng = np.random.RandomState(20240613)
+
+
+def _odd(n: int) -> np.ndarray:
+    return (_rng.randint(0, 1 << 32, n, dtype=np.uint64) << np.uint64(32) | _rng.randint(0, 1 << 32, n, dtype=np.uint64)) | np.uint64(1)
+
+
+BYTE_CODES = _odd(512).reshape(2, 256)
+BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+INVERSES = np.array([pow(int(b), -1, 1 << 64) for b in BASES], np.uint64)
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: True for the bytes of words [^\x20\x09-\x0D]+.
+WORD_BYTES = ~_SPACE
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finaliser: makes every output bit depend on all input bits."""
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """base**0..n and its inverse powers modulo 2**64; grown on demand and kept."""
+    have = _POWERS.get(which)
+    if have is None or len(have[0]) <= n:
+        size = max(1 << 16, 2 * n + 2)
+        with np.errstate(over="ignore"):
+            have = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b)]), dtype=np.uint64) for b in (BASES[which], INVERSES[which]))
+        if size <= 1 << 22:
+            _POWERS[which] = have
+    return have[0][: n + 1], have[1][: n + 1]
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def prefix(codes: np.ndarray, which: int = 0) -> np.ndarray:
+    """Prefix sums from which ``span_hash`` takes the hash of any span in constant time."""
+    out = np.zeros(len(codes) + 1, np.uint64)
+    if len(codes):
+        np.cumsum(codes * powers(len(codes), which)[0][:-1], out=out[1:])
+    return out
+
+
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Polynomial hashes of codes[start:end]; equal spans have equal hashes wherever they stand."""
+    return mix((sums[end] - sums[start]) * powers(len(sums) - 1, which)[1][start])
+
+
+def window_hash(sums: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """Hashes of all windows of k codes."""
+    n = len(sums) - k
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    return mix((sums[k:] - sums[:n]) * powers(len(sums) - 1, which)[1][:n])
+
+
+def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and the n + 1 offsets of a string or binary array; a null is an empty text."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
+    large = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    if texts.null_count:
+        texts = texts.fill_null("" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
+    _, offsets, data = texts.buffers()
+    offs = np.frombuffer(offsets, np.int64 if large else np.int32, len(texts) + texts.offset + 1)[texts.offset :].astype(np.int64) if offsets else np.zeros(len(texts) + 1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[offs[0] : offs[-1]], offs - offs[0]
+
+
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
+    """Row ranges of at most ``most`` bytes each; a longer text stands alone."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
+        j = min(n, max(j, i + 1))
+        yield i, j
+        i = j
+
+
+class Words:
+    """Words of the texts of one slice: byte spans, the text of each, and counts per text."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = WORD_BYTES):
+        inside = word_bytes[raw]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        cut = offsets[1:-1]
+        cut = cut[cut < len(raw)]
+        begins[cut] = inside[cut]
+        ends = np.zeros(len(raw) + 1, bool)
+        ends[1:] = inside
+        ends[1:-1] &= ~inside[1:]
+        ends[cut] = inside[cut - 1] if len(cut) else False
+        if len(cut):
+            ends[cut[cut == 0]] = False
+        self.start = np.flatnonzero(begins)
+        self.end = np.flatnonzero(ends)
+        self.first = np.searchsorted(self.start, offsets)
+        self.first[-1] = len(self.start)
+        self.counts = np.diff(self.first)
+        self.text = np.repeat(np.arange(len(offsets) - 1), self.counts)
+        self.raw = raw
+
+    def hashes(self, which: int = 0) -> np.ndarray:
+        sums = prefix(BYTE_CODES[which][self.raw], which)
+        return span_hash(sums, self.start, self.end, which)
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Concatenated ranges start..start+length."""
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(lengths)
+    return np.arange(total) - np.repeat(ends - lengths - starts, lengths)
+
+
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each window of w values (two block-wise running minima)."""
+    n = len(x) - w + 1
+    if n <= 0:
+        return x[:0]
+    if w == 1:
+        return x.copy()
+    size = -(-len(x) // w) * w
+    full = np.full(size, np.iinfo(x.dtype).max, x.dtype)
+    full[: len(x)] = x
+    blocks = full.reshape(-1, w)
+    left = np.minimum.accumulate(blocks, axis=1).ravel()
+    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:n], left[w - 1 : w - 1 + n])

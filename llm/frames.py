@@ -1,0 +1,71 @@
+"""Small Spark helpers shared by the operators."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, tk, text) dealt out by id: the one shuffle of the texts, which later joins on the id reuse.
+
+    ``tk`` tells apart texts that share an id; equal rows share both and get equal results.
+    """
+    n = shuffle_partitions(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("tk"), F.col(text_col).cast("string").alias("text")).repartition(n, "doc", "tk")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Regroups batches that come sorted by ``keys`` so that no group is cut between two tables."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        cols = [np.asarray(b.column(k)) for k in keys]
+        last = np.ones(b.num_rows, bool)
+        for c in cols:
+            last &= c == c[-1]
+        at = b.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+        if at:
+            yield pa.Table.from_batches([*held[:-1], b.slice(0, at)])
+            held = [b.slice(at)]
+        elif len(held) > 1 and any(held[-2].column(k)[-1] != b.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(held[:-1])
+            held = held[-1:]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def longs(t: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    c = t.column(name)
+    if isinstance(c, pa.ChunkedArray):
+        c = c.combine_chunks()
+        if isinstance(c, pa.ChunkedArray):
+            c = pa.concat_arrays(c.chunks)
+    return c.to_numpy(zero_copy_only=False)
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+def lists(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and n + 1 offsets of a list column; null is empty."""
+    if isinstance(c, pa.ChunkedArray):
+        c = pa.concat_arrays(c.chunks)
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(c), 0), np.int64)
+    return np.asarray(c.flatten()), np.concatenate([[0], np.cumsum(sizes)])

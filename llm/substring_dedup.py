@@ -1,0 +1,218 @@
+"""Operator 1: removal of word passages that an earlier document already has.
+
+Method: difference-cover anchors. ``COVER`` is a perfect difference set modulo
+``PERIOD``: for any two residues there is a shift below PERIOD that moves both
+into the set. Only word windows that begin at cover positions are hashed, so two
+occurrences of the same long passage share an anchor at the same place inside
+the passage whatever their positions are. Anchors are then extended: with equal
+surroundings the whole match is decided at once, otherwise the long windows
+around the anchor are compared.
+
+Plan: the texts are dealt out once by id (the exchange is reused by the two later
+joins); anchors, and the few long windows left to compare, are dealt out by
+their hash. Repeats of an anchor inside one input batch are settled there, so a
+passage of a third of all documents sends one row per batch to its key.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+from itertools import compress
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm.arrays import Words, buffers, mix, prefix, slices, span_hash, window_hash
+from llm.frames import keyed_texts, lists, longs, shuffle_partitions, signed, table, whole_groups
+
+WINDOW = 50
+#: A perfect difference set: every residue modulo 31 but 0 is the difference of just one pair.
+PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
+
+_ANCHORS = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("tk", pa.int64()), ("mark", pa.int64())])
+_MARKS = pa.schema([("doc", pa.int64()), ("tk", pa.int64()), ("mark", pa.int64())])
+_WINDOWS = pa.schema([("w0", pa.int64()), ("w1", pa.int64()), ("doc", pa.int64()), ("tk", pa.int64()), ("mark", pa.int64())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+#: Low bits of a mark; the rest is the position. KNOWN: an earlier document has all of the surroundings.
+OPEN, KNOWN = 0, 1
+
+
+def _anchors(window: int):
+    gram = window - PERIOD + 1
+    cover = np.zeros(PERIOD, bool)
+    cover[list(COVER)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, tks = b.column("doc"), longs(b, "tk")
+            known = np.asarray(ids.is_valid())
+            ids = np.asarray(ids.fill_null(0))
+            raw, offs = buffers(b.column("text"))
+            out: list[tuple[np.ndarray, ...]] = []
+            for i, j in slices(offs):
+                w = Words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                sums = prefix(w.hashes())
+                a = window_hash(sums, gram)
+                pos = np.arange(len(w.start)) - w.first[:-1][w.text]
+                left = w.counts[w.text] - pos
+                at = np.flatnonzero((cover[pos % PERIOD] & (left >= gram) & (w.counts[w.text] >= window) & known[i:j][w.text])[: len(a)])
+                if not len(at):
+                    continue
+                before = np.minimum(pos[at], PERIOD - 1)
+                after = np.minimum(left[at], window)
+                around = span_hash(sums, at - before, at + after)
+                around = mix(around + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + after.astype(np.uint64))
+                text = i + w.text[at]
+                out.append((a[at], around, ids[text], tks[text], pos[at]))
+            if not out:
+                continue
+            a, c, doc, tk, pos = (np.concatenate(x) for x in zip(*out, strict=True))
+            # Among equal surroundings in this batch, later documents are settled: they only pass through.
+            key = mix(a ^ (c * np.uint64(3)))
+            order = np.lexsort((doc, key))
+            first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            least = doc[order][first][np.cumsum(first) - 1]
+            settled = np.zeros(len(a), bool)
+            settled[order] = doc[order] > least
+            a = np.where(settled, mix(key + np.arange(len(a), dtype=np.uint64)), a)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(c)), pa.array(doc), pa.array(tk), pa.array(pos * 2 + settled)], schema=_ANCHORS)
+
+    return run
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by anchor, surroundings, document: what an earlier document has as a whole, and what is left to compare."""
+    for t in whole_groups(batches, "a"):
+        a, c, doc, tk, mark = (longs(t, n) for n in ("a", "c", "doc", "tk", "mark"))
+        new_a = np.concatenate([[True], a[1:] != a[:-1]])
+        new_c = new_a | np.concatenate([[True], c[1:] != c[:-1]])
+        least = doc[new_c][np.cumsum(new_c) - 1]
+        kinds = np.bincount(np.cumsum(new_a) - 1, weights=new_c)[np.cumsum(new_a) - 1]
+        full = (mark & 1 == KNOWN) | (doc > least)
+        keep = full | (kinds > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(tk[keep]), pa.array((mark[keep] & ~np.int64(1)) | full[keep])], schema=_MARKS)
+
+
+def _known_starts(marks: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per window start of a text of n words: settled as repeated; next to an open anchor."""
+    size = max(0, n - window + 1)
+    out = []
+    for kind in (KNOWN, OPEN):
+        pos = marks[marks & 1 == kind] >> 1
+        edge = np.zeros(size + 1, np.int64)
+        np.add.at(edge, np.clip(pos - (PERIOD - 1), 0, size), 1)
+        np.add.at(edge, np.clip(pos + 1, 0, size), -1)
+        out.append(np.cumsum(edge)[:size] > 0)
+    return out[0], out[1]
+
+
+def _windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, at = lists(b.column("marks"))
+            has = np.flatnonzero((np.diff(at) > 0))
+            has = np.array([r for r in has if (values[at[r] : at[r + 1]] & 1 == OPEN).any()], np.int64)
+            if not len(has):
+                continue
+            part = b.take(pa.array(has))
+            ids, tks = longs(part, "doc"), longs(part, "tk")
+            raw, offs = buffers(part.column("text"))
+            for i, j in slices(offs):
+                w = Words(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                open_at = []
+                for k in range(i, j):
+                    r = has[k]
+                    full, left = _known_starts(values[at[r] : at[r + 1]], int(w.counts[k - i]), window)
+                    open_at.append(np.flatnonzero(left & ~full) + w.first[k - i])
+                s = np.concatenate(open_at)
+                if not len(s):
+                    continue
+                h = [span_hash(prefix(w.hashes(x), x), s, s + window, x) for x in (0, 1)]
+                text = w.text[s]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[0])), pa.array(signed(h[1])), pa.array(ids[i + text]), pa.array(tks[i + text]), pa.array(s - w.first[:-1][text])], schema=_WINDOWS)
+
+    return run
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by window and document: the windows that an earlier document has."""
+    for t in whole_groups(batches, "w0"):
+        w0, w1, doc, tk, mark = (longs(t, n) for n in ("w0", "w1", "doc", "tk", "mark"))
+        new = np.concatenate([[True], (w0[1:] != w0[:-1]) | (w1[1:] != w1[:-1])])
+        keep = doc > doc[new][np.cumsum(new) - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(tk[keep]), pa.array(mark[keep])], schema=_MARKS)
+
+
+def _kept(window: int, with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, at = lists(b.column("marks"))
+            starts, at2 = lists(b.column("starts"))
+            n_words, n_removed, shas, texts = [], [], [], []
+            for r, text in enumerate(b.column("text").cast(pa.binary())):
+                words = (text.as_py() or b"").split()
+                n = len(words)
+                hits = starts[at2[r] : at2[r + 1]]
+                if at[r + 1] > at[r]:
+                    full, _ = _known_starts(values[at[r] : at[r + 1]], n, window)
+                    hits = np.concatenate([hits, np.flatnonzero(full)])
+                gone = 0
+                if len(hits):
+                    edge = np.zeros(n + 1, np.int64)
+                    np.add.at(edge, hits, 1)
+                    np.add.at(edge, hits + window, -1)
+                    keep = np.cumsum(edge)[:n] == 0
+                    gone = n - int(keep.sum())
+                    words = list(compress(words, keep.tolist()))
+                kept = b" ".join(words)
+                n_words.append(n)
+                n_removed.append(gone)
+                shas.append(hashlib.sha256(kept).hexdigest())
+                texts.append(kept.decode("utf-8", "replace") if with_text else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], schema=_RESULT)
+
+    return run
+
+
+def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256, kept_text.
+
+    A word goes if a run of ``window`` words over it also starts in a document of a
+    smaller doc_id. Null or empty text: no words. A null doc_id has no order: its row
+    keeps all words and takes none from others. Rows that share a doc_id don't remove
+    from each other. Texts of fewer than ``window`` words stay whole. ``window`` must
+    exceed PERIOD. Other columns of ``docs``, whatever their names, are not read.
+    """
+    if window <= PERIOD:
+        raise ValueError(f"window must exceed {PERIOD} words")
+    n = shuffle_partitions(docs.sparkSession)
+    base = keyed_texts(docs)
+    anchors = base.mapInArrow(_anchors(window), "a long, c long, doc long, tk long, mark long")
+    marks = anchors.repartition(n, "a").sortWithinPartitions("a", "c", "doc").mapInArrow(_settle, "doc long, tk long, mark long")
+    marks = marks.groupBy("doc", "tk").agg(F.collect_list("mark").alias("marks"))
+    marked = base.join(marks, ["doc", "tk"], "left")
+    wide = marked.select("doc", "tk", "text", "marks").mapInArrow(_windows(window), "w0 long, w1 long, doc long, tk long, mark long")
+    later = wide.repartition(n, "w0").sortWithinPartitions("w0", "w1", "doc").mapInArrow(_later, "doc long, tk long, mark long")
+    later = later.groupBy("doc", "tk").agg(F.collect_list("mark").alias("starts"))
+    return marked.join(later, ["doc", "tk"], "left").select("doc", "text", "marks", "starts").mapInArrow(_kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS m
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT m, min(doc_id) AS least FROM s GROUP BY m),
+hit AS (SELECT s.doc_id, s.i FROM s JOIN f USING (m) WHERE f.least < s.doc_id),
+cov AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM hit),
+ww AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT ww.doc_id, ww.p, ww.word, cov.p IS NOT NULL AS gone FROM ww LEFT JOIN cov ON ww.doc_id = cov.doc_id AND ww.p = cov.p)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(x.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id) x USING (doc_id)
+"""
