@@ -1 +1 @@
-"""Operators for preparing training text at scale; nothing else in the library imports this package."""
+"""Text operators for training-data pipelines; nothing outside this package imports it."""

@@ -1,8 +1,14 @@
-"""The queries of this subpackage and their SQL."""
+"""The text operators' queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-from llm import substring_dedup
+from llm import chat, decontaminate, sharding, warc
 
-QUERIES = {"op1_substring_dedup": substring_dedup.op1_substring_dedup}
-ORACLES = {"op1_substring_dedup": substring_dedup.ORACLE_SQL}
+QUERIES = {
+    "op2_chat_formatting": chat.op2_chat_formatting,
+    "op6_sharding": sharding.op6_sharding,
+    "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_warc": warc.op10_warc,
+}
+
+ORACLES = {"op2_chat_formatting": chat.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
