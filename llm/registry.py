@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from llm import chat, decontaminate, sharding, warc
+from llm import bpe, chat, decontaminate, langid, quality, sharding, warc
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op5_language_id": langid.op5_language_id,
     "op6_sharding": sharding.op6_sharding,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_warc": warc.op10_warc,
 }
