@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from llm import bpe, chat, decontaminate, langid, quality, sharding, warc
+from llm import bpe, chat, decontaminate, langid, minhash, quality, sharding, warc
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op5_language_id": langid.op5_language_id,
     "op6_sharding": sharding.op6_sharding,
     "op7_byte_bpe": bpe.op7_byte_bpe,
@@ -14,4 +15,4 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 
-ORACLES = {"op2_chat_formatting": chat.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES = {"op2_chat_formatting": chat.ORACLE, "op3_minhash_near_dedup": minhash.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
