@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from llm import bpe, chat, decontaminate, langid, minhash, quality, sharding, warc
+from llm import bpe, chat, decontaminate, langid, minhash, quality, sharding, suffix, warc
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+    "op4_suffix_array_dedup": suffix.op4_suffix_array_dedup,
     "op5_language_id": langid.op5_language_id,
     "op6_sharding": sharding.op6_sharding,
     "op7_byte_bpe": bpe.op7_byte_bpe,
