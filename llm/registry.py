@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from llm import bpe, chat, decontaminate, langid, minhash, quality, sharding, suffix, warc
+from llm import bpe, chat, decontaminate, langid, minhash, quality, sharding, substring, suffix, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op4_suffix_array_dedup": suffix.op4_suffix_array_dedup,
@@ -16,4 +17,6 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 
-ORACLES = {"op2_chat_formatting": chat.ORACLE, "op3_minhash_near_dedup": minhash.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES = {
+    "op1_substring_dedup": substring.ORACLE,
+    "op2_chat_formatting": chat.ORACLE, "op3_minhash_near_dedup": minhash.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
