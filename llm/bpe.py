@@ -167,5 +167,19 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)
 
 
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded_sha256 of each row's whole text: the token ids, and the digest of what they decode to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in slices(batches):
+            ids = c.encode([t or "" for t in b.column("text").to_pylist()])
+            n = pa.array([len(i) // 4 for i in ids], pa.int64())
+            arrays = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, arrays, pa.array([hashlib.sha256(c.decode(i)).hexdigest() for i in ids])], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from llm import bpe, chat, decontaminate, langid, minhash, quality, sharding, substring, suffix, warc
 
 QUERIES = {
@@ -15,8 +16,13 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_warc": warc.op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring.ORACLE,
-    "op2_chat_formatting": chat.ORACLE, "op3_minhash_near_dedup": minhash.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
+    "op2_chat_formatting": chat.ORACLE,
+    "op3_minhash_near_dedup": minhash.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
+    "op10_warc": warc.ORACLE,
+}

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.common import SLICE_BYTES, partitions, slices, table, text_hash, texts
 
@@ -303,14 +304,14 @@ def around_rows(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "grp long, split boolean, doc_id long, th long, first int, lead int, raw binary")
 
 
-def with_repeats(docs: DataFrame, collection: int | None = None) -> DataFrame:
-    """doc_id, th, text, runs of every row of docs (doc_id, text): runs are the byte ranges (start, stop) that strings of WINDOW bytes found elsewhere cover; null if none.
+def with_repeats(docs: DataFrame, collection: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, th, text, runs of every row of docs (doc_id, text), and with `carry` a struct `rest` of those columns: runs are the byte ranges (start, stop) that strings of WINDOW bytes found elsewhere cover; null if none.
 
     Ranges may touch or overlap. Null and empty texts have none. A null doc_id shows as NO_ID. Rows that are
     alike in doc_id and text are copies of one another.
     """
     collection = collection or COLLECTION
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_hash().alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_hash().alias("th"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*[docs[c] for c in carry]).alias("rest")] if carry else []))
     rows = anchor_rows(docs)
     one, alike = Window.partitionBy("key"), Window.partitionBy("key", "around")
     first = F.row_number().over(alike.orderBy("doc_id", "th", "first")) == 1
@@ -347,20 +348,19 @@ def rest_of(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text (bytes that are left, those that aren't UTF-8 any more as U+FFFD), spans (removed ranges), n_bytes."""
+    """docs (doc_id, text and any other columns) with the repeats taken out of the texts; parts of characters at the cuts go too. Nulls stay null, emptied texts stay as empty ones."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for b in slices(batches):
-            raw = texts(b)
-            spans = [merged(r) for r in b.column("runs").to_pylist()]
-            left = [rest_of(t, s) for t, s in zip(raw, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([None if d == NO_ID else d for d in b.column("doc_id").to_pylist()], pa.int64()), b.column("th"), pa.array([x.decode("utf-8", "replace") for x in left]), pa.array(left, pa.binary()),
-                pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], span), pa.array([len(t) for t in raw], pa.int64()),
-            ], ["doc_id", "th", "text", "bytes", "spans", "n_bytes"])
-
-    return with_repeats(docs).select("doc_id", "th", "text", "runs").mapInArrow(run, "doc_id long, th long, text string, bytes binary, spans array<struct<start:long,stop:long>>, n_bytes long")
+            left = [rest_of(t, merged(r)).decode("utf-8", "ignore") for t, r in zip(texts(b), b.column("runs").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), b.column("rest")], ["text", "rest"])
+
+    packed = docs.withColumn("_none", F.col("text").isNull()) if "_none" not in docs.columns else docs
+    found = with_repeats(packed, carry=[*others, "_none"]).select("text", "runs", "rest")
+    kind = next(f for f in found.schema.fields if f.name == "rest").dataType
+    out = found.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), T.StructField("rest", kind)]))
+    return out.select(*[F.when(~F.col("rest._none"), F.col("text")).alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
