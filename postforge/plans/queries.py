@@ -692,3 +692,40 @@ def except_known(spark, d):
 @query("SELECT id, company FROM canonical WHERE company IN (SELECT company FROM incoming) AND status = 'LIVE'", "canonical", "incoming")
 def intersect_ids(spark, d):
     return view(spark, d, "canonical", "id", "company", "status").where("status = 'LIVE'").join(view(spark, d, "incoming", "company"), "company", "left_semi").select("id", "company")
+
+
+# --- sources, sinks and streams --------------------------------------------------------------------------------------
+
+
+@query("+ n AS (SELECT id, max((title, company, rank)) AS v FROM incoming GROUP BY 1) SELECT coalesce(c.id, n.id) AS id, CASE WHEN n.id IS NULL THEN c.title ELSE n.v[1] END AS title, CASE WHEN c.id IS NULL THEN 'created' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS change FROM canonical c FULL JOIN n ON c.id = n.id", "canonical", "incoming")
+def upsert_raw(spark, d):
+    old = view(spark, d, "canonical", "id", "title", "company").withColumn("rank", F.lit(0).cast("long"))
+    new = view(spark, d, "incoming", "id", "title", "company", "rank").withColumn("rank", F.col("rank").cast("long"))
+    from postforge.sources.tables import upsert
+
+    return upsert(old, new, ["id"]).select("id", "title", "change")
+
+
+@query("SELECT DISTINCT id, tag FROM tag WHERE NOT EXISTS (SELECT 1 FROM tracked t WHERE t.id = tag.id AND t.status = 'O')", "tag", "tracked")
+def insert_ignore_tags(spark, d):
+    from postforge.sources.tables import insert_ignore
+
+    known = view(spark, d, "tracked", "id", "status").where("status = 'O'").select("id")
+    tags = view(spark, d, "tag", "id", "tag")
+    return tags.dropDuplicates(["id", "tag"]).join(known, "id", "left_anti")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def daily_activity(spark, d):
+    from postforge.streaming.ingest import activity
+
+    out = activity(spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query(f"+ l AS (SELECT source, max(started_at) AS last FROM run GROUP BY 1) SELECT 'source' || CAST(s.id AS VARCHAR) AS source FROM source s LEFT JOIN l ON l.source = 'source' || CAST(s.id AS VARCHAR) WHERE last IS NULL OR (epoch_us({NOW}) - epoch_us(last)) / 60000000 >= 1440 * (200 + s.attempts * 100)", "run", "source")
+def cadence_gate(spark, d):
+    from postforge.streaming.ingest import due
+
+    c = view(spark, d, "source", "id", "attempts").select(F.concat(F.lit("source"), F.col("id").cast("string")).alias("source"), (1440 * (200 + F.col("attempts") * 100)).alias("minutes"))
+    return due(c, view(spark, d, "run", "source", "started_at"), as_of()).select("source")
