@@ -64,7 +64,7 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     return head + body + "[/INST]" * (role == "user") + "</s>", len(head), len(head) + len(body)
 
 
-def format_conversations(log: DataFrame) -> DataFrame:
+def format_conversations(log: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """Renders a log of conv_id, seq, kind, target, role, text into rows of conv_id, piece, formatted, loss_spans.
 
     Null texts and roles are empty; a null conv_id is a conversation of its own; null sequence numbers
@@ -85,7 +85,7 @@ def format_conversations(log: DataFrame) -> DataFrame:
             parts, spans, n = [], [], 0
             for role, text in fold(events):
                 s, a, b = render(role, text)
-                if parts and n + len(s) > PIECE_CHARS:
+                if parts and n + len(s) > piece_chars:
                     done.append((conv, piece, "".join(parts), spans))
                     piece, parts, spans, n = piece + 1, [], [], 0
                 if role == "assistant":
@@ -111,12 +111,12 @@ def format_conversations(log: DataFrame) -> DataFrame:
                         flush(True)
                     conv, piece, held, plain = cid, 0, 0, True
                 plain &= (kind or "message") == "message"
-                if plain and held > PIECE_CHARS:
+                if plain and held > piece_chars:
                     flush(False)
                     held = 0
                 events.append((kind or "message", target, role or "", text or ""))
                 held += len(text or "")
-            if sum(len(x[2]) for x in done) > 4 * PIECE_CHARS:
+            if sum(len(x[2]) for x in done) > 4 * piece_chars:
                 yield pack()
         if events:
             flush(True)

@@ -17,8 +17,8 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Words in a window.
 WINDOW = 10
-#: UTF-8 bytes of all items up to which their windows are broadcast; larger benchmarks are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+#: UTF-8 bytes of items whose windows are broadcast at once; larger benchmarks go in blocks of about so much, a scan each.
+BROADCAST_BYTES = 4 << 20
 
 
 def words(text: Column) -> Column:
@@ -37,6 +37,16 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, id_col: str = "ite
     return w.select(best.getField("word").alias("anchor"), (-best.getField("at")).alias("at"), F.size("window").alias("n"), "window", "items")
 
 
+def _hits(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text_hash, span, items of each occurrence of windows that are few enough to broadcast."""
+    place = docs.select("doc_id", text_hash().alias("text_hash"), words(F.col("text")).alias("w"))
+    place = place.select("doc_id", "text_hash", "w", F.posexplode("w").alias("p", "word"))
+    first = F.col("p") - F.col("at")
+    hits = place.join(F.broadcast(found), F.col("word") == F.col("anchor")).where((first >= 0) & (first + F.col("n") <= F.size("w")))
+    hits = hits.where(F.slice(F.col("w"), F.greatest(first, F.lit(0)) + 1, F.col("n")) == F.col("window"))
+    return hits.select("doc_id", "text_hash", F.struct(first.alias("first"), F.col("n")).alias("span"), "items")
+
+
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Occurrences of item windows, one row per document with any.
 
@@ -44,15 +54,12 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast
     word and length), items (distinct ids as strings, sorted).
     Rows equal in doc_id and text share one row here. Items with a null id or without words find nothing.
     """
-    small = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] <= broadcast_bytes
-    found = benchmark_windows(items, window)
-    found = F.broadcast(found) if small else found
-    place = docs.select("doc_id", text_hash().alias("text_hash"), words(F.col("text")).alias("w"))
-    place = place.select("doc_id", "text_hash", "w", F.posexplode("w").alias("p", "word"))
-    first = F.col("p") - F.col("at")
-    hits = place.join(found, F.col("word") == F.col("anchor")).where((first >= 0) & (first + F.col("n") <= F.size("w")))
-    hits = hits.where(F.slice(F.col("w"), F.greatest(first, F.lit(0)) + 1, F.col("n")) == F.col("window"))
-    hits = hits.select("doc_id", "text_hash", F.struct(first.alias("first"), F.col("n")).alias("span"), "items")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks, found = max(1, -(-size // max(1, broadcast_bytes))), benchmark_windows(items, window)
+    hits = None
+    for k in range(blocks):
+        part = _hits(docs, found if blocks == 1 else found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k))
+        hits = part if hits is None else hits.union(part)
     return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 

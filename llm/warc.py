@@ -55,7 +55,7 @@ def _header(page_id: int | None, url: str | None, digest: str, n: int, refers: i
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in rows) + "\r\n").encode() + http
 
 
-def write_archives(kinds: DataFrame, folder: str) -> DataFrame:
+def write_archives(kinds: DataFrame, folder: str, chunk: int = CHUNK_BYTES) -> DataFrame:
     """Writes rows of with_kinds() as archives below `folder` (a URI all workers reach); returns the manifest, already written there."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,8 +68,8 @@ def write_archives(kinds: DataFrame, folder: str) -> DataFrame:
                     out = store.open_output_stream(path, compression=None)
                 body, pack = memoryview(html.encode()), zlib.compressobj(1, zlib.DEFLATED, 31)
                 out.write(pack.compress(_header(page_id, url, digest, len(body), refers)))
-                for at in range(0, len(body) if refers is None else 0, CHUNK_BYTES):
-                    out.write(pack.compress(body[at : at + CHUNK_BYTES]))
+                for at in range(0, len(body) if refers is None else 0, chunk):
+                    out.write(pack.compress(body[at : at + chunk]))
                 out.write(pack.compress(b"\r\n\r\n") + pack.flush())
                 n += 1
         if out is not None:
@@ -81,7 +81,7 @@ def write_archives(kinds: DataFrame, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}-manifest")
 
 
-def _records(stream) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
+def _records(stream, chunk: int) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
     """Headers and block pieces of each record; a block must be read to its end before the next record."""
     while line := stream.readline():
         if not line.strip():
@@ -95,7 +95,7 @@ def _records(stream) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
 
         def block(left: int = int(head["content-length"])) -> Iterator[bytes]:
             while left:
-                if not (piece := stream.read(min(left, CHUNK_BYTES))):
+                if not (piece := stream.read(min(left, chunk))):
                     raise EOFError("a WARC record is cut short")
                 left -= len(piece)
                 yield piece
@@ -117,7 +117,7 @@ def _payload(block: Iterator[bytes]) -> Iterator[bytes]:
                 yield rest
 
 
-def read_chunks(manifest: DataFrame, folder: str) -> DataFrame:
+def read_chunks(manifest: DataFrame, folder: str, chunk: int = CHUNK_BYTES) -> DataFrame:
     """The archives' records as chunk rows: every record has one with last = true, which holds the digest and length of the whole payload read so far.
 
     A revisit has no payload: its last chunk is empty, and what it repeats is in header_digest, header_bytes.
@@ -135,7 +135,7 @@ def read_chunks(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
-                    for head, block in _records(stream):
+                    for head, block in _records(stream, chunk):
                         own = (number(head["warc-record-id"]), head["warc-target-uri"], head["warc-type"], number(head.get("warc-refers-to")))
                         told = (head["warc-payload-digest"].partition(":")[2], int(head["warc-payload-length"]))
                         so_far, n, k, before = hashlib.sha256(), 0, 0, b""
@@ -146,12 +146,12 @@ def read_chunks(manifest: DataFrame, folder: str) -> DataFrame:
                                 k += 1
                             so_far.update(piece)
                             n, before = n + len(piece), piece
-                            if held > 4 * CHUNK_BYTES:
+                            if held > 4 * chunk:
                                 yield pack()
                                 rows, held = [], 0
                         rows.append((*own, k, before, n, so_far.hexdigest(), True, *told))
                         held += len(before) + 400
-                        if held > 4 * CHUNK_BYTES:
+                        if held > 4 * chunk:
                             yield pack()
                             rows, held = [], 0
         if rows:
