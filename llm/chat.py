@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import partitions, table
@@ -79,8 +79,8 @@ def format_conversations(log: DataFrame, piece_chars: int = PIECE_CHARS) -> Data
         none = object()
         conv, events, piece, done = none, [], 0, []
 
-        def flush(final: bool) -> None:
-            """What can't change any more becomes rows: all at the end, else the messages before a plain message."""
+        def flush() -> None:
+            """The messages so far become rows."""
             nonlocal events, piece
             parts, spans, n = [], [], 0
             for role, text in fold(events):
@@ -103,29 +103,30 @@ def format_conversations(log: DataFrame, piece_chars: int = PIECE_CHARS) -> Data
             done = []
             return out
 
-        held, plain = 0, True
+        held = 0
         for batch in batches:
-            for cid, _, kind, target, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cid, _, kind, target, role, text, plain in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if cid != conv or conv is none:
                     if events:
-                        flush(True)
-                    conv, piece, held, plain = cid, 0, 0, True
-                plain &= (kind or "message") == "message"
+                        flush()
+                    conv, piece, held = cid, 0, 0
                 if plain and held > piece_chars:
-                    flush(False)
+                    flush()
                     held = 0
                 events.append((kind or "message", target, role or "", text or ""))
                 held += len(text or "")
             if sum(len(x[2]) for x in done) > 4 * piece_chars:
                 yield pack()
         if events:
-            flush(True)
+            flush()
         if done:
             yield pack()
 
     cols = ["conv_id", "seq", "kind", "target", "role", "text"]
     dealt = log.select(F.col("conv_id").cast("long").alias("conv_id"), "seq", "kind", F.col("target").cast("int").alias("target"), "role", "text")
-    return dealt.repartition(partitions(log.sparkSession), "conv_id").sortWithinPartitions(*cols).mapInArrow(run, RENDERED)
+    dealt = dealt.repartition(partitions(log.sparkSession), "conv_id")
+    plain = F.min(F.coalesce(F.col("kind"), F.lit("message")) == "message").over(Window.partitionBy("conv_id"))  # nothing comes that changes what has been
+    return dealt.withColumn("plain", plain).sortWithinPartitions(*cols).select(*cols, "plain").mapInArrow(run, RENDERED)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:

@@ -38,6 +38,13 @@ def test_fold_of_events():
     assert chat.fold([("delta", None, "assistant", "a")]) == [("assistant", "a")]
 
 
+def test_late_edits_reach_long_conversations(spark):
+    rows = [(1, i, "message", None, "user" if i % 2 == 0 else "assistant", "x" * 100) for i in range(10)] + [(1, 11, "edit", 0, None, "new"), (2, 0, "message", None, "user", "y")]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, seq long, kind string, target int, role string, text string"), 150).orderBy("conv_id", "piece").collect()
+    turns = chat.parse("".join(r["formatted"] for r in out if r["conv_id"] == 1))
+    assert len(turns) == 10 and turns[0] == ("user", "new") and turns[1] == ("assistant", "x" * 100)
+
+
 def test_chat_over_odd_logs(spark, monkeypatch):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, 0, "user", "[INST]"), (2, None, None, "x"), (3, 5, "assistant", "é</s>"), (3, 2, "user", "q" * 5000)]
     whole = chat.format_conversations
