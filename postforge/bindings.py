@@ -48,7 +48,7 @@ BINDINGS: dict[str, tuple[str, dict[str, str], str]] = {
         "id": "p_partkey", "title": _case("p_partkey", *TITLES), "company": _case("(p_partkey * 7)", *COMPANIES), "location": _case("p_size", *PLACES), "description": _case("(p_partkey + p_size)", *TEXTS),
         "role_family": _case("p_size", "SWE", "Data Analyst", "Product Management", "Unknown", "Sales", "Administrative"), "region": _case("p_size", "US", "CA", None), "work_mode": _case("p_size", "REMOTE", "HYBRID", "ONSITE", "FLEXIBLE", "UNKNOWN"),
         "employment_type": _case("p_partkey", "FULL_TIME", "CONTRACT", "INTERNSHIP", None, "FULL_TIME"), "status": _case("(p_partkey * 3)", "LIVE", "AGING", "STALE", "EXPIRED", "LIVE", "LIVE", "REMOVED"),
-        "availability_score": "CAST((p_partkey * 37) % 101 AS DOUBLE)", "salary_min": "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_retailprice * 40 AS BIGINT) END", "salary_max": "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_retailprice * 60 AS BIGINT) END",
+        "availability_score": "CAST((p_partkey * 37) % 101 AS DOUBLE)", "salary_min": "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(floor(p_retailprice * 40) AS BIGINT) END", "salary_max": "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(floor(p_retailprice * 60) AS BIGINT) END",
         "posted_at": "ago((p_partkey * 7919) % 9600)", "first_seen_at": "ago((p_partkey * 7919) % 9600 + 24)", "last_source_seen_at": "CASE WHEN p_size % 4 = 0 THEN NULL ELSE ago((p_partkey * 131) % 3000) END",
         "last_confirmed_alive_at": "CASE WHEN p_size % 3 = 0 THEN ago((p_partkey * 17) % 900) END", "last_apply_check_at": "CASE WHEN p_size % 5 = 0 THEN ago((p_partkey * 29) % 500) END",
         "dead_signal_at": "CASE WHEN p_size % 11 = 0 THEN ago((p_partkey * 41) % 900) END", "deadline": "CASE WHEN p_size % 7 = 0 THEN ago((p_partkey * 53) % 2000 - 1000) END",
@@ -71,7 +71,7 @@ BINDINGS: dict[str, tuple[str, dict[str, str], str]] = {
         "user_id": "user_id", "canonical_id": "CAST(regexp_replace(props, '[^0-9]', '', 'g') AS BIGINT)", "created_at": "ts",
         "action": "CASE event_type WHEN 'click' THEN 'SAVE' WHEN 'purchase' THEN 'APPLY' WHEN 'error' THEN 'PASS' ELSE 'VIEW_DETAILS' END",
     }, ""),
-    "run": ("orders", {"id": "o_orderkey", "source": "concat('source', CAST(o_custkey AS STRING))", "started_at": "o_orderdate", "status": "CASE o_orderstatus WHEN 'O' THEN 'SUCCESS' WHEN 'F' THEN 'FAILED' ELSE 'RUNNING' END", "fetched": "CAST(o_totalprice AS BIGINT)"}, ""),
+    "run": ("orders", {"id": "o_orderkey", "source": "concat('source', CAST(o_custkey AS STRING))", "started_at": "o_orderdate", "status": "CASE o_orderstatus WHEN 'O' THEN 'SUCCESS' WHEN 'F' THEN 'FAILED' ELSE 'RUNNING' END", "fetched": "CAST(floor(o_totalprice) AS BIGINT)"}, ""),
     "task": ("orders", {
         "id": "o_orderkey", "kind": _case("o_orderkey", "POLL", "VALIDATE", "DISCOVER"), "target": "o_custkey", "status": "CASE o_orderstatus WHEN 'F' THEN 'SUCCESS' WHEN 'O' THEN 'PENDING' ELSE 'PENDING' END",
         "priority": "o_totalprice", "not_before": "ago((o_orderkey * 11) % 2000 - 500)", "created_at": "o_orderdate",

@@ -176,3 +176,43 @@ PERIODS = [
 ]
 AMOUNT = r"(?:[$€£]|(?:USD|CAD|EUR|GBP|AUD|NZD|US\$|CA\$|C\$)\s*)?\s*(\d[\d,]*(?:\.\d+)?)\s*([kKmM])?"
 SALARY_LEAST, SALARY_MOST = 10_000, 5_000_000
+
+# links that may be shown: source prefixes and hosts that are verified, hosts that never are
+TRUSTED_PREFIXES = [
+    "Adzuna", "Ashby", "Greenhouse", "Himalayas", "iCIMS", "Jobicy", "Lever", "Remotive", "TheMuse", "Recruitee", "RemoteOK", "Rippling", "SuccessFactors", "SmartRecruiters", "Taleo", "USAJobs", "Workable", "Workday",
+]
+TRUSTED_HOSTS = [
+    "icims.com", "jobs.ashbyhq.com", "boards.greenhouse.io", "job-boards.greenhouse.io", "himalayas.app", "jobicy.com", "jobs.lever.co", "remotive.com", "recruitee.com", "ats.rippling.com", "successfactors.com", "successfactors.eu",
+    "jobs.smartrecruiters.com", "myworkdayjobs.com", "taleo.net", "remoteok.com", "themuse.com", "www.themuse.com", "usajobs.gov", "apply.workable.com", "adzuna.com",
+]
+BLOCKED_HOSTS = ["boardaggregator-x.com", "companycareer-direct.com", "partnerapi-alpha.com"]
+
+# answers of a source or page by HTTP status
+GONE_STATUSES = [404, 410]
+DEAD_STATUSES = [404, 410, 451]
+BLOCKING_STATUSES = [401, 403, 429]
+PASSING_STATUSES = [408, 500, 502, 503, 504]
+#: Boards whose "not found" is final.
+EXACT_BOARDS = ["greenhouse", "lever", "ashby"]
+
+CAREER_WORDS = "(careers?|jobs?|opportunit(?:y|ies)|join-us|work-with-us|employment|talent|openings?|open[- ]roles?|vacanc(?:y|ies))"
+NO_PAGE = r"\.(?:pdf|jpg|jpeg|png|gif|svg|webp|ico|css|js|xml|json|rss|zip|mp4|mp3)$"
+
+# a form label's concept; the first that matches wins
+LABELS = [
+    ("first_name", r"\bfirst\s*name\b"),
+    ("last_name", r"\blast\s*name\b|surname\b|family\s*name\b"),
+    ("full_name", r"\bfull\s*name\b|\byour\s*name\b"),
+    ("email", r"\be[\s-]*mail\b"),
+    ("phone", r"\bphone\b|\bmobile\b|\bcell\b|\btelephone\b"),
+    ("linkedin_url", r"\blinkedin\b"),
+    ("github_url", r"\bgithub\b"),
+    ("portfolio_url", r"\bportfolio\b|\bpersonal\s*(?:site|website)\b"),
+    ("website_url", r"\bwebsite\b|\burl\b|\bweb\s*page\b"),
+    ("resume_file", r"\bresume\b|\bcv\b|\bcurriculum"),
+    ("cover_letter", r"\bcover\s*letter\b"),
+    ("work_authorization", r"\bauthoriz(?:ation|ed)\b|\bsponsorship\b|\bwork\s*(?:permit|visa)\b|\blegally\b"),
+    ("salary_expectation", r"\bsalary\b|\bcompensation\b|\bpay\s*(?:range|expectation)\b"),
+    ("location", r"\blocation\b|\bcity\b|\bwhere.*(?:you|located)\b"),
+    ("how_did_you_hear", r"\bhow\s*did\s*you\s*hear\b|\breferral\s*source\b|\bwhere.*(?:find|learn)\b"),
+]

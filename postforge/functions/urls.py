@@ -77,19 +77,82 @@ def stable_id(c: Column) -> Column:
     return F.when(F.length(v) >= 4, v)
 
 
-def posting_id(url: Column, family: Column, source_id: Column) -> Column:
-    """family:id of a posting, from its URL by the known boards' forms, else from the source's own id; null without either."""
-    h, last = host(url), F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "([^/]+)/*$", 1)
-    job = F.coalesce(F.nullif(F.regexp_extract(url, r"[?&]gh_jid=(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/jobs/(\d+)", 1), F.lit("")))
-    from_url = (
-        F.when(h.contains("greenhouse"), F.concat(F.lit("greenhouse:"), job))
-        .when(h.contains("lever.co"), F.concat(F.lit("lever:"), stable_id(last)))
-        .when(h.contains("ashbyhq"), F.concat(F.lit("ashby:"), stable_id(last)))
-        .when(h.contains("myworkdayjobs"), F.concat(F.lit("workday:"), stable_id(F.regexp_extract(last, r"_([A-Za-z0-9-]+)$", 1))))
-        .when(h.contains("smartrecruiters"), F.concat(F.lit("smartrecruiters:"), F.nullif(F.regexp_extract(last, r"^(\d+)", 1), F.lit(""))))
-        .when(h.contains("icims"), F.concat(F.lit("icims:"), F.nullif(F.regexp_extract(url, r"/jobs/(\d+)", 1), F.lit(""))))
+def _segments(url: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), "")
+
+
+def _param(url: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), f"(?:^|&){name}=([^&]*)", 1), F.lit(""))
+
+
+def _at(parts: Column, i: int) -> Column:
+    return F.try_element_at(parts, F.lit(i))
+
+
+def looks_stable(c: Column) -> Column:
+    """Four characters or more, with a digit, - or _, and no space."""
+    return (F.length(c) >= 4) & c.rlike("[0-9_-]") & ~c.rlike(r"\s")
+
+
+def scope(family: Column, url: Column) -> Column:
+    """What a posting's id is unique within: a board's account, else the host."""
+    seg, h = _segments(url), host(url)
+    first = F.coalesce(_at(seg, 1), h)
+    j = F.array_position(F.transform(seg, lambda x: F.lower(x)), "j").cast("int")
+    return stable_id(
+        F.when(family.isin("greenhouse", "lever", "ashby"), first)
+        .when(family == "workable", F.when(j > 1, F.get(seg, j - 2)).otherwise(first))
+        .when(family == "recruitee", F.coalesce(_at(F.filter(seg, lambda x: F.lower(x) != "o"), 1), h))
+        .otherwise(F.replace(h, F.lit("."), F.lit("-")))
     )
-    return F.coalesce(from_url, F.concat(family, F.lit(":"), stable_id(source_id)))
+
+
+def url_posting_id(url: Column) -> Column:
+    """family:scope:id that a URL of a known board names, or any of the usual parameters; null if none."""
+    h, seg = host(url), _segments(url)
+    last = _at(seg, -1)
+    stable = lambda parts: _at(F.filter(parts, looks_stable), -1)
+    behind = lambda word: F.get(seg, F.nullif(F.array_position(F.transform(seg, lambda x: F.lower(x)), word), F.lit(0)).cast("int"))
+    digits = _at(F.filter(seg, lambda x: x.rlike(r"^\d{5,}$")), -1)
+    token = _at(F.filter(F.transform(F.split(F.coalesce(last, F.lit("")), "[_-]"), stable_id), lambda x: x.isNotNull()), -1)
+    usual = F.coalesce(*[_param(url, p) for p in R.STABLE_QUERY_PARAMS])
+    firm = lambda c: F.when(looks_stable(c), stable_id(c))
+    rules = [
+        ("greenhouse", h.contains("greenhouse.io"), F.lower(F.coalesce(_param(url, "gh_jid"), digits))), ("lever", h.contains("lever.co"), firm(last)), ("ashby", h.contains("ashbyhq.com"), firm(last)), ("workday", h.contains("myworkdayjobs.com"), token),
+        ("taleo", h.contains("taleo.net"), stable_id(_param(url, "job"))), ("smartrecruiters", h.contains("smartrecruiters.com"), stable_id(stable(seg))), ("icims", h.contains("icims.com"), firm(behind("jobs"))),
+        ("workable", h.contains("workable.com"), firm(F.coalesce(behind("j"), last))), ("recruitee", h.contains("recruitee.com"), stable_id(stable(seg))),
+    ]
+    named = [F.when(on & v.isNotNull(), F.concat_ws(":", F.lit(f), scope(F.lit(f), url), v)) for f, on, v in rules]
+    guess = F.coalesce(*[F.when(on, f) for f, on, _ in rules], F.lit("unknown"))
+    return F.coalesce(*named, F.when(stable_id(usual).isNotNull(), F.concat_ws(":", guess, scope(guess, url), stable_id(usual))))
+
+
+def posting_id(apply_url: Column, source_url: Column, family: Column, source_id: Column) -> Column:
+    """The id by which a posting is known at its board: of either URL, else the source's own id within its scope."""
+    own = stable_id(source_id)
+    return F.coalesce(url_posting_id(apply_url), url_posting_id(source_url), F.when(own.isNotNull(), F.concat_ws(":", family, scope(family, F.coalesce(source_url, apply_url)), own)))
+
+
+def ats_match(url: Column) -> Column:
+    """connector/token of the board that a URL belongs to; null if it is no board's."""
+    h, seg = host(url), _segments(url)
+    s = lambda i: F.lower(_at(seg, i))
+    sub = lambda domain: F.nullif(F.regexp_extract(h, f"^([a-z0-9-]+)\\.{domain}$", 1), F.lit(""))
+    locale = s(1).rlike("^[a-z]{2}(?:-[a-z]{2})?$")
+    site = F.when(locale, s(2)).otherwise(s(1))
+    tenant = F.nullif(F.regexp_extract(h, r"^([a-z0-9-]+)\.wd\d+\.(?:myworkdayjobs|myworkdaysite)\.com$", 1), F.lit(""))
+    rules = [
+        ("rippling", F.when((h == "ats.rippling.com") & F.array_contains(seg, "jobs"), site)), ("rippling", F.when(h == "jobs.rippling.com", s(1))),
+        ("successfactors", F.when((h.startswith("jobs.") | h.startswith("careers.")) & s(1).isin("search", "job", "talentcommunity"), h)),
+        ("ashby", F.when(h.isin("jobs.ashbyhq.com", "jobs.eu.ashbyhq.com"), F.when(s(1) == "api", F.lower(F.coalesce(_param(url, "organizationSlug"), s(1)))).otherwise(s(1)))),
+        ("greenhouse", F.when(h.isin("boards.greenhouse.io", "job-boards.greenhouse.io"), F.when(s(1) == "embed", F.lower(_param(url, "for"))).otherwise(s(1)))), ("greenhouse", F.when((h == "boards-api.greenhouse.io") & (s(2) == "boards"), s(3))),
+        ("lever", F.when(h == "jobs.lever.co", s(1))), ("lever", F.when((h == "api.lever.co") & (s(2) == "postings"), s(3))), ("recruitee", sub("recruitee\\.com")),
+        ("smartrecruiters", F.when(h.isin("jobs.smartrecruiters.com", "careers.smartrecruiters.com"), s(1))), ("smartrecruiters", F.when((h == "api.smartrecruiters.com") & (s(2) == "companies"), s(3))),
+        ("workable", F.when(h == "apply.workable.com", s(1))), ("workable", F.when((h == "www.workable.com") & (s(1) == "api") & (s(2) == "accounts"), s(3))),
+        ("taleo", F.when((s(1) == "careersection") & ~s(2).isin("sitemap.jss", "rest"), F.concat(sub("taleo\\.net"), F.lit("/"), s(2)))), ("icims", F.when((s(1) == "jobs") | (F.size(seg) == 0), sub("icims\\.com"))),
+        ("workday", F.when(tenant.isNotNull() & (s(1) == "wday"), F.concat_ws("/", h, s(3), s(4)))), ("workday", F.when(tenant.isNotNull() & site.isNotNull(), F.concat_ws("/", h, tenant, site))),
+    ]
+    return F.coalesce(*[F.when(t.isNotNull(), F.concat(F.lit(c + "/"), t)) for c, t in rules])
 
 
 def portal(name: Column, apply_url: Column) -> Column:
@@ -98,10 +161,36 @@ def portal(name: Column, apply_url: Column) -> Column:
     return F.when(has(n, R.STRUCTURED_PORTALS[0]) | has(u, R.STRUCTURED_PORTALS[1]), "structured").when(has(n, R.SEMI_PORTALS[0]) | has(u, R.SEMI_PORTALS[1]), "semi_structured").when(has(n, R.AGGREGATOR_PORTALS), "aggregator").otherwise("unknown")
 
 
+def absolute(url: Column) -> Column:
+    return F.coalesce(url.rlike("(?i)^https?://[^/]"), F.lit(False))
+
+
 def trust(url: Column, name: Column) -> Column:
-    """How far a link can be trusted: an applicant system, another known source, any web page, or none."""
-    known = source_prefix(name).isin([*R.DIRECT_PREFIXES, *R.BOARD_PREFIXES, *R.AGGREGATOR_PREFIXES])
-    return F.when(~F.coalesce(url.rlike("(?i)^https?://"), F.lit(False)) | name.isin(R.DEMO_SOURCES), "NONE").when(host_in(host(url), R.DIRECT_HOSTS), "ATS").when(known, "KNOWN_SOURCE").otherwise("WEB")
+    """Whether a source's link may be shown: UNAVAILABLE (a demonstration's, a blocked host), TRUSTED (a verified source or host), else CAUTION."""
+    verified = source_prefix(name).isin(R.TRUSTED_PREFIXES) & name.contains(":")
+    return (
+        F.when(name.isin(R.DEMO_SOURCES), "UNAVAILABLE").when(~absolute(url), "CAUTION").when(host_in(host(url), R.BLOCKED_HOSTS), "UNAVAILABLE")
+        .when(verified | host_in(host(url), R.TRUSTED_HOSTS), "TRUSTED").otherwise("CAUTION")
+    )
+
+
+def resolve_links(apply_url: Column, sources: Column) -> Column:
+    """Struct of href, kind, source, level: the link a posting's page leads to.
+
+    sources: array of structs source_name, source_url, is_primary, in the order that counts among equals. The application's own
+    URL is taken if any source is live; else the best source's.
+    """
+    known = F.transform(sources, lambda s: F.struct(s["source_name"].alias("name"), s["source_url"].alias("url"), s["is_primary"].alias("first"), trust(s["source_url"], s["source_name"]).alias("level"), absolute(s["source_url"]).alias("ok")))
+    pick = lambda cond: F.coalesce(_at(F.filter(known, lambda s: cond(s) & s["ok"] & s["first"]), 1), _at(F.filter(known, lambda s: cond(s) & s["ok"]), 1))
+    sure, live = pick(lambda s: s["level"] == "TRUSTED"), pick(lambda s: s["level"] != "UNAVAILABLE")
+    demo = (F.size(sources) > 0) & F.forall(sources, lambda s: s["source_name"].isin(R.DEMO_SOURCES))
+    own = absolute(apply_url) & ~demo & ~host_in(host(apply_url), R.BLOCKED_HOSTS) & live.isNotNull()
+    best = F.coalesce(sure, live)
+    some = ~demo & best.isNotNull()
+    return F.struct(
+        F.when(own, apply_url).when(some, best["url"]).alias("href"), F.when(own, "APPLY").when(some, "SOURCE").alias("kind"), F.when(own | some, best["name"]).alias("source"),
+        F.when(own | some, F.when(sure.isNotNull(), "TRUSTED").otherwise("CAUTION")).otherwise("UNAVAILABLE").alias("level"),
+    )
 
 
 def company_domain(urls: Column) -> Column:

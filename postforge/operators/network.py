@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postforge.functions import rules as R
 from postforge.functions.text import js_round
 
-HARD_STATUSES = (404, 410)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -63,7 +63,7 @@ def prune(df: DataFrame) -> DataFrame:
 
     df: http_status, attempts, successes, accepted, deduped, created, retained, failure_streak, failures.
     """
-    none, hard = F.col("retained") == 0, F.coalesce(F.col("http_status").isin(*HARD_STATUSES), F.lit(False))
+    none, hard = F.col("retained") == 0, F.coalesce(F.col("http_status").isin(R.GONE_STATUSES), F.lit(False))
     c = F.col
     rules = [
         (none & (c("successes") == 0) & (hard | (c("failure_streak") >= 2) | (c("failures") >= 2)), "hard_disable", "failing_without_value"),
@@ -86,12 +86,60 @@ def claim(tasks: DataFrame, kind: str, as_of: Column, limit: int) -> DataFrame:
     return due.orderBy(F.desc("priority"), F.asc("created_at"), F.asc("id")).limit(limit)
 
 
-def poll_outcome(df: DataFrame) -> DataFrame:
-    """Next state of a source after a poll: adds next_state and cooldown_minutes. df: ok, accepted, failures (in a row, this one left out)."""
-    fails = F.col("failures") + 1
-    state = F.when(F.col("ok") & (F.col("accepted") > 0), "ACTIVE").when(F.col("ok"), "IDLE").when(fails >= 5, "BLOCKED").when(fails >= 2, "DEGRADED").otherwise("RETRY")
-    wait = F.when(F.col("ok") & (F.col("accepted") > 0), 0).when(F.col("ok"), 360).otherwise(F.least(F.lit(2880), F.lit(30) * F.pow(F.lit(2), F.least(fails, F.lit(7)) - 1)))
-    return df.withColumns({"next_state": state, "cooldown_minutes": wait.cast("int")})
+def _status(df: DataFrame) -> Column:
+    """The HTTP status that an error message names."""
+    return F.regexp_extract(F.coalesce("error", F.lit("")), r"(?<![0-9])(4[0-9]{2}|5[0-9]{2})(?![0-9])", 1).try_cast("int")
+
+
+def validation_outcome(df: DataFrame) -> DataFrame:
+    """Adds kind, poll_state, quality, cooldown_minutes and next_status to recorded validations.
+
+    df: connector, error (null if the answer was fine), jobs_found, state (before), failures (in a row, before), polled (ever with success).
+    """
+    c, code = F.col, _status(df)
+    gone, blocked = F.coalesce(code.isin(R.GONE_STATUSES), F.lit(False)), F.coalesce(code.isin(R.BLOCKING_STATUSES), F.lit(False))
+    final = c("connector").isin(R.EXACT_BOARDS) | (c("state") == "SUSPECT") | (c("failures") >= 1)
+    fine = c("error").isNull() | ((c("jobs_found") > 0) & ~gone & ~blocked)
+    kind = F.when(gone, F.when(final, "INVALID").otherwise("SUSPECT")).when(blocked, "BLOCKED").when(fine, "VALIDATED").otherwise("SUSPECT")
+    passing = F.coalesce(code.isin(R.PASSING_STATUSES), F.lit(False))
+    fails = F.when(kind == "VALIDATED", 0).otherwise(c("failures") + 1)
+    lost = (kind == "INVALID") | ((kind == "SUSPECT") & (fails >= 2))
+    return df.withColumns({
+        "kind": kind, "poll_state": F.when(lost, "QUARANTINED").when(kind == "VALIDATED", "READY").otherwise("BACKOFF"),
+        "cooldown_minutes": F.when(kind == "INVALID", 720).when(kind == "BLOCKED", 360).when(kind == "VALIDATED", 0).when(gone, 240).when(passing, 180).otherwise(240),
+        "quality": F.when(kind == "INVALID", 0.05).when(kind == "BLOCKED", 0.2).when(kind == "VALIDATED", None).when(gone, 0.15).when(passing, 0.28).otherwise(0.3),
+        "next_status": F.when(lost, "REDISCOVER_REQUIRED").when(kind == "VALIDATED", F.when(c("polled"), "ACTIVE").otherwise("PROVISIONED")).otherwise("DEGRADED"), "next_failures": fails,
+    })
+
+
+def poll_failure(df: DataFrame) -> DataFrame:
+    """Adds what a failed poll makes of a source. df: connector, error, failures and failure_streak (before)."""
+    c, code = F.col, _status(df)
+    gone, blocked = F.coalesce(code.isin(R.GONE_STATUSES), F.lit(False)), F.coalesce(code.isin(R.BLOCKING_STATUSES), F.lit(False))
+    final, fails, streak = gone & c("connector").isin(R.EXACT_BOARDS), c("failures") + 1, c("failure_streak") + 1
+    lost = final | F.when(gone, fails >= 2).otherwise(streak >= 3)
+    return df.withColumns({
+        "next_status": F.when(lost, "REDISCOVER_REQUIRED").otherwise("DEGRADED"), "next_state": F.when(final | (gone & lost), "INVALID").when(gone, "SUSPECT").when(blocked, "BLOCKED").otherwise("SUSPECT"),
+        "next_poll": F.when(lost, "QUARANTINED").otherwise("BACKOFF"), "cooldown_hours": F.when(final, 12).when(gone, fails * 4).otherwise(streak).cast("int"), "quality": F.when(c("failure_streak") > 0, 0.12).otherwise(0.2), "status_code": code,
+    })
+
+
+def poll_success(df: DataFrame) -> DataFrame:
+    """Adds a source's counters, priority and overlap after a poll. df: the counters so far, and n_fetched, n_accepted, n_deduped, n_created of the poll, fallback (read as plain HTML)."""
+    c = F.col
+    prio = F.greatest(F.lit(0.1), F.least(F.lit(1.5), (c("n_created") + 1) / F.greatest(F.lit(1), c("n_fetched")) + F.when(c("fallback"), 0.15).otherwise(0.3)))
+    sums = {k: c(k) + c(f"n_{k}") for k in ("fetched", "accepted", "deduped", "created")}
+    return df.withColumns({"overlap": F.when(c("n_fetched") > 0, ratio(c("n_deduped"), c("n_fetched"))).otherwise(c("overlap")), **sums, "attempts": c("attempts") + 1, "successes": c("successes") + 1, "priority": prio, "quality": F.greatest("quality", F.least(F.lit(0.99), prio / 1.5)), "failures": F.lit(0), "status": F.lit("ACTIVE")})
+
+
+def discovery_order(c) -> Column:
+    """Which companies to search for sources first. c names: n_sources, detected, confidence, n_jobs, failed, searched."""
+    return F.when(c("n_sources") == 0, 50).otherwise(0) + F.when(c("detected"), 40).otherwise(0) + js_round(c("confidence") * 20) + F.least(F.lit(30), F.least(c("n_jobs"), F.lit(25)) * 3) - F.when(c("failed"), 20).otherwise(0) + F.when(c("searched"), 0).otherwise(15)
+
+
+def discovery_priority(c) -> Column:
+    """The priority of such a search's task; not the order above."""
+    return F.least(F.lit(40), F.least(c("n_jobs"), F.lit(25)) * 3) + F.when(c("n_sources") == 0, 30).otherwise(0) + F.when(c("failed"), -10).otherwise(15) + F.greatest(F.lit(0), 20 - js_round(c("confidence") * 20))
 
 
 def health_priority(c, as_of: Column) -> Column:

@@ -11,7 +11,7 @@ from postforge import bindings as B
 from postforge.bindings import AS_OF, as_of, view
 from postforge.functions import rules as R
 from postforge.functions import salary, text, urls
-from postforge.operators import feed, lifecycle, matching, network, normalize, pages, reports
+from postforge.operators import feed, lifecycle, matching, network, normalize, pages, reports, tracker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -281,9 +281,30 @@ def eligibility_rules(spark, d):
     return normalize.eligibility(df).select("id", F.col("eligibility.reason").alias("reason"))
 
 
-@query(f"SELECT id, CASE WHEN NOT regexp_matches(apply_url, '(?i)^https?://') OR source_name IN {inlist(R.DEMO_SOURCES)} THEN 'NONE' WHEN {_hosts('apply_url', R.DIRECT_HOSTS)} THEN 'ATS' WHEN split_part(source_name, ':', 1) IN {inlist([*R.DIRECT_PREFIXES, *R.BOARD_PREFIXES, *R.AGGREGATOR_PREFIXES])} THEN 'KNOWN_SOURCE' ELSE 'WEB' END AS trust FROM incoming", "incoming")
+_TRUST = f"CASE WHEN source_name IN {inlist(R.DEMO_SOURCES)} THEN 'UNAVAILABLE' WHEN NOT coalesce(regexp_matches(source_url, '(?i)^https?://[^/]'), false) THEN 'CAUTION' WHEN {_hosts('source_url', R.BLOCKED_HOSTS)} THEN 'UNAVAILABLE' WHEN (contains(source_name, ':') AND split_part(source_name, ':', 1) IN {inlist(R.TRUSTED_PREFIXES)}) OR {_hosts('source_url', R.TRUSTED_HOSTS)} THEN 'TRUSTED' ELSE 'CAUTION' END"
+
+
+@query(f"SELECT id, source_name, source_url, {_TRUST} AS trust FROM mapping", "mapping")
 def link_trust(spark, d):
-    return view(spark, d, "incoming").select("id", urls.trust(F.col("apply_url"), F.col("source_name")).alias("trust"))
+    return view(spark, d, "mapping", "id", "source_name", "source_url").select("id", "source_name", "source_url", urls.trust(F.col("source_url"), F.col("source_name")).alias("trust"))
+
+
+@query(f"""+ m AS (SELECT *, {_TRUST} AS t, coalesce(regexp_matches(source_url, '(?i)^https?://[^/]'), false) AS ok FROM mapping),
+g AS (SELECT canonical_id, bool_and(source_name IN {inlist(R.DEMO_SOURCES)}) AS demo, min((NOT is_primary, id, source_name, source_url)) FILTER (ok AND t = 'TRUSTED') AS sure, min((NOT is_primary, id, source_name, source_url)) FILTER (ok AND t <> 'UNAVAILABLE') AS live FROM m GROUP BY 1),
+x AS (SELECT c.id, apply_url, demo, coalesce(sure, live) AS best, sure, regexp_matches(apply_url, '(?i)^https?://[^/]') AND NOT demo AND NOT {_hosts('apply_url', R.BLOCKED_HOSTS)} AND live IS NOT NULL AS own FROM canonical c JOIN g ON c.id = g.canonical_id)
+SELECT id, CASE WHEN own THEN apply_url WHEN NOT demo AND best IS NOT NULL THEN best[4] END AS href, CASE WHEN own THEN 'APPLY' WHEN NOT demo AND best IS NOT NULL THEN 'SOURCE' END AS kind, CASE WHEN own OR (NOT demo AND best IS NOT NULL) THEN CASE WHEN sure IS NOT NULL THEN 'TRUSTED' ELSE 'CAUTION' END ELSE 'UNAVAILABLE' END AS level FROM x""", "canonical", "mapping")
+def resolved_links(spark, d):
+    m = view(spark, d, "mapping", "canonical_id", "id", "source_name", "source_url", "is_primary")
+    s = m.groupBy("canonical_id").agg(F.array_sort(F.collect_list(F.struct("id", "source_name", "source_url", "is_primary"))).alias("sources"))
+    c = view(spark, d, "canonical", "id", "apply_url").join(s, F.col("id") == F.col("canonical_id"))
+    r = urls.resolve_links(F.col("apply_url"), F.col("sources"))
+    return c.select("id", r.alias("r")).select("id", "r.href", "r.kind", "r.level")
+
+
+@query()
+def posting_ids(spark, d):
+    m = view(spark, d, "mapping", "id", "source_id", "source_name", "source_url")
+    return m.select("id", "source_id", urls.posting_id(F.col("source_url"), F.col("source_url"), urls.source_family(F.col("source_name")), F.col("source_id")).alias("posting_id"), urls.ats_match(F.col("source_url")).alias("board"))
 
 
 _SUFFIX = R.COMPANY_SUFFIX.removeprefix(r"\b").removesuffix("$")
@@ -493,14 +514,41 @@ def prune_decision(spark, d):
     return network.prune(view(spark, d, "source")).select("id", "action")
 
 
-@query("SELECT id, CASE WHEN ok AND accepted > 0 THEN 'ACTIVE' WHEN ok THEN 'IDLE' WHEN failures + 1 >= 5 THEN 'BLOCKED' WHEN failures + 1 >= 2 THEN 'DEGRADED' ELSE 'RETRY' END AS next_state, CAST(CASE WHEN ok AND accepted > 0 THEN 0 WHEN ok THEN 360 ELSE least(2880, 30 * pow(2, least(failures + 1, 7) - 1)) END AS BIGINT) AS cooldown FROM source", "source")
-def poll_transition(spark, d):
-    return network.poll_outcome(view(spark, d, "source")).select("id", "next_state", F.col("cooldown_minutes").cast("long").alias("cooldown"))
+_ERR = "CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN '404 Not Found' WHEN 2 THEN 'HTTP 403' WHEN 3 THEN 'Error: 503' WHEN 4 THEN 'socket hang up' ELSE '410 Gone' END"
+_BOARD = "CASE id % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'workday' WHEN 2 THEN 'lever' ELSE 'icims' END"
+
+
+@query(f"""+ e AS (SELECT *, {_ERR} AS error, {_BOARD} AS board FROM source), k AS (SELECT *, CASE WHEN error SIMILAR TO '.*(404|410).*' THEN CASE WHEN board IN ('greenhouse', 'lever', 'ashby') OR state = 'SUSPECT' OR failures >= 1 THEN 'INVALID' ELSE 'SUSPECT' END WHEN error SIMILAR TO '.*(401|403|429).*' THEN 'BLOCKED' WHEN error IS NULL OR accepted > 0 THEN 'VALIDATED' ELSE 'SUSPECT' END AS kind FROM e),
+l AS (SELECT *, kind = 'INVALID' OR (kind = 'SUSPECT' AND failures + 1 >= 2) AS lost FROM k)
+SELECT id, kind, CASE WHEN lost THEN 'QUARANTINED' WHEN kind = 'VALIDATED' THEN 'READY' ELSE 'BACKOFF' END AS poll_state, CAST(CASE WHEN kind = 'INVALID' THEN 720 WHEN kind = 'BLOCKED' THEN 360 WHEN kind = 'VALIDATED' THEN 0 WHEN error SIMILAR TO '.*(404|410).*' THEN 240 WHEN error LIKE '%503%' THEN 180 ELSE 240 END AS BIGINT) AS cooldown,
+  CASE WHEN lost THEN 'REDISCOVER_REQUIRED' WHEN kind = 'VALIDATED' THEN CASE WHEN successes > 0 THEN 'ACTIVE' ELSE 'PROVISIONED' END ELSE 'DEGRADED' END AS next_status FROM l""", "source")
+def validation_outcome(spark, d):
+    s = view(spark, d, "source").withColumns({"error": F.expr(_ERR), "connector": F.expr(_BOARD), "jobs_found": F.col("accepted"), "polled": F.col("successes") > 0})
+    return network.validation_outcome(s).select("id", "kind", "poll_state", F.col("cooldown_minutes").cast("long").alias("cooldown"), "next_status")
+
 
+@query(f"""+ e AS (SELECT *, coalesce({_ERR}, 'x') AS error, {_BOARD} AS board FROM source), g AS (SELECT *, error SIMILAR TO '.*(404|410).*' AS gone FROM e), l AS (SELECT *, gone AND board IN ('greenhouse', 'lever', 'ashby') AS final FROM g), z AS (SELECT *, final OR CASE WHEN gone THEN failures + 1 >= 2 ELSE failure_streak + 1 >= 3 END AS lost FROM l)
+SELECT id, CASE WHEN lost THEN 'REDISCOVER_REQUIRED' ELSE 'DEGRADED' END AS next_status, CASE WHEN final OR (gone AND lost) THEN 'INVALID' WHEN gone THEN 'SUSPECT' WHEN error LIKE '%403%' THEN 'BLOCKED' ELSE 'SUSPECT' END AS next_state, CASE WHEN lost THEN 'QUARANTINED' ELSE 'BACKOFF' END AS next_poll, CAST(CASE WHEN final THEN 12 WHEN gone THEN (failures + 1) * 4 ELSE failure_streak + 1 END AS BIGINT) AS hours FROM z""", "source")
+def poll_failure(spark, d):
+    s = view(spark, d, "source").withColumns({"error": F.coalesce(F.expr(_ERR), F.lit("x")), "connector": F.expr(_BOARD)})
+    return network.poll_failure(s).select("id", "next_status", "next_state", "next_poll", F.col("cooldown_hours").cast("long").alias("hours"))
 
-@query(f"SELECT id, CAST(priority * 100 AS BIGINT) AS p FROM task WHERE kind = 'POLL' AND status = 'PENDING' AND not_before <= {NOW} ORDER BY priority DESC, created_at, id LIMIT 75", "task")
+
+@query(f"""SELECT id, round(CASE WHEN last_accepted > 0 THEN ({_R('last_created', 'last_accepted')}) ELSE overlap END, 6) AS overlap, fetched + last_accepted AS fetched, created + last_created AS created, round(greatest(0.1, least(1.5, (last_created + 1)::DOUBLE / greatest(1, last_accepted) + CASE WHEN id % 2 = 0 THEN 0.15 ELSE 0.3 END)), 6) AS priority FROM source""", "source")
+def poll_success(spark, d):
+    s = view(spark, d, "source").withColumns({"n_fetched": F.col("last_accepted"), "n_accepted": F.col("last_accepted"), "n_deduped": F.col("last_created"), "n_created": F.col("last_created"), "fallback": F.col("id") % 2 == 0})
+    return network.poll_success(s).select("id", F.round("overlap", 6).alias("overlap"), "fetched", "created", F.round("priority", 6).alias("priority"))
+
+
+@query("SELECT id, CAST(CASE WHEN ready THEN 0 ELSE 50 END + CASE WHEN validated THEN 40 ELSE 0 END + floor(confidence * 20 + 0.5) + least(30, least(retained, 25) * 3) - CASE WHEN failures > 3 THEN 20 ELSE 0 END + CASE WHEN attempts > 0 THEN 0 ELSE 15 END AS BIGINT) AS place, CAST(least(40, least(retained, 25) * 3) + CASE WHEN ready THEN 0 ELSE 30 END + CASE WHEN failures > 3 THEN -10 ELSE 15 END + greatest(0, 20 - floor(confidence * 20 + 0.5)) AS BIGINT) AS priority FROM source", "source")
+def discovery_priority(spark, d):
+    cols = {"n_sources": F.col("ready").cast("int"), "detected": F.col("validated"), "confidence": F.col("confidence"), "n_jobs": F.col("retained"), "failed": F.col("failures") > 3, "searched": F.col("attempts") > 0}
+    return view(spark, d, "source").select("id", network.discovery_order(cols.get).cast("long").alias("place"), network.discovery_priority(cols.get).cast("long").alias("priority"))
+
+
+@query(f"SELECT id, CAST(floor(priority * 100) AS BIGINT) AS p FROM task WHERE kind = 'POLL' AND status = 'PENDING' AND not_before <= {NOW} ORDER BY priority DESC, created_at, id LIMIT 75", "task")
 def queue_dequeue(spark, d):
-    return network.claim(view(spark, d, "task"), "POLL", as_of(), 75).select("id", (F.col("priority") * 100).cast("long").alias("p"))
+    return network.claim(view(spark, d, "task"), "POLL", as_of(), 75).select("id", F.floor(F.col("priority") * 100).alias("p"))
 
 
 @query("SELECT kind, target, max(priority) AS priority, epoch_us(min(not_before)) AS not_before, min(id) AS id, count(*) AS merged FROM task WHERE status = 'PENDING' GROUP BY 1, 2", "task")
@@ -729,3 +777,66 @@ def cadence_gate(spark, d):
 
     c = view(spark, d, "source", "id", "attempts").select(F.concat(F.lit("source"), F.col("id").cast("string")).alias("source"), (1440 * (200 + F.col("attempts") * 100)).alias("minutes"))
     return due(c, view(spark, d, "run", "source", "started_at"), as_of()).select("source")
+
+
+# --- tracker ---------------------------------------------------------------------------------------------------------
+
+_NOWST = "CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'WISHLIST' WHEN 2 THEN 'PREPARING' WHEN 3 THEN 'APPLIED' ELSE 'OFFER' END"
+_ASK = "CASE user_id % 4 WHEN 0 THEN 'WISHLIST' WHEN 1 THEN 'PREPARING' WHEN 2 THEN 'APPLIED' ELSE 'WITHDRAWN' END"
+
+
+@query(f"""+ t AS (SELECT id, {_NOWST} AS a, {_ASK} AS b FROM tracked), n AS (SELECT *, CASE WHEN a IS NULL THEN b WHEN b = 'WISHLIST' THEN a WHEN b = 'PREPARING' THEN CASE WHEN a = 'WISHLIST' THEN b ELSE a END ELSE b END AS c FROM t)
+SELECT id, c AS status, CASE WHEN c IN ('APPLIED', 'SCREEN', 'INTERVIEW', 'OFFER', 'REJECTED') THEN c ELSE 'NOTE' END AS event, CASE WHEN a IS NULL OR a IN ('WISHLIST', 'PREPARING') THEN 'APPLIED' ELSE a END AS sent FROM n""", "tracked")
+def tracked_status_merge(spark, d):
+    t = view(spark, d, "tracked", "id", "user_id").select("id", F.expr(_NOWST).alias("a"), F.expr(_ASK).alias("b"))
+    n = tracker.next_status(F.col("a"), F.col("b"))
+    return t.select("id", n.alias("status"), tracker.event_type(n).alias("event"), tracker.after_submission(F.col("a")).alias("sent"))
+
+
+_UMODE = "CASE id % 3 WHEN 0 THEN 'STRICT_AUTO_APPLY' WHEN 1 THEN 'REVIEW_BEFORE_SUBMIT' ELSE 'ASSIST' END"
+
+
+@query(f"SELECT id, CASE WHEN category = 'AUTO_SUBMIT_READY' AND {_UMODE} = 'STRICT_AUTO_APPLY' THEN 'fill_and_submit' WHEN (category = 'AUTO_SUBMIT_READY' AND {_UMODE} = 'REVIEW_BEFORE_SUBMIT') OR category = 'AUTO_FILL_REVIEW' THEN 'fill_only' ELSE 'dry_run' END AS mode, CASE WHEN status <> 'LIVE' OR category IS NULL THEN 'NOT_ELIGIBLE' WHEN category IN ('MANUAL_ONLY', 'AUTO_FILL_REVIEW') THEN 'MANUAL_ONLY' ELSE 'READY_FOR_REVIEW' END AS review FROM canonical", "canonical")
+def automation_mode(spark, d):
+    c = F.col
+    return view(spark, d, "canonical", "id", "category", "status").select("id", tracker.run_mode(c("category"), F.expr(_UMODE)).alias("mode"), tracker.review_state(c("status"), c("category")).alias("review"))
+
+
+@query("""+ r AS (SELECT id AS resume_id, user_id, lower(role_family) AS t, ok FROM (SELECT s.id, s.company_id AS user_id, CASE s.id % 4 WHEN 0 THEN 'swe' WHEN 1 THEN 'Data' WHEN 2 THEN '' END AS role_family, s.id % 5 = 0 AS ok FROM source s)),
+p AS (SELECT c.id, c.id % 25 AS user_id, resume_id, CASE WHEN lower(role_family) = t THEN 0 WHEN t <> '' AND (contains(lower(role_family), t) OR contains(t, lower(role_family))) THEN 1 WHEN ok THEN 2 ELSE 3 END AS pl FROM canonical c LEFT JOIN r ON c.id % 25 = r.user_id)
+SELECT id, user_id, arg_min(resume_id, (pl, resume_id)) AS resume_id FROM p GROUP BY 1, 2""", "canonical", "source")
+def resume_recommendation(spark, d):
+    r = view(spark, d, "source", "id", "company_id").select("id", F.col("company_id").alias("user_id"), F.expr("CASE id % 4 WHEN 0 THEN 'swe' WHEN 1 THEN 'Data' WHEN 2 THEN '' END").alias("target"), (F.col("id") % 5 == 0).alias("is_default"))
+    return tracker.recommended_resume(view(spark, d, "canonical", "id", "role_family").withColumn("user_id", F.col("id") % 25), r)
+
+
+@query("""+ p AS (SELECT user_id, canonical_id, max(created_at) AS at FROM signal WHERE action = 'SAVE' GROUP BY 1, 2), s AS (SELECT user_id, canonical_id, arg_max(action, created_at) AS st, max(created_at) AS at FROM signal WHERE action IN ('APPLY', 'PASS') GROUP BY 1, 2)
+SELECT coalesce(p.user_id, s.user_id) AS user_id, coalesce(p.canonical_id, s.canonical_id) AS canonical_id, coalesce(st, 'PACKAGE_ONLY') AS status, epoch_us(CASE WHEN p.at IS NULL THEN s.at WHEN s.at IS NULL THEN p.at ELSE greatest(p.at, s.at) END) AS active FROM p FULL JOIN s ON p.user_id = s.user_id AND p.canonical_id = s.canonical_id WHERE coalesce(p.canonical_id, s.canonical_id) IN (SELECT id FROM canonical)""", "signal", "canonical")
+def application_history(spark, d):
+    s = view(spark, d, "signal").withColumnRenamed("created_at", "updated_at").withColumns({"id": F.lit(0), "status": F.col("action")})
+    h = tracker.history(view(spark, d, "canonical", "id"), s.where("action = 'SAVE'"), s.where("action IN ('APPLY', 'PASS')"))
+    return h.select("user_id", "canonical_id", "status", F.unix_micros(F.col("active_at").cast("timestamp")).alias("active"))
+
+
+_CODE = "CASE id % 7 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 403 WHEN 3 THEN 503 WHEN 4 THEN 302 WHEN 5 THEN NULL ELSE 200 END"
+_BODY = "CASE id % 3 WHEN 0 THEN repeat('We are hiring people. ', 9) WHEN 1 THEN 'short' ELSE repeat('position has been filled ', 5) END"
+
+
+@query(f"""+ h AS (SELECT id, apply_url, {_CODE} AS code, {_BODY} AS body, concat_ws(chr(10), title, description, {_BODY}) AS t, deadline FROM canonical),
+x AS (SELECT *, deadline <= {NOW} OR {' OR '.join(re_('t', p) for p in R.DEAD_CONTENT)} AS said FROM h)
+SELECT id, CASE WHEN NOT regexp_matches(apply_url, '(?i)^https?://') OR code IS NULL THEN 'ERROR' WHEN code IN (404, 410, 451) OR coalesce(said, false) THEN 'DEAD' WHEN code IN (401, 403, 429) THEN 'BLOCKED' WHEN code >= 500 THEN 'ERROR' WHEN code NOT BETWEEN 200 AND 299 OR length(trim(body)) < 80 THEN 'SUSPECT' ELSE 'ALIVE' END AS result FROM x""", "canonical")
+def url_health(spark, d):
+    c = view(spark, d, "canonical").withColumns({"url": F.col("apply_url"), "status_code": F.expr(_CODE), "body": F.expr(_BODY)})
+    return tracker.url_health(c, as_of()).select("id", "result")
+
+
+@query("SELECT id, CASE " + " ".join(f"WHEN {re_('trim(title)', p)} THEN {q(c)}" for c, p in R.LABELS) + " END AS concept FROM (SELECT id, CASE id % 6 WHEN 0 THEN 'Your e-mail address' WHEN 1 THEN 'First  name *' WHEN 2 THEN 'Curriculum Vitae' WHEN 3 THEN 'Are you legally allowed?' WHEN 4 THEN 'Where did you find us?' ELSE title END AS title FROM canonical)", "canonical")
+def form_labels(spark, d):
+    said = F.expr("CASE id % 6 WHEN 0 THEN 'Your e-mail address' WHEN 1 THEN 'First  name *' WHEN 2 THEN 'Curriculum Vitae' WHEN 3 THEN 'Are you legally allowed?' WHEN 4 THEN 'Where did you find us?' ELSE title END")
+    return view(spark, d, "canonical", "id", "title").select("id", tracker.label_concept(said).alias("concept"))
+
+
+@query("SELECT source, arg_min(id, n) AS id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, id DESC) AS n FROM run) WHERE n <= 10 AND (status = 'SUCCESS' OR fetched % 2 = 0) GROUP BY 1", "run")
+def resume_checkpoint(spark, d):
+    r = view(spark, d, "run").withColumns({"exhausted": F.col("status") == "SUCCESS", "checkpoint": F.when(F.col("fetched") % 2 == 0, F.lit("x"))})
+    return tracker.latest_checkpoint(r)
