@@ -67,3 +67,19 @@ def line_diff(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "left", "right").mapInPandas(run, "id long, added long, removed long, kept long")
 
 
+
+
+def career_links(html: Column, base: Column) -> Column:
+    """Absolute links of a page that lead to openings: of the page's own domain, or of a careers or jobs host; files and mail left out."""
+    from postforge.functions import rules as R
+    from postforge.functions.urls import host
+
+    own, root = F.regexp_replace(host(base), r"^www\.", ""), F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    full = F.transform(F.filter(links(html), lambda u: ~u.rlike("(?i)^(?:mailto:|tel:|javascript:)")), lambda u: F.when(u.rlike("(?i)^https?://"), u).when(u.startswith("/"), F.concat(root, u)).otherwise(F.concat(root, F.lit("/"), u)))
+
+    def wanted(u: Column) -> Column:
+        h = F.regexp_replace(F.coalesce(host(u), F.lit("")), r"^www\.", "")
+        outside = h.startswith("careers.") | h.startswith("jobs.")
+        return ~F.regexp_replace(u, "[?#].*$", "").rlike("(?i)" + R.NO_PAGE) & (outside | (u.rlike("(?i)" + R.CAREER_WORDS) & ((h == own) | h.endswith(F.concat(F.lit("."), own)))))
+
+    return F.array_distinct(F.filter(full, wanted))

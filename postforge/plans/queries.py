@@ -11,7 +11,7 @@ from postforge import bindings as B
 from postforge.bindings import AS_OF, as_of, view
 from postforge.functions import rules as R
 from postforge.functions import salary, text, urls
-from postforge.operators import feed, lifecycle, matching, network, normalize, pages, reports, tracker
+from postforge.operators import describe, feed, lifecycle, matching, network, normalize, pages, reports, tracker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,9 +84,9 @@ def category_expansion(spark, d):
     return view(spark, d, "canonical", "id", "category").where(feed.category_filter("MANUAL_ONLY"))
 
 
-@query("SELECT id, salary_max FROM canonical WHERE salary_max >= 60000", "canonical")
+@query("SELECT id, salary_max FROM canonical WHERE salary_max >= 57000", "canonical")
 def salary_floor(spark, d):
-    return view(spark, d, "canonical", "id", "salary_max").where(F.col("salary_max") >= 60000)
+    return view(spark, d, "canonical", "id", "salary_max").where(F.col("salary_max") >= 57000)
 
 
 def _stage_sql() -> str:
@@ -840,3 +840,89 @@ def form_labels(spark, d):
 def resume_checkpoint(spark, d):
     r = view(spark, d, "run").withColumns({"exhausted": F.col("status") == "SUCCESS", "checkpoint": F.when(F.col("fetched") % 2 == 0, F.lit("x"))})
     return tracker.latest_checkpoint(r)
+
+
+# --- further reports and functions -----------------------------------------------------------------------------------
+
+
+@query()
+def description_blocks(spark, d):
+    b = view(spark, d, "canonical", "id", "description").select("id", describe.blocks(F.col("description")).alias("b"), describe.worth(F.col("description")).alias("w"))
+    return b.select("id", F.size("b").cast("long").alias("n_blocks"), F.array_join(F.col("b.kind"), ",").alias("kinds"), F.round("w", 4).alias("worth"))
+
+
+@query()
+def career_links(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.size(pages.career_links(F.col("html"), F.col("url"))).cast("long").alias("n"))
+
+
+@query(f"SELECT source_name, CAST(split_part(source_name, ':', 1) AS VARCHAR) AS prefix, lower(trim(split_part(source_name, ':', 1))) AS family, count(*) AS n FROM mapping GROUP BY 1, 2, 3", "mapping")
+def source_families(spark, d):
+    c = F.col("source_name")
+    return view(spark, d, "mapping", "source_name").groupBy("source_name", urls.source_prefix(c).alias("prefix"), urls.source_family(c).alias("family")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, CASE WHEN regexp_matches(apply_url, '^https?://') AND NOT " + _hosts("apply_url", [*R.DIRECT_HOSTS, *R.BOARD_HOSTS, *R.AGGREGATOR_HOSTS]) + " THEN regexp_replace(" + _host("apply_url") + ", '^www\\.', '') END AS domain FROM canonical", "canonical")
+def company_domain(spark, d):
+    return view(spark, d, "canonical", "id", "apply_url").select("id", urls.company_domain(F.array("apply_url")).alias("domain"))
+
+
+@query("SELECT id, status, availability_score FROM canonical WHERE status IN ('AGING', 'STALE', 'EXPIRED') ORDER BY availability_score, posted_at DESC, id LIMIT 40", "canonical")
+def at_risk_jobs(spark, d):
+    return view(spark, d, "canonical", "id", "status", "availability_score", "posted_at").where("status IN ('AGING', 'STALE', 'EXPIRED')").orderBy("availability_score", F.desc("posted_at"), "id").limit(40).select("id", "status", "availability_score")
+
+
+@query(_score_sql() + " SELECT id, CAST(total AS BIGINT) AS total FROM t ORDER BY total DESC, id LIMIT 50", "canonical", "mapping")
+def ranking_top_50(spark, d):
+    return _feed(spark, d).orderBy(F.desc("total"), "id").limit(50).select("id", F.col("total").cast("long").alias("total"))
+
+
+@query("SELECT c.id, CAST(least(25, count(m.canonical_id)) AS BIGINT) AS n FROM canonical c LEFT JOIN mapping m ON m.canonical_id = c.id AND m.removed_at IS NULL GROUP BY 1", "canonical", "mapping")
+def bounded_child_count(spark, d):
+    n = view(spark, d, "mapping", "canonical_id", "removed_at").where("removed_at IS NULL").groupBy("canonical_id").agg(F.least(F.count("*"), F.lit(25)).alias("n"))
+    c = view(spark, d, "canonical", "id")
+    return c.join(n, c["id"] == n["canonical_id"], "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("SELECT id, arg_max(company, part) AS company FROM (SELECT id, company, (0, company) AS part FROM incoming UNION ALL SELECT id, company, (1, company) AS part FROM canonical) GROUP BY 1", "incoming", "canonical")
+def union_last_wins(spark, d):
+    a, b = (view(spark, d, v, "id", "company").withColumn("_p", F.lit(i)) for i, v in enumerate(("incoming", "canonical")))
+    return a.unionByName(b).groupBy("id").agg(F.max_by("company", F.struct("_p", "company")).alias("company"))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1")
+def json_path_stats(spark, d):
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return spark.read.parquet(f"{d}/events.parquet").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+@query("+ g AS (SELECT source, count(*) AS n, sum(fetched) AS fetched FROM run WHERE status = 'SUCCESS' GROUP BY 1) SELECT s.id, CAST(coalesce(g.fetched, s.fetched) AS BIGINT) AS fetched, CAST(coalesce(g.n, 0) AS BIGINT) AS n FROM source s LEFT JOIN g ON g.source = 'source' || CAST(s.id AS VARCHAR)", "run", "source")
+def backfill_from_aggregate(spark, d):
+    g = view(spark, d, "run").where("status = 'SUCCESS'").groupBy("source").agg(F.count("*").alias("n"), F.sum("fetched").alias("_f"))
+    s = view(spark, d, "source", "id", "fetched").withColumn("source", F.concat(F.lit("source"), F.col("id").cast("string")))
+    return s.join(g, "source", "left").select("id", F.coalesce("_f", "fetched").cast("long").alias("fetched"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("SELECT m.source_name, c.company_key, max(c.company) AS company, count(*) AS n, count(*) FILTER (c.status IN ('LIVE', 'AGING')) AS live FROM mapping m JOIN canonical c ON c.id = m.canonical_id WHERE m.removed_at IS NULL AND c.company_key <> '' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY m.source_name ORDER BY count(*) DESC, c.company_key DESC) = 1", "mapping", "canonical")
+def seed_sources_window(spark, d):
+    m, c = view(spark, d, "mapping", "canonical_id", "source_name", "removed_at").where("removed_at IS NULL"), view(spark, d, "canonical", "id", "company_key", "company", "status").where("company_key <> ''")
+    g = m.join(c, m["canonical_id"] == c["id"]).groupBy("source_name", "company_key").agg(F.max("company").alias("company"), F.count("*").alias("n"), F.count_if(F.col("status").isin("LIVE", "AGING")).alias("live"))
+    w = Window.partitionBy("source_name").orderBy(F.desc("n"), F.desc("company_key"))
+    return g.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+
+
+@query("SELECT id, array_to_string(list_slice(list_sort(list_distinct([left(trim(x), 40) for x in string_split(title || ', ' || company, ',') if trim(x) <> ''])), 1, 5), '|') AS tags FROM canonical", "canonical")
+def normalized_tags(spark, d):
+    t = text.tags(F.split(F.concat_ws(", ", "title", "company"), ","))
+    return view(spark, d, "canonical", "id", "title", "company").select("id", F.array_join(F.slice(t, 1, 5), "|").alias("tags"))
+
+
+@query("SELECT date_trunc('day', started_at)::DATE::VARCHAR AS day, count(*) AS n, count(*) FILTER (status = 'SUCCESS') AS ok, CAST(sum(fetched) AS BIGINT) AS fetched FROM run GROUP BY 1", "run")
+def runs_by_day(spark, d):
+    return view(spark, d, "run").groupBy(F.to_date("started_at").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.sum("fetched").alias("fetched"))
+
+
+@query(f"SELECT id, CASE WHEN deadline IS NULL THEN 'NO_DEADLINE' WHEN deadline < date_trunc('day', {NOW}) THEN 'OVERDUE' ELSE 'UPCOMING' END AS bucket FROM tracked", "tracked")
+def deadline_buckets(spark, d):
+    c = F.col("deadline")
+    return view(spark, d, "tracked", "id", "deadline").select("id", F.when(c.isNull(), "NO_DEADLINE").when(c < F.date_trunc("day", as_of()), "OVERDUE").otherwise("UPCOMING").alias("bucket"))
