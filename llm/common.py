@@ -69,3 +69,10 @@ def text_hash(text: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spaced(text: Column, pieces: int, chars: int) -> Column:
+    """`pieces` pieces of `chars` characters, evenly spaced over a text that is longer than they are together; else the text in one piece."""
+    step = (F.length(text) - chars) / (pieces - 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: text.substr(F.floor(step * k).cast("int") + 1, F.lit(chars)))
+    return F.when(F.length(text) > pieces * chars, parts).otherwise(F.array(text))

@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import slices, table, texts
+from llm.common import slices, spaced, table, texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Documents that the model is fitted on at most: those with the smallest hashes of doc_id.
 FIT_DOCS = 2000
-#: Windows of a document in the fit at most, evenly spaced over it.
+#: Windows of a document in the fit at most, evenly spaced over it; no more of it is brought to the driver.
 FIT_WINDOWS = 6
 STEPS, BATCH, RATE, SEED = 500, 64, 0.01, 7
 LETTER = regex.compile(r"\p{L}")
@@ -100,7 +100,7 @@ class Model:
 
 
 def fit(rows: list[tuple[bytes, str]], seed: int = SEED) -> Model | None:
-    """Trains on (text, language); None without rows. Batches draw each language equally often."""
+    """Trains on (text, language), of each text the full windows; None without rows. Batches draw each language equally often."""
     rows = [(t, lang) for t, lang in rows if t.strip()]
     langs = sorted({lang for _, lang in rows})
     if not langs:
@@ -109,8 +109,7 @@ def fit(rows: list[tuple[bytes, str]], seed: int = SEED) -> Model | None:
     by: list[list[np.ndarray]] = [[] for _ in langs]
     for t, lang in rows:
         x, _ = windows([t])
-        full = x[: max(1, len(t) // WINDOW)]
-        by[langs.index(lang)].append(full[np.unique(np.linspace(0, len(full) - 1, min(FIT_WINDOWS, len(full))).astype(int))])
+        by[langs.index(lang)].append(x[: max(1, len(t) // WINDOW)])
     data = [np.concatenate(v) for v in by]
     m = Model(langs, rng)
     params = [*m.w, *m.b, m.out, m.bias]
@@ -148,8 +147,8 @@ def learnable(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     """A model from at most fit_docs documents with text, language and doc_id that aren't held out."""
     own = learnable(docs).where("not held_out and doc_id is not null and text is not null and lang is not null")
-    rows = own.select(F.xxhash64("doc_id").alias("h"), F.encode("text", "UTF-8").alias("t"), "lang").orderBy("h", "t").limit(fit_docs).collect()
-    return fit([(bytes(r["t"]), r["lang"]) for r in rows])
+    rows = own.select(F.xxhash64("doc_id").alias("h"), spaced(F.col("text"), FIT_WINDOWS, WINDOW).alias("t"), "lang").orderBy("h", "t", "lang").limit(fit_docs).collect()
+    return fit([(t.encode(), r["lang"]) for r in rows for t in r["t"]])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import slices, table, texts
+from llm.common import slices, spaced, table, texts
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -23,6 +23,8 @@ MAX_REPEAT_PERCENT = 30
 KEEP = 0.3
 #: Labelled documents that the model is fitted on at most: those with the smallest hashes of doc_id; every fourth calibrates.
 FIT_DOCS = 2000
+#: Pieces and characters a piece, evenly spaced, that stand for a longer document in the fit (never in a verdict).
+FIT_PIECES, FIT_CHARS = 20, 1000
 BITS = 15
 KINDS = 3  # words, word pairs, byte 4-grams
 STEPS, RATE, DECAY, SEED = 80, 0.5, 1e-5, 11
@@ -148,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model
     The ids are chosen before the texts are read, and there are at most fit_docs of them to broadcast.
     """
     chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.encode("text", "UTF-8").alias("t"), "quality").orderBy(F.xxhash64("doc_id"), "t").limit(fit_docs).collect()
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.encode(F.array_join(spaced(F.col("text"), FIT_PIECES, FIT_CHARS), "\n"), "UTF-8").alias("t"), "quality").orderBy(F.xxhash64("doc_id"), "t").limit(fit_docs).collect()
     return fit([(bytes(r["t"]), r["quality"]) for r in rows])
 
 
