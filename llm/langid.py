@@ -21,7 +21,7 @@ from llm.common import slices, spaced, table, texts
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Documents that the model is fitted on at most: those with the smallest hashes of doc_id.
+#: Documents that the model is fitted on at most, chosen by hashes of doc_id.
 FIT_DOCS = 2000
 #: Windows of a document in the fit at most, evenly spaced over it; no more of it is brought to the driver.
 FIT_WINDOWS = 6
@@ -145,10 +145,15 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
-    """A model from at most fit_docs documents with text, language and doc_id that aren't held out."""
-    own = learnable(docs).where("not held_out and doc_id is not null and text is not null and lang is not null")
-    rows = own.select(F.xxhash64("doc_id").alias("h"), spaced(F.col("text"), FIT_WINDOWS, WINDOW).alias("t"), "lang").orderBy("h", "t", "lang").limit(fit_docs).collect()
-    return fit([(t.encode(), r["lang"]) for r in rows for t in r["t"]])
+    """A model from at most fit_docs documents with text, language and doc_id that aren't held out.
+
+    They are chosen by a hash of doc_id below a bound, so that no task sends the driver rows that are then left out.
+    """
+    own = learnable(docs).where("not held_out and doc_id is not null and lang is not null")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, own.count()))) < fit_docs
+    chosen = own.where(share & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), spaced(F.col("text"), FIT_WINDOWS, WINDOW).alias("t"), "lang")
+    rows = sorted((r["h"], r["t"], r["lang"]) for r in chosen.limit(2 * fit_docs).collect())[:fit_docs]
+    return fit([(t.encode(), lang) for _, pieces, lang in rows for t in pieces])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
