@@ -164,5 +164,5 @@ def search(jobs: DataFrame, query: str) -> DataFrame:
     hit = reduce(lambda a, b: a & b, map(begins, terms), F.lit(bool(terms)))
     part = reduce(lambda a, b: a | b, [F.lower(F.coalesce(c, F.lit(""))).contains(query.lower()) for c in ("title", "company", "role_family")])
     marked = jobs.withColumn("_hit", hit).withColumn("_part", part)
-    some = marked.agg(F.coalesce(F.max("_hit"), F.lit(False)).alias("_some"))  # one row
-    return marked.crossJoin(F.broadcast(some)).where(F.col("_hit") | (~F.col("_some") & F.col("_part") & F.lit(bool(terms)))).drop("_hit", "_part", "_some")
+    some = marked.agg(F.coalesce(F.max("_hit"), F.lit(False))).scalar()
+    return marked.where(F.col("_hit") | (~some & F.col("_part") & F.lit(bool(terms)))).drop("_hit", "_part")

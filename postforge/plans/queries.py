@@ -890,10 +890,10 @@ def union_last_wins(spark, d):
     return a.unionByName(b).groupBy("id").agg(F.max_by("company", F.struct("_p", "company")).alias("company"))
 
 
-@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1")
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def json_path_stats(spark, d):
     k = F.get_json_object("props", "$.k").try_cast("long")
-    return spark.read.parquet(f"{d}/events.parquet").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return spark.read.parquet(f"{d}/events.parquet").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query("+ g AS (SELECT source, count(*) AS n, sum(fetched) AS fetched FROM run WHERE status = 'SUCCESS' GROUP BY 1) SELECT s.id, CAST(coalesce(g.fetched, s.fetched) AS BIGINT) AS fetched, CAST(coalesce(g.n, 0) AS BIGINT) AS n FROM source s LEFT JOIN g ON g.source = 'source' || CAST(s.id AS VARCHAR)", "run", "source")
