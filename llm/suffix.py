@@ -323,7 +323,8 @@ def with_repeats(docs: DataFrame, collection: int | None = None, carry: list[str
     grp = F.when(F.col("several") & F.col("one_of"), F.xxhash64("key", part))
     mark = F.struct("first", "count", "lead", "settled", grp.alias("grp"), (parts > 1).alias("split"))
     by_doc = rows.groupBy("doc_id", "th").agg(F.collect_list(mark).alias("found"))
-    around = around_rows(docs.join(by_doc, ["doc_id", "th"]).select("doc_id", "th", "text", "found"))
+    # both joins take the same columns of docs, so that its one exchange serves them both
+    around = around_rows(docs.join(by_doc, ["doc_id", "th"]).select(*docs.columns, "found"))
     same = Window.partitionBy("h1", "h2")
     found = compare(around).withColumns({"w": F.count("*").over(same), "d": F.max("kind").over(same)}).where("kind = 0 or (kind = 1 and (w > 1 or d = 2))")
     runs = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
