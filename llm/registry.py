@@ -23,6 +23,7 @@ ORACLES = {
     "op1_substring_dedup": substring.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
     "op3_minhash_near_dedup": minhash.ORACLE,
+    "op4_suffix_array_dedup": suffix.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
     "op10_warc": warc.ORACLE,
 }
