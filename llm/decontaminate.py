@@ -73,11 +73,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     hits = find_hits(docs.select("doc_id", "text"), items, window)
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans"), F.col("items").alias("hit_items"))
-    counted = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).withColumn("_th", text_hash())
-    out = counted.join(hits, counted["doc_id"].eqNullSafe(hits["_id"]) & (counted["_th"] == hits["_hash"]), "left")
-    places = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
+    counted = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).withColumn("__text_hash", text_hash())
+    out = counted.join(hits, counted["doc_id"].eqNullSafe(hits["_id"]) & (counted["__text_hash"] == hits["_hash"]), "left")
+    places = F.flatten(F.transform(hits["spans"], lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
     none = F.array().cast("array<string>")
-    return out.select(*[counted[c] for c in docs.columns], "n_words", F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long").alias("n_hit"), F.col("spans").alias("hit_spans"), F.coalesce("hit_items", none).alias("hit_items"))
+    return out.select(*[counted[c] for c in docs.columns], counted["n_words"], F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long").alias("n_hit"), hits["spans"].alias("hit_spans"), F.coalesce(hits["hit_items"], none).alias("hit_items"))
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -62,8 +62,10 @@ def assign(records: DataFrame, slot_map: DataFrame, key: str, tie: list[str], sl
 
     Places follow slot, part, key, then `tie`; rows equal in all of them take neighbouring places in any
     order. Null keys are a key. The map has as many rows as there are slots, and the offsets PARTS times
-    that, whatever the data: both are broadcast. No other row leaves its slot's part.
+    that, whatever the data: both are broadcast. No other row leaves its slot's part. Columns of records with the
+    names that are added (vslot, map_version, shard, slot) are replaced.
     """
+    records = records.drop(*[c for c in records.columns if c.lower() in ("vslot", "map_version", "shard", "slot", "_part", "_at")])
     placed = records.withColumn("vslot", virtual_slot(F.col(key), slots)).withColumn("_part", F.pmod(F.xxhash64(key, *tie), F.lit(PARTS)).cast("int"))
     small = F.broadcast(slot_map.select(F.col("vslot").alias("_v"), "shard", F.col("version").alias("map_version")))
     counts = placed.groupBy("vslot", "_part").agg(F.count("*").alias("_n")).join(small, F.col("vslot") == F.col("_v"))
@@ -71,8 +73,8 @@ def assign(records: DataFrame, slot_map: DataFrame, key: str, tie: list[str], sl
     offsets = counts.select(F.col("vslot").alias("_v"), F.col("_part").alias("_p"), "shard", "map_version", before.alias("_before"))
     at = F.row_number().over(Window.partitionBy("vslot", "_part").orderBy(key, *tie)) - 1
     numbered = placed.withColumn("_at", at)
-    out = numbered.join(F.broadcast(offsets), (F.col("vslot") == F.col("_v")) & (F.col("_part") == F.col("_p")))
-    return out.select(*[c for c in records.columns], "vslot", "map_version", "shard", (F.col("_before") + F.col("_at")).cast("long").alias("slot"))
+    out = numbered.join(F.broadcast(offsets), (numbered["vslot"] == offsets["_v"]) & (numbered["_part"] == offsets["_p"]))
+    return out.select(*[numbered[c] for c in records.columns], numbered["vslot"], offsets["map_version"], offsets["shard"], (offsets["_before"] + numbered["_at"]).cast("long").alias("slot"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:

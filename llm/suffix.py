@@ -357,11 +357,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             left = [rest_of(t, merged(r)).decode("utf-8", "ignore") for t, r in zip(texts(b), b.column("runs").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), b.column("rest")], ["text", "rest"])
 
-    packed = docs.withColumn("_none", F.col("text").isNull()) if "_none" not in docs.columns else docs
-    found = with_repeats(packed, carry=[*others, "_none"]).select("text", "runs", "rest")
+    packed = docs.withColumn("__text_is_null", F.col("text").isNull())
+    found = with_repeats(packed, carry=[*others, "__text_is_null"]).select("text", "runs", "rest")
     kind = next(f for f in found.schema.fields if f.name == "rest").dataType
     out = found.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), T.StructField("rest", kind)]))
-    return out.select(*[F.when(~F.col("rest._none"), F.col("text")).alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
+    return out.select(*[F.when(~F.col("rest.__text_is_null"), F.col("text")).alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,12 @@ def test_sharding(spark, odd, none, monkeypatch):
     assert sharding.op6_sharding(spark, "").count() == 0
 
 
+def test_sharding_replaces_its_own_columns(spark, odd):
+    extra = odd.withColumnsRenamed({"source": "shard", "lang": "_v", "n_chars": "_before"})
+    out = sharding.assign(extra, sharding.first_map(spark, 3), "doc_id", ["text"])
+    assert out.columns == ["doc_id", "text", "_v", "_before", "vslot", "map_version", "shard", "slot"] and out.count() == odd.count()
+
+
 def test_growth_is_even_and_versions_move_bytes(spark):
     one = sharding.first_map(spark, 40)
     grown = sharding.add_shard(one, 40)
@@ -128,7 +134,7 @@ def test_decontamination(spark, odd_rows):
 
 def test_decontamination_columns_and_empty_tables(spark, odd, none):
     items = spark.createDataFrame([(1, "one")], "item_id long, text string")
-    extra = odd.withColumnsRenamed({"source": "_id", "lang": "w", "n_chars": "window"})
+    extra = odd.withColumnsRenamed({"source": "_id", "lang": "spans", "n_chars": "window"})
     assert decontaminate.decontaminate(extra, items).columns == [*extra.columns, "n_words", "n_hit", "hit_spans", "hit_items"]
     assert decontaminate.remove_documents(extra, items).count() == extra.count() - 3
     assert decontaminate.decontaminate(none, items).count() == 0
