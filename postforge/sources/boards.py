@@ -27,6 +27,8 @@ class Board:
     freshness: str = "FULL_SNAPSHOT"
     #: Whether postings with one id are one posting.
     distinct: bool = field(default=False)
+    #: The JSON in a payload that isn't all JSON.
+    json: str = "payload"
 
 
 def _t(c: str) -> str:
@@ -117,13 +119,32 @@ BOARDS = {
         "employment_type": "CASE WHEN lower(try_element_at(j.PositionSchedule, 1).Name) LIKE '%part-time%' THEN 'PART_TIME' WHEN lower(try_element_at(j.PositionSchedule, 1).Name) LIKE '%intermittent%' THEN 'CONTRACT' WHEN lower(try_element_at(j.PositionOfferingType, 1).Name) RLIKE 'term|temporary' THEN 'CONTRACT' WHEN lower(try_element_at(j.PositionOfferingType, 1).Name) LIKE '%internship%' THEN 'INTERNSHIP' END",
         "work_mode": "CASE WHEN j.UserArea.Details.TeleworkEligible THEN 'HYBRID' END", "salary_min": "nullif(try_cast(try_element_at(j.PositionRemuneration, 1).MinimumRange AS DOUBLE), 0)", "salary_max": "nullif(try_cast(try_element_at(j.PositionRemuneration, 1).MaximumRange AS DOUBLE), 0)", "salary_currency": "CASE WHEN try_element_at(j.PositionRemuneration, 1).MinimumRange IS NOT NULL THEN 'USD' END",
     }, where="j.PositionID <> ''", distinct=True),
+    "adzuna": Board("Adzuna", "results array<struct<id:string,title:string,description:string,company:struct<display_name:string>,location:struct<display_name:string>,redirect_url:string,created:string,salary_min:double,salary_max:double,salary_is_predicted:string,contract_time:string,contract_type:string>>", "p.results", {
+        "source_id": "concat('adzuna:', token, ':', j.id)", "source_url": "j.redirect_url", "title": "trim(j.title)", "company": f"coalesce({_t('j.company.display_name')}, 'Unknown Company')", "location": f"coalesce({_t('j.location.display_name')}, 'Unknown')", "description": "coalesce(j.description, '')", "apply_url": "coalesce(j.redirect_url, '')", "posted_at": _time("j.created"),
+        "employment_type": _type("concat_ws(' ', j.contract_type, j.contract_time)", contract="CONTRACT", part="PART_TIME", full="FULL_TIME"), "work_mode": "CASE WHEN contains(lower(concat_ws(' ', j.title, j.description, j.location.display_name)), 'hybrid') THEN 'HYBRID' WHEN contains(lower(concat_ws(' ', j.title, j.description, j.location.display_name)), 'remote') THEN 'REMOTE' END",
+        "salary_min": "CASE WHEN coalesce(j.salary_is_predicted, '0') <> '1' THEN nullif(j.salary_min, 0) END", "salary_max": "CASE WHEN coalesce(j.salary_is_predicted, '0') <> '1' THEN nullif(j.salary_max, 0) END", "salary_currency": "CASE WHEN coalesce(j.salary_min, j.salary_max) > 0 THEN IF(token = 'ca', 'CAD', 'USD') END",
+    }, where="j.id <> '' AND j.title <> '' AND NOT coalesce(concat_ws(' ', j.company.display_name, j.title) RLIKE '(?i)targeted talent|teksystems|allegis group', false)"),
+    "himalayas": Board("Himalayas", "jobs array<struct<id:string,guid:string,title:string,companyName:string,employmentType:string,description:string,applicationLink:string,pubDate:string,expiryDate:string,minSalary:double,maxSalary:double,locationRestrictions:array<string>>>", "p.jobs", {
+        "source_id": "concat('himalayas:', coalesce(j.guid, j.id, j.title))", "source_url": "j.applicationLink", "title": "trim(j.title)", "company": f"coalesce({_t('j.companyName')}, 'Unknown Company')", "location": "coalesce(concat('Remote (', nullif(array_join(j.locationRestrictions, ', '), ''), ')'), 'Remote')", "description": "coalesce(j.description, '')", "apply_url": "coalesce(j.applicationLink, '')",
+        "posted_at": _time("j.pubDate"), "deadline": _time("j.expiryDate"), "employment_type": _type("j.employmentType"), "work_mode": "'REMOTE'", "salary_min": "nullif(j.minSalary, 0)", "salary_max": "nullif(j.maxSalary, 0)", "salary_currency": "CASE WHEN coalesce(j.minSalary, j.maxSalary) > 0 THEN 'USD' END",
+    }, where="j.title <> ''", distinct=True),
+    "ashby": Board("Ashby", "jobBoard struct<jobPostings:array<struct<id:string,title:string,updatedAt:string,publishedDate:string,applicationDeadline:string,locationName:string,workplaceType:string,employmentType:string,isListed:boolean,departmentName:string,teamName:string,secondaryLocations:array<struct<locationName:string>>>>>", "p.jobBoard.jobPostings", {
+        "source_id": "j.id", "source_url": "concat('https://jobs.ashbyhq.com/', token, '/', j.id)", "title": "j.title", "company": _NAME, "apply_url": "concat('https://jobs.ashbyhq.com/', token, '/', j.id)", "posted_at": _time("coalesce(j.publishedDate, j.updatedAt)"), "deadline": _time("j.applicationDeadline"),
+        "location": "coalesce(nullif(array_join(array_distinct(filter(concat(array(trim(j.locationName)), coalesce(transform(j.secondaryLocations, x -> trim(x.locationName)), array())), x -> x <> '')), ', '), ''), 'Unknown')", "description": f"concat_ws('\n', concat('Team: ', {_t('j.teamName')}), concat('Department: ', {_t('j.departmentName')}))",
+        "employment_type": _type("j.employmentType", intern="INTERNSHIP", contract="CONTRACT", temp="CONTRACT", part="PART_TIME", full="FULL_TIME"), "work_mode": _mode("j.workplaceType"),
+    }, where="coalesce(j.isListed, true)", json="regexp_extract(payload, '(?s)window[.]__appData *= *([{].*?[}]) *; *(?:\n|</script>)', 1)"),
+    "workday": Board("Workday", "jobPostings array<struct<title:string,externalPath:string,locationsText:string,postedOn:string,remoteType:string,bulletFields:array<string>>>", "p.jobPostings", {
+        "source_id": "coalesce(try_element_at(filter(j.bulletFields, x -> x RLIKE '[0-9]'), 1), j.externalPath)", "source_url": "concat('https://', split_part(token, '/', 1), '/', split_part(token, '/', 3), j.externalPath)", "title": "j.title", "company": "initcap(regexp_replace(split_part(token, '/', 2), '[-_]+', ' '))", "location": f"coalesce({_t('j.locationsText')}, 'Unknown')",
+        "apply_url": "concat('https://', split_part(token, '/', 1), '/', split_part(token, '/', 3), j.externalPath)", "work_mode": _mode("j.remoteType"), "description": "concat_ws('\n', array_join(j.bulletFields, '\n'))",
+        "posted_at": "CASE WHEN j.postedOn RLIKE '(?i)today' THEN fetched_at WHEN j.postedOn RLIKE '(?i)yesterday' THEN timestampadd(DAY, -1, fetched_at) WHEN j.postedOn RLIKE '(?i)[0-9]+[+]? days? ago' THEN timestampadd(DAY, -CAST(regexp_extract(j.postedOn, '([0-9]+)', 1) AS INT), fetched_at) END",
+    }, where="j.externalPath <> ''"),
 }
 
 
 def parse(payloads: DataFrame, board: str) -> DataFrame:
     """Postings of a board's payloads (columns token, payload, fetched_at). A payload that isn't JSON of the board's form has none."""
     b = BOARDS[board]
-    rows = payloads.select("token", "fetched_at", F.from_json("payload", b.schema).alias("p")).select("token", "fetched_at", "p", F.explode(F.expr(b.items)).alias("j")).where(b.where)
+    rows = payloads.select("token", "fetched_at", F.from_json(F.expr(b.json), b.schema).alias("p")).select("token", "fetched_at", "p", F.explode(F.expr(b.items)).alias("j")).where(b.where)
     out = rows.select(
         F.concat_ws(":", F.lit(b.prefix), "token").alias("source_name"), *[(F.expr(b.columns[c]) if c in b.columns else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()], F.lit(b.freshness).alias("freshness_mode"), "fetched_at",
     )

@@ -139,6 +139,10 @@ def payloads(spark, text, token="acme-labs"):
         ("remoteok", '[{"legal":"x"},{"id":"9","position":"Dev","company":"C","epoch":1700000000,"description":"contract work"}]', {"source_id": "remoteok:9", "location": "Remote", "employment_type": "CONTRACT"}),
         ("remotive", '{"jobs":[{"id":1,"title":"Dev","company_name":"C","url":"u","salary":"$40k - $60k"}]}', {"salary_min": 40000.0, "salary_max": 60000.0, "salary_currency": "USD"}),
         ("themuse", '{"results":[{"id":1,"name":"Dev","company":{"name":"C"},"locations":[{"name":"Flexible / Remote"},{"name":"Austin, TX"}]}]}', {"location": "Hybrid/Remote (Austin, TX)", "work_mode": "HYBRID"}),
+        ("adzuna", '{"results":[{"id":"1","title":"Dev","company":{"display_name":"C"},"salary_min":5,"salary_is_predicted":"1","contract_time":"full_time"},{"id":"2","title":"Dev","company":{"display_name":"TEKsystems c/o Allegis Group"}}]}', {"source_id": "adzuna:acme-labs:1", "salary_min": None, "employment_type": "FULL_TIME"}),
+        ("himalayas", '{"jobs":[{"guid":"g","title":"Dev","locationRestrictions":["Canada","US"],"minSalary":10},{"guid":"g","title":"Dev"}]}', {"source_id": "himalayas:g"}),
+        ("ashby", '<script>window.__appData = {"jobBoard":{"jobPostings":[{"id":"x","title":"Dev","locationName":"A","secondaryLocations":[{"locationName":"B"}],"workplaceType":"Remote","teamName":"T"}]}};</script>', {"location": "A, B", "work_mode": "REMOTE", "description": "Team: T", "source_url": "https://jobs.ashbyhq.com/acme-labs/x"}),
+        ("workday", '{"jobPostings":[{"title":"Dev","externalPath":"/job/A/Dev_R-1","postedOn":"Posted 3 Days Ago","bulletFields":["R-1"]}]}', {"source_id": "R-1", "posted_at": dt.datetime(2024, 4, 28)}),
         ("usajobs", '{"SearchResult":{"SearchResultItems":[{"MatchedObjectDescriptor":{"PositionID":"P","PositionTitle":"Dev","OrganizationName":"O","DepartmentName":"D","PositionLocation":[{"CityName":"A","CountrySubDivisionCode":"VA"},{"LocationName":"B"},{"LocationName":"C"},{"LocationName":"E"}]}}]}}', {"company": "O (D)", "location": "A, VA; B; C (+1 more)"}),
     ],
 )
