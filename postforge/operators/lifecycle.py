@@ -47,8 +47,8 @@ def removal_evidence(m: DataFrame, as_of: Column) -> Column:
 def evidence(mappings: DataFrame, as_of: Column) -> DataFrame:
     """One row per posting: n_active, the two best active scores' sum, the removals' sum (the last of each source), the last sight, and whether a removal is strong.
 
-    The removals are first reduced to one per posting and source; everything else is partial aggregation. A posting
-    with very many mappings is summed up before the shuffle, but for its two best scores, of which each task keeps two.
+    The removals are first reduced to one per posting and source; sums and counts are partial aggregation, and of the
+    active scores each task passes on a posting's two best (Spark limits the groups of a ranking before the shuffle).
     """
     m = mappings
     gone = m["removed_at"].isNotNull()
@@ -56,13 +56,12 @@ def evidence(mappings: DataFrame, as_of: Column) -> DataFrame:
     scored = m.select("canonical_id", "source_name", "last_seen_at", "removed_at", "id", F.when(~gone, active_evidence(m, as_of)).alias("active"), F.when(gone, removal_evidence(m, as_of)).alias("removal"), strong.alias("strong"))
     last = F.struct("removed_at", (-F.col("id")).alias("first"), "removal")  # of removals at one time the first counts
     by_source = scored.groupBy("canonical_id", "source_name").agg(
-        F.count("active").alias("n"), F.max_by("active", "active").alias("top"), F.slice(F.sort_array(F.collect_list("active"), False), 1, 2).alias("two"),
-        F.max(F.when(F.col("removal").isNotNull(), last)).alias("last"), F.max(F.when(F.col("active").isNotNull(), F.col("last_seen_at"))).alias("seen"), F.max("strong").alias("strong"),
+        F.count("active").alias("n"), F.max(F.when(F.col("removal").isNotNull(), last)).alias("last"), F.max(F.when(F.col("active").isNotNull(), F.col("last_seen_at"))).alias("seen"), F.max("strong").alias("strong"),
     )
-    out = by_source.groupBy("canonical_id").agg(
-        F.sum("n").alias("n_active"), F.slice(F.sort_array(F.flatten(F.collect_list("two")), False), 1, 2).alias("two"), F.sum("last.removal").alias("removal"), F.max("seen").alias("seen"), F.max("strong").alias("strong"),
-    )
-    return out.withColumn("best_two", F.aggregate("two", F.lit(0.0), lambda a, b: a + b)).drop("two")
+    out = by_source.groupBy("canonical_id").agg(F.sum("n").alias("n_active"), F.sum("last.removal").alias("removal"), F.max("seen").alias("seen"), F.max("strong").alias("strong"))
+    top = Window.partitionBy("canonical_id").orderBy(F.desc("active"))
+    two = scored.where("active is not null").select("canonical_id", "active").withColumn("rn", F.row_number().over(top)).where("rn <= 2").groupBy("canonical_id").agg(F.sum("active").alias("best_two"))
+    return out.join(two, "canonical_id", "left")
 
 
 def score(jobs: DataFrame, mappings: DataFrame, as_of: Column) -> DataFrame:
