@@ -216,3 +216,6 @@ LABELS = [
     ("location", r"\blocation\b|\bcity\b|\bwhere.*(?:you|located)\b"),
     ("how_did_you_hear", r"\bhow\s*did\s*you\s*hear\b|\breferral\s*source\b|\bwhere.*(?:find|learn)\b"),
 ]
+
+# names of fields that hold a posting's identifier, alone or behind an underscore
+ID_FIELDS = ["id", "jobid", "job_id", "postingid", "posting_id", "requisitionid", "requisition_id", "reqid", "req_id", "contestno", "externalpath", "guid", "uuid", "slug", "token"]

@@ -127,9 +127,16 @@ def url_posting_id(url: Column) -> Column:
     return F.coalesce(*named, F.when(stable_id(usual).isNotNull(), F.concat_ws(":", guess, scope(guess, url), stable_id(usual))))
 
 
-def posting_id(apply_url: Column, source_url: Column, family: Column, source_id: Column) -> Column:
-    """The id by which a posting is known at its board: of either URL, else the source's own id within its scope."""
-    own = stable_id(source_id)
+def metadata_id(payload: Column) -> Column:
+    """The first text field, at any depth and in the order of the JSON text, whose name says that it identifies and whose value can."""
+    names = "|".join(R.ID_FIELDS)
+    found = F.regexp_extract_all(payload, F.lit(rf'(?i)"(?:[^"]*_)?(?:{names})"\s*:\s*"((?:[^"\\]|\\.)+)"'), 1)
+    return _at(F.filter(F.transform(found, stable_id), lambda x: x.isNotNull()), 1)
+
+
+def posting_id(apply_url: Column, source_url: Column, family: Column, source_id: Column, payload: Column | None = None) -> Column:
+    """The id by which a posting is known at its board: of either URL, else of its payload, else the source's own id, within its scope."""
+    own = F.coalesce(metadata_id(payload), stable_id(source_id)) if payload is not None else stable_id(source_id)
     return F.coalesce(url_posting_id(apply_url), url_posting_id(source_url), F.when(own.isNotNull(), F.concat_ws(":", family, scope(family, F.coalesce(source_url, apply_url)), own)))
 
 
