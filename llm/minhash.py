@@ -25,7 +25,7 @@ PERCENT = 75
 PERMUTATIONS, BANDS, ROWS = 80, 40, 4
 #: Share of equal signature bytes from which a pair is looked at closely: over four standard deviations below 0.75.
 NEAR = 0.6
-#: Members of a band's bucket to a block; each block of a larger bucket also gets its smallest member.
+#: Members of a band's bucket to a block; each block of a larger bucket also gets its smallest member, and what they leave apart is compared across blocks.
 BUCKET_BLOCK = 4000
 #: Shingles of a family to a block; each block of a larger family also gets HUBS common members.
 FAMILY_BLOCK, HUBS = 3_000_000, 64
@@ -139,13 +139,13 @@ def near_edges(classes: DataFrame) -> DataFrame:
     """Edges (a, b) that join all classes which share a band and may be links; fewer in a bucket than it has members.
 
     classes: cid, bytes, bands. Buckets of one leave before the signatures travel. A bucket of more than
-    BUCKET_BLOCK is dealt into blocks that share its smallest member.
+    BUCKET_BLOCK is dealt into blocks that share its smallest member; then what stands outside its largest
+    component meets all of the bucket (see across_blocks).
     """
     key = classes.select("cid", F.explode("bands").alias("key"))
-    many = key.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("hub")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid", "key"), blocks).cast("int")
-    dealt = key.join(many, "key").select("key", "cid", F.explode(F.when(F.col("cid") == F.col("hub"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("block"))
+    many = key.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("hub")).where("n > 1").withColumn("k", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")).checkpoint()
+    own = F.pmod(F.xxhash64("cid", "key"), F.col("k")).cast("int")
+    dealt = key.join(many, "key").select("key", "cid", F.explode(F.when(F.col("cid") == F.col("hub"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(own))).alias("block"))
     rows = dealt.join(classes.select("cid", "bytes"), "cid").select("key", "block", "cid", "bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,48 @@ def near_edges(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     n = partitions(classes.sparkSession)
-    return rows.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
+    edges = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
+    large = many.where("k > 1")
+    return edges if large.isEmpty() else across_blocks(key.join(large.select("key", "k"), "key").distinct(), classes.select("cid", "bytes"), components(edges))
+
+
+def across_blocks(members: DataFrame, sigs: DataFrame, first: DataFrame) -> DataFrame:
+    """first (node, label: the components that blocks have found) as edges (a, b), and those that blocks left open.
+
+    members: key, cid, k (blocks) of the split buckets; sigs: cid, bytes. What isn't in its bucket's largest
+    component is dealt into chunks, and each chunk meets each block of the bucket.
+    """
+    now = members.join(first, F.col("cid") == F.col("node"), "left").select("key", "cid", "k", F.coalesce("label", "cid").alias("comp")).checkpoint()
+    sizes = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    rest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.ceil((F.sum("n") - F.max("n")) / BUCKET_BLOCK).cast("int").alias("j")).where("j > 0")
+    rows = now.join(rest, "key").join(sigs, "cid")
+    places = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("cid", "key"), F.col(n)).cast("int")
+    every = rows.select("key", own("k").alias("_k"), places("j").alias("_j"), F.lit(False).alias("asks"), "comp", "bytes")
+    asked = rows.where("comp <> most").select("key", places("k").alias("_k"), own("j").alias("_j"), F.lit(True).alias("asks"), "comp", "bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grp, asks, comp, raw in _groups(batches, 1):
+            asks, comp = asks.to_numpy(zero_copy_only=False), comp.to_numpy()
+            sig = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(comp), -1)
+            at = _bounds(grp.to_numpy())
+            a, b = [comp[:0]], [comp[:0]]
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                names, label = np.unique(comp[x:y], return_inverse=True)
+                block = np.flatnonzero(~asks[x:y])
+                s = np.ascontiguousarray(sig[x:y][block].T)
+                for i in np.flatnonzero(asks[x:y]):
+                    both = (s == sig[x + i][:, None]).sum(0, dtype=np.uint8)
+                    linked = np.unique(np.append(label[block[both >= NEAR * len(s)]], label[i]))
+                    if len(linked) > 1:
+                        a.append(np.repeat(names[linked[0]], len(linked) - 1))
+                        b.append(names[linked[1:]])
+                        label[np.isin(label, linked)] = linked[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    met = every.unionByName(asked).select(F.xxhash64("key", "_k", "_j").alias("grp"), "asks", "comp", "bytes")
+    second = met.repartition(partitions(members.sparkSession), "grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
+    return first.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second.distinct())
 
 
 def confirm(members: DataFrame) -> DataFrame:

@@ -76,6 +76,17 @@ def test_split_buckets(spark, monkeypatch):
     assert got(spark, rows) == want
 
 
+def test_split_buckets_with_an_unlike_hub(spark, monkeypatch):
+    """A passage that many unlike documents share, and two that are little more than it: all their common bands are hot."""
+    rng = random.Random(3)
+    shared = prose(rng, 60)
+    rows = [(i, f"{shared} {prose(rng, 55)}") for i in range(400)] + [(1000 + i, f"{shared} {prose(rng, 8)}") for i in range(2)]
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", 1)
+    want = components(rows)
+    assert (1001, 64, 1000, False) in want
+    assert got(spark, rows) == want
+
+
 def test_empty_and_columns(spark, none, odd):
     assert minhash.near_duplicates(none).count() == 0
     extra = odd.withColumnsRenamed({"source": "kept", "lang": "label", "n_chars": "component_id"})
