@@ -7,6 +7,7 @@ response of each goes through a softmax layer, and a text's windows vote with th
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from llm.common import slices, spaced, table, texts
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Documents that the model is fitted on at most, chosen by hashes of doc_id.
+#: Documents that the model is fitted on at most (one of each language at least), chosen by hashes in equal shares.
 FIT_DOCS = 2000
 #: Windows of a document in the fit at most, evenly spaced over it; no more of it is brought to the driver.
 FIT_WINDOWS = 6
@@ -145,15 +146,27 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
-    """A model from at most fit_docs documents with text, language and doc_id that aren't held out.
+    """A model from documents with text, language and doc_id that aren't held out: of each language an equal share of fit_docs (one at least), or all of a rarer one.
 
-    They are chosen by a hash of doc_id below a bound, so that no task sends the driver rows that are then left out.
+    They are the least by a hash of doc_id and text. A bound on the hash, by each language's number of distinct documents,
+    keeps tasks from sending the driver many more; it is so wide that the share is there although that number is an estimate.
     """
-    own = learnable(docs).where("not held_out and doc_id is not null and lang is not null")
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, own.count()))) < fit_docs
-    chosen = own.where(share & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), spaced(F.col("text"), FIT_WINDOWS, WINDOW).alias("t"), "lang")
-    rows = sorted((r["h"], r["t"], r["lang"]) for r in chosen.limit(2 * fit_docs).collect())[:fit_docs]
-    return fit([(t.encode(), lang) for _, pieces, lang in rows for t in pieces])
+    own = learnable(docs).where("not held_out and doc_id is not null and lang is not null").where(F.col("text").rlike(r"\S")).select(F.xxhash64("doc_id", "text").alias("_h"), "text", "lang")
+    found = own.groupBy("lang").agg(F.approx_count_distinct("_h", 0.02).alias("n"))
+    langs = found.collect()
+    if not langs:
+        return None
+    share = max(1, fit_docs // len(langs))
+    wide = int(1.2 * share + 4 * share**0.5) + 8
+    bound = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], max(1, r["n"])) for r in langs], "_lang string, _n long"))
+    chosen = own.join(bound, F.col("lang") == F.col("_lang")).where(F.pmod("_h", "_n") < wide)
+    chosen = chosen.select("_h", spaced(F.col("text"), FIT_WINDOWS, WINDOW).alias("t"), "lang").distinct()
+    rows, taken = [], Counter()
+    for h, t, lang in sorted((r["_h"], r["t"], r["lang"]) for r in chosen.collect()):
+        taken[lang] += 1
+        if taken[lang] <= share:
+            rows.append((t, lang))
+    return fit([(t.encode(), lang) for pieces, lang in rows for t in pieces])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

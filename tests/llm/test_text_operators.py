@@ -237,6 +237,25 @@ def test_language_is_learned(spark, odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Rare languages, and one beside a document that is repeated very often."""
+    rows = spoken(600) + [(1000 + i, f"og ikke {i}", "da", "s", 1) for i in range(9)] + [(2000, "ja", "fi", "s", 1)] * 3000 + [(2001 + i, f"on ei {i}", "fi", "s", 1) for i in range(9)]
+    rows += [(3000 + i, " \n", "xx", "s", 1) for i in range(9)] + [(4000 + i, f"no {i}", None, "s", 1) for i in range(9)]
+    fitted = []
+    monkeypatch.setattr(langid, "fit", fitted.extend)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    langid.train(docs, 60)
+    n = Counter(lang for _, lang in fitted)
+    assert set(n) == {"en", "fr", "de", "da", "fi"}
+    learned = {r["text"] for r in langid.learnable(docs).where("not held_out and lang in ('da', 'fi')").collect()}
+    assert sorted(t.decode() for t, lang in fitted if lang in ("da", "fi")) == sorted(learned)
+    assert len({t for t, lang in fitted if lang == "en"}) >= 12
+    again = []
+    monkeypatch.setattr(langid, "fit", again.extend)
+    langid.train(docs.repartition(7), 60)
+    assert again == fitted
+
+
 def test_folded_tables_give_the_same_answers():
     m = langid.fit([(t.encode(), lang) for _, t, lang, *_ in spoken(60)])
     x, _ = langid.windows([b"der die und", b"", b"a" * 700])
