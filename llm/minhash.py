@@ -138,7 +138,8 @@ def _bounds(*keys: np.ndarray) -> np.ndarray:
 def near_edges(classes: DataFrame) -> DataFrame:
     """Edges (a, b) that join all classes which share a band and may be links; fewer in a bucket than it has members.
 
-    classes: cid, bytes, bands. Buckets of one leave before the signatures travel. A bucket of more than
+    classes: cid, bytes, bands. Buckets of one leave before the signatures travel. Members are in the order of cid and
+    hang on the smallest, so that a group's bands agree on few centres and its edges stay few. A bucket of more than
     BUCKET_BLOCK is dealt into blocks that share its smallest member; then what stands outside its largest
     component meets all of the bucket (see across_blocks).
     """
@@ -166,7 +167,7 @@ def near_edges(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     n = partitions(classes.sparkSession)
-    edges = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
+    edges = rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "cid").mapInArrow(run, "a long, b long").distinct()
     large = many.where("k > 1")
     return edges if large.isEmpty() else across_blocks(key.join(large.select("key", "k"), "key").distinct(), classes.select("cid", "bytes"), components(edges))
 
@@ -237,7 +238,7 @@ def confirm(members: DataFrame) -> DataFrame:
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], ["a", "b"])
 
-    return members.select("grp", "cid", "text").repartition(partitions(members.sparkSession), "grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
+    return members.select("grp", "cid", "text").repartition(partitions(members.sparkSession), "grp").sortWithinPartitions("grp", "cid").mapInArrow(run, "a long, b long")
 
 
 def link_families(family: DataFrame, docs: DataFrame, block: int | None = None) -> DataFrame:

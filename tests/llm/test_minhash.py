@@ -69,6 +69,20 @@ def test_split_families_lose_no_link(spark, monkeypatch, block):
     assert got(spark, rows) == components(rows)
 
 
+def test_a_large_group_has_few_edges(spark):
+    """Near copies of one text share most bands with one another; the edges must grow with the group, not with its pairs or bands."""
+    rng = random.Random(4)
+    base, rows = prose(rng, 120).split(), []
+    for i in range(500):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    sig = minhash.sketch(spark.createDataFrame(rows, "doc_id long, text string")).select(F.col("doc_id").alias("cid"), "bytes", "bands")
+    edges = minhash.near_edges(sig)
+    assert edges.count() < 6 * len(rows)
+    assert {r["label"] for r in graph.components(edges).collect()} == {0}
+
+
 def test_split_buckets(spark, monkeypatch):
     rows = chains(7, 20)
     monkeypatch.setattr(minhash, "BUCKET_BLOCK", 10)
@@ -104,6 +118,30 @@ def test_signatures_estimate_similarity():
     assert abs((x == y).mean() - 0.6) < 0.12
 
 
+def test_components_of_odd_graphs(spark):
+    edges = [(5, 5), (None, 3), (4, None), (9, 2), (2, 9), (9, 7), (100, 1), (100, 50), (50, 60), (60, 3)] + [(1000, 1001 + i) for i in range(40)] + [(2000 + i, 2500) for i in range(40)]
+    want = {2: 2, 7: 2, 9: 2, 1: 1, 3: 1, 50: 1, 60: 1, 100: 1} | {n: 1000 for n in range(1000, 1041)} | {n: 2000 for n in [*range(2000, 2040), 2500]}
+    assert {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(8)
+    for n, m in ((60, 40), (60, 90)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        up = list(range(n))
+
+        def find(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+        nodes = {x for a, b in edges if a != b for x in (a, b)}
+        assert {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {x: find(x) for x in nodes}
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["label"] for r in graph.components(edges).collect()} == {0}
