@@ -25,16 +25,22 @@ COVER = (0, 1, 3, 8, 12, 18)
 GRAM = WINDOW - PERIOD + 1
 #: Anchors, or windows, that a task holds to find copies among them before the shuffle.
 HELD = 300_000
+#: Rows of one anchor that a task sends under the anchor's own key at a time; if it holds more, all but its extremes go elsewhere.
+FEW = 8
 NO_ID = -(2**63)
 
 _COVERED = np.isin(np.arange(PERIOD), COVER)
+_TO_SPACE = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"     ")
 
 
 class Words:
-    """A text's words, joined by one space, and where each begins and ends in that."""
+    """A text's words, joined by one space, and where each begins and ends in that. No object per word: a text costs its bytes a few times over, and 16 bytes a word."""
 
     def __init__(self, raw: bytes):
-        self.joined = b" ".join(raw.split())
+        joined = raw.translate(_TO_SPACE)
+        while b"  " in joined:
+            joined = joined.replace(b"  ", b" ")
+        self.joined = joined.strip(b" ")
         gaps = np.flatnonzero(np.frombuffer(self.joined, np.uint8) == 32)
         self.n = len(gaps) + 1 if self.joined else 0
         self.begin = np.concatenate([[0], gaps + 1])
@@ -74,8 +80,34 @@ def _spread(doc: np.ndarray, th: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (doc * np.int64(31) ^ th) + place * np.int64(0x9E3779B97F4A7C1)
 
 
+def _extremes(key: np.ndarray, near: np.ndarray, doc: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the open rows, which belong to keys with several surroundings and documents among them and more than FEW rows (known), and which of those hold the key's least or greatest of either (kept)."""
+    known, kept = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    at = np.flatnonzero(open_)
+    at = at[np.argsort(key[at], kind="stable")]
+    start = np.flatnonzero(np.concatenate([[True], key[at][1:] != key[at][:-1]])) if len(at) else at
+    size = np.diff(np.append(start, len(at)))
+    at = at[np.repeat(size > FEW, size)]
+    if not len(at):
+        return known, kept
+    size = size[size > FEW]
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    group, several = np.repeat(np.arange(len(size)), size), np.ones(len(size), bool)
+    for values in (near[at], doc[at]):
+        several &= np.minimum.reduceat(values, start) != np.maximum.reduceat(values, start)
+        order = np.lexsort((values, group))
+        kept[at[order[start]]] = kept[at[order[start + size - 1]]] = True
+    known[at] = several[group]
+    return known, kept & known
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """One row per anchor. Where a task has met the same surroundings in a smaller document, the row is settled, and its key is spread so that copies don't meet in one task."""
+    """One row per anchor. Where a task has met the same surroundings in a smaller document, the row is settled, and its key is spread so that copies don't meet in one task.
+
+    Where a task holds more than FEW rows of an anchor in different surroundings, that is known (several) before the
+    shuffle: only the rows from which other tasks learn it keep the key, and the others go by key and surroundings. So an
+    anchor that very many documents have in ever different surroundings sends each reader a few rows a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -83,8 +115,10 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         def pack() -> pa.RecordBatch:
             key, near, doc, th, p = (np.concatenate(c) for c in zip(*held, strict=True))
             settled = _first_of_like(key, near, doc)
-            cols = [np.where(settled, _spread(doc, th, p), key), np.where(settled, p, near), doc, th, p.astype(np.int32), settled]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "near", "doc_id", "th", "p", "settled"])
+            known, kept = _extremes(key, near, doc, ~settled)
+            key = np.where(settled, _spread(doc, th, p), np.where(known & ~kept, key * np.int64(31) + near, key))
+            cols = [key, np.where(settled, p, near), doc, th, p.astype(np.int32), settled, known]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "near", "doc_id", "th", "p", "settled", "known"])
 
         with np.errstate(over="ignore"):
             for b in slices(batches):
@@ -99,7 +133,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             if held:
                 yield pack()
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "key long, near long, doc_id long, th long, p int, settled boolean")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "key long, near long, doc_id long, th long, p int, settled boolean, known boolean")
 
 
 def _marks(found: pa.Array) -> Iterator[list[np.ndarray]]:
@@ -181,7 +215,7 @@ def with_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_hash().alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     one, alike = Window.partitionBy("key"), Window.partitionBy("key", "near")
     rows = anchor_rows(docs).withColumns({
-        "several": (F.min("near").over(one) != F.max("near").over(one)) & (F.min("doc_id").over(one) != F.max("doc_id").over(one)),
+        "several": F.col("known") | (F.min("near").over(one) != F.max("near").over(one)) & (F.min("doc_id").over(one) != F.max("doc_id").over(one)),
         "settled": F.col("settled") | (F.col("doc_id") > F.min("doc_id").over(alike)),
     })
     # surroundings that a smaller document shares are settled; if others differ, windows decide
@@ -216,6 +250,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. Null and empty texts have no words; rows that share a doc_id are no smaller than each other, and each keeps its row."""
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
 
 

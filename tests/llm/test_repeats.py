@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from llm import substring, suffix
 
@@ -83,6 +84,20 @@ def test_substring_dedup(spark, rows):
     assert got_words(spark, rows) == words_removed(rows)
 
 
+def test_a_common_line_is_spread(spark, monkeypatch):
+    """A line of 30 words in ever different surroundings, and of 60 words in some: results as ever, and few rows meet under one anchor."""
+    rng = random.Random(12)
+    line, long = prose(rng, 30), prose(rng, 60)
+    rows = [(i, f"{prose(rng, 30)} {line} {prose(rng, 30)}" + (f" {long}" if i % 40 == 0 else "")) for i in range(400)]
+    assert got_words(spark, rows) == words_removed(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).withColumn("th", F.xxhash64("text"))
+    held = substring.anchor_rows(docs)
+    assert held.where("known").count() > 600
+    assert held.groupBy("key").count().agg(F.max("count")).first()[0] <= 2 * substring.FEW
+    monkeypatch.setattr(substring, "HELD", 200)
+    assert got_words(spark, rows) == words_removed(rows)
+
+
 def test_cover_meets_every_shift():
     c = set(substring.COVER)
     assert {(a - b) % substring.PERIOD for a in c for b in c} == set(range(substring.PERIOD))
