@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots: a record's key names its slot, a small versioned map names the slot's shard.
 
-Only DataFrame functions. A rebalancing edits the map: records of the slots that move, move, and no others.
+Only DataFrame functions. Bytes are added up per slot, and the map is a stored table with a version for each edit: a
+rebalancing edits the map, so that records of the slots that move, move, and no others.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import table
+from llm.common import shared_dir, table
 
 #: Virtual slots; fixed for the life of a data set, far more than there are shards.
 SLOTS = 4096
@@ -57,6 +58,17 @@ def heaviest_moves(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFr
     return part.withColumn("run", running).where((F.col("run") <= F.col("hi") - F.col("mean")) & (F.col("run") <= F.col("mean") - F.col("lo"))).select("vslot", F.col("least").alias("to_shard"))
 
 
+def store_map(slot_map: DataFrame, sizes: DataFrame, folder: str, version: int) -> None:
+    """Adds a version of the map to the table below folder: vslot, shard, and rows and bytes of each slot. A version that is written again replaces itself."""
+    held = slot_map.select("vslot", "shard").join(F.broadcast(sizes.select("vslot", "rows", "bytes")), "vslot", "left")
+    held.select("vslot", "shard", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("bytes", F.lit(0)).alias("bytes")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/version={version}")
+
+
+def read_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """vslot, version, shard, rows, bytes of one version."""
+    return spark.read.schema("vslot int, shard int, rows long, bytes long, version int").parquet(folder).where(F.col("version") == version)
+
+
 def assign(records: DataFrame, slot_map: DataFrame, key: str, tie: list[str], slots: int = SLOTS) -> DataFrame:
     """Adds shard and slot (0-based place within the shard, without gaps) to records.
 
@@ -78,12 +90,19 @@ def assign(records: DataFrame, slot_map: DataFrame, key: str, tie: list[str], sl
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
-    """All documents, by the law `key`: doc_id and the shard count decide. Null texts have no bytes; a null doc_id is a key."""
+    """All documents, by the law `key`: doc_id and the shard count decide. Null texts have no bytes; a null doc_id is a key; repeated rows take neighbouring places.
+
+    Bytes per slot go into the stored map (version 1, and version 2 with one shard more), where a rebalancing finds them. They
+    don't decide shards here: under this law only doc_id and the shard count may.
+    """
     docs = table(spark, sf_dir, "documents")
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     docs = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
-    one = first_map(spark, shards)
+    folder, sizes = shared_dir(spark, "slots"), slot_sizes(docs, "doc_id", F.col("size"))
+    store_map(first_map(spark, shards), sizes, folder, 1)
+    one = read_map(spark, folder, 1)
+    store_map(add_shard(one, shards), one, folder, 2)
     out = assign(docs, one, "doc_id", ["text_crc32", "size"])
-    grown = add_shard(one, shards).select(F.col("vslot").alias("_g"), F.col("shard").alias("grown_shard"))
+    grown = read_map(spark, folder, 2).select(F.col("vslot").alias("_g"), F.col("shard").alias("grown_shard"))
     out = out.join(F.broadcast(grown), F.col("vslot") == F.col("_g"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "vslot", "map_version")
