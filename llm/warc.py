@@ -25,6 +25,8 @@ from llm.common import shared_dir, slices, table
 CHUNK_BYTES = 1 << 20
 #: Payloads of fewer bytes are always written in full.
 REVISIT_BYTES = 100
+#: Tasks that pages with one payload are spread over at least, when they learn which page is the first.
+SALTS = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -37,11 +39,14 @@ def with_kinds(pages: DataFrame) -> DataFrame:
 
     Null html is empty. A null page_id is never referred to; if a whole group has none, all are responses.
     Rows that repeat the smallest page_id are responses too. Groups are reduced on the map side first, so
-    a payload that a third of all pages share is one row per task.
+    a payload that a third of all pages share is one row per task; then its first page travels once per salt, so that
+    those pages don't meet in one task.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html"), 256))
     first = p.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_d"), "first")
-    out = p.join(first, F.col("digest") == F.col("_d"), "left")
+    first = first.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = p.withColumn("_p", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    out = salted.join(first, (F.col("digest") == F.col("_d")) & (F.col("_p") == F.col("_s")), "left")
     return out.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
 
@@ -157,8 +162,9 @@ def read_chunks(manifest: DataFrame, folder: str, chunk: int = CHUNK_BYTES) -> D
         if rows:
             yield pack()
 
-    # one file a task: a manifest row stands for a whole archive
-    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(read, CHUNKS)
+    # a manifest row stands for a whole archive, so rows are dealt out singly
+    n = max(1, manifest.count())
+    return manifest.repartitionByRange(n, "path").mapInArrow(read, CHUNKS)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
