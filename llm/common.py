@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,14 +46,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: with its size known, Spark may send it to all tasks of a join where it is small, and doesn't where it isn't."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a session without one gets a local folder (tests only)."""
+    """The folder in spark.checkpoint.dir. A session in local mode without one gets a temporary folder; on a cluster it must be set, since executors don't see the driver's folders."""
     sc = spark.sparkContext
     set_ = sc.getConf().get("spark.checkpoint.dir", None)
     if set_:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(set_)
         return set_
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
@@ -69,10 +79,3 @@ def text_hash(text: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def spaced(text: Column, pieces: int, chars: int) -> Column:
-    """`pieces` pieces of `chars` characters, evenly spaced over a text that is longer than they are together; else the text in one piece."""
-    step = (F.length(text) - chars) / (pieces - 1)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: text.substr(F.floor(step * k).cast("int") + 1, F.lit(chars)))
-    return F.when(F.length(text) > pieces * chars, parts).otherwise(F.array(text))

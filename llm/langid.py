@@ -17,15 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import slices, spaced, table, texts
+from llm.common import slices, table, texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Documents that the model is fitted on at most (one of each language at least), chosen by hashes in equal shares.
 FIT_DOCS = 2000
-#: Windows of a document in the fit at most, evenly spaced over it; no more of it is brought to the driver.
-FIT_WINDOWS = 6
 STEPS, BATCH, RATE, SEED = 500, 64, 0.01, 7
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -101,7 +99,7 @@ class Model:
 
 
 def fit(rows: list[tuple[bytes, str]], seed: int = SEED) -> Model | None:
-    """Trains on (text, language), of each text the full windows; None without rows. Batches draw each language equally often."""
+    """Trains on (text, language), on all windows of whole texts; None without rows. Batches draw each language equally often, and of its windows each with the same chance."""
     rows = [(t, lang) for t, lang in rows if t.strip()]
     langs = sorted({lang for _, lang in rows})
     if not langs:
@@ -109,8 +107,7 @@ def fit(rows: list[tuple[bytes, str]], seed: int = SEED) -> Model | None:
     rng = np.random.default_rng(seed)
     by: list[list[np.ndarray]] = [[] for _ in langs]
     for t, lang in rows:
-        x, _ = windows([t])
-        by[langs.index(lang)].append(x[: max(1, len(t) // WINDOW)])
+        by[langs.index(lang)].append(windows([t])[0])
     data = [np.concatenate(v) for v in by]
     m = Model(langs, rng)
     params = [*m.w, *m.b, m.out, m.bias]
@@ -148,7 +145,7 @@ def learnable(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     """A model from documents with text, language and doc_id that aren't held out: of each language an equal share of fit_docs (one at least), or all of a rarer one.
 
-    They are the least by a hash of doc_id and text. A bound on the hash, by each language's number of distinct documents,
+    Whole texts of those documents are brought to the driver. They are the least by a hash of doc_id and text. A bound on the hash, by each language's number of distinct documents,
     keeps tasks from sending the driver many more; it is so wide that the share is there although that number is an estimate.
     """
     own = learnable(docs).where("not held_out and doc_id is not null and lang is not null").where(F.col("text").rlike(r"\S")).select(F.xxhash64("doc_id", "text").alias("_h"), "text", "lang")
@@ -160,13 +157,13 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     wide = int(1.2 * share + 4 * share**0.5) + 8
     bound = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], max(1, r["n"])) for r in langs], "_lang string, _n long"))
     chosen = own.join(bound, F.col("lang") == F.col("_lang")).where(F.pmod("_h", "_n") < wide)
-    chosen = chosen.select("_h", spaced(F.col("text"), FIT_WINDOWS, WINDOW).alias("t"), "lang").distinct()
+    chosen = chosen.select("_h", F.col("text").alias("t"), "lang").distinct()
     rows, taken = [], Counter()
     for h, t, lang in sorted((r["_h"], r["t"], r["lang"]) for r in chosen.collect()):
         taken[lang] += 1
         if taken[lang] <= share:
             rows.append((t, lang))
-    return fit([(t.encode(), lang) for pieces, lang in rows for t in pieces])
+    return fit([(t.encode(), lang) for t, lang in rows])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -201,6 +198,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, by its whole text. Null texts and texts without a letter: `und`, 0. A null doc_id is not held out and is learned from by nobody; repeated rows stay."""
     docs = table(spark, sf_dir, "documents")
     out = predict(learnable(docs.select("doc_id", "text")), train(docs.select("doc_id", "text", "lang")))
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import slices, spaced, table, texts
+from llm.common import slices, table, texts
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -23,10 +23,8 @@ MAX_REPEAT_PERCENT = 30
 KEEP = 0.3
 #: Labelled documents that the model is fitted on at most: those with the smallest hashes of doc_id; every fourth calibrates.
 FIT_DOCS = 2000
-#: Pieces and characters a piece, evenly spaced, that stand for a longer document in the fit (never in a verdict).
-FIT_PIECES, FIT_CHARS = 20, 1000
 BITS = 15
-KINDS = 3  # words, word pairs, byte 4-grams
+KINDS = 3  # words, word pairs, character 4-grams
 STEPS, RATE, DECAY, SEED = 80, 0.5, 1e-5, 11
 
 
@@ -70,17 +68,18 @@ def statistics(raw: bytes) -> tuple[int, int, int, int, int, np.ndarray, np.ndar
 
 
 def features(raw: bytes, ids: np.ndarray, crc: np.ndarray) -> list[np.ndarray]:
-    """Places in the weight table of the text's words, word pairs and byte 4-grams."""
+    """Places in the weight table of the text's words, word pairs and 4-grams of characters (code points)."""
     shift, out = np.uint64(64 - BITS), []
     of = crc[ids] if len(ids) else np.empty(0, np.uint64)
     out.append((of * np.uint64(0x9E3779B97F4A7C15)) >> shift)
     out.append(((of[:-1] * np.uint64(31) + of[1:]) * np.uint64(0xD6E8FEB86659FD93)) >> shift)
-    b = np.frombuffer(raw, np.uint8)
-    if len(b) >= 4:
-        four = b[:-3].astype(np.uint32) | b[1:-2].astype(np.uint32) << np.uint32(8) | b[2:-1].astype(np.uint32) << np.uint32(16) | b[3:].astype(np.uint32) << np.uint32(24)
-        out.append((four * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS))
-    else:
-        out.append(np.empty(0, np.uint32))
+    c = np.frombuffer(raw if raw.isascii() else raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint8 if raw.isascii() else np.uint32).astype(np.uint32)
+    n = max(0, len(c) - 3)
+    four = c[:n].copy()
+    for j in (1, 2, 3):
+        four *= np.uint32(0x01000193)
+        four ^= c[j : n + j]
+    out.append((four * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS))
     return [np.asarray(x, np.int64) if x.dtype != np.uint32 else x for x in out]
 
 
@@ -145,12 +144,12 @@ def fit(rows: list[tuple[bytes, int]]) -> Model | None:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
-    """A model from at most fit_docs labelled documents with text; labels other than 0 and 1 and null ids are passed over.
+    """A model from the whole texts of at most fit_docs labelled documents; labels other than 0 and 1 and null ids are passed over.
 
     The ids are chosen before the texts are read, and there are at most fit_docs of them to broadcast.
     """
     chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.encode(F.array_join(spaced(F.col("text"), FIT_PIECES, FIT_CHARS), "\n"), "UTF-8").alias("t"), "quality").orderBy(F.xxhash64("doc_id"), "t").limit(fit_docs).collect()
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.encode("text", "UTF-8").alias("t"), "quality").orderBy(F.xxhash64("doc_id"), "t").limit(fit_docs).collect()
     return fit([(bytes(r["t"]), r["quality"]) for r in rows])
 
 
@@ -160,7 +159,8 @@ ADDED = ["n_words long", "word_chars long", "n_symbols long", "n_dup_lines long"
 def judge(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
     """Adds the statistics, base_failed, quality and kept to every row of docs, over its whole text.
 
-    Null texts have no words and fail. Without a model quality is null and the statistics decide alone.
+    Null texts have no words and fail. A text stands whole in its worker, with its words and the places of its n-grams: some thirty
+    times its bytes. Without a model quality is null and the statistics decide alone.
     Columns of docs with the added names are replaced; repeated rows stay.
     """
     names = [a.split()[0] for a in ADDED]
@@ -184,6 +184,7 @@ def judge(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, by its whole text. Null and empty texts have no words and fail; a null doc_id is judged like any other, repeated rows stay. Labels without both classes leave the verdict to the statistics."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = judge(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", *[a.split()[0] for a in ADDED[:6]], "kept", "quality")

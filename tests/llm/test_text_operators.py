@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from llm import bpe, chat, decontaminate, langid, quality, sharding, warc
@@ -79,6 +80,37 @@ def test_sharding(spark, odd, none, monkeypatch):
     assert sharding.op6_sharding(spark, "").count() == 0
 
 
+def test_sharding_against_a_loop(spark, odd, monkeypatch):
+    """Sizes, law and places recomputed from the output; a repeated very long text and a third of all rows under one key among them."""
+    rows = [(i, "ab" * (i % 7)) for i in range(600)] + [(7, "hot")] * 300 + [(9, "é" * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(sharding, "table", lambda *a: df)
+    out = sharding.op6_sharding(spark, "", 40).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((d, len(t.encode()) + 16, zlib.crc32(t.encode())) for d, t in rows)
+    places = {}
+    for r in out:
+        places.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in places.values()) and set(places) <= set(range(40))
+    assert {r["law"] for r in out} == {"key"}
+    again = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.op6_sharding(spark, "", 40).collect()}
+    assert all((r["shard"], r["grown_shard"]) == again[r["doc_id"]] for r in out)
+    more = {r["doc_id"]: r["shard"] for r in sharding.assign(df, sharding.add_shard(sharding.first_map(spark, 40), 40), "doc_id", ["text"]).collect()}
+    assert all(r["grown_shard"] == more[r["doc_id"]] and r["grown_shard"] in (r["shard"], 40) for r in out)
+
+
+def test_the_map_is_stored(spark, tmp_path):
+    docs = spark.createDataFrame([(i, i * 10) for i in range(50)], "doc_id long, size long")
+    sizes = sharding.slot_sizes(docs, "doc_id", F.col("size"), 8)
+    one = sharding.first_map(spark, 2, 8)
+    sharding.store_map(one, sizes, f"{tmp_path}/m", 1)
+    held = sharding.read_map(spark, f"{tmp_path}/m", 1)
+    assert held.agg(F.sum("bytes"), F.sum("rows"), F.count("*")).first()[:] == (12250, 50, 8)
+    moves = sharding.heaviest_moves(held.select("vslot", "version", "shard"), held.select("vslot", "bytes"), 2)
+    sharding.store_map(sharding.move_slots(held.select("vslot", "version", "shard"), held.select("vslot", "bytes"), moves), held.select("vslot", "rows", "bytes"), f"{tmp_path}/m", 2)
+    assert {r["version"] for r in spark.read.parquet(f"{tmp_path}/m").collect()} == {1, 2}
+    assert sharding.read_map(spark, f"{tmp_path}/m", 2).agg(F.sum("bytes")).first()[0] == 12250
+
+
 def test_sharding_replaces_its_own_columns(spark, odd):
     extra = odd.withColumnsRenamed({"source": "shard", "lang": "_v", "n_chars": "_before"})
     out = sharding.assign(extra, sharding.first_map(spark, 3), "doc_id", ["text"])
@@ -128,8 +160,19 @@ def test_decontamination(spark, odd_rows):
     df = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["hit_items"])) for r in df.collect()), key=repr)
     assert got == hits(rows, [i for i in items if i[0] is not None])
-    large = decontaminate.find_hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=100)
-    assert large.count() == len({(r[0], r[1]) for r in rows if hits([r], [i for i in items if i[0] is not None])[0][2]})
+    found = [decontaminate.find_hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=n) for n in (1 << 20, 100)]
+    small, large = (sorted((repr((r["doc_id"], r["text_hash"], sorted(map(tuple, r["spans"])), list(r["items"]))) for r in f.collect())) for f in found)
+    assert small == large and len(large) == len({(r[0], r[1]) for r in rows if hits([r], [i for i in items if i[0] is not None])[0][2]})
+
+
+def test_a_template_is_known_by_what_fills_it(spark):
+    """Items of one template share their longest word and most pairs; each window still has a key of its own."""
+    items = [(i, f"which river flows past the extraordinarily long bridge of town{i} today") for i in range(300)]
+    found = decontaminate.benchmark_windows(spark.createDataFrame(items, "item_id long, text string"))
+    assert found.groupBy("key").count().agg(F.max("count")).first()[0] <= 10
+    rows = [(i, items[i][1]) for i in range(0, 300, 30)] + [(1000, "which river flows past the extraordinarily long bridge of nowhere today")]
+    got = {r["doc_id"]: list(r["hit_items"]) for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {r["doc_id"]: r["items"] for r in [{"doc_id": d, "items": hits([(d, t)], items)[0][3]} for d, t in rows]}
 
 
 def test_decontamination_columns_and_empty_tables(spark, odd, none):
@@ -166,6 +209,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert raw.count(b"WARC-Type: response") == len(rows) - 1
 
 
+def test_a_hot_payload_is_spread(spark):
+    """A third of all pages with one payload: every page but the first revisits it, and no task of the join gets them all."""
+    rows = [(i, f"u{i}", "same page " * 20 if i % 3 == 0 else f"page {i} " * 20) for i in range(3000)]
+    kinds = warc.with_kinds(spark.createDataFrame(rows, PAGES).repartition(4)).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(warc.SALTS)))
+    hot = kinds.where("refers_to = 0")
+    assert hot.count() == 999 and hot.groupBy("salt").count().agg(F.max("count")).first()[0] < 150
+    assert kinds.where("refers_to IS NULL").count() == 2001
+
+
+def test_warc_keeps_clashing_columns_out(spark):
+    extra = spark.createDataFrame([(1, "u", "h" * 200, "x", 5), (2, "u", "h" * 200, "y", 6)], PAGES + ", digest string, _d long")
+    assert {tuple(r) for r in warc.with_kinds(extra).select("page_id", "refers_to").collect()} == {(1, None), (2, 1)}
+
+
 def test_warc_query_on_odd_tables(spark, monkeypatch):
     monkeypatch.setattr(warc, "table", lambda *a: spark.createDataFrame([(1, "u", None)], PAGES))
     assert tuple(warc.op10_warc(spark, "").first()) == (1, 0, hashlib.sha256(b"").hexdigest(), "response", None)
@@ -207,6 +264,18 @@ def test_bpe_offsets_and_split_characters(spark, own, odd, none):
     assert bpe.digests(none, PATH).count() == 0
 
 
+def test_bpe_query_against_tiktoken(spark, own, odd, odd_rows, monkeypatch):
+    """Counts and both hashes of every row, with nulls, repeated rows, a very long text and columns that clash."""
+    rows = [*odd_rows, (99, "ß" * 90_000 + " 日本 語" * 9_000, "en", "s", 1)]
+    extra = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"lang": "n_tokens", "source": "ids", "n_chars": "ids_sha256"}).repartition(3)
+    monkeypatch.setattr(bpe, "table", lambda *a: extra)
+    want = []
+    for d, t, *_ in rows:
+        ids = own.encode_ordinary(t or "")
+        want.append((d, len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert Counter(tuple(r)[:4] for r in bpe.op7_byte_bpe(spark, "").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == Counter(want)
+
+
 def test_long_texts_are_cut_safely(own, monkeypatch):
     monkeypatch.setattr(bpe, "LONG", 50)
     text = prose(random.Random(1), 300) + "   \n\n  x  y" + "z" * 200
@@ -237,6 +306,30 @@ def test_language_is_learned(spark, odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_language_query(spark, monkeypatch):
+    """held_out by another crc32, `und` where there is no letter, held-out accuracy, and a very long text; labels of held-out documents play no part."""
+    rows = spoken(400) + [(900, None, "en", "s", 1), (901, "12 !", "fr", "s", 1), (902, "", None, "s", 1), (None, "der die und", "de", "s", 1), (903, "der die nicht " * 20_000, None, "s", 1), (5, "der die und nicht", "de", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"source": "score", "n_chars": "held_out"})
+    monkeypatch.setattr(langid, "table", lambda *a: docs)
+    got = langid.op5_language_id(spark, "").collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    said = {r["doc_id"]: r["lang_pred"] for r in got if r["doc_id"] is not None and r["doc_id"] >= 900}
+    assert said == {900: "und", 901: "und", 902: "und", 903: "de"}
+    lang = {d: x for d, _, x, *_ in rows[:400]}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in lang]
+    assert len(held) > 80 and sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.97 * len(held)
+    wrong = F.when(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1, F.lit("zz")).otherwise(F.col("lang"))
+    monkeypatch.setattr(langid, "table", lambda *a: docs.withColumn("lang", wrong))
+    assert Counter(tuple(r) for r in langid.op5_language_id(spark, "").collect()) == Counter(tuple(r) for r in got)
+
+
+def test_equal_languages_fall_to_the_first_by_name(spark):
+    m = langid.fit([(b"one two", "a"), (b"one two", "b")])
+    m.out[:], m.bias[:] = 0, 0
+    assert {r["lang_pred"] for r in langid.predict(spark.createDataFrame([(1, "one")], "doc_id long, text string"), m).collect()} == {"a"}
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     """Rare languages, and one beside a document that is repeated very often."""
     rows = spoken(600) + [(1000 + i, f"og ikke {i}", "da", "s", 1) for i in range(9)] + [(2000, "ja", "fi", "s", 1)] * 3000 + [(2001 + i, f"on ei {i}", "fi", "s", 1) for i in range(9)]
@@ -290,6 +383,25 @@ def test_quality_statistics(spark, odd_rows, none):
     assert quality.judge(none.withColumnRenamed("lang", "kept"), None).count() == 0
 
 
+def test_quality_query(spark, odd_rows, monkeypatch):
+    """The registered query against loops; a very long text, clashing columns, and labels that don't suffice for a model."""
+    rng = random.Random(5)
+    rows = [*odd_rows, *[(1000 + i, prose(rng, 60) if i % 2 else " ".join("%#" + w for w in prose(rng, 60).split()), "en", "s", 1) for i in range(200)], (5000, prose(rng, 50_000), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"lang": "n_words", "source": "kept", "n_chars": "quality"})
+    labels = spark.createDataFrame([(1000 + i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    for some in (labels, labels.limit(0), labels.where("quality = 1")):
+        monkeypatch.setattr(quality, "table", lambda s, d, name, some=some: docs if name == "documents" else some)
+        got = quality.op8_quality_rules(spark, "").collect()
+        want = Counter((d, *base(t)) for d, t, *_ in rows)
+        assert Counter(tuple(r)[:6] for r in got) == want
+        assert all(r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) and not (r["base_failed"] and r["kept"]) for r in got)
+        if some is labels:
+            late = [r for r in got if r["doc_id"] is not None and 1100 <= r["doc_id"] < 1200]
+            assert sum(r["kept"] == (r["doc_id"] % 2 == 1) for r in late) >= 0.95 * len(late)
+        else:
+            assert all(r["kept"] != r["base_failed"] for r in got)
+
+
 def test_quality_is_learned(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 80) if i % 2 else " ".join("%$#" + w for w in prose(rng, 80).split()), "en", "s", 1) for i in range(400)]
