@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-US_STATES = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC"
-).split()
-CA_PROVINCES = "AB BC MB NB NL NS NT NU ON PE QC SK YT".split()
+US_STATES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA",
+    "WA", "WV", "WI", "WY", "DC",
+]
+CA_PROVINCES = ["AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK", "YT"]
 
 US_CITIES = [
     "san francisco", "new york", "new york city", "austin", "seattle", "chicago", "boston", "denver", "los angeles", "miami", "portland",
@@ -218,4 +219,46 @@ LABELS = [
 ]
 
 # names of fields that hold a posting's identifier, alone or behind an underscore
-ID_FIELDS = ["id", "jobid", "job_id", "postingid", "posting_id", "requisitionid", "requisition_id", "reqid", "req_id", "contestno", "externalpath", "guid", "uuid", "slug", "token"]
+ID_FIELD = "(?:^|_)(id|jobid|job_id|postingid|posting_id|requisitionid|requisition_id|reqid|req_id|contestno|externalpath|guid|uuid|slug|token)$"
+
+# lines that are no summary: headings, boilerplate
+SUMMARY_HEADING = r"^[A-Z][A-Z\s&'/():-]{3,}$|^#{1,3}\s"
+SUMMARY_BOILERPLATE = "(?i)^(equal opportunity|we are an? |disclaimer|eoe|accommodation|diversity|note to|about us$|about the company$)"
+
+# a description's points: a heading, a list, a paragraph, length up to LENGTH_MOST by LENGTH_PART, each sign of page chrome
+HEADER_POINTS, LIST_POINTS, PARAGRAPH_POINTS, LENGTH_MOST, LENGTH_PART, NOISE_POINTS = 45, 30, 8, 2400, 12, 140
+NOISE_WORDS = ["skip to main content", "open search bar", "saved", "apply now", "similar jobs", "join our talent community", "manage preferences", "accept all", "search", "locations"]
+
+# headings of sections, where a description begins and ends on a page, signs of markup, lines of page chrome
+SECTION_HEADINGS = [
+    "about the job", "about the role", "about this role", "role overview", "position overview", "job description", "job summary", "responsibilities", "key responsibilities", "what you'll do", "what youll do", "what you will do", "what you'll bring", "what youll bring",
+    "what you will bring", "what we're looking for", "what were looking for", "required qualifications", "minimum qualifications", "preferred qualifications", "qualifications", "requirements", "nice to have", "benefits", "compensation", "salary", "industry", "domain",
+    "department", "details", "about us", "about the team", "experience", "skills", "soft skills", "work location", "hours", "line of business", "pay details", "who we are", "our total rewards package", "additional information", "colleague development",
+    "training & onboarding", "interview process", "accommodation", "language requirement", "work authorization",
+]
+START_MARKERS = ["job description", "job summary", "about the job", "about the role", "what does a successful", "what you'll do", "what we're looking for", "what you will do"]
+END_MARKERS = [
+    "similar jobs", "receive similar jobs by email", "create alert", "popular jobs", "top job titles", "top job types", "top companies", "top locations", "jobseekers", "recruiters", "country selection", "back to last search", "show full description",
+    'window["az_details"]', "job_desc_modal_details", "var path =", "var lang =", "var frontend =",
+]
+MARKUP_SIGNS = ["window[", "function(", "googletagmanager", "country selection", "similar jobs", "join our talent community", "manage preferences", "accept all", "top job titles", "top companies"]
+CHROME_LINES = [
+    "united kingdom", "australia", "österreich", "belgië", "brasil", "canada", "france", "deutschland", "india", "italia", "méxico", "nederland", "new zealand", "polska", "singapore", "south africa", "españa", "schweiz", "united states", "usa",
+    "continue", "what?", "where?", "search", "advanced", "sorry, this job is not available in your region", "search for similar jobs in your region", "receive similar jobs by email", "create alert", "show full description", "similar jobs", "popular jobs", "top job titles",
+    "top job types", "top companies", "top locations", "jobseekers", "recruiters", "privacy", "terms & conditions", "country selection", "change", "select your country to see jobs specific to your location.", "create email alert", "no thanks, take me to the job",
+]
+SCRIPT_LINE = r"^(var |window\.|window\[|function\(|new date\(|https://www\.googletagmanager)"
+JSON_LINE = '"@type"|itemlistelement|ga4_event_options|query_info|currency_iso|privacy notice'
+CALLS_TO_APPLY = r"\b(click here to apply|apply now!?|submit your application today)\b[.!]*"
+BARE_HEADINGS = r"\b(What Youll Do|What Youll Bring|Who We Are|Job Summary|Key Responsibilities|Required Qualifications|Preferred Qualifications|Additional Information|Interview Process|Work Authorization)\b(?!\s*:)"
+
+# signs of currencies in English; others by their code
+CURRENCY_SIGNS = {"USD": "$", "CAD": "CA$", "EUR": "€", "GBP": "£", "AUD": "A$", "NZD": "NZ$"}
+
+# sectors of catalog companies that count
+CATALOG_SECTORS = "(finance|bank|insurance|payments|telecom|enterprise|cloud|infra|security|data|health|consulting)"
+
+# company sites: links to postings, links to further pages, words of a page about openings
+JOB_LINK = "(job|career|position|opening|opportunit|vacanc|posting|requisition|role)"
+PAGING_LINK = r"(next|more|older|page \d+)"
+CAREER_PAGE = [r"\bcareers?\b", r"\bopen roles?\b", r"\bopen positions?\b", r"\bjob openings?\b", r"\bjoin (our )?team\b", r"\bwork with us\b", r"\bsearch jobs\b", r"\bview jobs\b", r"\bcurrent openings\b", r"\bopportunities\b"]

@@ -196,9 +196,7 @@ def short_summary(title: Column, company: Column, mode: Column, description: Col
         line = F.regexp_replace(line, r"\[[^\]]+\]\([^)]+\)", " ")
         return compact(F.regexp_replace(F.regexp_replace(line, r"(?i)https?://\S+", " "), r"(?i)www\.\S+", " "))
 
-    heading = r"^[A-Z][A-Z\s&'/():-]{3,}$|^#{1,3}\s"
-    plate = r"(?i)^(equal opportunity|we are an? |disclaimer|eoe|accommodation|diversity|note to|about us$|about the company$)"
-    lines = F.filter(F.transform(F.split(description, "\n"), clean), lambda x: (F.length(x) >= 20) & ~x.rlike(heading) & ~x.rlike(plate))
+    lines = F.filter(F.transform(F.split(description, "\n"), clean), lambda x: (F.length(x) >= 20) & ~x.rlike(R.SUMMARY_HEADING) & ~x.rlike(R.SUMMARY_BOILERPLATE))
     line = F.try_element_at(lines, F.lit(1))
     sentence = F.when(F.regexp_extract(line, r"^([^.!?]+[.!?])", 1) != "", F.trim(F.regexp_extract(line, r"^([^.!?]+[.!?])", 1))).otherwise(line)
     first = F.coalesce(sentence, F.concat(company, F.lit(" is hiring for "), title, F.lit(".")))
@@ -232,8 +230,13 @@ def label(c: Column) -> Column:
     return F.initcap(F.replace(F.lower(c), F.lit("_"), F.lit(" ")))
 
 
+def snippet(c: Column, longest: int = 1200) -> Column:
+    """The beginning of a text on one line; null if there is none."""
+    return F.nullif(F.substring(compact(c), 1, longest), F.lit(""))
+
+
 def tags(c: Column, longest: int = 40) -> Column:
-    """Trimmed, cut, distinct, without empties, in order."""
+    """Trimmed, cut, distinct, without empties, in order of bytes."""
     return F.array_sort(F.array_distinct(F.array_remove(F.transform(c, lambda x: F.substring(F.trim(x), 1, longest)), "")))
 
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from postforge.functions import rules as R
 
@@ -127,11 +133,33 @@ def url_posting_id(url: Column) -> Column:
     return F.coalesce(*named, F.when(stable_id(usual).isNotNull(), F.concat_ws(":", guess, scope(guess, url), stable_id(usual))))
 
 
-def metadata_id(payload: Column) -> Column:
-    """The first text field, at any depth and in the order of the JSON text, whose name says that it identifies and whose value can."""
-    names = "|".join(R.ID_FIELDS)
-    found = F.regexp_extract_all(payload, F.lit(rf'(?i)"(?:[^"]*_)?(?:{names})"\s*:\s*"((?:[^"\\]|\\.)+)"'), 1)
-    return _at(F.filter(F.transform(found, stable_id), lambda x: x.isNotNull()), 1)
+def _identifiers(payload: str | None) -> str | None:
+    """The first identifier of a JSON text, breadth first: texts in fields whose name says so, and texts in lists that look like one."""
+    try:
+        queue = deque([json.loads(payload or "null")])
+    except ValueError:
+        return None
+    found = []
+    while queue:
+        now = queue.popleft()
+        if isinstance(now, str):
+            if len(s := now.strip()) >= 4 and not re.search(r"(?i)^https?://|\s", s) and re.search("[0-9_-]", s):
+                found.append(now)
+        elif isinstance(now, list):
+            queue.extend(now)
+        elif isinstance(now, dict):
+            for name, value in now.items():
+                if isinstance(value, str) and re.search(R.ID_FIELD, name, re.IGNORECASE):
+                    found.append(value)
+                elif isinstance(value, (dict, list)):
+                    queue.append(value)
+    return next((v for v in (re.sub("[^a-z0-9_-]+", "", f.strip().lower()) for f in found) if len(v) >= 4), None)
+
+
+@F.pandas_udf(StringType())
+def metadata_id(payload: pd.Series) -> pd.Series:
+    """A payload's own identifier, at any depth; null if it has none or isn't JSON. The walk has no schema, so it runs in Arrow batches."""
+    return payload.map(_identifiers)
 
 
 def posting_id(apply_url: Column, source_url: Column, family: Column, source_id: Column, payload: Column | None = None) -> Column:
@@ -181,25 +209,6 @@ def trust(url: Column, name: Column) -> Column:
     )
 
 
-def resolve_links(apply_url: Column, sources: Column) -> Column:
-    """Struct of href, kind, source, level: the link a posting's page leads to.
-
-    sources: array of structs source_name, source_url, is_primary, in the order that counts among equals. The application's own
-    URL is taken if any source is live; else the best source's.
-    """
-    known = F.transform(sources, lambda s: F.struct(s["source_name"].alias("name"), s["source_url"].alias("url"), s["is_primary"].alias("first"), trust(s["source_url"], s["source_name"]).alias("level"), absolute(s["source_url"]).alias("ok")))
-    pick = lambda cond: F.coalesce(_at(F.filter(known, lambda s: cond(s) & s["ok"] & s["first"]), 1), _at(F.filter(known, lambda s: cond(s) & s["ok"]), 1))
-    sure, live = pick(lambda s: s["level"] == "TRUSTED"), pick(lambda s: s["level"] != "UNAVAILABLE")
-    demo = (F.size(sources) > 0) & F.forall(sources, lambda s: s["source_name"].isin(R.DEMO_SOURCES))
-    own = absolute(apply_url) & ~demo & ~host_in(host(apply_url), R.BLOCKED_HOSTS) & live.isNotNull()
-    best = F.coalesce(sure, live)
-    some = ~demo & best.isNotNull()
-    return F.struct(
-        F.when(own, apply_url).when(some, best["url"]).alias("href"), F.when(own, "APPLY").when(some, "SOURCE").alias("kind"), F.when(own | some, best["name"]).alias("source"),
-        F.when(own | some, F.when(sure.isNotNull(), "TRUSTED").otherwise("CAUTION")).otherwise("UNAVAILABLE").alias("level"),
-    )
-
-
 def company_domain(urls: Column) -> Column:
     """The first URL's host, without www, that isn't a board's or applicant system's."""
     other = [*R.DIRECT_HOSTS, *R.BOARD_HOSTS, *R.AGGREGATOR_HOSTS]

@@ -1,17 +1,26 @@
-"""Descriptions as blocks: headings, paragraphs and lists, by a fold over a text's lines; and what they are worth."""
+"""Descriptions: cleaned of the page around them, as blocks by a fold over their lines, and what they are worth."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postforge.functions.text import sanitize
+from postforge.functions import rules as R
+from postforge.functions.text import EDGE, compact, contains_any, sanitize
 
 BLOCK = "array<struct<kind:string,text:string>>"
 _HEADING = r"^(?:#{1,3}\s+\S.*|\*\*[^*]+\*\*:?|[A-Z][A-Z\s&'/():-]{3,}|[A-Z][^.!?]{0,55}:)$"
 _ITEM = r"^(?:[-•*–·]|\d{1,2}\.)\s+(.+)$"
 
 
+def _replace(c: Column, *pairs: tuple[str, str]) -> Column:
+    for pattern, by in pairs:
+        c = F.regexp_replace(c, pattern.replace(r"\b", EDGE), by)
+    return c
+
+
 def blocks(description: Column) -> Column:
     """Array of structs kind (header, list, paragraph) and text; the items of a list are lines of its text.
 
@@ -35,10 +44,69 @@ def blocks(description: Column) -> Column:
     return F.aggregate(lines, F.array().cast(BLOCK), step)
 
 
-def worth(description: Column) -> Column:
-    """Points for structure: 45 a heading, 30 a list, 8 a paragraph, and a twelfth of the length up to 2,400; 140 off for each sign of page chrome."""
-    b = blocks(description)
+def worth(description: Column, found: Column | None = None) -> Column:
+    """Points for structure and length, less those for signs of page chrome. found: the description's blocks, if they are at hand."""
+    b = blocks(description) if found is None else found
     n = lambda kind: F.size(F.filter(b, lambda x: x["kind"] == kind))
-    low = F.lower(description)
-    noise = sum((F.when(low.contains(w), 1).otherwise(0) for w in ("window[", "function(", "googletagmanager", "country selection", "similar jobs", "accept all")), F.lit(0))
-    return n("header") * 45 + n("list") * 30 + n("paragraph") * 8 + F.least(F.length(description), F.lit(2400)) / 12 - noise * 140
+    noise = sum((F.when(F.lower(description).contains(w), 1).otherwise(0) for w in R.NOISE_WORDS), F.lit(0))
+    return n("header") * R.HEADER_POINTS + n("list") * R.LIST_POINTS + n("paragraph") * R.PARAGRAPH_POINTS + F.least(F.length(description), F.lit(R.LENGTH_MOST)) / R.LENGTH_PART - noise * R.NOISE_POINTS
+
+
+def low_quality(cleaned: Column, found: Column) -> Column:
+    """Whether a cleaned description is cut short or has too little in it. found: its blocks."""
+    n = lambda kind: F.size(F.filter(found, lambda x: x["kind"] == kind))
+    cut = cleaned.rlike(r"(?:…|\.\.\.)\s*$")
+    shaped = ((n("header") > 0) | (n("list") > 0)) & (F.length(cleaned) >= 180)
+    return F.coalesce((cleaned == "") | cut | (~shaped & ((F.length(cleaned) < 260) | (n("paragraph") <= 1))), F.lit(True))
+
+
+def best(candidates: Column) -> Column:
+    """Of several texts the one that is worth most, the first of equals; those of low quality and nulls don't count. Null if none is left."""
+    said = F.array_distinct(F.filter(F.transform(candidates, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    good = F.filter(said, lambda x: ~low_quality(cleanup(x), blocks(cleanup(x))))
+    scored = F.transform(good, lambda x, i: F.struct(worth(x).alias("points"), (-i).alias("at"), x.alias("said")))
+    return F.array_max(scored)["said"]
+
+
+def _first(low: Column, words: list[str]) -> Column:
+    """The 1-based place of the first of these words; null if there is none."""
+    return F.array_min(F.filter(F.array(*[F.instr(low, F.lit(w)) for w in words]), lambda x: x > 0))
+
+
+def primary(raw: Column) -> Column:
+    """The description within a page's text: from the first heading of one to the first sign of what follows it, without lines of scripts, data and page chrome.
+
+    An embedded description of 120 characters or more goes before the text around it, the longest of several.
+    """
+    embedded = F.filter(F.transform(F.regexp_extract_all(raw, F.lit(r'"description"\s*:\s*"((?:\\.|[^"\\])*)"'), 1), lambda m: F.trim(F.from_json(F.concat(F.lit('{"d":"'), m, F.lit('"}')), "d string")["d"])), lambda x: F.length(x) >= 120)
+    longest = F.array_max(F.transform(embedded, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("at"), x.alias("x"))))["x"]
+    said = F.replace(F.coalesce(longest, raw), F.lit("\r"), F.lit(""))
+    bare = F.length(F.regexp_extract(said, r"(?is)^(.*?)(?:^|\n)\s*description\s*(?:\n|$)", 1)) + 1
+    bare = F.when(said.rlike(r"(?i)(?:^|\n)\s*description\s*(?:\n|$)"), bare)
+    begun = F.substring(said, F.coalesce(F.least(_first(F.lower(said), R.START_MARKERS), bare), F.lit(1)), F.length(said))
+    low = F.lower(begun)
+    ends = F.array_min(F.filter(F.array(*[F.instr(low, F.lit(w)) for w in R.END_MARKERS]), lambda x: x > 121))
+    body = F.substring(begun, F.lit(1), F.coalesce(ends - 1, F.length(begun)))
+
+    def noise(line: Column) -> Column:
+        marks = F.length(line) - F.length(F.translate(line, "{}[];", ""))
+        return (marks >= 3) | line.rlike("(?i)" + R.SCRIPT_LINE) | line.rlike('^["\\[{]') | F.lower(line).rlike(R.JSON_LINE) | F.lower(line).isin(R.CHROME_LINES)
+
+    lines = F.filter(F.transform(F.split(body, "\n"), compact), lambda x: ~noise(x))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), "^\n+|\n+$", "")
+
+
+def cleanup(raw: Column) -> Column:
+    """A description as text: the page around it and its markup taken away, headings of sections on lines of their own, items on lines with a mark."""
+    trimmed = F.trim(raw)
+    shaped = trimmed.contains("\n") & trimmed.rlike(r"(?m)^([A-Z][^.!?]{0,60}:|\*\*.+\*\*|[-•*–·]\s+)") & ~contains_any(F.lower(trimmed), R.MARKUP_SIGNS)
+    c = F.when(shaped, raw).otherwise(primary(raw))
+    c = _replace(
+        F.replace(c, F.lit("\r"), F.lit("")), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|section|article|li|ul|ol|h1|h2|h3|h4|h5|h6)>", "\n"), ("(?i)<li[^>]*>", "\n• "), ("<[^>]+>", " "), ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+        ("(?i)" + R.CALLS_TO_APPLY, ""), (r"(?m)^[=\-*_]{3,}\s*$", ""), ("[“”]", '"'), ("[‘’]", "'"), ("[ \t]+\n", "\n"), ("\n[ \t]+", "\n"), ("[ \t]{2,}", " "),
+    )
+    for heading in R.SECTION_HEADINGS:
+        c = F.regexp_replace(c, rf"(?i)\s*({re.escape(heading)})\s*:", "\n\n$1:\n")
+    return F.regexp_replace(_replace(
+        c, (r"(?i)^description\s*\n+", ""), (r"\n+\s*:\s*\n+", ":\n"), (r"\s+[•·▪◦]\s+", "\n• "), (r"\s+[-–—]\s+(?=[A-Z0-9])", "\n- "), (r"\s+(\d{1,2}\.\s+)", "\n$1"), (R.BARE_HEADINGS, "\n\n$1\n"), (r"(?im)^About the job\s+.+$", "About the job"), ("\n{3,}", "\n\n"),
+    ), r"^\s+|\s+$", "")

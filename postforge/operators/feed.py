@@ -52,6 +52,12 @@ def has_real_source(jobs: DataFrame, mappings: DataFrame) -> DataFrame:
     return jobs.join(real, F.col("id") == F.col("_c"), "left_semi")
 
 
+def with_eligibility(jobs: DataFrame, eligibility: DataFrame) -> DataFrame:
+    """jobs with the columns of their eligibility (id and others, one row an id), null where there is none."""
+    e = eligibility.withColumnRenamed("id", "_e")
+    return jobs.join(e, F.col("id") == F.col("_e"), "left").drop("_e")
+
+
 def not_passed(jobs: DataFrame, signals: DataFrame, user: int) -> DataFrame:
     gone = signals.where((F.col("user_id") == user) & (F.col("action") == "PASS")).select(F.col("canonical_id").alias("_c"))
     return jobs.join(gone, F.col("id") == F.col("_c"), "left_anti")
@@ -108,11 +114,13 @@ def scoring_window(jobs: DataFrame, searching: bool = False) -> DataFrame:
 def diversify(scored: DataFrame) -> DataFrame:
     """viewer, id, position: greedy order in which companies, titles and sources that come again lose points.
 
-    scored: viewer, id, title, company, posted_at, total, families (of its sources). A viewer's rows are a scoring window, so
-    a group has SEARCH_WINDOW rows at most; of equal scores the newer, then the earlier in (total desc, posted_at desc, id) goes first.
+    scored: viewer, id, title, company, posted_at, total, families (of its sources). The order is one of a scoring window: a viewer with
+    more than SEARCH_WINDOW rows is an error, since the next pick depends on all picks before. Of equal scores the newer, then the earlier in (total desc, posted_at desc, id) goes first.
     """
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > SEARCH_WINDOW:
+            raise ValueError(f"a viewer has {len(rows)} rows; scoring_window() leaves {SEARCH_WINDOW} at most")
         rows = rows.sort_values(["total", "posted_at", "id"], ascending=[False, False, True], na_position="last").reset_index(drop=True)
         key = lambda s: s.fillna("").str.lower().str.replace(r"\s+", " ", regex=True).str.strip()
         company = key(rows["company"])

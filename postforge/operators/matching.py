@@ -26,17 +26,20 @@ def _snippet(c: Column) -> Column:
     return F.slice(text.content_words(F.coalesce(c, F.lit(""))), 1, 24)
 
 
+def prepared(jobs: DataFrame) -> DataFrame:
+    """Adds what a comparison needs of each side, once a row and not once a pair: _title, _words and _snippet, arrays of words."""
+    said = F.coalesce(F.nullif("short_summary", F.lit("")), "description")
+    return jobs.withColumns({"_title": _tokens(F.col("title_core_key")), "_words": _tokens(F.col("description_fingerprint")), "_snippet": _snippet(said)})
+
+
 def similarity(known: str, new: str) -> Column:
-    """Points that a known and a new posting have in common; 0 unless the titles are alike. known, new: aliases of the two sides of a join.
+    """Points that a known and a new posting have in common; 0 unless the titles are alike. known, new: aliases of the two sides of a join of prepared() rows.
 
-    Columns: title_key, title_core_key, description_fingerprint, location_key, role_family, work_mode, short_summary, description, posted_at.
+    Columns: title_key, title_core_key, description_fingerprint, location_key, role_family, work_mode, posted_at, _title, _words, _snippet.
     """
     a, b = lambda c: F.col(f"{known}.{c}"), lambda c: F.col(f"{new}.{c}")
     same = lambda c: a(c) == b(c)
-    titles = shared(_tokens(a("title_core_key")), _tokens(b("title_core_key")))
-    words = shared(_tokens(a("description_fingerprint")), _tokens(b("description_fingerprint")))
-    said = lambda s: F.coalesce(F.nullif(s("short_summary"), F.lit("")), s("description"))
-    snippet = shared(_snippet(said(a)), _snippet(said(b)))
+    titles, words, snippet = (shared(a(c), b(c)) for c in ("_title", "_words", "_snippet"))
     apart = F.abs(text.days_between(a("posted_at"), b("posted_at")))
     pts = lambda cond, n: F.when(cond, n).otherwise(0)
     score = (
@@ -49,23 +52,38 @@ def similarity(known: str, new: str) -> Column:
     return F.when(alike, score).otherwise(0)
 
 
+def _blocks(jobs: DataFrame, incoming: bool) -> DataFrame:
+    """id, region, block of a side of the candidate join: a block is a hash of the company and of the core title, or of fingerprint or place together with the title or two of its words.
+
+    Alike titles share two words, or one that the incoming title has twice; so no pair that can score is left out, and
+    a place where a company has very many postings is spread over their titles.
+    """
+    words = F.array_distinct("_title")
+    twice = F.filter(words, lambda t: F.size(F.filter("_title", lambda x: x == t)) > 1) if incoming else words
+    two = F.flatten(F.transform(words, lambda x: F.transform(F.filter(words, lambda y: y > x), lambda y: F.concat_ws("\x01", x, y))))
+    alike = F.concat(two, F.transform(twice, lambda t: F.concat_ws("\x01", t, t)), F.array(F.concat(F.lit("\x02"), "title_key")))
+    under = lambda n, c: F.when(F.col(c) != "", F.transform(alike, lambda t: F.xxhash64("company_key", F.lit(n), c, t)))
+    core = F.when(F.col("title_core_key") != "", F.array(F.xxhash64("company_key", F.lit(0), "title_core_key")))
+    none = F.array().cast("array<bigint>")
+    every = F.array_distinct(F.concat(*[F.coalesce(c, none) for c in (core, under(1, "description_fingerprint"), under(2, "location_key"))]))
+    return jobs.where((F.col("company_key") != UNKNOWN_COMPANY) & F.col("company_key").isNotNull()).select("id", "region", F.explode(every).alias("block"))
+
+
 def candidates(known: DataFrame, new: DataFrame) -> DataFrame:
-    """Pairs worth a comparison: of one company, with an equal core title, fingerprint or place, in regions that don't exclude each other.
+    """known_id, new_id of pairs worth a comparison: of one company, with an equal core title, fingerprint or place and titles that aren't unlike, in regions that don't exclude each other.
 
-    Three equi-joins instead of one join on the company with alternatives, so that a company with very many
-    postings is spread over its titles and places; null and empty keys join with nothing.
+    One equi-join on hashed blocks; null and empty keys join with nothing. A pair by chance of the hash scores what it scores.
     """
-    k, n = known.alias("k"), new.alias("n")
+    k, n = _blocks(known, False).alias("k"), _blocks(new, True).alias("n")
     fits = F.col("n.region").isNull() | F.col("k.region").isNull() | (F.col("k.region") == F.col("n.region"))
-    block = lambda key: k.join(n, (F.col("k.company_key") == F.col("n.company_key")) & (F.col(f"k.{key}") == F.col(f"n.{key}")) & (F.col(f"n.{key}") != "") & (F.col("n.company_key") != UNKNOWN_COMPANY) & fits)
-    pairs = [block(key).select(F.col("k.id").alias("known_id"), F.col("n.id").alias("new_id")) for key in ("title_core_key", "description_fingerprint", "location_key")]
-    return pairs[0].union(pairs[1]).union(pairs[2]).distinct()
+    return k.join(n, (F.col("k.block") == F.col("n.block")) & fits).select(F.col("k.id").alias("known_id"), F.col("n.id").alias("new_id")).distinct()
 
 
-def score_pairs(pairs: DataFrame, known: DataFrame, new: DataFrame) -> DataFrame:
-    """known_id, new_id, score."""
-    joined = pairs.join(known.alias("k"), F.col("known_id") == F.col("k.id")).join(new.alias("n"), F.col("new_id") == F.col("n.id"))
-    return joined.select("known_id", "new_id", similarity("k", "n").alias("score"))
+def score_pairs(known: DataFrame, new: DataFrame, least: int = 1) -> DataFrame:
+    """known_id, new_id, score of the pairs that score `least` or more."""
+    known, new = prepared(known), prepared(new)
+    joined = candidates(known, new).join(known.alias("k"), F.col("known_id") == F.col("k.id")).join(new.alias("n"), F.col("new_id") == F.col("n.id"))
+    return joined.select("known_id", "new_id", similarity("k", "n").alias("score")).where(F.col("score") >= least)
 
 
 def exact_matches(new: DataFrame, mappings: DataFrame, known: DataFrame) -> DataFrame:
@@ -93,13 +111,13 @@ def best_match(new: DataFrame, mappings: DataFrame, known: DataFrame) -> DataFra
     All similar candidates are compared, however many a company has; of equal scores the smallest known id wins.
     """
     exact = exact_matches(new, mappings, known).withColumn("score", F.when(F.col("how") == "duplicateCluster", 95).otherwise(100))
-    close = score_pairs(candidates(known, new), known, new).where(F.col("score") >= LEAST_SCORE).select("new_id", "known_id", F.lit("similarity").alias("how"), F.lit(9).alias("rung"), "score")
+    close = score_pairs(known, new, LEAST_SCORE).select("new_id", "known_id", F.lit("similarity").alias("how"), F.lit(9).alias("rung"), "score")
     w = Window.partitionBy("new_id").orderBy("rung", F.desc("score"), "known_id")
     return exact.unionByName(close).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("new_id", "known_id", "how", "score")
 
 
 def compatible(known: str, new: str) -> Column:
-    """Whether a posting may stay with the one it was matched with before."""
+    """Whether a posting may stay with the one it was matched with before. known, new: aliases of the two sides of a join of prepared() rows."""
     a, b = lambda c: F.col(f"{known}.{c}"), lambda c: F.col(f"{new}.{c}")
     place = (b("company_key") != UNKNOWN_COMPANY) & (a("company_key") == b("company_key")) & (a("title_core_key") == b("title_core_key")) & (a("location_key") == b("location_key"))
     return F.coalesce(a("apply_url_key") == b("apply_url_key"), F.lit(False)) | place | (similarity(known, new) > 0)

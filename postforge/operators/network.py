@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,16 @@ from postforge.functions.text import js_round
 
 
 
+def health_candidate() -> Column:
+    """Postings whose links are worth a look: alive ones without a dead signal, and ageing ones with one too."""
+    return F.col("status").isin("LIVE", "AGING", "STALE") & (F.col("dead_signal_at").isNull() | F.col("status").isin("AGING", "STALE"))
+
+
+def named_like(patterns: list[str], column: str = "source_name") -> Column:
+    """Names that any of the LIKE patterns fits."""
+    return reduce(lambda a, b: a | b, [F.col(column).like(p) for p in patterns], F.lit(False))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b isn't positive."""
     return F.when(b > 0, a / F.nullif(b, F.lit(0))).otherwise(0.0)

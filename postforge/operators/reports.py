@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postforge.functions import rules as R
 from postforge.functions import text
+from postforge.operators.feed import has_real_source
 from postforge.operators.network import ratio
 
 REMINDERS = {7: "DEADLINE_D7", 3: "DEADLINE_D3", 1: "DEADLINE_D1", 0: "DEADLINE_TODAY", -1: "DEADLINE_OVERDUE_D1"}
@@ -51,17 +52,22 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source").agg(F.max_by("id", at).alias("last_id"), F.max_by(F.when(F.col("status") == "SUCCESS", F.col("id")), F.when(F.col("status") == "SUCCESS", at)).alias("last_success_id"))
 
 
-def upper_median(df: DataFrame, value: str) -> DataFrame:
+def upper_median(df: DataFrame, value: str, buckets: int = 500) -> DataFrame:
     """hi, lo, median: the value at place n // 2, counted from the largest.
 
-    Values are counted before they are put in order, so the order is over distinct scores, of which there are few.
+    Values are counted, then dealt into buckets by approximate quantiles; the buckets' counts tell which one holds the place,
+    and only that one is put in order. No rows, no result but nulls.
     """
     n = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy())
-    placed = n.withColumns({"before": before, "total": total})
+    cuts = n.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 20_000).alias("cuts"))
+    dealt = n.join(F.broadcast(cuts)).select("v", "n", F.size(F.filter(F.array_distinct("cuts"), lambda c: c > F.col("v"))).alias("b"))
+    sums = dealt.groupBy("b").agg(F.sum("n").alias("s"), F.max("v").alias("hi"), F.min("v").alias("lo"))
+    every = Window.partitionBy()
+    placed = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("before"), "s", F.sum("s").over(every).alias("total"), F.max("hi").over(every).alias("hi"), F.min("lo").over(every).alias("lo"))
     middle = F.floor(F.col("total") / 2)
-    return placed.agg(F.max("v").alias("hi"), F.min("v").alias("lo"), F.max(F.when((F.col("before") <= middle) & (middle < F.col("before") + F.col("n")), F.col("v"))).alias("median"))
+    at = placed.where((F.col("before") <= middle) & (middle < F.col("before") + F.col("s")))
+    own = dealt.join(F.broadcast(at), "b").withColumn("from", F.col("before") + F.sum("n").over(Window.partitionBy("b").orderBy(F.desc("v"))) - F.col("n"))
+    return own.agg(F.max("hi").alias("hi"), F.max("lo").alias("lo"), F.max(F.when((F.col("from") <= middle) & (middle < F.col("from") + F.col("n")), F.col("v"))).alias("median"))
 
 
 def transitions(df: DataFrame, before: str, after: str) -> DataFrame:
@@ -82,7 +88,6 @@ def top_company_names(jobs: DataFrame, mappings: DataFrame, companies: DataFrame
 def company_corpus(jobs: DataFrame, catalog: DataFrame, least_ca: int = 1, least_total: int = 1) -> DataFrame:
     """Live companies worth a search, with their place in a catalog of known ones (name, alias_key, ordinal, bonus), and a score.
 
-    The catalog is a short table kept by hand; it is broadcast because containment is no equi-join.
     """
     ca = F.col("region") == "CA"
     n = jobs.where(F.col("status").isin("LIVE", "AGING")).groupBy("company").agg(F.count("*").alias("total"), F.count_if(ca).alias("ca"), F.count_if(ca & (F.col("work_mode") == "REMOTE")).alias("ca_remote"))
@@ -97,10 +102,19 @@ def company_corpus(jobs: DataFrame, catalog: DataFrame, least_ca: int = 1, least
 
 
 def match_catalog(companies: DataFrame, catalog: DataFrame, shortest: int = 8) -> DataFrame:
-    """Adds catalog_name and bonus: an equal key first, then one that contains the other if both are long; of several the first of the catalog."""
+    """Adds catalog_name and bonus: an equal key first, then one that contains the other if both are long; of several the first of the catalog.
+
+    What contains a name contains its first letters, so both sides meet by equi-joins on pieces of that length, whatever the size of the catalog.
+    """
     k, a = F.col("key"), F.col("alias_key")
-    inside = (F.length(k) >= shortest) & (F.length(a) >= shortest) & (k.contains(a) | a.contains(k))
-    pairs = companies.select("key").join(F.broadcast(catalog), (k == a) | inside)
+    pieces = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - shortest + 1), lambda i: F.substring(c, i, F.lit(shortest))))).alias("_piece")
+    keys, names = companies.select("key").distinct(), catalog.select("alias_key", "ordinal", "name", "bonus")
+    long_keys, long_names = keys.where(F.length(k) >= shortest), names.where(F.length(a) >= shortest)
+    equal = keys.join(names, k == a)
+    wider = long_keys.select("key", pieces(k)).join(long_names.withColumn("_piece", F.substring(a, 1, shortest)), "_piece").where(k.contains(a))
+    within = long_keys.withColumn("_piece", F.substring(k, 1, shortest)).join(long_names.select("*", pieces(a)), "_piece").where(a.contains(k))
+    cols = ["key", "alias_key", "ordinal", "name", "bonus"]
+    pairs = equal.select(cols).union(wider.select(cols)).union(within.select(cols))
     best = pairs.groupBy("key").agg(F.min(F.struct((k != a).alias("loose"), F.col("ordinal"), F.col("name"), F.col("bonus"))).alias("b")).select("key", F.col("b.name").alias("catalog_name"), F.col("b.bonus").alias("bonus"))
     return companies.join(best, "key", "left")
 
@@ -126,3 +140,101 @@ def first_wins(parts: list[DataFrame], key: str) -> DataFrame:
         every = p if every is None else every.unionByName(p)
     rest = [c for c in parts[0].columns if c != key]
     return every.groupBy(key).agg(F.min(F.struct("_part", *rest)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def last_wins(parts: list[DataFrame], key: str) -> DataFrame:
+    """As first_wins(), but of rows with one key that of the last table stays, in it the last by all columns."""
+    every = None
+    for i, p in enumerate(parts):
+        p = p.withColumn("_part", F.lit(i))
+        every = p if every is None else every.unionByName(p)
+    rest = [c for c in parts[0].columns if c != key]
+    return every.groupBy(key).agg(F.max(F.struct("_part", *rest)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def except_known(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys of rows that known doesn't have."""
+    return rows.select(*keys).distinct().join(known.select(*keys), keys, "left_anti")
+
+
+def also_in(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys other has too."""
+    return rows.join(other.select(*keys), keys, "left_semi")
+
+
+def child_counts(parents: DataFrame, children: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """id, n: children of each parent (column id), 0 without any, `most` if there are more."""
+    n = children.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    out = parents.select("id").join(n, F.col("id") == F.col("_k"), "left").select("id", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
+    return out if most is None else out.withColumn("n", F.least("n", F.lit(most).cast("long")))
+
+
+def main_companies(mappings: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The company that most of a source's active postings belong to: source_name, company_key, company, n, live. Of equals the last key."""
+    m, j = mappings.where("removed_at IS NULL"), jobs.where("company_key <> ''")
+    g = m.join(j, m["canonical_id"] == j["id"]).groupBy("source_name", "company_key").agg(F.max("company").alias("company"), F.count("*").alias("n"), F.count_if(F.col("status").isin("LIVE", "AGING")).alias("live"))
+    top = F.max(F.struct("n", "company_key", "company", "live")).alias("t")
+    return g.groupBy("source_name").agg(top).select("source_name", "t.company_key", "t.company", "t.n", "t.live")
+
+
+def runs_by_day(runs: DataFrame) -> DataFrame:
+    """day, n, ok, fetched."""
+    return runs.groupBy(F.to_date("started_at").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.sum("fetched").alias("fetched"))
+
+
+def by_json_number(rows: DataFrame, payload: str, path: str, value: str) -> DataFrame:
+    """k, n, mean of value by the whole number at a path of a JSON column; null where there is none."""
+    return rows.groupBy(F.get_json_object(payload, path).try_cast("long").alias("k")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def feed_summary(jobs: DataFrame, mappings: DataFrame, today: Column) -> DataFrame:
+    """live, added, expired, removed: postings with a real source that are visible, or became so, expired or were removed since `today` began. One pass.
+
+    jobs: id, status, posted_at, expired_at, removed_at.
+    """
+    c = F.col
+    real = has_real_source(jobs, mappings)
+    seen = c("status").isin("LIVE", "AGING")
+    return real.agg(
+        F.count_if(seen).alias("live"), F.count_if(seen & (c("posted_at") >= today)).alias("added"), F.count_if((c("status") == "EXPIRED") & (c("expired_at") >= today)).alias("expired"), F.count_if((c("status") == "REMOVED") & (c("removed_at") >= today)).alias("removed"),
+    )
+
+
+def day_start(at: Column, zone: str) -> Column:
+    """When the day of a UTC time began in a zone, in UTC."""
+    return F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(at.cast("timestamp"), zone)), zone).cast("timestamp_ntz")
+
+
+def source_stats(raws: DataFrame, mappings: DataFrame, jobs: DataFrame) -> DataFrame:
+    """source, n_raw, n_active, n_live of every source that has raw rows or mappings. raws: source; mappings: source, canonical_id, removed_at; jobs: id, status."""
+    r = raws.groupBy("source").agg(F.count("*").alias("n_raw"))
+    live = jobs.where(F.col("status").isin("LIVE", "AGING")).select(F.col("id").alias("_j"))
+    m = mappings.where("removed_at IS NULL").join(live, F.col("canonical_id") == F.col("_j"), "left")
+    m = m.groupBy("source").agg(F.count("*").alias("n_active"), F.countDistinct("_j").alias("n_live"))
+    return r.join(m, "source", "full_outer").na.fill(0, ["n_raw", "n_active", "n_live"])
+
+
+def reason_counts(decided: DataFrame, reason: str) -> DataFrame:
+    """One row: n, and a map of each reason to how often it was met; rows without one aren't in the map."""
+    n = decided.groupBy(reason).agg(F.count("*").alias("n"))
+    return n.agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(reason).isNotNull(), F.struct(F.col(reason).alias("key"), F.col("n").alias("value")))))).alias("reasons"))
+
+
+def batch_totals(reports: DataFrame, counters: list[str]) -> DataFrame:
+    """Sums of counters over JSON reports (column value, a document each), and n, how many there were; texts that aren't reports count 0."""
+    return reports.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.get_json_object("value", f"$.{c}").try_cast("long")), F.lit(0)).alias(c) for c in counters])
+
+
+def in_locale_order(df: DataFrame, column: str, *then: Column) -> DataFrame:
+    """df ordered as readers expect names: accents and case decide only between names that are else alike."""
+    return df.orderBy(F.collate(F.col(column), "UNICODE"), *then)
+
+
+def top_children(children: DataFrame, key: str, latest: str, n: int = 5) -> DataFrame:
+    """The n latest rows of each key with their place (1 is the latest); of equals the smallest id first."""
+    return children.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(latest), "id"))).where(F.col("place") <= n)
+
+
+def in_given_order(ranked: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows whose ids ranked (id, place) names, with the place: details fetched for a page come back in the page's order."""
+    return ranked.select("id", "place").join(rows, "id")

@@ -90,3 +90,8 @@ def latest_checkpoint(runs: DataFrame, within: int = 10) -> DataFrame:
     w = Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("id"))
     last = runs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= within).where(F.col("exhausted") | F.col("checkpoint").isNotNull())
     return last.groupBy("source").agg(F.min_by("id", "n").alias("id"))
+
+
+def deadline_bucket(deadline: Column, as_of: Column) -> Column:
+    """NO_DEADLINE, OVERDUE (before today) or UPCOMING."""
+    return F.when(deadline.isNull(), "NO_DEADLINE").when(deadline < F.date_trunc("day", as_of), "OVERDUE").otherwise("UPCOMING")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from postforge import bindings as B
 from postforge.bindings import AS_OF, as_of, view
 from postforge.functions import rules as R
-from postforge.functions import salary, text, urls
-from postforge.operators import describe, feed, lifecycle, matching, network, normalize, pages, reports, tracker
+from postforge.functions import text, urls
+from postforge.operators import feed, lifecycle, links, matching, network, normalize, pages, reports, tracker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -224,18 +224,6 @@ def sanitized_text(spark, d):
     return view(spark, d, "canonical", "id", "description").select("id", text.sanitize(F.col("description")).alias("t"))
 
 
-@query()
-def short_summary(spark, d):
-    c = F.col
-    return view(spark, d, "canonical").select("id", text.short_summary(c("title"), c("company"), c("work_mode"), c("description")).alias("summary"))
-
-
-@query()
-def salary_extract(spark, d):
-    s = salary.from_text(F.col("description"), F.lit(None).cast("string"), F.col("region"))
-    return view(spark, d, "canonical").select("id", s["low"].alias("low"), s["high"].alias("high"), s["currency"].alias("currency"))
-
-
 def _host(u: str) -> str:
     return f"lower(regexp_extract({u}, '^https?://([^/?#:]+)', 1))"
 
@@ -295,16 +283,7 @@ x AS (SELECT c.id, apply_url, demo, coalesce(sure, live) AS best, sure, regexp_m
 SELECT id, CASE WHEN own THEN apply_url WHEN NOT demo AND best IS NOT NULL THEN best[4] END AS href, CASE WHEN own THEN 'APPLY' WHEN NOT demo AND best IS NOT NULL THEN 'SOURCE' END AS kind, CASE WHEN own OR (NOT demo AND best IS NOT NULL) THEN CASE WHEN sure IS NOT NULL THEN 'TRUSTED' ELSE 'CAUTION' END ELSE 'UNAVAILABLE' END AS level FROM x""", "canonical", "mapping")
 def resolved_links(spark, d):
     m = view(spark, d, "mapping", "canonical_id", "id", "source_name", "source_url", "is_primary")
-    s = m.groupBy("canonical_id").agg(F.array_sort(F.collect_list(F.struct("id", "source_name", "source_url", "is_primary"))).alias("sources"))
-    c = view(spark, d, "canonical", "id", "apply_url").join(s, F.col("id") == F.col("canonical_id"))
-    r = urls.resolve_links(F.col("apply_url"), F.col("sources"))
-    return c.select("id", r.alias("r")).select("id", "r.href", "r.kind", "r.level")
-
-
-@query()
-def posting_ids(spark, d):
-    m = view(spark, d, "mapping", "id", "source_id", "source_name", "source_url")
-    return m.select("id", "source_id", urls.posting_id(F.col("source_url"), F.col("source_url"), urls.source_family(F.col("source_name")), F.col("source_id")).alias("posting_id"), urls.ats_match(F.col("source_url")).alias("board"))
+    return links.resolved(view(spark, d, "canonical", "id", "apply_url"), m).select("id", "href", "kind", "level")
 
 
 _SUFFIX = R.COMPANY_SUFFIX.removeprefix(r"\b").removesuffix("$")
@@ -316,12 +295,6 @@ def company_key_clean(spark, d):
     return view(spark, d, "canonical", "id", "company").select("id", text.clean_company(F.col("company")).alias("name"), text.company_key(F.col("company")).alias("k"))
 
 
-@query()
-def normalize_postings(spark, d):
-    raw = view(spark, d, "incoming").withColumns({"source_id": F.col("id").cast("string"), "source_url": F.lit(None).cast("string"), "salary_currency": F.lit(None).cast("string"), "fetched_at": as_of(), "work_mode": F.lit(None).cast("string")})
-    return normalize.normalize(raw).select("id", "reject_reason", "company", "location", "region", "role_family", "work_mode", "employment_type", "experience_level", "title_core_key", "location_key", "duplicate_cluster_id", "salary_min", "salary_max", "salary_currency", "short_summary")
-
-
 # --- pages -----------------------------------------------------------------------------------------------------------
 
 
@@ -331,19 +304,6 @@ def html_links(spark, d):
     return p.select("page_id", F.size(pages.links(F.col("html"))).cast("long").alias("n_links"), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"))
 
 
-@query()
-def html_route(spark, d):
-    r = pages.route(F.col("html"))
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", r["route"].alias("route"), F.round(r["confidence"], 4).alias("confidence"), pages.heading(F.col("html")).alias("heading"))
-
-
-@query()
-def line_diff_stats(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lag("text").over(w).alias("left"), F.col("text").alias("right"))
-    return pages.line_diff(c)
-
-
 # --- matching and merging --------------------------------------------------------------------------------------------
 
 
@@ -361,7 +321,10 @@ def exact_key_match(spark, d):
     return matching.exact_matches(new, m, known).where("how = 'postingIdKey'").select("new_id", "known_id")
 
 
-def _similar_sql() -> str:
+_BLOCKS = "k.company_key = n.company_key AND n.company_key <> 'unknown' AND ((k.core = n.core AND n.core <> '') OR (k.fp = n.fp AND n.fp <> '') OR (k.loc = n.loc AND n.loc <> '')) AND (n.region IS NULL OR k.region IS NULL OR k.region = n.region)"
+
+
+def _similar_sql(where: str = " WHERE c OR t OR (st >= 2 AND (sd >= 4 OR ss >= 4))", on: str = _BLOCKS) -> str:
     core = f"array_to_string([w for w in string_split_regex(regexp_replace(lower(title), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+') if w <> '' AND w NOT IN {inlist(R.TITLE_STOP_WORDS)}], '-')"
     key = "trim(regexp_replace(replace(lower(title), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-')"
     loc = f"array_to_string(list_sort([regexp_replace(trim(x), '\\s+', '-', 'g') for x in string_split({_PLACE}, ',') if trim(x) <> '']), '|')"
@@ -371,22 +334,62 @@ def _similar_sql() -> str:
     return f"""+ k AS (SELECT {cols} FROM canonical), n AS (SELECT {cols} FROM incoming),
 p AS (SELECT k.id AS known_id, n.id AS new_id, k.core = n.core AS c, k.tk = n.tk AS t, k.fp = n.fp AND k.fp <> '' AS f, k.loc = n.loc AS l, k.role_family = n.role_family AS r, k.work_mode = n.work_mode AS w,
   {tok('k', 'n', 'core')} AS st, {tok('k', 'n', 'fp')} AS sd, len([x for x in n.sn if list_contains(k.sn, x)]) AS ss, abs(epoch_us(k.posted_at) - epoch_us(n.posted_at)) / 86400000000.0 AS ap
-  FROM k JOIN n ON k.company_key = n.company_key AND n.company_key <> 'unknown' AND ((k.core = n.core AND n.core <> '') OR (k.fp = n.fp AND n.fp <> '') OR (k.loc = n.loc AND n.loc <> '')) AND (n.region IS NULL OR k.region IS NULL OR k.region = n.region))
+  FROM k JOIN n ON {on})
 SELECT known_id, new_id, CAST(CASE WHEN c OR t OR (st >= 2 AND (sd >= 4 OR ss >= 4)) THEN CASE WHEN c THEN 30 ELSE 0 END + CASE WHEN t THEN 16 ELSE 0 END + CASE WHEN f THEN 20 ELSE least(sd * 2, 14) END + least(st * 7, 21) + least(ss * 2, 10)
-  + CASE WHEN l THEN 12 ELSE 0 END + CASE WHEN r THEN 10 ELSE 0 END + CASE WHEN w THEN 3 ELSE 0 END + CASE WHEN ap <= 7 THEN 10 WHEN ap <= 21 THEN 6 WHEN ap <= 45 THEN 3 ELSE 0 END ELSE 0 END AS BIGINT) AS score FROM p"""
+  + CASE WHEN l THEN 12 ELSE 0 END + CASE WHEN r THEN 10 ELSE 0 END + CASE WHEN w THEN 3 ELSE 0 END + CASE WHEN ap <= 7 THEN 10 WHEN ap <= 21 THEN 6 WHEN ap <= 45 THEN 3 ELSE 0 END ELSE 0 END AS BIGINT) AS score FROM p{where}"""
 
 
 @query(_similar_sql(), "canonical", "incoming")
 def similarity_match(spark, d):
     known, new = _keyed(view(spark, d, "canonical")), _keyed(view(spark, d, "incoming"))
-    return matching.score_pairs(matching.candidates(known, new), known, new).withColumn("score", F.col("score").cast("long"))
+    return matching.score_pairs(known, new).withColumn("score", F.col("score").cast("long"))
+
+
+def identity_sql(u: str) -> str:
+    params = f"list_sort([lower(y) for y in string_split(regexp_extract({u}, '\\?([^#]*)', 1), '&') if split_part(lower(y), '=', 1) IN {inlist(R.STABLE_QUERY_PARAMS)} AND split_part(y, '=', 2) <> ''])"
+    path = f"regexp_replace(regexp_replace(lower(regexp_extract({u}, '^https?://[^/?#]+([^?#]*)', 1)), '/+$', ''), '/{{2,}}', '/', 'g')"
+    return f"CASE WHEN {_host(u)} <> '' THEN {_host(u)} || {path} || CASE WHEN len({params}) > 0 THEN '?' || array_to_string({params}, '&') ELSE '' END END"
+
+
+_CLUSTER = "md5(concat_ws(':', {0}.company_key, {0}.core, {0}.loc, lower(coalesce({0}.region, 'unknown'))))"
+#: Postings of the query go by one kind of key each, so that every rung is met.
+_BEST_SQL = f"""{_similar_sql().replace('SELECT known_id, new_id, CAST(', ', sim AS (SELECT known_id, new_id, CAST(', 1)}),
+m AS (SELECT id AS mid, canonical_id, source_id, {identity_sql('source_url')} AS ak, removed_at, is_primary, source_quality_rank, last_seen_at FROM mapping),
+ki AS (SELECT min(id) AS id, {identity_sql('apply_url')} AS ak FROM canonical GROUP BY 2), ni AS (SELECT id, CASE WHEN id % 4 = 0 THEN {identity_sql('apply_url')} END AS ak, CASE WHEN id % 4 = 1 THEN CAST(id AS VARCHAR) END AS pk FROM incoming),
+kc AS (SELECT min(id) AS id, {_CLUSTER.format('k')} AS ck FROM k GROUP BY 2), nc AS (SELECT id, {_CLUSTER.format('n')} AS ck FROM n WHERE id % 4 <> 3 AND company_key <> 'unknown'),
+u AS (SELECT ni.id AS new_id, canonical_id AS known_id, 'applyUrlKey' AS how, 0 AS rung, 100 AS score, row_number() OVER (PARTITION BY ni.id ORDER BY removed_at ASC NULLS LAST, is_primary DESC, source_quality_rank DESC, last_seen_at DESC, mid) AS rn FROM ni JOIN m ON ni.ak = m.ak
+  UNION ALL SELECT ni.id, canonical_id, 'postingIdKey', 4, 100, row_number() OVER (PARTITION BY ni.id ORDER BY removed_at ASC NULLS LAST, is_primary DESC, source_quality_rank DESC, last_seen_at DESC, mid) FROM ni JOIN m ON ni.pk = m.source_id
+  UNION ALL SELECT ni.id, ki.id, 'applyUrlKey', 1, 100, 1 FROM ni JOIN ki ON ni.ak = ki.ak UNION ALL SELECT nc.id, kc.id, 'duplicateCluster', 6, 95, 1 FROM nc JOIN kc ON nc.ck = kc.ck UNION ALL SELECT new_id, known_id, 'similarity', 9, score, 1 FROM sim WHERE score >= 45)
+SELECT new_id, known_id, how, CAST(score AS BIGINT) AS score FROM u WHERE rn = 1 QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY rung, score DESC, known_id) = 1"""
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """new, mappings, known for the matching queries."""
+    none, i = F.lit(None).cast("string"), F.col("id") % 4
+    known, new = _keyed(view(spark, d, "canonical")), _keyed(view(spark, d, "incoming"))
+    new = new.withColumns({"source_url_key": none, "apply_url_key": F.when(i == 0, F.col("apply_url_key")), "posting_id_key": F.when(i == 1, F.col("id").cast("string")), "duplicate_cluster_id": F.when(i != 3, F.col("duplicate_cluster_id"))})
+    m = view(spark, d, "mapping").withColumns({"posting_id_key": F.col("source_id"), "apply_url_key": urls.identity_key(F.col("source_url")), "source_url_key": none})
+    return new, m, known
 
 
-@query()
+@query(_BEST_SQL, "canonical", "incoming", "mapping")
 def best_match(spark, d):
-    known, new = _keyed(view(spark, d, "canonical")), _keyed(view(spark, d, "incoming")).withColumns({"source_url_key": F.lit(None).cast("string"), "posting_id_key": F.col("id").cast("string")})
-    m = view(spark, d, "mapping").withColumns({"posting_id_key": F.col("source_id"), "apply_url_key": urls.identity_key(F.col("source_url")), "source_url_key": F.lit(None).cast("string")})
-    return matching.best_match(new, m, known)
+    return matching.best_match(*_sides(spark, d)).withColumn("score", F.col("score").cast("long"))
+
+
+def compatible_sql(on: str, own: str = "true") -> str:
+    """CTEs that end in fits(known_id, new_id, fits) of the pairs of k and n that `on` joins; `own` says which incoming rows have a URL key."""
+    url = f"CASE WHEN {own} THEN {identity_sql('i.apply_url')} END"
+    return f"""{_similar_sql("", on).removeprefix("+ ").replace("SELECT known_id, new_id, CAST(", ", z AS (SELECT known_id, new_id, CAST(", 1)}),
+fits AS (SELECT c.id AS known_id, i.id AS new_id, coalesce({identity_sql('c.apply_url')} = {url}, false) OR (i.company_key <> 'unknown' AND c.company_key = i.company_key AND k.core = n.core AND k.loc = n.loc) OR z.score > 0 AS fits FROM z JOIN canonical c ON c.id = z.known_id JOIN incoming i ON i.id = z.new_id JOIN k ON k.id = c.id JOIN n ON n.id = i.id)"""
+
+
+@query("+ " + compatible_sql("k.company_key = n.company_key AND k.id % 10 = n.id % 10") + " SELECT * FROM fits", "canonical", "incoming")
+def compatible_pairs(spark, d):
+    """Whether a posting may stay where it was matched before, for each pair of a company that a stored match joins."""
+    known, new = (matching.prepared(_keyed(view(spark, d, v))) for v in ("canonical", "incoming"))
+    stored = F.col("k.company_key").eqNullSafe(F.col("n.company_key")) & (F.col("k.id") % 10 == F.col("n.id") % 10)
+    return known.alias("k").join(new.alias("n"), stored).select(F.col("k.id").alias("known_id"), F.col("n.id").alias("new_id"), matching.compatible("k", "n").alias("fits"))
 
 
 def _merge_sql() -> str:
@@ -601,15 +604,6 @@ def ranked_feed_page(spark, d):
     return feed.score(seen, m, as_of(), **_TASTE).orderBy(F.desc("total"), "id").limit(feed.PAGE).select("id", F.col("total").cast("long").alias("total"))
 
 
-@query()
-def diversified_feed(spark, d):
-    m = view(spark, d, "mapping", "canonical_id", "source_name", "source_quality_rank", "source_reliability", "id")
-    top = feed.scoring_window(view(spark, d, "canonical").where(feed.visible()))
-    families = m.groupBy("canonical_id").agg(F.array_sort(F.collect_set(urls.source_prefix(F.col("source_name")))).alias("families"))
-    s = feed.score(top, m, as_of(), **_TASTE).join(families, F.col("id") == families["canonical_id"], "left").withColumn("families", F.coalesce("families", F.array().cast("array<string>")))
-    return feed.diversify(s.withColumn("viewer", F.lit(7).cast("long"))).select("id", "position")
-
-
 _SIG = f"+ s AS (SELECT user_id, action, lower(role_family) AS role, lower(company) AS company FROM signal JOIN canonical ON canonical_id = canonical.id WHERE action IN ('SAVE', 'APPLY', 'PASS') AND (epoch_us({NOW}) - epoch_us(signal.created_at)) / 86400000000.0 <= 90)"
 
 
@@ -635,9 +629,10 @@ def fts_prefix_search(spark, d):
     return feed.search(view(spark, d, "canonical", "id", "title", "company", "role_family", "location"), "eng  SW!").select("id")
 
 
-@query("SELECT id FROM canonical WHERE contains(lower(title), 'zz, o') OR contains(lower(company), 'zz, o') OR contains(lower(role_family), 'zz, o')", "canonical")
+@query("SELECT id FROM canonical WHERE contains(lower(title), 'oftware engin') OR contains(lower(company), 'oftware engin') OR contains(lower(role_family), 'oftware engin')", "canonical")
 def fts_fallback_search(spark, d):
-    return feed.search(view(spark, d, "canonical", "id", "title", "company", "role_family", "location"), "zz, o").select("id")
+    """A phrase that begins no word, so that the search falls back to what holds it."""
+    return feed.search(view(spark, d, "canonical", "id", "title", "company", "role_family", "location"), "oftware engin").select("id")
 
 
 @query("SELECT id, salary_max FROM canonical ORDER BY salary_max DESC NULLS FIRST, id LIMIT 40", "canonical")
@@ -731,15 +726,14 @@ def union_first_wins(spark, d):
     return reports.first_wins([view(spark, d, "incoming", "id", "company"), view(spark, d, "canonical", "id", "company")], "id")
 
 
-@query("SELECT DISTINCT company FROM canonical WHERE company NOT IN (SELECT company FROM incoming WHERE id < 3)", "canonical", "incoming")
+@query("SELECT DISTINCT company, title FROM canonical c WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.company = c.company AND i.title = c.title)", "canonical", "incoming")
 def except_known(spark, d):
-    known = view(spark, d, "incoming", "id", "company").where("id < 3")
-    return view(spark, d, "canonical", "company").distinct().join(known, "company", "left_anti")
+    return reports.except_known(view(spark, d, "canonical", "company", "title"), view(spark, d, "incoming", "company", "title"), ["company", "title"])
 
 
 @query("SELECT id, company FROM canonical WHERE company IN (SELECT company FROM incoming) AND status = 'LIVE'", "canonical", "incoming")
 def intersect_ids(spark, d):
-    return view(spark, d, "canonical", "id", "company", "status").where("status = 'LIVE'").join(view(spark, d, "incoming", "company"), "company", "left_semi").select("id", "company")
+    return reports.also_in(view(spark, d, "canonical", "id", "company", "status").where("status = 'LIVE'"), view(spark, d, "incoming", "company"), ["company"]).select("id", "company")
 
 
 # --- sources, sinks and streams --------------------------------------------------------------------------------------
@@ -754,13 +748,13 @@ def upsert_raw(spark, d):
     return upsert(old, new, ["id"]).select("id", "title", "change")
 
 
-@query("SELECT DISTINCT id, tag FROM tag WHERE NOT EXISTS (SELECT 1 FROM tracked t WHERE t.id = tag.id AND t.status = 'O')", "tag", "tracked")
+@query("SELECT DISTINCT id, tag FROM tag t WHERE NOT EXISTS (SELECT 1 FROM tag u JOIN tracked k ON k.id = u.id AND k.status = 'O' WHERE u.id = t.id AND u.tag = t.tag)", "tag", "tracked")
 def insert_ignore_tags(spark, d):
     from postforge.sources.tables import insert_ignore
 
-    known = view(spark, d, "tracked", "id", "status").where("status = 'O'").select("id")
     tags = view(spark, d, "tag", "id", "tag")
-    return tags.dropDuplicates(["id", "tag"]).join(known, "id", "left_anti")
+    held = tags.join(view(spark, d, "tracked", "id", "status").where("status = 'O'").select("id"), "id", "left_semi")
+    return insert_ignore(held, tags, ["id", "tag"])
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
@@ -845,17 +839,6 @@ def resume_checkpoint(spark, d):
 # --- further reports and functions -----------------------------------------------------------------------------------
 
 
-@query()
-def description_blocks(spark, d):
-    b = view(spark, d, "canonical", "id", "description").select("id", describe.blocks(F.col("description")).alias("b"), describe.worth(F.col("description")).alias("w"))
-    return b.select("id", F.size("b").cast("long").alias("n_blocks"), F.array_join(F.col("b.kind"), ",").alias("kinds"), F.round("w", 4).alias("worth"))
-
-
-@query()
-def career_links(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.size(pages.career_links(F.col("html"), F.col("url"))).cast("long").alias("n"))
-
-
 @query(f"SELECT source_name, CAST(split_part(source_name, ':', 1) AS VARCHAR) AS prefix, lower(trim(split_part(source_name, ':', 1))) AS family, count(*) AS n FROM mapping GROUP BY 1, 2, 3", "mapping")
 def source_families(spark, d):
     c = F.col("source_name")
@@ -879,21 +862,17 @@ def ranking_top_50(spark, d):
 
 @query("SELECT c.id, CAST(least(25, count(m.canonical_id)) AS BIGINT) AS n FROM canonical c LEFT JOIN mapping m ON m.canonical_id = c.id AND m.removed_at IS NULL GROUP BY 1", "canonical", "mapping")
 def bounded_child_count(spark, d):
-    n = view(spark, d, "mapping", "canonical_id", "removed_at").where("removed_at IS NULL").groupBy("canonical_id").agg(F.least(F.count("*"), F.lit(25)).alias("n"))
-    c = view(spark, d, "canonical", "id")
-    return c.join(n, c["id"] == n["canonical_id"], "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return reports.child_counts(view(spark, d, "canonical", "id"), view(spark, d, "mapping", "canonical_id", "removed_at").where("removed_at IS NULL"), "canonical_id", 25)
 
 
 @query("SELECT id, arg_max(company, part) AS company FROM (SELECT id, company, (0, company) AS part FROM incoming UNION ALL SELECT id, company, (1, company) AS part FROM canonical) GROUP BY 1", "incoming", "canonical")
 def union_last_wins(spark, d):
-    a, b = (view(spark, d, v, "id", "company").withColumn("_p", F.lit(i)) for i, v in enumerate(("incoming", "canonical")))
-    return a.unionByName(b).groupBy("id").agg(F.max_by("company", F.struct("_p", "company")).alias("company"))
+    return reports.last_wins([view(spark, d, v, "id", "company") for v in ("incoming", "canonical")], "id")
 
 
 @query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def json_path_stats(spark, d):
-    k = F.get_json_object("props", "$.k").try_cast("long")
-    return spark.read.parquet(f"{d}/events.parquet").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return reports.by_json_number(spark.read.parquet(f"{d}/events.parquet"), "props", "$.k", "value").select("k", "n", F.round("mean", 6).alias("mean"))
 
 
 @query("+ g AS (SELECT source, count(*) AS n, sum(fetched) AS fetched FROM run WHERE status = 'SUCCESS' GROUP BY 1) SELECT s.id, CAST(coalesce(g.fetched, s.fetched) AS BIGINT) AS fetched, CAST(coalesce(g.n, 0) AS BIGINT) AS n FROM source s LEFT JOIN g ON g.source = 'source' || CAST(s.id AS VARCHAR)", "run", "source")
@@ -905,24 +884,20 @@ def backfill_from_aggregate(spark, d):
 
 @query("SELECT m.source_name, c.company_key, max(c.company) AS company, count(*) AS n, count(*) FILTER (c.status IN ('LIVE', 'AGING')) AS live FROM mapping m JOIN canonical c ON c.id = m.canonical_id WHERE m.removed_at IS NULL AND c.company_key <> '' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY m.source_name ORDER BY count(*) DESC, c.company_key DESC) = 1", "mapping", "canonical")
 def seed_sources_window(spark, d):
-    m, c = view(spark, d, "mapping", "canonical_id", "source_name", "removed_at").where("removed_at IS NULL"), view(spark, d, "canonical", "id", "company_key", "company", "status").where("company_key <> ''")
-    g = m.join(c, m["canonical_id"] == c["id"]).groupBy("source_name", "company_key").agg(F.max("company").alias("company"), F.count("*").alias("n"), F.count_if(F.col("status").isin("LIVE", "AGING")).alias("live"))
-    w = Window.partitionBy("source_name").orderBy(F.desc("n"), F.desc("company_key"))
-    return g.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    return reports.main_companies(view(spark, d, "mapping", "canonical_id", "source_name", "removed_at"), view(spark, d, "canonical", "id", "company_key", "company", "status"))
 
 
-@query("SELECT id, array_to_string(list_slice(list_sort(list_distinct([left(trim(x), 40) for x in string_split(title || ', ' || company, ',') if trim(x) <> ''])), 1, 5), '|') AS tags FROM canonical", "canonical")
+@query("SELECT id, array_to_string(list_sort(list_distinct([left(trim(x), 40) for x in string_split(title || ', ' || company, ',') if trim(x) <> ''])), '|') AS tags FROM canonical", "canonical")
 def normalized_tags(spark, d):
     t = text.tags(F.split(F.concat_ws(", ", "title", "company"), ","))
-    return view(spark, d, "canonical", "id", "title", "company").select("id", F.array_join(F.slice(t, 1, 5), "|").alias("tags"))
+    return view(spark, d, "canonical", "id", "title", "company").select("id", F.array_join(t, "|").alias("tags"))
 
 
 @query("SELECT date_trunc('day', started_at)::DATE::VARCHAR AS day, count(*) AS n, count(*) FILTER (status = 'SUCCESS') AS ok, CAST(sum(fetched) AS BIGINT) AS fetched FROM run GROUP BY 1", "run")
 def runs_by_day(spark, d):
-    return view(spark, d, "run").groupBy(F.to_date("started_at").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.sum("fetched").alias("fetched"))
+    return reports.runs_by_day(view(spark, d, "run"))
 
 
 @query(f"SELECT id, CASE WHEN deadline IS NULL THEN 'NO_DEADLINE' WHEN deadline < date_trunc('day', {NOW}) THEN 'OVERDUE' ELSE 'UPCOMING' END AS bucket FROM tracked", "tracked")
 def deadline_buckets(spark, d):
-    c = F.col("deadline")
-    return view(spark, d, "tracked", "id", "deadline").select("id", F.when(c.isNull(), "NO_DEADLINE").when(c < F.date_trunc("day", as_of()), "OVERDUE").otherwise("UPCOMING").alias("bucket"))
+    return view(spark, d, "tracked", "id", "deadline").select("id", tracker.deadline_bucket(F.col("deadline"), as_of()).alias("bucket"))

@@ -57,6 +57,15 @@ def _remote_place(c: str) -> str:
     return f"CASE WHEN coalesce(trim({c}), '') = '' THEN 'Remote' WHEN {c} RLIKE '(?i)worldwide|anywhere' THEN 'Remote (Worldwide)' WHEN {c} RLIKE '(?i)north ?america' THEN 'Remote (North America)' WHEN {c} RLIKE '(?i)usa? ?only|^usa?$|united states' THEN 'Remote (US Only)' WHEN {c} RLIKE '(?i)canada' THEN 'Remote (Canada)' WHEN trim({c}) LIKE 'Remote%' THEN trim({c}) ELSE concat('Remote (', trim({c}), ')') END"
 
 
+def _plain(c: str) -> str:
+    """Text of HTML with the line ends of blocks and breaks."""
+    c = f"regexp_replace(regexp_replace(regexp_replace({c}, '(?i)<br\\\\s*/?>', '\n'), '(?i)</?(p|div|li|ul|ol|h[1-6])[^>]*>', '\n'), '<[^>]+>', '')"
+    for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\\'")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return f"trim(BOTH '\n ' FROM regexp_replace({c}, '\n{{3,}}', '\n\n'))"
+
+
+_TALEO = "concat('https://', split_part(token, '/', 1), '.taleo.net/careersection/', split_part(token, '/', 2), '/{}.ftl?job=', j.contestNo, '&lang=en')"
 _NAME = "initcap(regexp_replace(token, '[-_]+', ' '))"
 
 BOARDS = {
@@ -138,6 +147,10 @@ BOARDS = {
         "apply_url": "concat('https://', split_part(token, '/', 1), '/', split_part(token, '/', 3), j.externalPath)", "work_mode": _mode("j.remoteType"), "description": "concat_ws('\n', array_join(j.bulletFields, '\n'))",
         "posted_at": "CASE WHEN j.postedOn RLIKE '(?i)today' THEN fetched_at WHEN j.postedOn RLIKE '(?i)yesterday' THEN timestampadd(DAY, -1, fetched_at) WHEN j.postedOn RLIKE '(?i)[0-9]+[+]? days? ago' THEN timestampadd(DAY, -CAST(regexp_extract(j.postedOn, '([0-9]+)', 1) AS INT), fetched_at) END",
     }, where="j.externalPath <> ''"),
+    "taleo": Board("Taleo", "requisitionList array<struct<contestNo:string,title:string,location:string,postingDate:string,openingDate:string,closingDate:string,description:string,qualifications:string,additionalInfo:string>>", "p.requisitionList", {
+        "source_id": "concat('taleo:', split_part(token, '/', 1), ':', j.contestNo)", "source_url": _TALEO.format("jobdetail"), "apply_url": _TALEO.format("jobapply"), "title": f"coalesce({_t('j.title')}, 'Untitled Position')", "company": "initcap(regexp_replace(split_part(token, '/', 1), '[-_]+', ' '))",
+        "location": f"coalesce({_t('j.location')}, 'Not specified')", "description": _plain("array_join(filter(array(j.description, j.qualifications, j.additionalInfo), x -> x <> ''), '\n\n')"), "posted_at": _time("coalesce(j.postingDate, j.openingDate)"), "deadline": _time("j.closingDate"),
+    }),
 }
 
 
@@ -160,7 +173,11 @@ def read(spark: SparkSession, path: str, board: str, token: str, fetched_at: str
 
 def read_job_bank(spark: SparkSession, path: str, fetched_at: str) -> DataFrame:
     """The job bank's table: UTF-16LE, tab-separated, with `NA` and `*No data` for missing values. Rows without id or title are left out; wages are made annual."""
-    raw = spark.read.option("sep", "\t").option("encoding", "UTF-16LE").option("lineSep", "\n").option("header", True).option("quote", "").csv(path)
+    return job_bank(spark.read.option("sep", "\t").option("encoding", "UTF-16LE").option("lineSep", "\n").option("header", True).option("quote", "").csv(path), fetched_at)
+
+
+def job_bank(raw: DataFrame, fetched_at: str) -> DataFrame:
+    """Postings of the job bank's rows, all columns text and named as in its files."""
     names = {c.strip().lstrip("﻿").lower(): c for c in raw.columns}
 
     def get(name: str):
@@ -184,14 +201,42 @@ def read_job_bank(spark: SparkSession, path: str, fetched_at: str) -> DataFrame:
     )
 
 
-def read_pages(pages: DataFrame, token: str, fetched_at: str) -> DataFrame:
-    """Postings that pages (url, html) describe as JSON-LD, as company sites and several applicant systems do."""
-    from postforge.operators.pages import json_ld, posting
-
-    rows = pages.select("url", F.posexplode(json_ld(F.col("html"))).alias("n", "block")).select("url", "n", posting(F.col("block")).alias("j"))
-    values = {"source_id": F.concat_ws("#", "url", F.col("n").cast("string")), "source_url": F.col("url"), "title": F.col("j.title"), "company": F.col("j.company"), "location": F.col("j.location"), "apply_url": F.col("url"), "posted_at": F.try_to_timestamp(F.col("j.posted")), "salary_min": F.col("j.salary_min").try_cast("double"), "salary_max": F.col("j.salary_max").try_cast("double")}
-    cols = [values.get(c, F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()]
-    return rows.where("j.title IS NOT NULL").select(F.lit(f"CompanySite:{token}").alias("source_name"), *cols, F.lit("INCREMENTAL").alias("freshness_mode"), F.lit(fetched_at).cast("timestamp_ntz").alias("fetched_at"))
+def company_site(listings: DataFrame, details: DataFrame) -> DataFrame:
+    """Postings of company sites. listings, details: token, company, url, html, fetched_at of landed pages.
+
+    A page's structured data goes before data embedded in its scripts; where neither says anything, the detail pages that its
+    links lead to are read, by their own structured data or else by heading and text. A posting is known by its requisition, else by URL and title.
+    """
+    from postforge.operators import pages
+
+    c = F.col
+
+    def found(df: DataFrame) -> DataFrame:
+        jobs = F.concat(pages.structured(c("html"), c("url"), False), pages.structured(c("html"), c("url"), True))
+        return df.withColumn("jobs", jobs)
+
+    lists = found(listings)
+    own = lists.select("token", "company", "fetched_at", F.explode("jobs").alias("j")).select("token", "fetched_at", F.coalesce("j.company", "company").alias("company"), "j.title", "j.location", "j.description", "j.source_url", "j.apply_url", "j.posted", "j.due", "j.requisition")
+    open_ = lists.where(F.size("jobs") == 0).select(c("token").alias("_t"), F.explode(pages.job_links(c("html"), c("url"))["href"]).alias("_u")).distinct()
+    read = found(details.join(open_, (c("token") == c("_t")) & (c("url") == c("_u")), "left_semi"))
+    plain = F.when(F.size("jobs") == 0, pages.detail(c("html"), c("url")))
+    read = read.withColumn("d", plain)
+    by_data = read.select("token", "company", "fetched_at", F.explode("jobs").alias("j")).select("token", "fetched_at", F.coalesce("j.company", "company").alias("company"), "j.title", "j.location", "j.description", "j.source_url", "j.apply_url", "j.posted", "j.due", "j.requisition")
+    by_text = read.where("d IS NOT NULL").select("token", "fetched_at", "company", "d.title", "d.location", "d.description", c("url").alias("source_url"), "d.apply_url", "d.posted", "d.due", F.lit(None).cast("string").alias("requisition"))
+    df = own.union(by_data).union(by_text)
+    text = F.concat_ws("\n", "title", "description")
+    pay = r"([$£€])\s?(\d[\d,]{2,})\s*(?:-|–|—|to)\s*(?:[$£€])?\s?(\d[\d,]{2,})"
+    money = lambda i: F.replace(F.regexp_extract("description", pay, i), F.lit(","), F.lit("")).try_cast("double")
+    sign = F.regexp_extract("description", pay, 1)
+    word = lambda p: text.rlike(rf"(?i)\b({p})\b")
+    when = lambda n: F.coalesce(F.try_to_timestamp(c(n)), F.try_to_timestamp(c(n), F.lit("MMMM d, yyyy")), F.try_to_timestamp(c(n), F.lit("MMM d, yyyy")), F.try_to_timestamp(c(n), F.lit("MMMM d yyyy")))
+    values = {
+        "source_id": F.concat(F.lit("company:"), F.coalesce("requisition", F.sha2(F.concat_ws("|", "source_url", "title"), 256))), "source_url": c("source_url"), "title": c("title"), "company": c("company"), "location": F.coalesce("location", F.lit("Unknown")), "description": c("description"),
+        "apply_url": c("apply_url"), "posted_at": when("posted"), "deadline": when("due"), "employment_type": F.when(word("intern(ship)?"), "INTERNSHIP").when(word("contract"), "CONTRACT").when(word("part[- ]?time"), "PART_TIME"),
+        "work_mode": F.when(word("hybrid"), "HYBRID").when(word("remote"), "REMOTE").when(word("on[- ]site|in office"), "ONSITE"), "salary_min": money(2), "salary_max": money(3), "salary_currency": F.when(sign == "$", "USD").when(sign == "£", "GBP").when(sign == "€", "EUR"),
+    }
+    cols = [values[k].cast(t).alias(k) for k, t in COLUMNS.items()]
+    return df.select(F.concat(F.lit("CompanySite:"), "token").alias("source_name"), *cols, F.lit("INCREMENTAL").alias("freshness_mode"), "fetched_at").dropDuplicates(["source_name", "source_id"])
 
 
 def seed_urls(lines: DataFrame) -> DataFrame:

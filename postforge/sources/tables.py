@@ -1,9 +1,20 @@
-"""Tables kept up to date without a table format: each change is a new version folder, and readers follow a pointer."""
+"""Tables kept up to date without a table format: rows are dealt into buckets by their keys, a change writes the buckets it touches
+as a new version, and readers follow a list of which version each bucket is in."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import re
+import tempfile
+
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Buckets of a table; fixed for its life. A change costs the buckets that it touches, so a large table has thousands.
+BUCKETS = 64
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,15 +35,52 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*key, *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in rest], change.alias("change"))
 
 
+def upsert_mappings(old: DataFrame, new: DataFrame, key: str = "raw_id", target: str = "canonical_id") -> DataFrame:
+    """upsert() by the raw row, and previous: where a mapping pointed before, if it points elsewhere now."""
+    before = old.select(F.col(key).alias("_k"), F.col(target).alias("_was"))
+    out = upsert(old, new, [key]).join(before, F.col(key) == F.col("_k"), "left")
+    return out.withColumn("previous", F.when(F.col("_was") != F.col(target), F.col("_was"))).drop("_k", "_was")
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """new's rows whose keys old doesn't have, one per key: what is to be appended."""
     return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
 
 
 def merge_companies(rows: DataFrame) -> DataFrame:
-    """One record per company_key: the longest name, the first known domain and site by id, the highest confidence, all aliases."""
+    """One record per company_key: the longest name, the first known domain, site and board kind by id, the highest confidence, all aliases."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
-    return rows.groupBy("company_key").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"), first("domain"), first("careers_url"), F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
+    one = rows.groupBy("company_key").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"), first("domain"), first("careers_url"), first("detected_ats"), F.max("confidence").alias("confidence"))
+    names = rows.select(F.col("company_key").alias("_k"), F.explode("aliases").alias("a")).groupBy("_k").agg(F.array_sort(F.collect_set("a")).alias("aliases"))
+    return one.join(names, F.col("company_key").eqNullSafe(F.col("_k")), "left").drop("_k")
+
+
+def _merged(old: str | None, new: str | None) -> str | None:
+    a, b = (json.loads(x) if x else None for x in (old, new))
+    if not a or not b:
+        return json.dumps(a or b, ensure_ascii=False) if a or b else None
+    for k, v in b.items():
+        if isinstance(a.get(k), list) and isinstance(v, list):
+            a[k] = list({json.dumps(x): x for x in [*a[k], *v]}.values())
+        elif isinstance(a.get(k), dict) and isinstance(v, dict):
+            a[k] = {**a[k], **v}
+        elif v is not None:
+            a[k] = v
+    return json.dumps(a, ensure_ascii=False)
+
+
+@F.pandas_udf(StringType())
+def merged_json(old: pd.Series, new: pd.Series) -> pd.Series:
+    """A JSON object brought up to date by another: lists are united, objects joined, other values replaced unless null. Objects have no common schema, hence in Arrow batches."""
+    return pd.Series([_merged(a, b) for a, b in zip(old, new, strict=True)], dtype=object)
+
+
+def assign_companies(jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """jobs with company_id of their company_key, and changed: whether it was another. companies: company_key, company_id; jobs without one there keep theirs."""
+    c = companies.select(F.col("company_key").alias("_k"), F.col("company_id").alias("_id"))
+    out = jobs.join(c, F.col("company_key") == F.col("_k"), "left")
+    changed = F.col("_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("company_id"))
+    return out.withColumn("changed", changed).withColumn("company_id", F.coalesce("_id", "company_id")).drop("_k", "_id")
 
 
 def drop_orphans(tags: DataFrame, links: DataFrame) -> DataFrame:
@@ -40,12 +88,97 @@ def drop_orphans(tags: DataFrame, links: DataFrame) -> DataFrame:
     return tags.join(links.select(F.col("tag_id").alias("id")), "id", "left_semi")
 
 
-def write_version(df: DataFrame, folder: str, version: int) -> None:
-    """Writes a version, then the pointer to it; a job that fails in between leaves the last version in force."""
-    df.write.parquet(f"{folder}/v={version}")
-    df.sparkSession.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{folder}-current")
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as JSON lines; one that is there already is replaced."""
+    df.write.mode("overwrite").json(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; on a cluster spark.checkpoint.dir must name where."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        return tempfile.mkdtemp(prefix=f"spark-{name}-")
+    return f"{base.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+
+
+# --- versions --------------------------------------------------------------------------------------------------------
+
+
+def bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def current(spark: SparkSession, folder: str) -> dict[int, int] | None:
+    """The version that each bucket is in; null if nothing was written yet. As many entries as buckets at most."""
+    lists = _lists(spark, folder)
+    return None if lists is None else lists[max(lists)]
+
+
+def _lists(spark: SparkSession, folder: str) -> dict[int, dict[int, int]] | None:
+    """Every list that is kept, by its version."""
+    try:
+        rows = spark.read.schema("bucket int, data long, version long").parquet(f"{folder}-current").collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    out: dict[int, dict[int, int]] = {}
+    for r in rows:
+        out.setdefault(r["version"], {})[r["bucket"]] = r["data"]
+    return out or None
+
+
+def _paths(folder: str, where: dict[int, int]) -> list[str]:
+    return [f"{folder}/v={v}/bucket={b}" for b, v in sorted(where.items())]
+
+
+def apply_batch(spark: SparkSession, folder: str, batch: DataFrame, keys: list[str], version: int, buckets: int = BUCKETS) -> None:
+    """Folds a batch into the table as a version. Only buckets that the batch touches are read and written.
+
+    A version that is in force already is passed over. One that failed, at whatever point, may be repeated: its files replace
+    what is left of it, and it is in force only once its list is written. Versions but the last two are removed.
+    """
+    lists = _lists(spark, folder) or {}
+    if lists and max(lists) >= version:
+        return
+    now = lists[max(lists)] if lists else {}
+    dealt = batch.withColumn("bucket", bucket(keys, buckets))
+    touched = {r["bucket"] for r in dealt.select("bucket").distinct().collect()}
+    old = _paths(folder, {b: v for b, v in now.items() if b in touched})
+    known = spark.read.schema(batch.schema).parquet(*old) if old else batch.limit(0)
+    merged = upsert(known, batch, keys).drop("change").withColumn("bucket", bucket(keys, buckets))
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={version}")
+    commit(spark, folder, now | dict.fromkeys(touched, version), version)
+    remove_unused(spark, folder)
+
+
+def commit(spark: SparkSession, folder: str, where: dict[int, int], version: int) -> None:
+    """Puts a version in force. An empty first batch has no bucket and puts nothing in force."""
+    spark.createDataFrame(sorted(where.items()), "bucket int, data long").coalesce(1).write.mode("overwrite").parquet(f"{folder}-current/version={version}")
+
+
+def remove_unused(spark: SparkSession, folder: str, keep: int = 2) -> None:
+    """Removes the lists of all versions but the last ones, and what no list that is left names. Readers of older versions must be done."""
+    lists = _lists(spark, folder) or {}
+    last = sorted(lists)[-keep:]
+    used = {(v, b) for n in last for b, v in lists[n].items()}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(folder).getFileSystem(conf)
+    for n in sorted(lists)[:-keep]:
+        fs.delete(path(f"{folder}-current/version={n}"), True)
+    for v in {v for n in lists for v in lists[n].values()}:
+        own = {b for w, b in used if w == v}
+        if not own:
+            fs.delete(path(f"{folder}/v={v}"), True)
+        else:
+            for b in {b for n in lists for b, w in lists[n].items() if w == v} - own:
+                fs.delete(path(f"{folder}/v={v}/bucket={b}"), True)
 
 
-def read_current(spark: SparkSession, folder: str) -> DataFrame:
-    version = spark.read.parquet(f"{folder}-current").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{folder}/v={version}")
+def read_current(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The table as of its version in force; empty if nothing was written yet."""
+    where = current(spark, folder)
+    return spark.read.schema(schema).parquet(*_paths(folder, where)) if where else spark.createDataFrame([], schema)

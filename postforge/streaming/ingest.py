@@ -2,38 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from postforge.sources.tables import read_current, upsert, write_version
+from postforge.sources.tables import BUCKETS, apply_batch
 
 
-def ingest(stream: DataFrame, folder: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+def ingest(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], buckets: int = BUCKETS) -> StreamingQuery:
     """Folds each batch of `stream` into the table below `folder`, then stops (all that is there now is taken).
 
-    A batch writes the version of its own number, so one that is repeated after a failure finds its pointer and is passed over.
+    A batch writes the version of its own number, so one that is repeated after a failure goes on where it failed, and is passed over if it had been done.
     """
     spark = stream.sparkSession
-
-    def fold(batch: DataFrame, number: int) -> None:
-        known = current_version(spark, folder)
-        if known is not None and known >= number:
-            return
-        old = batch.limit(0) if known is None else read_current(spark, folder)
-        write_version(upsert(old, batch, keys).drop("change"), folder, number)
-
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current_version(spark: SparkSession, folder: str) -> int | None:
-    try:
-        return spark.read.parquet(f"{folder}-current").agg(F.max("version")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    return stream.writeStream.foreachBatch(lambda batch, number: apply_batch(spark, folder, batch, keys, number, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def distinct_signals(stream: DataFrame, within: str = "1 hour") -> DataFrame:

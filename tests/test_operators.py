@@ -171,9 +171,14 @@ def test_upsert_and_versions(spark, tmp_path):
     new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "id long, v string")
     out = tables.upsert(old, new, ["id"])
     assert {tuple(r) for r in out.collect()} == {(1, "a", "kept"), (2, "d", "updated"), (3, "e", "created")}
-    tables.write_version(old, f"{tmp_path}/t", 0)
-    tables.write_version(out.drop("change"), f"{tmp_path}/t", 1)
-    assert tables.read_current(spark, f"{tmp_path}/t").count() == 3
+    folder, kind = f"{tmp_path}/t", "id long, v string"
+    assert tables.read_current(spark, folder, kind).count() == 0
+    for n in range(4):
+        tables.apply_batch(spark, folder, [old, new, spark.createDataFrame([(2, "x")], kind), spark.createDataFrame([(9, "y")], kind)][n], ["id"], n, 4)
+    assert {tuple(r) for r in tables.read_current(spark, folder, kind).collect()} == {(1, "a"), (2, "x"), (3, "e"), (9, "y")}
+    kept = {p.name for p in (tmp_path / "t-current").iterdir() if p.name.startswith("version")}
+    assert kept == {"version=2", "version=3"}
+    assert len(list((tmp_path / "t").rglob("bucket=*"))) <= 2 * 4
     assert {r["id"] for r in tables.insert_ignore(old, new, ["id"]).collect()} == {3}
 
 
@@ -184,7 +189,44 @@ def test_stream_of_polls_is_idempotent(spark, tmp_path):
     spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string").write.parquet(f"{tmp_path}/in/2")
     run("ck")
     run("ck")
-    assert {tuple(r) for r in tables.read_current(spark, f"{tmp_path}/out").select("id", "v").collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert {tuple(r) for r in tables.read_current(spark, f"{tmp_path}/out", "id long, v string").collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_a_stream_goes_on_after_a_failure_between_the_writes(spark, tmp_path, monkeypatch):
+    kind = "id long, v string"
+    spark.createDataFrame([(1, "a"), (2, "b")], kind).write.parquet(f"{tmp_path}/in/1")
+    run = lambda: ingest.ingest(spark.readStream.schema(kind).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/out", f"{tmp_path}/ck", ["id"], 4).awaitTermination()
+    run()
+    spark.createDataFrame([(2, "c"), (3, "d")], kind).write.parquet(f"{tmp_path}/in/2")
+    whole = tables.commit
+
+    def broken(*args):
+        raise OSError("lost between the files and their list")
+
+    monkeypatch.setattr(tables, "commit", broken)
+    with pytest.raises(Exception, match="lost between"):
+        run()
+    assert {tuple(r) for r in tables.read_current(spark, f"{tmp_path}/out", kind).collect()} == {(1, "a"), (2, "b")}
+    monkeypatch.setattr(tables, "commit", whole)
+    run()
+    assert {tuple(r) for r in tables.read_current(spark, f"{tmp_path}/out", kind).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_an_unchanged_bucket_is_not_written_again(spark, tmp_path):
+    kind = "id long, v string"
+    tables.apply_batch(spark, f"{tmp_path}/t", spark.createDataFrame([(i, "a") for i in range(200)], kind), ["id"], 0, 16)
+    tables.apply_batch(spark, f"{tmp_path}/t", spark.createDataFrame([(7, "b")], kind), ["id"], 1, 16)
+    assert len([p for p in (tmp_path / "t" / "v=1").iterdir() if p.name.startswith("bucket")]) == 1
+    got = tables.read_current(spark, f"{tmp_path}/t", kind)
+    assert got.count() == 200 and got.where("v = 'b'").count() == 1
+    tables.apply_batch(spark, f"{tmp_path}/t", spark.createDataFrame([], kind), ["id"], 2, 16)
+    assert tables.read_current(spark, f"{tmp_path}/t", kind).count() == 200
+
+
+def test_reports_are_files(spark, tmp_path):
+    for _ in range(2):
+        tables.write_report(spark.createDataFrame([(1, "a")], "n long, v string"), f"{tmp_path}/r")
+    assert [tuple(r) for r in spark.read.schema("n long, v string").json(f"{tmp_path}/r").collect()] == [(1, "a")]
 
 
 def test_windowed_activity_streams(spark, tmp_path):

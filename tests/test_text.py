@@ -35,7 +35,7 @@ def one(spark, make, *values):
         (urls.identity_key, "not a url", None),
         (urls.stable_id, " ab!C-1 ", "abc-1"),
         (urls.stable_id, "a1", None),
-        (urls.metadata_id, '{"a":{"jobId":"x","n":[{"req_id":"REQ 77-1"}]},"id":"later-1"}', "req77-1"),
+        (urls.metadata_id, '{"a":{"jobId":"x","n":[{"req_id":"REQ 77-1"}]},"id":"later-1"}', "later-1"),
         (urls.metadata_id, '{"id":5}', None),
         (urls.metadata_id, "not json", None),
         (urls.url_posting_id, "https://boards.greenhouse.io/acme/jobs/12345?gh_jid=777", "greenhouse:acme:777"),
