@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import SLICE_BYTES, partitions, slices, table, text_hash, texts
+from llm.common import partitions, slices, table, text_hash, texts
 
 WINDOW = 200
 GRAM = 32
@@ -32,7 +32,9 @@ COLUMNS = SPAN - 1 + WINDOW
 #: Texts around one anchor to a collection; larger ones are split, and what the parts can't settle goes by hashes of whole windows.
 COLLECTION = 200_000
 #: Anchors that a task holds to find copies among them before the shuffle.
-HELD = 200_000
+HELD = 100_000
+#: Bytes of texts that are hashed, or compared, at a time; some sixty times this are held in arrays meanwhile.
+PIECE_BYTES = 1 << 19
 NO_ID = -(2**63)
 
 _BYTE = np.random.default_rng(99).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,15 +65,15 @@ def least_places(h: np.ndarray) -> np.ndarray:
 
 
 def _pieces(raw: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(text, first byte, bytes) in lots of about SLICE_BYTES; longer texts in pieces that overlap by WINDOW - 1."""
+    """(text, first byte, bytes) in lots of about PIECE_BYTES; longer texts in pieces that overlap by WINDOW - 1."""
     lot, held = [], 0
     for i, t in enumerate(raw):
-        for at in range(0, max(1, len(t) - WINDOW + 1), SLICE_BYTES):
-            part = t[at : at + SLICE_BYTES + WINDOW - 1] if at or len(t) > SLICE_BYTES + WINDOW else t
+        for at in range(0, max(1, len(t) - WINDOW + 1), PIECE_BYTES):
+            part = t[at : at + PIECE_BYTES + WINDOW - 1] if at or len(t) > PIECE_BYTES + WINDOW else t
             if len(part) >= WINDOW:
                 lot.append((i, at, part))
                 held += len(part)
-            if held >= SLICE_BYTES:
+            if held >= PIECE_BYTES:
                 yield lot
                 lot, held = [], 0
             if part is t:
@@ -265,7 +267,7 @@ def compare(rows: DataFrame) -> DataFrame:
                 yield pack(np.zeros(len(s), np.int32), s * np.int64(7919) ^ np.array(doc, np.int64), th, doc, th, start, stop)
             for x in zip(*d, strict=True):
                 if x[6] is not None:
-                    if size > SLICE_BYTES * 4 and x[0] != last:
+                    if size > PIECE_BYTES * 4 and x[0] != last:
                         yield from settle(hold)
                         hold, size = [], 0
                     hold.append(x)
@@ -365,6 +367,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. Null and empty texts have no bytes and no spans; rows that are alike in doc_id and text are copies of one another, and each keeps its row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []

@@ -130,7 +130,7 @@ def test_long_texts_go_in_pieces(spark, monkeypatch):
     rng = random.Random(4)
     a = prose(rng, 3000)
     rows = [(1, a), (2, prose(rng, 100) + a[5000:9000] + prose(rng, 100)), (3, prose(rng, 3000))]
-    monkeypatch.setattr(suffix, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(suffix, "PIECE_BYTES", 3000)
     found = [x for raw in [[t.encode() for _, t in rows]] for x in suffix.anchors(raw)]
     windows = sum(int(c.sum()) for *_, c, _ in found)
     assert windows == sum(len(t.encode()) - suffix.WINDOW + 1 for _, t in rows)
