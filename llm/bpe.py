@@ -26,7 +26,9 @@ from llm.common import slices, table
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
 
 #: Distinct pieces that a worker keeps; then it begins anew with those of the slice at hand.
-CACHE = 400_000
+CACHE = 100_000
+#: Pieces that the tokenizer encodes at a time.
+BATCH = 4096
 #: Longer texts are cut where no piece can go on: before a space that follows a non-space and leads a letter.
 LONG = 1 << 20
 SPACES = r"\t-\r\x20\x85\xa0  -     　"
@@ -70,8 +72,10 @@ class Codec:
         if new := list(used.difference(self.known)):
             if len(self.known) + len(new) > CACHE:
                 self.known = {p: i for p in used if (i := self.known.get(p)) is not None}
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[piece] = array("I", e.ids).tobytes()
+            for a in range(0, len(new), BATCH):  # an encoding takes some hundred bytes
+                lot = new[a : a + BATCH]
+                for piece, e in zip(lot, self.tokenizer.encode_batch_fast(lot, add_special_tokens=False), strict=True):
+                    self.known[piece] = array("I", e.ids).tobytes()
 
     def _starts(self, piece: str) -> np.ndarray:
         if (at := self.places.get(piece)) is None:
@@ -154,7 +158,7 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """What op7 returns: encoding and decoding in one pass, so that ids don't go through the JVM between them."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encoding and decoding in one pass, so that ids don't go through the JVM between them. Null is empty; repeated rows and null ids stay, other columns play no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -168,7 +172,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_checked(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256 of each row's whole text: the token ids, and the digest of what they decode to."""
+    """doc_id, n_tokens, ids, decoded_sha256 of each row's whole text: the token ids, and the digest of what they decode to. Null is empty; repeated rows and null ids stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -182,4 +186,5 @@ def encode_checked(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """All documents, by digests(). path: a file of ranks; the contract's by default."""
     return digests(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
