@@ -1,8 +1,8 @@
 """Benchmark decontamination: documents' words against the windows of benchmark items, with DataFrame functions only.
 
-Each window of an item is known by one of its words, the longest. The words of the documents are
-looked up among those, and where one is met the whole window is compared in place, so that only
-true occurrences leave the scan.
+Each window of an item is known by the hash of two neighbouring words, the pair that is rarest in the benchmark (a
+template's words are common there, what fills it isn't). The pairs of the documents are looked up among those, and where
+one is met the whole window is compared in place, so that only true occurrences leave the scan.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import table, text_hash
+from llm.common import settled, table, text_hash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Words in a window.
 WINDOW = 10
-#: UTF-8 bytes of items whose windows are broadcast at once; larger benchmarks go in blocks of about so much, a scan each.
+#: UTF-8 bytes of items up to which the windows are broadcast; those of larger benchmarks meet the documents' pairs in a shuffled join.
 BROADCAST_BYTES = 4 << 20
 
 
@@ -27,22 +27,35 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(low, F.lit("")), BREAKS), "")
 
 
+def pair(w: Column, at: Column) -> Column:
+    """Hash of the word at a 0-based place and the next one; behind the last word stands none."""
+    return F.xxhash64(F.get(w, at), F.get(w, at + 1))
+
+
 def benchmark_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct window: anchor (its longest word, the first of equals), at (0-based place), n, window, items (ids as strings)."""
+    """One row per distinct window: key (of its rarest pair of neighbours, the first of equals; of a window of one word, that word alone), at (the pair's 0-based place), n, window, items (ids as strings)."""
     w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0 and item is not null")
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
     w = w.select("item", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i + 1, window))).alias("window"))
     w = w.groupBy("window").agg(F.collect_set("item").alias("items"))
-    best = F.array_max(F.transform("window", lambda x, i: F.struct(F.length(x).alias("len"), (-i).alias("at"), x.alias("word"))))
-    return w.select(best.getField("word").alias("anchor"), (-best.getField("at")).alias("at"), F.size("window").alias("n"), "window", "items")
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("window") - 2, F.lit(0))), lambda i: F.struct(F.when(F.size("window") > 1, pair(F.col("window"), i)).otherwise(F.xxhash64(F.get("window", i))).alias("key"), i.alias("at")))
+    each = w.select("window", "items", F.explode(pairs).alias("p")).select("window", "items", "p.*")
+    common = each.groupBy("key").agg(F.count("*").alias("uses"))
+    best = each.join(common, "key").groupBy("window").agg(F.first("items").alias("items"), F.min(F.struct("uses", "at", "key")).alias("b"))
+    return best.select("b.key", "b.at", F.size("window").alias("n"), "window", "items")
 
 
-def _hits(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text_hash, span, items of each occurrence of windows that are few enough to broadcast."""
+def _places(docs: DataFrame, single: bool) -> DataFrame:
+    """doc_id, text_hash, w, p, key of every place in every document; with `single`, by one word instead of two."""
     place = docs.select("doc_id", text_hash().alias("text_hash"), words(F.col("text")).alias("w"))
     place = place.select("doc_id", "text_hash", "w", F.posexplode("w").alias("p", "word"))
+    return place.withColumn("key", F.xxhash64("word") if single else F.xxhash64("word", F.get("w", F.col("p") + 1)))
+
+
+def _true(met: DataFrame) -> DataFrame:
+    """Of places that met a window's key, doc_id, text_hash, span, items of those where the whole window stands."""
     first = F.col("p") - F.col("at")
-    hits = place.join(F.broadcast(found), F.col("word") == F.col("anchor")).where((first >= 0) & (first + F.col("n") <= F.size("w")))
+    hits = met.where((first >= 0) & (first + F.col("n") <= F.size("w")))
     hits = hits.where(F.slice(F.col("w"), F.greatest(first, F.lit(0)) + 1, F.col("n")) == F.col("window"))
     return hits.select("doc_id", "text_hash", F.struct(first.alias("first"), F.col("n")).alias("span"), "items")
 
@@ -53,13 +66,22 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast
     docs needs doc_id and text. Returns doc_id, text_hash, spans (distinct structs of 0-based first
     word and length), items (distinct ids as strings, sorted).
     Rows equal in doc_id and text share one row here. Items with a null id or without words find nothing.
+    One scan of the documents, and one more if an item is a single word. Items of up to broadcast_bytes are broadcast;
+    else places travel as numbers to the windows' keys, and only documents where a key was met are read again.
     """
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks, found = max(1, -(-size // max(1, broadcast_bytes))), benchmark_windows(items, window)
-    hits = None
-    for k in range(blocks):
-        part = _hits(docs, found if blocks == 1 else found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k))
-        hits = part if hits is None else hits.union(part)
+    texts = items.where(F.col("item_id").isNotNull())
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max((F.size(words(F.col("text"))) == 1).cast("int")), F.lit(0))).first()
+    found, hits = benchmark_windows(items, window), None
+    for single in [False, True] if size[1] or window == 1 else [False]:
+        some = found.where("n = 1" if single else "n > 1")
+        if size[0] <= broadcast_bytes:
+            met = _places(docs, single).join(F.broadcast(some), "key")
+        else:
+            keys = _places(docs, single).select("doc_id", "text_hash", "p", "key")
+            near = keys.join(some, "key").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "p", "at", "n", "window", "items")
+            own = docs.select("doc_id", text_hash().alias("text_hash"), words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "text_hash"])
+            met = own.join(near, own["doc_id"].eqNullSafe(near["_id"]) & (own["text_hash"] == near["_hash"]))
+        hits = _true(met) if hits is None else hits.union(_true(met))
     return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
@@ -81,12 +103,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the rows that hold an occurrence; columns as they were."""
-    hits = find_hits(docs.select("doc_id", "text"), items, window).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    """docs without the rows that hold an occurrence; columns as they were. Null and empty texts stay; equal rows stay or go together."""
+    hits = settled(find_hits(docs.select("doc_id", "text"), items, window).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "decontamination")
     return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (text_hash() == hits["_hash"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items. Null and empty texts have no words and no hits, repeated rows each keep their row."""
     out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),

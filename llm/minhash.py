@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import checkpoint_root, partitions, slices, table, texts
+from llm.common import checkpoint_root, partitions, settled, slices, table, texts
 from llm.graph import components
 
 SHINGLE = 5
@@ -298,12 +298,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose document isn't the first of its component; columns as they were."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """docs without the rows whose document isn't the first of its component; columns as they were.
+
+    Rows with a null doc_id, and documents without a word, stay; rows that share a doc_id stay or go together.
+    """
+    gone = settled(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-dedup")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by near_duplicates(): null and empty texts have no shingles and are linked with nothing, equal rows each keep their row."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
