@@ -146,7 +146,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Digests per conversation, from format_conversations()'s rows alone, in their order."""
+    """Digests per conversation, from format_conversations()'s rows alone, in their order. No rows, no digests; a null conv_id is a conversation."""
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +178,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more of its own. Null texts are empty; rows of one conversation with equal turns stand in the order of role and text; other columns play no part."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, seq long, role string, text string")
