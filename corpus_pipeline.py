@@ -18,29 +18,29 @@ SURE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose best language is less than SURE, go; lang becomes the predicted one."""
+    """Documents without a letter (null texts among them), and those whose best language is less than SURE, go; lang becomes the predicted one. Repeated rows stay or go together."""
     found = langid.predict(docs, langid.train(docs))
     found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= SURE))
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id."""
+    """One document of each component stays, that with the smallest doc_id. Null texts and null ids stay; rows that share a doc_id stay or go together."""
     return minhash.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that stand in two places are taken out of the texts; n_chars follows."""
+    """Strings of 200 bytes that stand in two places are taken out of the texts; n_chars follows. No row goes; a null text stays null, an emptied one stays empty."""
     return suffix.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten words of a benchmark item in a row go."""
+    """Documents that hold ten words of a benchmark item in a row go. Null and empty texts stay; an empty benchmark takes nothing out."""
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the digest of the text that the ids decode to."""
+    """doc_id, n_tokens, ids, and the digest of the text that the ids decode to. A null text is empty."""
     return bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
