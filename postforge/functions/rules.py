@@ -262,3 +262,13 @@ CATALOG_SECTORS = "(finance|bank|insurance|payments|telecom|enterprise|cloud|inf
 JOB_LINK = "(job|career|position|opening|opportunit|vacanc|posting|requisition|role)"
 PAGING_LINK = r"(next|more|older|page \d+)"
 CAREER_PAGE = [r"\bcareers?\b", r"\bopen roles?\b", r"\bopen positions?\b", r"\bjob openings?\b", r"\bjoin (our )?team\b", r"\bwork with us\b", r"\bsearch jobs\b", r"\bview jobs\b", r"\bcurrent openings\b", r"\bopportunities\b"]
+
+# résumés: headings of sections, contacts
+RESUME_SECTIONS = {
+    "summary": ["summary", "professional summary", "profile", "about", "objective"], "skills": ["skills", "technical skills", "skills and tools"], "experience": ["experience", "work experience", "professional experience", "employment"],
+    "education": ["education", "academic background"], "projects": ["projects", "personal projects", "selected projects"],
+}
+MAIL = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+PHONE = r"(?:\+\d{1,3}[\s-]?)?(?:\(?\d{3}\)?[\s-]?)\d{3}[\s-]?\d{4}"
+LINKEDIN_URL = r"https?://(?:www\.)?linkedin\.com/[^\s)]+"
+GITHUB_URL = r"https?://(?:www\.)?github\.com/[^\s)]+"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postforge.bindings import AS_OF, as_of, view
 from postforge.functions import rules as R
-from postforge.operators import cards, discovery, feed, ingestion, network, reports
+from postforge.operators import cards, discovery, feed, ingestion, network, reports, resume
 from postforge.plans import page_queries as P
 from postforge.plans.board_queries import shown
 from postforge.plans.queries import _TASTE, NOW, ORACLES, _score_sql, _sides, compatible_sql, inlist, query
@@ -289,6 +289,29 @@ def catalog_selection(spark, d):
     return discovery.catalog_order(c, families=("workday",)).select("id", "score")
 
 
+# --- résumés ---------------------------------------------------------------------------------------------------------
+
+_RESUME = "concat_ws(chr(10), IF(id % 4 = 0, concat('Summary', chr(10), 'https://me.example/x'), NULL), 'Ann Lee', 'Nurse and writer', concat('ann', id, '@mail.example.com | +1 (416) 555-', lpad(CAST(id % 10000 AS STRING), 4, '0')), IF(id % 3 = 0, 'https://www.linkedin.com/in/ann', 'https://site.example/a'), 'Toronto, ON', 'TECHNICAL SKILLS', 'Languages: Go, SQL | go', concat('• C++, R', id), 'Experience', 'Work at a place', 'Skills', 'Tea')"
+
+
+@query("""SELECT id, 'Ann Lee' AS full_name, 'ann' || CAST(id AS VARCHAR) || '@mail.example.com' AS email, '+1 (416) 555-' || lpad(CAST(id % 10000 AS VARCHAR), 4, '0') AS phone, 'Toronto, ON' AS location, CASE WHEN id % 3 = 0 THEN 'https://www.linkedin.com/in/ann' ELSE '' END AS linkedin_url,
+  CASE WHEN id % 4 = 0 THEN 'https://me.example/x' WHEN id % 3 = 0 THEN '' ELSE 'https://site.example/a' END AS portfolio_url, 'Go|SQL|C++|R' || CAST(id AS VARCHAR) || '|Tea' AS skills, 'Work at a place' AS experience FROM source""", "source")
+def resume_facts(spark, d):
+    r = view(spark, d, "source", "id").select("id", F.expr(_RESUME).alias("t"))
+    own, s = resume.contact(F.col("t")), resume.sections(F.col("t"))
+    return r.select("id", *[own[c].alias(c) for c in ("full_name", "email", "phone", "location", "linkedin_url", "portfolio_url")], F.array_join(resume.skills(s["skills"]), "|").alias("skills"), s["experience"].alias("experience"))
+
+
+@query("""SELECT id AS user_id, CASE WHEN id % 2 = 0 THEN 'A. Lee' ELSE 'Ann  LEE' END AS full_name, CASE WHEN id % 3 = 0 THEN 'old@x.example' ELSE 'ann@x.example' END AS email, CASE WHEN id % 3 = 0 THEN '' ELSE 'email' END || CASE WHEN id % 5 = 0 THEN '' ELSE CASE WHEN id % 3 = 0 THEN '' ELSE ',' END || 'location' END AS added,
+  CASE WHEN id % 2 = 0 THEN 'full_name' ELSE '' END || CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN ',' ELSE '' END || 'email' ELSE '' END AS preserved FROM source""", "source")
+def resume_merge(spark, d):
+    rest = ["CAST(NULL AS STRING) AS phone", "'' AS linkedin_url", "'' AS github_url", "'' AS portfolio_url"]
+    s = view(spark, d, "source", "id")
+    held = s.selectExpr("id AS user_id", "IF(id % 2 = 0, 'A. Lee', 'Ann  LEE') AS full_name", "IF(id % 3 = 0, 'old@x.example', NULL) AS email", "IF(id % 5 = 0, 'Bonn', '') AS location", *rest)
+    found = s.selectExpr("id AS user_id", "'Ann Lee' AS full_name", "'ann@x.example' AS email", "IF(id % 5 = 0, 'BONN!', 'Bern') AS location", *rest)
+    return resume.merge_contact(held, found).select("user_id", "full_name", "email", F.array_join("added", ",").alias("added"), F.array_join("preserved", ",").alias("preserved"))
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
