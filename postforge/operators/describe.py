@@ -63,8 +63,10 @@ def low_quality(cleaned: Column, found: Column) -> Column:
 def best(candidates: Column) -> Column:
     """Of several texts the one that is worth most, the first of equals; those of low quality and nulls don't count. Null if none is left."""
     said = F.array_distinct(F.filter(F.transform(candidates, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
-    good = F.filter(said, lambda x: ~low_quality(cleanup(x), blocks(cleanup(x))))
-    scored = F.transform(good, lambda x, i: F.struct(worth(x).alias("points"), (-i).alias("at"), x.alias("said")))
+    clean = F.transform(said, lambda x: F.struct(x.alias("said"), cleanup(x).alias("clean")))
+    shaped = F.transform(clean, lambda x: F.struct(x["said"].alias("said"), x["clean"].alias("clean"), blocks(x["clean"]).alias("own"), blocks(x["said"]).alias("raw")))
+    good = F.filter(shaped, lambda x: ~low_quality(x["clean"], x["own"]))
+    scored = F.transform(good, lambda x, i: F.struct(worth(x["said"], x["raw"]).alias("points"), (-i).alias("at"), x["said"].alias("said")))
     return F.array_max(scored)["said"]
 
 
