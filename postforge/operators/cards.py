@@ -18,7 +18,7 @@ def with_saved(jobs: DataFrame, saved: DataFrame, user: int) -> DataFrame:
 
 def amount(value: Column, currency: Column) -> Column:
     """An amount of money without cents."""
-    sign = F.coalesce(*[F.when(F.coalesce(currency, F.lit("USD")) == c, s) for c, s in R.CURRENCY_SIGNS.items()], F.concat(currency, F.lit(" ")))
+    sign = F.coalesce(*[F.when(F.coalesce(currency, F.lit("USD")) == c, s) for c, s in R.CURRENCY_SIGNS.items()], F.concat(currency, F.lit("\u00a0")))
     return F.concat(sign, F.format_number(value, 0))
 
 
