@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from llm import bpe, chat, decontaminate, langid, minhash, quality, sharding, substring, suffix, warc
+from llm import bpe, chat, decontaminate, langid, minhash, periodic, quality, sharding, substring, suffix, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_warc": warc.op10_warc,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
