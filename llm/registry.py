@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from llm import bpe, chat, decontaminate, langid, minhash, periodic, quality, sharding, substring, suffix, warc
+from llm import bpe, chat, decontaminate, importance, langid, minhash, periodic, quality, sharding, substring, suffix, warc, wordvectors
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_warc": warc.op10_warc,
+    "op11_quality_classifier": wordvectors.op11_quality_classifier,
+    "op12_importance_resampling": importance.op12_importance_resampling,
     "op13_periodic_runs": periodic.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
@@ -27,4 +29,5 @@ ORACLES = {
     "op4_suffix_array_dedup": suffix.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op12_importance_resampling": importance.ORACLE,
 }
