@@ -6,6 +6,8 @@ columns of `documents`.
 
 from __future__ import annotations
 
+import math
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +15,18 @@ from pyspark.sql import functions as F
 from llm import bpe, decontaminate, langid, minhash, suffix
 from llm.common import shared_dir, table
 
-#: Mean probability below which a document's language counts as unknown; among four languages 0.25 is no opinion, and clean texts of a few words come near 0.4.
-SURE = 0.3
+#: A text of at least LETTERS letters has to make its language MARGIN (a natural logarithm) likelier than the next one, on the mean of its windows; otherwise its language counts as unknown. Shorter texts stay whatever their language.
+LETTERS, MARGIN = 80, math.log(1.25)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (null texts among them), and those whose best language is less than SURE, go; lang becomes the predicted one. Repeated rows stay or go together."""
+    """Documents without a letter (null texts among them), and those of LETTERS letters or more between whose two likeliest languages the odds are below MARGIN, go; lang becomes the predicted one.
+
+    How many languages were learned makes no difference; with one only, nothing is rejected for its margin. Repeated rows stay or go together.
+    """
     found = langid.predict(docs, langid.train(docs))
-    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= SURE))
+    short = F.length(F.regexp_replace("text", r"\P{L}", "")) < LETTERS
+    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.coalesce(F.col("lang_margin") >= MARGIN, F.lit(True)) | short))
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 

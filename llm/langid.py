@@ -167,21 +167,22 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Adds lang_pred, lang_score to every row of docs by its whole text.
+    """Adds lang_pred, lang_score, lang_margin to every row of docs by its whole text.
 
-    Null texts and texts without a letter: `und`, 0. Without a model (nothing to learn from): `und`, 0.
+    Null texts and texts without a letter: `und`, 0, null. Without a model (nothing to learn from) all: `und`, 0, null.
     The score is the mean probability that the text's windows give lang_pred; of equal languages the first by name wins.
+    The margin is by how much lang_pred's mean log probability is above the next language's, null if only one was learned: unlike the score it means the same whatever the number of languages.
     Columns of docs with the added names are replaced; repeated rows stay.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "lang_score")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "lang_score", "lang_margin")])
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_margin", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(packed.value)
         for b in slices(batches):
             raw = texts(b)
-            lang, score = [UNKNOWN] * len(raw), [0.0] * len(raw)
+            lang, score, margin = [UNKNOWN] * len(raw), [0.0] * len(raw), [None] * len(raw)
             known = [i for i, t in enumerate(raw) if m is not None and LETTER.search(t.decode("utf-8", "replace"))]
             if known:
                 x, n = windows([raw[i] for i in known])
@@ -190,9 +191,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 mean = np.add.reduceat(lp, ends - n, axis=0) / n[:, None]
                 best = mean.argmax(1)
                 sure = np.add.reduceat(np.exp(lp), ends - n, axis=0)[np.arange(len(n)), best] / n
-                for i, k, s in zip(known, best.tolist(), sure.tolist(), strict=True):
-                    lang[i], score[i] = m.langs[k], min(1.0, s)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
+                two = np.sort(mean, 1)[:, -2:]
+                ahead = (two[:, -1] - two[:, 0]).tolist() if len(m.langs) > 1 else [None] * len(n)
+                for i, k, s, a in zip(known, best.tolist(), sure.tolist(), ahead, strict=True):
+                    lang[i], score[i], margin[i] = m.langs[k], min(1.0, s), a
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], [*b.schema.names, "lang_pred", "lang_score", "lang_margin"])
 
     return docs.mapInArrow(run, schema)
 
