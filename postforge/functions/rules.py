@@ -272,3 +272,9 @@ MAIL = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 PHONE = r"(?:\+\d{1,3}[\s-]?)?(?:\(?\d{3}\)?[\s-]?)\d{3}[\s-]?\d{4}"
 LINKEDIN_URL = r"https?://(?:www\.)?linkedin\.com/[^\s)]+"
 GITHUB_URL = r"https?://(?:www\.)?github\.com/[^\s)]+"
+
+# Minutes that a task of a kind may be worked on before it goes back to the queue, and those of other kinds.
+LEASE_MINUTES = {"COMPANY_DISCOVERY": 180, "REDISCOVERY": 180, "SOURCE_VALIDATION": 60, "CONNECTOR_POLL": 120, "URL_HEALTH": 45}
+LEASE_OTHERS = 120
+# The least, the usual and the most minutes between two cycles.
+CYCLE_MINUTES = (5, 10, 360)

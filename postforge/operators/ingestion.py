@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postforge.operators import matching
+from postforge.operators import matching, polls
+
+
+def _staying(postings: DataFrame, before: DataFrame, known: DataFrame) -> DataFrame:
+    """_kept, _where of postings that still fit where they were."""
+    c = F.col
+    n, k = matching.prepared(postings).alias("n"), matching.prepared(known).alias("k")
+    return before.join(n, c("raw_id") == c("n.id")).join(k, c("canonical_id") == c("k.id")).where(matching.compatible("k", "n")).select(c("raw_id").alias("_kept"), c("canonical_id").alias("_where"))
 
 
 def decide(postings: DataFrame, said: DataFrame, before: DataFrame, mappings: DataFrame, known: DataFrame) -> DataFrame:
@@ -13,12 +20,12 @@ def decide(postings: DataFrame, said: DataFrame, before: DataFrame, mappings: Da
 
     postings: id and the keys of matching; said: id, reject_reason (null: accepted); before: raw_id, canonical_id of earlier polls; mappings, known: as for best_match().
     rejected: turned away. kept: where it was, since it still fits there. matched: with the best match. created: canonical_id is null, a new one is due. previous is where
-    a posting was before if it isn't there any more. A poll is decided as one: postings don't match what the same poll creates.
+    a posting was before if it isn't there any more. The poll is decided as one: its postings don't match what it creates; decide_in_order() has that.
     """
     c = F.col
-    n, k = matching.prepared(postings).alias("n"), matching.prepared(known).alias("k")
-    same = before.join(n, c("raw_id") == c("n.id")).join(k, c("canonical_id") == c("k.id")).where(matching.compatible("k", "n")).select(c("raw_id").alias("_kept"), c("canonical_id").alias("_where"))
-    best = matching.best_match(postings, mappings, known).select("new_id", "known_id", "how")
+    same = _staying(postings, before, known)
+    open_ = postings.join(said.where("reject_reason is null").select(c("id").alias("_ok")), c("id") == c("_ok"), "left_semi").join(same, c("id") == c("_kept"), "left_anti")
+    best = matching.best_match(open_, mappings, known).select("new_id", "known_id", "how")
     df = said.select("id", "reject_reason").join(before, c("id") == c("raw_id"), "left").join(same, c("id") == c("_kept"), "left").join(best, c("id") == c("new_id"), "left")
     decision = F.when(c("reject_reason").isNotNull(), "rejected").when(c("_kept").isNotNull(), "kept").when(c("known_id").isNotNull(), "matched").otherwise("created")
     to = F.when(c("reject_reason").isNull(), F.coalesce("_where", "known_id"))
@@ -26,6 +33,22 @@ def decide(postings: DataFrame, said: DataFrame, before: DataFrame, mappings: Da
     return df.select("id", "reject_reason", decision.alias("decision"), to.alias("canonical_id"), how.alias("how"), F.when(~c("canonical_id").eqNullSafe(to), c("canonical_id")).alias("previous"))
 
 
+def decide_in_order(postings: DataFrame, said: DataFrame, before: DataFrame, mappings: DataFrame, known: DataFrame) -> DataFrame:
+    """As decide(), but postings also match what those that came before them in the poll (by arrival) create; adds created_by.
+
+    created: the posting makes a new row, created_by is its own id. matched with a null canonical_id: it belongs to the row that the posting created_by makes.
+    """
+    c = F.col
+    same = _staying(postings, before, known)
+    accepted = postings.join(said.where("reject_reason is null").select(c("id").alias("_ok")), c("id") == c("_ok"), "left_semi")
+    settled = same.join(accepted.select("id"), c("_kept") == c("id"), "left_semi").select(c("_kept").alias("id"), c("_where").alias("canonical_id"))
+    found = polls.resolve(accepted, settled, mappings, known).select(c("id").alias("_id"), c("canonical_id").alias("_to"), "created_by", "how")
+    df = said.select("id", "reject_reason").join(before, c("id") == c("raw_id"), "left").join(found, c("id") == c("_id"), "left")
+    own = c("created_by") == c("id")
+    decision = F.when(c("reject_reason").isNotNull(), "rejected").when(own, "created").when(c("how").isNull(), "kept").otherwise("matched")
+    return df.select("id", "reject_reason", decision.alias("decision"), c("_to").alias("canonical_id"), "created_by", "how", F.when(~c("canonical_id").eqNullSafe(c("_to")), c("canonical_id")).alias("previous"))
+
+
 def metrics(decided: DataFrame) -> DataFrame:
     """The counts of a run, one row."""
     n = lambda *d: F.count_if(F.col("decision").isin(*d))

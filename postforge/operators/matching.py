@@ -86,22 +86,30 @@ def score_pairs(known: DataFrame, new: DataFrame, least: int = 1) -> DataFrame:
     return joined.select("known_id", "new_id", similarity("k", "n").alias("score")).where(F.col("score") >= least)
 
 
+def first_mapping(mappings: DataFrame, key: str) -> DataFrame:
+    """_k and known_id: of the mappings that share a key the one that counts: removed ones first, then primary, rank, last sight, id. One partial aggregation."""
+    last = F.lit(2**63 - 1)
+    order = F.struct(
+        F.col("removed_at").isNull(), "removed_at", F.coalesce(~F.col("is_primary"), F.lit(True)), F.coalesce(-F.col("source_quality_rank").cast("long"), last),
+        F.coalesce(-F.unix_micros(F.col("last_seen_at").cast("timestamp")), last), "id",
+    )
+    return mappings.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min_by("canonical_id", order).alias("known_id"))
+
+
 def exact_matches(new: DataFrame, mappings: DataFrame, known: DataFrame) -> DataFrame:
-    """new_id, known_id, how, rung of every match by key. The first three rungs go by mappings, removed ones first, then primary, rank and last sight; the URL key also by the postings themselves.
+    """new_id, known_id, how, rung of every match by key. The first three rungs go by mappings; the URL key also by the postings themselves.
 
     new: id and the keys; mappings: canonical_id, the keys, removed_at, is_primary, source_quality_rank, last_seen_at, id.
+    Only keys that the poll has are looked at, and one row a key is left before the join, so that it makes as many rows as the poll has keys.
     """
-    order = Window.partitionBy("new_id").orderBy(F.asc_nulls_last("removed_at"), F.desc("is_primary"), F.desc("source_quality_rank"), F.desc("last_seen_at"), F.asc("mapping_id"))
     out = None
-    for rung, key in enumerate(("apply_url_key", "source_url_key", "posting_id_key")):
-        m = mappings.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), "canonical_id", "removed_at", "is_primary", "source_quality_rank", "last_seen_at", F.col("id").alias("mapping_id"))
-        one = new.select(F.col("id").alias("new_id"), F.col(key).alias("_n")).join(m, F.col("_n") == F.col("_k")).withColumn("rn", F.row_number().over(order)).where("rn = 1")
-        part = one.select("new_id", F.col("canonical_id").alias("known_id"), F.lit(PRECEDENCE[rung][0]).alias("how"), F.lit(rung * 2).alias("rung"))
+    sides = [(key, how, 2 * k) for k, (key, how) in enumerate((("apply_url_key", "applyUrlKey"), ("source_url_key", "sourceUrlKey"), ("posting_id_key", "postingIdKey")))]
+    for key, how, rung in [*sides, ("apply_url_key", "applyUrlKey", 1), ("duplicate_cluster_id", "duplicateCluster", 6)]:
+        left = (new.where(F.col("company_key") != UNKNOWN_COMPANY) if rung == 6 else new).select(F.col("id").alias("new_id"), F.col(key).alias("_n")).where("_n is not null")
+        side = (known if rung in (1, 6) else mappings).join(left.select(F.col("_n").alias("_asked")).distinct(), F.col(key) == F.col("_asked"), "left_semi")
+        side = side.groupBy(F.col(key).alias("_k")).agg(F.min("id").alias("known_id")) if rung in (1, 6) else first_mapping(side, key)
+        part = left.join(side, F.col("_n") == F.col("_k")).select("new_id", "known_id", F.lit(how).alias("how"), F.lit(rung).alias("rung"))
         out = part if out is None else out.union(part)
-    for key, how, rung in (("apply_url_key", "applyUrlKey", 1), ("duplicate_cluster_id", "duplicateCluster", 6)):
-        side = known.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("id").alias("known_id"))
-        left = new.where(F.col("company_key") != UNKNOWN_COMPANY) if rung == 6 else new
-        out = out.union(left.select(F.col("id").alias("new_id"), F.col(key).alias("_n")).join(side, F.col("_n") == F.col("_k")).select("new_id", "known_id", F.lit(how).alias("how"), F.lit(rung).alias("rung")))
     return out
 
 

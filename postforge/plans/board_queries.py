@@ -283,7 +283,7 @@ _DETAIL = "concat('<html><head><title>t</title></head><meta itemprop=\"addressLo
 _PLAIN = "'Join our best team. ' || trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(description, '<br\\s*/?>|</p>|</li>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'))"
 
 
-@query(f"""+ c AS (SELECT *, id % 3 <> 0 AS known, {_PLAIN} AS said FROM canonical WHERE id % 7 <> 0),
+@query(f"""+ c AS (SELECT *, id % 3 <> 0 AS known, {_PLAIN} AS said FROM canonical),
 x AS (SELECT id, 'https://jobs.acme-labs.com/job/x-' || CAST(id AS VARCHAR) || '/' AS url, known, CASE WHEN known THEN title ELSE title || ' & more' END AS title, CASE WHEN known THEN company ELSE 'Acme Labs' END AS company, CASE WHEN known THEN 'Bonn, DE' ELSE location END AS location,
   CASE WHEN known THEN said ELSE title || ' & more at Acme Labs. ' || location END AS description, epoch_us(date_trunc('day', posted_at)) AS posted FROM c), y AS (SELECT *, lower(location || ' ' || description) AS t, lower(title || ' ' || description) AS u FROM x)
 SELECT 'SuccessFactors:jobs.acme-labs.com' AS source_name, url AS source_id, url AS source_url, title, company, location, description, CASE WHEN known THEN 'https://jobs.acme-labs.com/talentcommunity/apply/' || CAST(id AS VARCHAR) || '/' ELSE url END AS apply_url, posted, CAST(NULL AS BIGINT) AS due,
@@ -291,7 +291,7 @@ SELECT 'SuccessFactors:jobs.acme-labs.com' AS source_name, url AS source_id, url
   CASE WHEN contains(t, 'hybrid') THEN 'HYBRID' WHEN contains(t, 'remote') OR contains(t, 'virtual') OR contains(t, 'work from home') THEN 'REMOTE' WHEN contains(t, 'flexible') THEN 'FLEXIBLE' WHEN contains(t, 'on-site') OR contains(t, 'onsite') THEN 'ONSITE' END AS work_mode,
   CAST(NULL AS DOUBLE) AS salary_min, CAST(NULL AS DOUBLE) AS salary_max, CAST(NULL AS VARCHAR) AS salary_currency, 'FULL_SNAPSHOT' AS freshness_mode FROM y""", "canonical")
 def source_successfactors(spark, d):
-    c = view(spark, d, "canonical").where("id % 7 <> 0")
+    c = view(spark, d, "canonical")
     lists = c.selectExpr("id div 20 AS g", f"{_ROW} AS row").groupBy("g").agg(F.concat(F.lit("<table>"), F.array_join(F.collect_list("row"), "\n"), F.lit('<tr class="data-row">no link</tr></table>')).alias("html")).select(F.lit("jobs.acme-labs.com").alias("token"), "html", F.lit(AS_OF).cast("timestamp_ntz").alias("fetched_at"))
     details = c.where("id % 3 <> 0").selectExpr("concat('https://jobs.acme-labs.com/job/x-', id, '/') AS url", f"{_DETAIL} AS html")
     return shown(markup.successfactors(lists, details))

@@ -322,7 +322,7 @@ def stream_upsert(spark, d):
     folder = tables.scratch(spark, "stream")
     events = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string").option("pathGlobFilter", "events.parquet").parquet(d)
     ingest.ingest(events.select("ts", "event_id", "event_type", "user_id"), f"{folder}/t", f"{folder}/ck", ["user_id"], 8).awaitTermination()
-    return tables.read_current(spark, f"{folder}/t", kind).select("user_id", F.unix_micros("ts").alias("at"), "event_id", "event_type")
+    return ingest.read(spark, f"{folder}/t", kind).select("user_id", F.unix_micros("ts").alias("at"), "event_id", "event_type")
 
 
 @query(f"SELECT id FROM run WHERE status = 'RUNNING' AND (epoch_us({NOW}) - epoch_us(started_at)) / 60000000 > 90", "run")
@@ -353,11 +353,14 @@ y AS (SELECT id, reject_reason, CASE WHEN reject_reason IS NOT NULL THEN 'reject
   CASE WHEN reject_reason IS NULL AND NOT stays THEN how END AS how, CASE WHEN NOT stays OR reject_reason IS NOT NULL THEN CASE WHEN previous IS DISTINCT FROM CASE WHEN reject_reason IS NULL THEN known_id END THEN previous END END AS previous FROM x)"""
 
 
+def _before(spark, d):
+    return view(spark, d, "incoming", "id").where("id % 3 < 2").select(F.col("id").alias("raw_id"), F.expr("IF(id % 3 = 0, id, id + 10)").alias("canonical_id"))
+
+
 def _decided(spark, d):
     new, m, known = _sides(spark, d)
     said = P._normalized(spark, d).select("id", "reject_reason")
-    old = view(spark, d, "incoming", "id").where("id % 3 < 2").select(F.col("id").alias("raw_id"), F.expr("IF(id % 3 = 0, id, id + 10)").alias("canonical_id"))
-    return ingestion.decide(new, said, old, m, known)
+    return ingestion.decide(new, said, _before(spark, d), m, known)
 
 
 @query(_DECIDED + " SELECT * FROM y", "canonical", "incoming", "mapping")

@@ -19,14 +19,14 @@ NOW = f"TIMESTAMP '{AS_OF}'"
 DAYS = f"(epoch_us({NOW}) - epoch_us({{}})) / 86400000000.0"
 
 
-def query(sql: str | None = None, *views: str):
+def query(sql: str | None = None, *views: str, recursive: bool = False):
     """Registers a query by its function's name; sql may use the named domain tables."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
             head = ", ".join(f"{v} AS ({B.sql(v)})" for v in views)
-            ORACLES[f.__name__] = (f"WITH {head}" + ("," if sql.lstrip().startswith("+") else "") if head else "") + " " + sql.lstrip().removeprefix("+")
+            ORACLES[f.__name__] = (("WITH RECURSIVE " if recursive else "WITH ") + head + ("," if sql.lstrip().startswith("+") else "") if head else "") + " " + sql.lstrip().removeprefix("+")
         return f
 
     return add
@@ -352,23 +352,25 @@ def identity_sql(u: str) -> str:
 
 
 _CLUSTER = "md5(concat_ws(':', {0}.company_key, {0}.core, {0}.loc, lower(coalesce({0}.region, 'unknown'))))"
-#: Postings of the query go by one kind of key each, so that every rung is met.
-_BEST_SQL = f"""{_similar_sql().replace('SELECT known_id, new_id, CAST(', ', sim AS (SELECT known_id, new_id, CAST(', 1)}),
+#: Postings of the query go by one kind of key each, so that every rung is met. Ends in u: all matches, rn = 1 where one counts.
+MATCHES_SQL = f"""{_similar_sql().replace('SELECT known_id, new_id, CAST(', ', sim AS (SELECT known_id, new_id, CAST(', 1)}),
 m AS (SELECT id AS mid, canonical_id, source_id, {identity_sql('source_url')} AS ak, removed_at, is_primary, source_quality_rank, last_seen_at FROM mapping),
-ki AS (SELECT min(id) AS id, {identity_sql('apply_url')} AS ak FROM canonical GROUP BY 2), ni AS (SELECT id, CASE WHEN id % 4 = 0 THEN {identity_sql('apply_url')} END AS ak, CASE WHEN id % 4 = 1 THEN CAST(id AS VARCHAR) END AS pk FROM incoming),
+ki AS (SELECT min(id) AS id, {identity_sql('apply_url')} AS ak FROM canonical GROUP BY 2), ni AS (SELECT id, CASE WHEN id % 4 = 0 THEN {identity_sql('apply_url')} END AS ak, CASE WHEN id % 4 = 1 THEN CAST(id AS VARCHAR) END AS pk, CASE WHEN id % 4 = 2 AND id % 3 = 0 THEN {identity_sql('apply_url')} END AS sk FROM incoming),
 kc AS (SELECT min(id) AS id, {_CLUSTER.format('k')} AS ck FROM k GROUP BY 2), nc AS (SELECT id, {_CLUSTER.format('n')} AS ck FROM n WHERE id % 4 <> 3 AND company_key <> 'unknown'),
 u AS (SELECT ni.id AS new_id, canonical_id AS known_id, 'applyUrlKey' AS how, 0 AS rung, 100 AS score, row_number() OVER (PARTITION BY ni.id ORDER BY removed_at ASC NULLS LAST, is_primary DESC, source_quality_rank DESC, last_seen_at DESC, mid) AS rn FROM ni JOIN m ON ni.ak = m.ak
+  UNION ALL SELECT ni.id, canonical_id, 'sourceUrlKey', 2, 100, row_number() OVER (PARTITION BY ni.id ORDER BY removed_at ASC NULLS LAST, is_primary DESC, source_quality_rank DESC, last_seen_at DESC, mid) FROM ni JOIN m ON ni.sk = m.ak
   UNION ALL SELECT ni.id, canonical_id, 'postingIdKey', 4, 100, row_number() OVER (PARTITION BY ni.id ORDER BY removed_at ASC NULLS LAST, is_primary DESC, source_quality_rank DESC, last_seen_at DESC, mid) FROM ni JOIN m ON ni.pk = m.source_id
-  UNION ALL SELECT ni.id, ki.id, 'applyUrlKey', 1, 100, 1 FROM ni JOIN ki ON ni.ak = ki.ak UNION ALL SELECT nc.id, kc.id, 'duplicateCluster', 6, 95, 1 FROM nc JOIN kc ON nc.ck = kc.ck UNION ALL SELECT new_id, known_id, 'similarity', 9, score, 1 FROM sim WHERE score >= 45)
+  UNION ALL SELECT ni.id, ki.id, 'applyUrlKey', 1, 100, 1 FROM ni JOIN ki ON ni.ak = ki.ak UNION ALL SELECT nc.id, kc.id, 'duplicateCluster', 6, 95, 1 FROM nc JOIN kc ON nc.ck = kc.ck UNION ALL SELECT new_id, known_id, 'similarity', 9, score, 1 FROM sim WHERE score >= 45)"""
+_BEST_SQL = f"""{MATCHES_SQL}
 SELECT new_id, known_id, how, CAST(score AS BIGINT) AS score FROM u WHERE rn = 1 QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY rung, score DESC, known_id) = 1"""
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """new, mappings, known for the matching queries."""
-    none, i = F.lit(None).cast("string"), F.col("id") % 4
+    i, url = F.col("id") % 4, F.col("apply_url_key")
     known, new = _keyed(view(spark, d, "canonical")), _keyed(view(spark, d, "incoming"))
-    new = new.withColumns({"source_url_key": none, "apply_url_key": F.when(i == 0, F.col("apply_url_key")), "posting_id_key": F.when(i == 1, F.col("id").cast("string")), "duplicate_cluster_id": F.when(i != 3, F.col("duplicate_cluster_id"))})
-    m = view(spark, d, "mapping").withColumns({"posting_id_key": F.col("source_id"), "apply_url_key": urls.identity_key(F.col("source_url")), "source_url_key": none})
+    new = new.withColumns({"source_url_key": F.when((i == 2) & (F.col("id") % 3 == 0), url), "apply_url_key": F.when(i == 0, url), "posting_id_key": F.when(i == 1, F.col("id").cast("string")), "duplicate_cluster_id": F.when(i != 3, F.col("duplicate_cluster_id"))})
+    m = view(spark, d, "mapping").withColumns({"posting_id_key": F.col("source_id"), "apply_url_key": urls.identity_key(F.col("source_url"))}).withColumn("source_url_key", F.col("apply_url_key"))
     return new, m, known
 
 
@@ -392,16 +394,20 @@ def compatible_pairs(spark, d):
     return known.alias("k").join(new.alias("n"), stored).select(F.col("k.id").alias("known_id"), F.col("n.id").alias("new_id"), matching.compatible("k", "n").alias("fits"))
 
 
-def _merge_sql() -> str:
-    p = "n.rank >= c.availability_score * 5"
+def merged_columns(p: str) -> str:
+    """The columns of a row c after posting n, where p says whether n is preferred."""
     ok = lambda s, c, u="": f"(trim({s}.{c}) <> '' AND lower(trim({s}.{c})) <> '{u}')"
     txt = lambda c, u="": f"CASE WHEN {p} AND {ok('n', c, u)} THEN n.{c} WHEN {ok('c', c, u)} THEN c.{c} WHEN {ok('n', c, u)} THEN n.{c} WHEN {p} AND trim(n.{c}) <> '' THEN n.{c} ELSE c.{c} END AS {c}"
     en = lambda c: f"CASE WHEN {p} AND coalesce(n.{c} <> 'UNKNOWN', false) THEN n.{c} WHEN coalesce(c.{c} <> 'UNKNOWN', false) THEN c.{c} WHEN coalesce(n.{c} <> 'UNKNOWN', false) THEN n.{c} WHEN {p} AND n.{c} IS NOT NULL THEN n.{c} ELSE coalesce(c.{c}, n.{c}) END AS {c}"
     pay = f"(n.salary_min IS NOT NULL OR n.salary_max IS NOT NULL) AND ({p} OR (c.salary_min IS NULL AND c.salary_max IS NULL))"
-    return f"""SELECT c.id, {txt('title')}, {txt('company', 'unknown')}, {txt('location', 'unknown')}, {txt('role_family', 'unknown')}, CASE WHEN {p} THEN coalesce(n.region, c.region) ELSE coalesce(c.region, n.region) END AS region, {en('work_mode')}, {en('employment_type')},
+    return f"""{txt('title')}, {txt('company', 'unknown')}, {txt('location', 'unknown')}, {txt('role_family', 'unknown')}, CASE WHEN {p} THEN coalesce(n.region, c.region) ELSE coalesce(c.region, n.region) END AS region, {en('work_mode')}, {en('employment_type')},
   CASE WHEN {p} THEN CASE WHEN length(trim(n.description)) > 0 AND length(trim(n.description)) >= floor(length(trim(c.description)) * 0.6) OR length(trim(c.description)) = 0 THEN n.description ELSE c.description END WHEN length(trim(c.description)) > 0 THEN c.description ELSE n.description END AS description,
   CASE WHEN trim(c.apply_url) = '' THEN trim(n.apply_url) WHEN trim(n.apply_url) = '' THEN trim(c.apply_url) WHEN {p} THEN trim(n.apply_url) ELSE trim(c.apply_url) END AS apply_url,
-  CASE WHEN {pay} THEN n.salary_min ELSE c.salary_min END AS salary_min, CASE WHEN {pay} THEN n.salary_max ELSE c.salary_max END AS salary_max, epoch_us(least(c.posted_at, n.posted_at)) AS posted, epoch_us(least(c.deadline, n.deadline)) AS due FROM canonical c JOIN incoming n ON c.id = n.id"""
+  CASE WHEN {pay} THEN n.salary_min ELSE c.salary_min END AS salary_min, CASE WHEN {pay} THEN n.salary_max ELSE c.salary_max END AS salary_max, least(c.posted_at, n.posted_at) AS posted_at, least(c.deadline, n.deadline) AS deadline"""
+
+
+def _merge_sql() -> str:
+    return f"SELECT * EXCLUDE (posted_at, deadline), epoch_us(posted_at) AS posted, epoch_us(deadline) AS due FROM (SELECT c.id, {merged_columns('n.rank >= c.availability_score * 5')} FROM canonical c JOIN incoming n ON c.id = n.id)"
 
 
 @query(_merge_sql(), "canonical", "incoming")

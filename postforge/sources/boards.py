@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postforge.sources.tables import least
+
 COLUMNS = {
     "source_id": "string", "source_url": "string", "title": "string", "company": "string", "location": "string", "description": "string", "apply_url": "string", "posted_at": "timestamp_ntz", "deadline": "timestamp_ntz",
     "employment_type": "string", "work_mode": "string", "salary_min": "double", "salary_max": "double", "salary_currency": "string",
@@ -162,7 +164,7 @@ def parse(payloads: DataFrame, board: str) -> DataFrame:
         F.concat_ws(":", F.lit(b.prefix), "token").alias("source_name"), *[(F.expr(b.columns[c]) if c in b.columns else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()], F.lit(b.freshness).alias("freshness_mode"), "fetched_at",
     )
     out = out.where("source_id IS NOT NULL")  # an empty object parses as a posting without anything
-    return out.dropDuplicates(["source_name", "source_id"]) if b.distinct else out
+    return least(out, ["source_name", "source_id"], ["fetched_at"]) if b.distinct else out
 
 
 def read(spark: SparkSession, path: str, board: str, token: str, fetched_at: str) -> DataFrame:
@@ -236,7 +238,8 @@ def company_site(listings: DataFrame, details: DataFrame) -> DataFrame:
         "work_mode": F.when(word("hybrid"), "HYBRID").when(word("remote"), "REMOTE").when(word("on[- ]site|in office"), "ONSITE"), "salary_min": money(2), "salary_max": money(3), "salary_currency": F.when(sign == "$", "USD").when(sign == "£", "GBP").when(sign == "€", "EUR"),
     }
     cols = [values[k].cast(t).alias(k) for k, t in COLUMNS.items()]
-    return df.select(F.concat(F.lit("CompanySite:"), "token").alias("source_name"), *cols, F.lit("INCREMENTAL").alias("freshness_mode"), "fetched_at").dropDuplicates(["source_name", "source_id"])
+    out = df.select(F.concat(F.lit("CompanySite:"), "token").alias("source_name"), *cols, F.lit("INCREMENTAL").alias("freshness_mode"), "fetched_at")
+    return least(out, ["source_name", "source_id"], ["fetched_at"])
 
 
 def seed_urls(lines: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from postforge.functions import text
 from postforge.sources.boards import COLUMNS
+from postforge.sources.tables import least
 
 LD = "`@type` string, url string, title string, description string, datePosted string, validThrough string, jobLocationType string, employmentType string, hiringOrganization struct<name:string>, jobLocation array<struct<address:struct<addressLocality:string,addressRegion:string,addressCountry:string>>>, baseSalary struct<currency:string,value:struct<minValue:double,maxValue:double,unitText:string>>"
 
@@ -86,11 +87,11 @@ def successfactors(lists: DataFrame, details: DataFrame) -> DataFrame:
     h = c("html")
     meta = lambda name: one_line(find(h, f'(?i)itemprop="{name}" content="([^"]+)"'))
     said = F.coalesce(inside(h, '<span class="jobdescription">', "span"), inside(h, 'itemprop="description"[^>]*>', "span"))
-    known = details.select(
+    known = least(details.select("url", "html"), ["url"]).select(
         c("url").alias("_key"), F.coalesce(one_line(find(h, '(?i)itemprop="title"[^>]*>([^<]+)<')), one_line(find(h, "(?is)<title>(.*?)</title>"))).alias("title"), meta("hiringOrganization").alias("company"),
         F.nullif(F.concat_ws(", ", meta("addressLocality"), meta("addressRegion"), meta("addressCountry")), F.lit("")).alias("location"), one_line(said).alias("description"), when_posted(meta("datePosted")).alias("at"),
         find(h, r'(?i)<a[^>]*class="[^"]*\bapply\b[^"]*"[^>]*href="([^"]+)"').alias("apply"),
-    ).dropDuplicates(["_key"])
+    )
     df = rows.join(known, c("_url") == c("_key"), "left")
     host = F.regexp_replace(F.lower("token"), r"^jobs\.|^careers?\.", "")
     company = F.coalesce("company", F.initcap(F.replace(F.substring_index(host, ".", 1), F.lit("-"), F.lit(" "))))
@@ -128,7 +129,7 @@ def icims(lists: DataFrame, details: DataFrame) -> DataFrame:
     ).where("_title IS NOT NULL")
     blocks = F.transform(F.regexp_extract_all("html", F.lit(r"""(?is)<script\s+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1), lambda b: F.from_json(b, LD))
     page = F.coalesce(find(c("html"), '(?is)class="[^"]*iCIMS_JobContent[^"]*"[^>]*>(.*?)</div>'), find(c("html"), '(?is)class="[^"]*iCIMS_InfoMsg_Job[^"]*"[^>]*>(.*?)</div>'))
-    known = details.select(c("url").alias("_key"), F.try_element_at(F.filter(blocks, lambda j: j["@type"] == "JobPosting"), F.lit(1)).alias("j"), page.alias("page")).dropDuplicates(["_key"])
+    known = least(details.select("url", "html"), ["url"]).select(c("url").alias("_key"), F.try_element_at(F.filter(blocks, lambda j: j["@type"] == "JobPosting"), F.lit(1)).alias("j"), page.alias("page"))
     df = rows.join(known, c("_url") == c("_key"))
     ld, remote = c("j").isNotNull(), F.coalesce(c("j.jobLocationType") == "TELECOMMUTE", F.lit(False))
     places = F.array_join(F.filter(F.transform("j.jobLocation", lambda x: F.concat_ws(", ", F.nullif(x["address"]["addressLocality"], F.lit("")), F.nullif(x["address"]["addressRegion"], F.lit("")), F.nullif(x["address"]["addressCountry"], F.lit("")))), lambda x: x != ""), "; ")

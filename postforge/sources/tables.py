@@ -1,5 +1,4 @@
-"""Tables kept up to date without a table format: rows are dealt into buckets by their keys, a change writes the buckets it touches
-as a new version, and readers follow a list of which version each bucket is in."""
+"""What becomes of a table's rows when new ones come: by key, by company, by JSON object. How tables are stored is in store.py."""
 
 from __future__ import annotations
 
@@ -8,15 +7,10 @@ import re
 import tempfile
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Buckets of a table; fixed for its life. A change costs the buckets that it touches, so a large table has thousands.
-BUCKETS = 64
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with new's rows in place of those with the same keys; new rows are added. Adds change: created, updated, kept.
 
@@ -42,9 +36,18 @@ def upsert_mappings(old: DataFrame, new: DataFrame, key: str = "raw_id", target:
     return out.withColumn("previous", F.when(F.col("_was") != F.col(target), F.col("_was"))).drop("_k", "_was")
 
 
+def least(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per combination of keys: the first by `order` (all other columns as given, nulls first); what counts doesn't depend on partitions."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    by = F.struct(*(order or []), *rest)
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """new's rows whose keys old doesn't have, one per key: what is to be appended."""
-    return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+    """new's rows whose keys old doesn't have, one per key (of several the least by all columns): what is to be appended."""
+    return least(new, keys).join(old.select(*keys), keys, "left_anti")
 
 
 def merge_companies(rows: DataFrame) -> DataFrame:
@@ -101,84 +104,3 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix=f"spark-{name}-")
     return f"{base.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-
-
-# --- versions --------------------------------------------------------------------------------------------------------
-
-
-def bucket(keys: list[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-
-def current(spark: SparkSession, folder: str) -> dict[int, int] | None:
-    """The version that each bucket is in; null if nothing was written yet. As many entries as buckets at most."""
-    lists = _lists(spark, folder)
-    return None if lists is None else lists[max(lists)]
-
-
-def _lists(spark: SparkSession, folder: str) -> dict[int, dict[int, int]] | None:
-    """Every list that is kept, by its version."""
-    try:
-        rows = spark.read.schema("bucket int, data long, version long").parquet(f"{folder}-current").collect()
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    out: dict[int, dict[int, int]] = {}
-    for r in rows:
-        out.setdefault(r["version"], {})[r["bucket"]] = r["data"]
-    return out or None
-
-
-def _paths(folder: str, where: dict[int, int]) -> list[str]:
-    return [f"{folder}/v={v}/bucket={b}" for b, v in sorted(where.items())]
-
-
-def apply_batch(spark: SparkSession, folder: str, batch: DataFrame, keys: list[str], version: int, buckets: int = BUCKETS) -> None:
-    """Folds a batch into the table as a version. Only buckets that the batch touches are read and written.
-
-    A version that is in force already is passed over. One that failed, at whatever point, may be repeated: its files replace
-    what is left of it, and it is in force only once its list is written. Versions but the last two are removed.
-    """
-    lists = _lists(spark, folder) or {}
-    if lists and max(lists) >= version:
-        return
-    now = lists[max(lists)] if lists else {}
-    dealt = batch.withColumn("bucket", bucket(keys, buckets))
-    touched = {r["bucket"] for r in dealt.select("bucket").distinct().collect()}
-    old = _paths(folder, {b: v for b, v in now.items() if b in touched})
-    known = spark.read.schema(batch.schema).parquet(*old) if old else batch.limit(0)
-    merged = upsert(known, batch, keys).drop("change").withColumn("bucket", bucket(keys, buckets))
-    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={version}")
-    commit(spark, folder, now | dict.fromkeys(touched, version), version)
-    remove_unused(spark, folder)
-
-
-def commit(spark: SparkSession, folder: str, where: dict[int, int], version: int) -> None:
-    """Puts a version in force. An empty first batch has no bucket and puts nothing in force."""
-    spark.createDataFrame(sorted(where.items()), "bucket int, data long").coalesce(1).write.mode("overwrite").parquet(f"{folder}-current/version={version}")
-
-
-def remove_unused(spark: SparkSession, folder: str, keep: int = 2) -> None:
-    """Removes the lists of all versions but the last ones, and what no list that is left names. Readers of older versions must be done."""
-    lists = _lists(spark, folder) or {}
-    last = sorted(lists)[-keep:]
-    used = {(v, b) for n in last for b, v in lists[n].items()}
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(folder).getFileSystem(conf)
-    for n in sorted(lists)[:-keep]:
-        fs.delete(path(f"{folder}-current/version={n}"), True)
-    for v in {v for n in lists for v in lists[n].values()}:
-        own = {b for w, b in used if w == v}
-        if not own:
-            fs.delete(path(f"{folder}/v={v}"), True)
-        else:
-            for b in {b for n in lists for b, w in lists[n].items() if w == v} - own:
-                fs.delete(path(f"{folder}/v={v}/bucket={b}"), True)
-
-
-def read_current(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """The table as of its version in force; empty if nothing was written yet."""
-    where = current(spark, folder)
-    return spark.read.schema(schema).parquet(*_paths(folder, where)) if where else spark.createDataFrame([], schema)

@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from postforge.sources.tables import BUCKETS, apply_batch
+from postforge.sources.store import BUCKETS, Store, Table
 
+TABLE = "rows"
 
-def ingest(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], buckets: int = BUCKETS) -> StreamingQuery:
+
+def table_of(spark: SparkSession, folder: str, schema: str, keys: list[str], buckets: int = BUCKETS) -> Store:
+    """The store whose one table streams keep up to date."""
+    return Store(spark, folder, {TABLE: Table(schema, keys, buckets)})
+
+
+def ingest(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], buckets: int = BUCKETS, name: str | None = None) -> StreamingQuery:
     """Folds each batch of `stream` into the table below `folder`, then stops (all that is there now is taken).
 
-    A batch writes the version of its own number, so one that is repeated after a failure goes on where it failed, and is passed over if it had been done.
+    A batch is known by the stream's name (its checkpoint folder unless given) and its number, so one that is repeated after a failure counts once, and several
+    streams, or one begun anew with another checkpoint, may write into the same table.
     """
-    spark = stream.sparkSession
-    return stream.writeStream.foreachBatch(lambda batch, number: apply_batch(spark, folder, batch, keys, number, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark, kind = stream.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    store = table_of(spark, folder, kind, keys, buckets)
+    fold = lambda batch, number: store.upsert(TABLE, batch, name or checkpoint, number)
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The table as of now; empty if nothing was written yet."""
+    return table_of(spark, folder, schema, []).read(TABLE)
 
 
 def distinct_signals(stream: DataFrame, within: str = "1 hour") -> DataFrame:

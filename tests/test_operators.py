@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from postforge.operators import feed, lifecycle, matching, network, reports
+from postforge.operators import feed, ingestion, lifecycle, matching, network, reports, tracker
 from postforge.sources import boards, tables
 from postforge.streaming import ingest
 
@@ -166,61 +166,34 @@ def test_job_bank(spark, tmp_path):
     assert [(r["source_id"], r["location"], r["salary_min"], r["salary_max"], r["work_mode"], r["employment_type"]) for r in got] == [("jobbank:11", "Regina, SK, Canada", 41600.0, 52000.0, "REMOTE", "FULL_TIME")]
 
 
-def test_upsert_and_versions(spark, tmp_path):
+def test_upsert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "id long, v string")
     out = tables.upsert(old, new, ["id"])
     assert {tuple(r) for r in out.collect()} == {(1, "a", "kept"), (2, "d", "updated"), (3, "e", "created")}
-    folder, kind = f"{tmp_path}/t", "id long, v string"
-    assert tables.read_current(spark, folder, kind).count() == 0
-    for n in range(4):
-        tables.apply_batch(spark, folder, [old, new, spark.createDataFrame([(2, "x")], kind), spark.createDataFrame([(9, "y")], kind)][n], ["id"], n, 4)
-    assert {tuple(r) for r in tables.read_current(spark, folder, kind).collect()} == {(1, "a"), (2, "x"), (3, "e"), (9, "y")}
-    kept = {p.name for p in (tmp_path / "t-current").iterdir() if p.name.startswith("version")}
-    assert kept == {"version=2", "version=3"}
-    assert len(list((tmp_path / "t").rglob("bucket=*"))) <= 2 * 4
-    assert {r["id"] for r in tables.insert_ignore(old, new, ["id"]).collect()} == {3}
-
-
-def test_stream_of_polls_is_idempotent(spark, tmp_path):
-    spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string").write.parquet(f"{tmp_path}/in/1")
-    run = lambda ck: ingest.ingest(spark.readStream.schema("id long, v string").parquet(f"{tmp_path}/in/*"), f"{tmp_path}/out", f"{tmp_path}/{ck}", ["id"]).awaitTermination()
-    run("ck")
-    spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string").write.parquet(f"{tmp_path}/in/2")
-    run("ck")
-    run("ck")
-    assert {tuple(r) for r in tables.read_current(spark, f"{tmp_path}/out", "id long, v string").collect()} == {(1, "a"), (2, "c"), (3, "d")}
-
-
-def test_a_stream_goes_on_after_a_failure_between_the_writes(spark, tmp_path, monkeypatch):
-    kind = "id long, v string"
-    spark.createDataFrame([(1, "a"), (2, "b")], kind).write.parquet(f"{tmp_path}/in/1")
-    run = lambda: ingest.ingest(spark.readStream.schema(kind).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/out", f"{tmp_path}/ck", ["id"], 4).awaitTermination()
-    run()
-    spark.createDataFrame([(2, "c"), (3, "d")], kind).write.parquet(f"{tmp_path}/in/2")
-    whole = tables.commit
-
-    def broken(*args):
-        raise OSError("lost between the files and their list")
-
-    monkeypatch.setattr(tables, "commit", broken)
-    with pytest.raises(Exception, match="lost between"):
-        run()
-    assert {tuple(r) for r in tables.read_current(spark, f"{tmp_path}/out", kind).collect()} == {(1, "a"), (2, "b")}
-    monkeypatch.setattr(tables, "commit", whole)
-    run()
-    assert {tuple(r) for r in tables.read_current(spark, f"{tmp_path}/out", kind).collect()} == {(1, "a"), (2, "c"), (3, "d")}
-
-
-def test_an_unchanged_bucket_is_not_written_again(spark, tmp_path):
-    kind = "id long, v string"
-    tables.apply_batch(spark, f"{tmp_path}/t", spark.createDataFrame([(i, "a") for i in range(200)], kind), ["id"], 0, 16)
-    tables.apply_batch(spark, f"{tmp_path}/t", spark.createDataFrame([(7, "b")], kind), ["id"], 1, 16)
-    assert len([p for p in (tmp_path / "t" / "v=1").iterdir() if p.name.startswith("bucket")]) == 1
-    got = tables.read_current(spark, f"{tmp_path}/t", kind)
-    assert got.count() == 200 and got.where("v = 'b'").count() == 1
-    tables.apply_batch(spark, f"{tmp_path}/t", spark.createDataFrame([], kind), ["id"], 2, 16)
-    assert tables.read_current(spark, f"{tmp_path}/t", kind).count() == 200
+    assert {tuple(r) for r in tables.insert_ignore(old, new.union(new.where("id = 9")), ["id"]).collect()} == {(3, "e")}
+
+
+def test_survivors_do_not_depend_on_partitions(spark):
+    rows = [(k, f"v{i}", i % 3) for k in (1, 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, v string, n int")
+    for p in (1, 3, 8):
+        assert {tuple(r) for r in tables.least(df.repartition(p), ["id"]).collect()} == {(1, "v0", 0), (2, "v0", 0)}
+        assert {tuple(r) for r in tables.least(df.repartition(p), ["id"], ["n"]).collect()} == {(1, "v0", 0), (2, "v0", 0)}
+    assert tables.least(df.select("id"), ["id"]).count() == 2
+
+
+def test_uncalled_parts(spark):
+    decided = spark.createDataFrame([(1, "obvious_dead_at_intake", 7), (2, "obvious_dead_at_intake", None), (3, "obvious_junk", 8), (4, None, 9), (5, "obvious_dead_at_intake", 7)], "id long, reject_reason string, previous long")
+    assert [tuple(r) for r in ingestion.dead_on_arrival(decided).collect()] == [(7,)]
+    jobs = spark.createDataFrame([(i, ago(days=9), ago(days=8), "old") for i in range(1, 6)], "id long, last_confirmed_alive_at timestamp, dead_signal_at timestamp, dead_signal_reason string")
+    checks = spark.createDataFrame([(1, "ALIVE", None), (1, "DEAD", "gone"), (2, "ALIVE", None), (3, "SUSPECT", None), (4, "DEAD", "404"), (9, "DEAD", "x")], "canonical_id long, result string, reason string")
+    got = {r["id"]: tuple(r)[1:] for r in tracker.merge_health(jobs, checks, F.lit(NOW)).collect()}
+    assert got == {1: (NOW, NOW, "gone"), 2: (NOW, None, None), 3: (ago(days=9), ago(days=8), None), 4: (ago(days=9), NOW, "404")}
+    titles = ["Summer intern", "Junior clerk", "Senior engineer", "VP of sales", "Cook"]
+    posts = spark.createDataFrame([(i, t, "", None, "") for i, t in enumerate(titles)], "id long, title string, description string, employment_type string, role_family string")
+    said = {v: {r["id"] for r in posts.where(feed.stage_is(v)).collect()} for v in ("INTERNSHIP", "SENIOR")}
+    assert 0 in said["INTERNSHIP"] and 2 in said["SENIOR"] and not said["INTERNSHIP"] & said["SENIOR"]
 
 
 def test_reports_are_files(spark, tmp_path):
