@@ -39,8 +39,10 @@ def decide_in_order(postings: DataFrame, said: DataFrame, before: DataFrame, map
     created: the posting makes a new row, created_by is its own id. matched with a null canonical_id: it belongs to the row that the posting created_by makes.
     """
     c = F.col
-    same = _staying(postings, before, known)
-    accepted = postings.join(said.where("reject_reason is null").select(c("id").alias("_ok")), c("id") == c("_ok"), "left_semi")
+    kept = lambda df, name: polls._kept(postings.sparkSession, df, name)  # noqa: E731 - each is read many times below
+    said = kept(said.select("id", "reject_reason"), "said")
+    accepted = kept(postings.join(said.where("reject_reason is null").select(c("id").alias("_ok")), c("id") == c("_ok"), "left_semi"), "accepted")
+    same = kept(_staying(accepted, before, known), "staying")
     settled = same.join(accepted.select("id"), c("_kept") == c("id"), "left_semi").select(c("_kept").alias("id"), c("_where").alias("canonical_id"))
     found = polls.resolve(accepted, settled, mappings, known).select(c("id").alias("_id"), c("canonical_id").alias("_to"), "created_by", "how")
     df = said.select("id", "reject_reason").join(before, c("id") == c("raw_id"), "left").join(found, c("id") == c("_id"), "left")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from postforge.functions.text import days_between, hours_between, js_round
 
 
+#: Limits of the steps below: hours since a sight, days since a removal, a confirmation and the first sight.
+SEEN_HOURS, GONE_DAYS, ALIVE_DAYS, AGE_DAYS = (12, 48, 168, 336, 720, 1440), (2, 7, 21, 45), (1, 3, 7, 14, 30), (120, 240, 365)
+
+
 def steps(x: Column, limits: list[tuple[float, float]], beyond: float) -> Column:
     """The value of the first limit that x doesn't pass."""
     out = F.lit(float(beyond))
@@ -87,6 +91,35 @@ def score(jobs: DataFrame, mappings: DataFrame, as_of: Column) -> DataFrame:
     return e.select("id", status.alias("status"), F.when(ended, 0).otherwise(points).cast("int").alias("availability_score"), n.cast("long").alias("n_active"))
 
 
+def _next(since: Column, hours: list[float], as_of: Column) -> Column:
+    """Microseconds of the first instant, not before as_of, after which `since` is longer ago than one of the limits; null if there is none."""
+    at = F.unix_micros(since.cast("timestamp"))
+    return F.array_min(F.filter(F.transform(F.array(*[F.lit(int(h * 3_600_000_000)) for h in hours]), lambda h: at + h), lambda x: x >= F.unix_micros(as_of.cast("timestamp"))))
+
+
+def next_change(jobs: DataFrame, mappings: DataFrame, as_of: Column) -> DataFrame:
+    """id, next_change: microseconds of the last instant at which the score of as_of still holds if nothing new comes; null if it holds for good."""
+    days = lambda d: [24.0 * x for x in d]
+    own = F.when(F.col("removed_at").isNull(), _next(F.col("last_seen_at"), list(SEEN_HOURS), as_of)).otherwise(_next(F.col("removed_at"), days(GONE_DAYS), as_of))
+    m = mappings.groupBy("canonical_id").agg(F.min(own).alias("_m"))
+    ends = F.unix_micros(F.col("deadline").cast("timestamp")) - 1
+    ends = F.when(ends >= F.unix_micros(as_of.cast("timestamp")), ends)
+    at = F.least("_m", _next(F.col("last_confirmed_alive_at"), days(ALIVE_DAYS), as_of), _next(F.col("first_seen_at"), days(AGE_DAYS), as_of), ends)
+    return jobs.join(m, F.col("id") == F.col("canonical_id"), "left").select("id", at.alias("next_change"))
+
+
+def rescored(jobs: DataFrame, mappings: DataFrame, as_of: Column) -> DataFrame:
+    """score() with next_change, for the given postings only: mappings of others are left out before anything is shuffled for them."""
+    own = mappings.join(jobs.select(F.col("id").alias("_id")), F.col("canonical_id") == F.col("_id"), "left_semi")
+    return score(jobs, own, as_of).join(next_change(jobs, own, as_of), "id")
+
+
+def due(jobs: DataFrame, touched: DataFrame, as_of: Column) -> DataFrame:
+    """Postings that have to be scored again: those that news came for (touched: id), and those whose score no longer holds by age alone. jobs: with the next_change of their last score; never scored is due."""
+    news = jobs.join(touched.select(F.col("id").alias("_t")).distinct(), F.col("id") == F.col("_t"), "left")
+    return news.where(F.col("_t").isNotNull() | (F.col("next_change") < F.unix_micros(as_of.cast("timestamp"))) | F.col("scored_at").isNull()).drop("_t")
+
+
 def tally(scored: DataFrame) -> DataFrame:
     """Counters of a status pass; AGING counts as live and as aging."""
     n = lambda *s: F.count_if(F.col("status").isin(*s))

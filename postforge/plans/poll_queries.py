@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postforge.bindings import view
-from postforge.operators import polls
+from postforge.bindings import as_of, view
+from postforge.operators import lifecycle, polls
 from postforge.plans import extra_queries as X
 from postforge.plans import page_queries as P
-from postforge.plans.queries import MATCHES_SQL, _CLUSTER, _sides, _similar_sql, compatible_sql, merged_columns, query
+from postforge.plans.queries import MATCHES_SQL, _lifecycle_sql, _sides, _similar_sql, compatible_sql, merged_columns, query
+from postforge.sources.store import Store
+from postforge.sources.tables import scratch
+from postforge.streaming import intake
 
 #: Where a posting stands in its poll: neither by id nor by any key.
 ARRIVAL = "(id * 7919) % 1000003"
@@ -43,7 +46,10 @@ walk(id, spot) AS (SELECT id, id FROM node UNION ALL SELECT walk.id, node.earlie
 ends AS (SELECT walk.id, node.canonical_id, CASE WHEN node.canonical_id IS NULL THEN node.id END AS created_by FROM walk JOIN node ON node.id = walk.spot WHERE node.earlier IS NULL)"""
 
 
-@query(f"{MATCHES_SQL}, {_KEYS_OF}, old AS ({X._OLD}), say AS (WITH {P.normalize_sql()} SELECT id, reject_reason FROM done), ok AS (WITH {compatible_sql('(n.id, k.id) IN (SELECT raw_id, canonical_id FROM old)', 'i.id % 4 = 0')} SELECT * FROM fits), {_WITHIN} SELECT ends.*, node.how FROM ends JOIN node ON node.id = ends.id", "canonical", "incoming", "mapping", recursive=True)
+_IN_ORDER = f"{MATCHES_SQL}, {_KEYS_OF}, old AS ({X._OLD}), say AS (WITH {P.normalize_sql()} SELECT id, reject_reason FROM done), ok AS (WITH {compatible_sql('(n.id, k.id) IN (SELECT raw_id, canonical_id FROM old)', 'i.id % 4 = 0')} SELECT * FROM fits), {_WITHIN}"
+
+
+@query(f"{_IN_ORDER} SELECT ends.*, node.how FROM ends JOIN node ON node.id = ends.id", "canonical", "incoming", "mapping", recursive=True)
 def poll_in_order(spark, d):
     """Where each accepted posting of a poll goes: to a known row, to an earlier posting, or to a row of its own."""
     new, mappings, known = _poll(spark, d)
@@ -70,3 +76,46 @@ def survivorship_fold(spark, d):
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     out = polls.fold(postings, known)
     return out.withColumns({"posted": us("posted_at"), "due": us("deadline")}).drop("posted_at", "deadline")
+
+
+# --- what is stored --------------------------------------------------------------------------------------------------
+
+_STORED = """, going AS (SELECT ends.id, coalesce(ends.canonical_id, -ends.created_by) AS target, ends.created_by = ends.id AS made, node.how, old.raw_id IS NOT NULL AS had FROM ends JOIN node ON node.id = ends.id LEFT JOIN old ON old.raw_id = ends.id),
+sums AS (SELECT count(*) AS accepted, count(*) FILTER (coalesce(made, false)) AS made, count(*) FILTER (how IS NOT NULL) AS deduped, count(*) FILTER (had) AS had, count(DISTINCT target) AS targets FROM going), whole AS (SELECT count(*) AS fetched, count(*) FILTER (id % 5 = 0) AS gone FROM incoming)
+SELECT unnest(['raw', 'mapping', 'canonical', 'eligibility', 'run', 'fetched', 'accepted', 'rejected', 'raw_created', 'raw_updated', 'canonical_created', 'canonical_updated', 'deduped', 'mapping_created', 'mapping_updated', 'mappings_removed']) AS name,
+  unnest([fetched, (SELECT count(*) FROM (SELECT DISTINCT id, canonical_id FROM mapping)) + (SELECT count(*) FROM old) + gone + accepted - had, (SELECT count(*) FROM canonical) + made, targets, 1, fetched, accepted, fetched - accepted, fetched, 0, made, accepted - made, deduped, accepted - had, had, gone]) AS n FROM sums, whole"""
+
+
+@query(_IN_ORDER + _STORED, "canonical", "incoming", "mapping", recursive=True)
+def ingest_commit(spark, d):
+    """A poll put into force as one change: how many rows each table has then, and the counts of the run's row."""
+    new, mappings, known = _poll(spark, d)
+    store = Store(spark, scratch(spark, "store"), intake.tables(8))
+    source, none = F.lit("Feed:poll"), F.lit(None).cast("string")
+    feed = lambda rows, kind: rows.select("id", "canonical_id", source.alias("source_name"), kind.alias("source_id"))
+    old = feed(X._before(spark, d).select((-F.col("raw_id")).alias("id"), "canonical_id"), F.col("id").cast("string"))
+    gone = feed(view(spark, d, "incoming", "id").where("id % 5 = 0").select((-F.col("id") - 10**9).alias("id"), F.lit(1).cast("long").alias("canonical_id")), F.concat(F.lit("gone-"), F.col("id").cast("string")))
+    own = mappings.withColumn("id", F.col("id") * 1_000_003 + F.col("canonical_id") % 1_000_003)  # ids of this table repeat
+    maps = own.unionByName(old, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+    store.commit(lambda at: {"canonical": intake._shaped(store, "canonical", known), "mapping": intake._shaped(store, "mapping", maps)})
+    said = P._normalized(spark, d).select("id", "reject_reason")
+    postings = new.join(said, "id").withColumns({"id": -F.col("id"), "source_id": (-F.col("id")).cast("string"), "source_url": F.col("apply_url"), "experience_level": F.lit("UNKNOWN"), "source_type": F.lit("BOARD"), "source_reliability": F.lit(0.7), "short_summary": F.coalesce("short_summary", none)})
+    intake.poll(store, postings, "Feed:poll", 0, spark.range(1).select(as_of()).first()[0], full=True, exhausted=True)
+    sizes = [store.read(t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("raw", "mapping", "canonical", "eligibility", "run")]
+    run = store.read("run").select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in intake.COUNTS[:11]])))
+    for s in sizes:
+        run = run.union(s)
+    return run
+
+
+@query(_lifecycle_sql() + " SELECT * FROM z", "canonical", "mapping")
+def lifecycle_refresh(spark, d):
+    """Postings scored a month ago and again where that no longer holds: the same as scoring all of them."""
+    jobs, mappings = view(spark, d, "canonical"), view(spark, d, "mapping")
+    then = (as_of() - F.expr("INTERVAL 30 DAYS")).cast("timestamp_ntz")
+    first = polls._kept(spark, lifecycle.rescored(jobs, mappings, then), "scored")
+    stored = jobs.drop("status", "availability_score").join(first, "id").withColumn("scored_at", then)
+    open_ = polls._kept(spark, lifecycle.due(stored, stored.select("id").limit(0), as_of()).select("id"), "due")
+    again = lifecycle.score(jobs.join(open_, "id", "left_semi"), mappings.join(open_.select(F.col("id").alias("canonical_id")), "canonical_id", "left_semi"), as_of())
+    rest = first.join(open_, "id", "left_anti").select(*again.columns)
+    return again.union(rest).withColumn("availability_score", F.col("availability_score").cast("long"))
