@@ -200,12 +200,13 @@ def absolute(url: Column) -> Column:
     return F.coalesce(url.rlike("(?i)^https?://[^/]"), F.lit(False))
 
 
-def trust(url: Column, name: Column) -> Column:
-    """Whether a source's link may be shown: UNAVAILABLE (a demonstration's, a blocked host), TRUSTED (a verified source or host), else CAUTION."""
+def trust(url: Column, name: Column, own: Column | None = None, ok: Column | None = None) -> Column:
+    """Whether a source's link may be shown: UNAVAILABLE (a demonstration's, a blocked host), TRUSTED (a verified source or host), else CAUTION. own, ok: host(url) and absolute(url), where columns hold them."""
+    own, ok = host(url) if own is None else own, absolute(url) if ok is None else ok
     verified = source_prefix(name).isin(R.TRUSTED_PREFIXES) & name.contains(":")
     return (
-        F.when(name.isin(R.DEMO_SOURCES), "UNAVAILABLE").when(~absolute(url), "CAUTION").when(host_in(host(url), R.BLOCKED_HOSTS), "UNAVAILABLE")
-        .when(verified | host_in(host(url), R.TRUSTED_HOSTS), "TRUSTED").otherwise("CAUTION")
+        F.when(name.isin(R.DEMO_SOURCES), "UNAVAILABLE").when(~ok, "CAUTION").when(host_in(own, R.BLOCKED_HOSTS), "UNAVAILABLE")
+        .when(verified | host_in(own, R.TRUSTED_HOSTS), "TRUSTED").otherwise("CAUTION")
     )
 
 

@@ -16,9 +16,12 @@ def resolved(jobs: DataFrame, mappings: DataFrame) -> DataFrame:
     than two. Primary ones go first, then the smallest id. jobs: id, apply_url; mappings: canonical_id, id, source_name, source_url, is_primary.
     """
     c = F.col
-    level, ok = urls.trust(c("source_url"), c("source_name")), urls.absolute(c("source_url"))
+    # host, then level, each in a projection of its own: named more than once, they are still worked out once a row
+    m = mappings.select("canonical_id", "id", "source_name", "source_url", "is_primary", urls.host(c("source_url")).alias("_host"), urls.absolute(c("source_url")).alias("_ok"))
+    m = m.select("*", urls.trust(c("source_url"), c("source_name"), c("_host"), c("_ok")).alias("_level"))
+    level, ok = c("_level"), c("_ok")
     place = F.struct((~c("is_primary")).alias("late"), "id", c("source_name").alias("name"), c("source_url").alias("url"))
-    m = mappings.groupBy("canonical_id").agg(
+    m = m.groupBy("canonical_id").agg(
         F.every(c("source_name").isin(R.DEMO_SOURCES)).alias("demo"), F.min(F.when(ok & (level == "TRUSTED"), place)).alias("sure"), F.min(F.when(ok & (level != "UNAVAILABLE"), place)).alias("live"),
     )
     own = urls.absolute(c("apply_url")) & ~c("demo") & ~urls.host_in(urls.host(c("apply_url")), R.BLOCKED_HOSTS) & c("live").isNotNull()
