@@ -75,6 +75,43 @@ def job_links(html: Column, url: Column, most: int = 40) -> Column:
     return F.slice(F.filter(site_links(html, url), looks), 1, most)
 
 
+def further(html: Column, url: Column) -> Column:
+    """Of the links that stay on the host, where those lead that say that a list goes on."""
+    from postforge.functions import rules as R
+
+    return F.array_distinct(F.transform(F.filter(site_links(html, url), lambda x: x["text"].rlike("(?i)" + R.PAGING_LINK)), lambda x: x["href"]))
+
+
+def reached(starts: DataFrame, landed: DataFrame, depth: int = 7) -> DataFrame:
+    """token, url, depth of the landed pages that are reached from the starts (token, url) by following a list's further pages, each once, by its shortest way; `depth` steps at most.
+
+    landed: token, url, html; of pages with one URL the first by their text counts. Links are read once, out of every page; a round is a join of the pages found last with them, so loops and
+    pages that weren't landed end by themselves, and the rounds are as many as steps, however many sites and pages there are.
+    """
+    from postforge.sources.tables import scratch
+
+    spark, keys = landed.sparkSession, ["token", "url"]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    pages_ = landed.groupBy(*keys).agg(F.min("html").alias("html"))
+    links_ = kept(pages_.select(*keys, F.explode(further(F.col("html"), F.col("url"))).alias("to")), "links")
+    links_ = links_.join(pages_.select("token", F.col("url").alias("to")), ["token", "to"], "left_semi")
+    links_ = kept(links_, "links")
+    last = kept(starts.select(*keys).distinct().join(pages_.select(*keys), keys, "left_semi").withColumn("depth", F.lit(0)), "reached")
+    found = last
+    for step in range(1, depth + 1):
+        new = last.select(*keys).join(links_, keys).select("token", F.col("to").alias("url")).distinct().join(found, keys, "left_anti")
+        last = kept(new.withColumn("depth", F.lit(step)), "reached")
+        if last.isEmpty():
+            break
+        found = found.unionByName(last)
+    return found
+
+
 def _records(json: Column) -> Column:
     """The objects of a JSON text: of a list its members, of a graph its nodes, else itself."""
     graph = F.get_json_object(json, "$.@graph")

@@ -258,6 +258,20 @@ def source_company_site(spark, d):
     return out.select("source_name", "title", "company", "location", "source_url", "apply_url", F.when(F.col("source_id").startswith("company:Q"), F.col("source_id")).alias("known_id"), "posted", "employment_type", "work_mode", "salary_min", "salary_currency")
 
 
+#: Lists of seven pages: each leads to the one after it and to that of twice its number, the last back to the first.
+_NEXT = "concat('<a href=\"/p/', (page_id + 1) % 7, '\">Next</a><a href=\"https://s', page_id div 7, '.example/p/', page_id * 2 % 7, '\">Load <b>more</b></a><a href=\"https://other.example/p/3\">Next</a><a href=\"/p/5\">Our offices</a>')"
+
+
+@query("""WITH RECURSIVE p AS (SELECT page_id // 7 AS g, page_id % 7 AS k, page_id FROM pages), e AS (SELECT g, k, (k + 1) % 7 AS t FROM p UNION SELECT g, k, page_id * 2 % 7 FROM p),
+w(g, k, depth) AS (SELECT g, k, 0 FROM p WHERE k = 0 UNION SELECT w.g, e.t, depth + 1 FROM w JOIN e ON e.g = w.g AND e.k = w.k JOIN p ON p.g = e.g AND p.k = e.t WHERE depth < 4)
+SELECT 't' || CAST(g AS VARCHAR) AS token, 'https://s' || CAST(g AS VARCHAR) || '.example/p/' || CAST(k AS VARCHAR) AS url, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY g, k""")
+def listing_pages(spark, d):
+    """Lists over several pages, with loops, followed four steps from their first."""
+    p = spark.read.parquet(f"{d}/pages.parquet").selectExpr("page_id", "html")
+    landed = p.select(F.expr("concat('t', page_id div 7)").alias("token"), F.expr("concat('https://s', page_id div 7, '.example/p/', page_id % 7)").alias("url"), F.concat(F.coalesce("html", F.lit("")), F.expr(_NEXT)).alias("html"))
+    return pages.reached(p.selectExpr("concat('t', page_id div 7) AS token", "concat('https://s', page_id div 7, '.example/p/0') AS url"), landed, 4).withColumn("depth", F.col("depth").cast("long"))
+
+
 # --- differences -----------------------------------------------------------------------------------------------------
 
 _PAIRS = "p AS (SELECT conv_id, turn, string_split(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), chr(10)) AS a, string_split(coalesce(text, ''), chr(10)) AS b FROM conversations)"

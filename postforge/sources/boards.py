@@ -203,6 +203,14 @@ def job_bank(raw: DataFrame, fetched_at: str) -> DataFrame:
     )
 
 
+def site_listings(starts: DataFrame, landed: DataFrame, depth: int = 7) -> DataFrame:
+    """The landed pages (token, company, url, html, fetched_at) that are a site's lists: those of starts (token, url), and the further pages that they lead to. What company_site() reads."""
+    from postforge.operators import pages
+
+    keys = pages.reached(starts, landed, depth).select("token", "url")
+    return least(landed, ["token", "url"], ["fetched_at"]).join(keys, ["token", "url"], "left_semi").select(*landed.columns)
+
+
 def company_site(listings: DataFrame, details: DataFrame) -> DataFrame:
     """Postings of company sites. listings, details: token, company, url, html, fetched_at of landed pages.
 

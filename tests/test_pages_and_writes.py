@@ -102,3 +102,23 @@ def test_nothing_is_withdrawn_by_half_a_snapshot(spark):
     ids = lambda *a: {r["source_id"] for r in ingestion.unseen(m, *a).collect()}
     assert ids(seen, "S", True, "FULL_SNAPSHOT") == {"b"} and ids(seen.limit(0), "S", True, "FULL_SNAPSHOT") == {"a", "b"}
     assert ids(seen, "S", False, "FULL_SNAPSHOT") == set() and ids(seen, "S", True, "INCREMENTAL") == set()
+
+
+def test_lists_over_several_pages_are_followed(spark):
+    job = lambda i: f'<script type="application/ld+json">{{"@type": "JobPosting", "title": "Job {i}", "description": "Do it all and more of it.", "url": "https://a.example/job/{i}"}}</script>'
+    link = lambda to, text="Next page": f'<a href="{to}">{text}</a>'
+    rows = [
+        ("a", "https://a.example/jobs", job(1) + link("/jobs?p=2") + link("https://b.example/jobs", "next") + link("/about", "About us")),
+        ("a", "https://a.example/jobs?p=2", job(2) + link("/jobs?p=3", "<b>Page 3</b>") + link("/jobs", "Older")),
+        ("a", "https://a.example/jobs?p=3", job(3) + link("/jobs?p=2", "more") + link("/jobs?p=4")),
+        ("a", "https://a.example/about", job(9)), ("a", "https://a.example/jobs?p=3", "zzz" + link("/lost")), ("a", "https://a.example/lost", job(8)),
+        ("b", "https://b.example/jobs", job(7)), ("b", "https://a.example/jobs?p=2", None), (None, None, None),
+    ]
+    landed = spark.createDataFrame([(t, "Site", u, h, dt.datetime(2024, 5, 1)) for t, u, h in rows], "token string, company string, url string, html string, fetched_at timestamp")
+    starts = spark.createDataFrame([("a", "https://a.example/jobs"), ("a", "https://a.example/jobs"), ("c", "https://c.example/")], "token string, url string")
+    found = {r["url"].split("example")[1]: r["depth"] for r in pages.reached(starts, landed.repartition(3)).collect()}
+    assert found == {"/jobs": 0, "/jobs?p=2": 1, "/jobs?p=3": 2}
+    assert {r["url"] for r in pages.reached(starts, landed, 1).collect()} == {"https://a.example/jobs", "https://a.example/jobs?p=2"}
+    lists = boards.site_listings(starts, landed)
+    assert lists.count() == 3 and {r["title"] for r in boards.company_site(lists, landed.limit(0)).collect()} == {"Job 1", "Job 2", "Job 3"}
+    assert pages.reached(starts.limit(0), landed).count() == 0 and pages.reached(starts, landed.limit(0)).count() == 0
