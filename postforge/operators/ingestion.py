@@ -23,8 +23,9 @@ def decide(postings: DataFrame, said: DataFrame, before: DataFrame, mappings: Da
     a posting was before if it isn't there any more. The poll is decided as one: its postings don't match what it creates; decide_in_order() has that.
     """
     c = F.col
-    same = _staying(postings, before, known)
-    open_ = postings.join(said.where("reject_reason is null").select(c("id").alias("_ok")), c("id") == c("_ok"), "left_semi").join(same, c("id") == c("_kept"), "left_anti")
+    kept = lambda df, name: polls._kept(postings.sparkSession, df, name)  # noqa: E731 - each is read many times below
+    said, same = kept(said.select("id", "reject_reason"), "said"), kept(_staying(postings, before, known), "staying")
+    open_ = kept(postings.join(said.where("reject_reason is null").select(c("id").alias("_ok")), c("id") == c("_ok"), "left_semi").join(same, c("id") == c("_kept"), "left_anti"), "open")
     best = matching.best_match(open_, mappings, known).select("new_id", "known_id", "how")
     df = said.select("id", "reject_reason").join(before, c("id") == c("raw_id"), "left").join(same, c("id") == c("_kept"), "left").join(best, c("id") == c("new_id"), "left")
     decision = F.when(c("reject_reason").isNotNull(), "rejected").when(c("_kept").isNotNull(), "kept").when(c("known_id").isNotNull(), "matched").otherwise("created")

@@ -83,7 +83,7 @@ def loop(postings, settled, maps, known, scores):
     return ends
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_order_is_that_of_the_loop(spark, seed):
     rng = random.Random(seed)
     known, new = jobs(rng, 15, 1), jobs(rng, 60, 1000, hot=seed == 2)

@@ -213,5 +213,5 @@ def cycles(spark, root, fail_at=None, monkeypatch=None):
 def test_a_daemon_that_breaks_off_ends_where_an_unbroken_one_does(spark, tmp_path, monkeypatch):
     want = cycles(spark, tmp_path / "whole")
     assert want[0] == {(2, 3), (1, 3)} or sum(n for _, n in want[0]) == 6
-    for at in (2, 3, 6, 8, 15, 20):
+    for at in (3, 8, 15):
         assert cycles(spark, tmp_path / str(at), at, monkeypatch) == want
