@@ -86,31 +86,35 @@ def score_pairs(known: DataFrame, new: DataFrame, least: int = 1) -> DataFrame:
     return joined.select("known_id", "new_id", similarity("k", "n").alias("score")).where(F.col("score") >= least)
 
 
-def first_mapping(mappings: DataFrame, key: str) -> DataFrame:
-    """_k and known_id: of the mappings that share a key the one that counts: removed ones first, then primary, rank, last sight, id. One partial aggregation."""
-    last = F.lit(2**63 - 1)
-    order = F.struct(
-        F.col("removed_at").isNull(), "removed_at", F.coalesce(~F.col("is_primary"), F.lit(True)), F.coalesce(-F.col("source_quality_rank").cast("long"), last),
-        F.coalesce(-F.unix_micros(F.col("last_seen_at").cast("timestamp")), last), "id",
-    )
-    return mappings.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min_by("canonical_id", order).alias("known_id"))
+#: Keys of a posting by rung: those that mappings have, and those that known postings have.
+MAPPED = {0: "apply_url_key", 2: "source_url_key", 4: "posting_id_key"}
+OWN = {1: "apply_url_key", 6: "duplicate_cluster_id"}
+HOW = {0: "applyUrlKey", 1: "applyUrlKey", 2: "sourceUrlKey", 4: "postingIdKey", 6: "duplicateCluster"}
+
+
+def _by_key(df: DataFrame, keys: dict[int, str], *rest: str) -> DataFrame:
+    """One row rung, k per key that a row has: all rungs in one pass over df."""
+    pairs = F.array(*[F.struct(F.lit(rung).alias("rung"), F.col(key).alias("k")) for rung, key in keys.items()])
+    return df.select(*rest, F.explode(F.filter(pairs, lambda x: x["k"].isNotNull())).alias("p")).select("p.rung", "p.k", *rest)
 
 
 def exact_matches(new: DataFrame, mappings: DataFrame, known: DataFrame) -> DataFrame:
-    """new_id, known_id, how, rung of every match by key. The first three rungs go by mappings; the URL key also by the postings themselves.
+    """new_id, known_id, how, rung of every match by key. Three rungs go by mappings: of those that share a key removed ones first, then primary, rank, last sight, id; the URL key and the cluster also go by the postings themselves, smallest id first.
 
     new: id and the keys; mappings: canonical_id, the keys, removed_at, is_primary, source_quality_rank, last_seen_at, id.
-    Only keys that the poll has are looked at, and one row a key is left before the join, so that it makes as many rows as the poll has keys.
+    Only keys that the poll has are looked at, and one row a key is left before the join (a partial aggregation), so that it makes no more rows than the poll has keys.
     """
-    out = None
-    sides = [(key, how, 2 * k) for k, (key, how) in enumerate((("apply_url_key", "applyUrlKey"), ("source_url_key", "sourceUrlKey"), ("posting_id_key", "postingIdKey")))]
-    for key, how, rung in [*sides, ("apply_url_key", "applyUrlKey", 1), ("duplicate_cluster_id", "duplicateCluster", 6)]:
-        left = (new.where(F.col("company_key") != UNKNOWN_COMPANY) if rung == 6 else new).select(F.col("id").alias("new_id"), F.col(key).alias("_n")).where("_n is not null")
-        side = (known if rung in (1, 6) else mappings).join(left.select(F.col("_n").alias("_asked")).distinct(), F.col(key) == F.col("_asked"), "left_semi")
-        side = side.groupBy(F.col(key).alias("_k")).agg(F.min("id").alias("known_id")) if rung in (1, 6) else first_mapping(side, key)
-        part = left.join(side, F.col("_n") == F.col("_k")).select("new_id", "known_id", F.lit(how).alias("how"), F.lit(rung).alias("rung"))
-        out = part if out is None else out.union(part)
-    return out
+    asked = _by_key(new, MAPPED | OWN, "id", "company_key").where(~((F.col("rung") == 6) & F.coalesce(F.col("company_key") == UNKNOWN_COMPANY, F.lit(True)))).select(F.col("id").alias("new_id"), "rung", "k")
+    keys, last = asked.select("rung", "k").distinct(), F.lit(2**63 - 1)
+    order = F.struct(
+        F.col("removed_at").isNull(), "removed_at", F.coalesce(~F.col("is_primary"), F.lit(True)), F.coalesce(-F.col("source_quality_rank").cast("long"), last),
+        F.coalesce(-F.unix_micros(F.col("last_seen_at").cast("timestamp")), last), "id",
+    )
+    m = _by_key(mappings, MAPPED, "canonical_id", "removed_at", "is_primary", "source_quality_rank", "last_seen_at", "id").join(keys, ["rung", "k"], "left_semi")
+    held = m.groupBy("rung", "k").agg(F.min_by("canonical_id", order).alias("known_id"))
+    held = held.union(_by_key(known, OWN, "id").join(keys, ["rung", "k"], "left_semi").groupBy("rung", "k").agg(F.min("id").alias("known_id")))
+    how = F.coalesce(*[F.when(F.col("rung") == r, h) for r, h in HOW.items()])
+    return asked.join(held, ["rung", "k"]).select("new_id", "known_id", how.alias("how"), "rung")
 
 
 def best_match(new: DataFrame, mappings: DataFrame, known: DataFrame) -> DataFrame:
