@@ -251,6 +251,10 @@ SCRIPT_LINE = r"^(var |window\.|window\[|function\(|new date\(|https://www\.goog
 JSON_LINE = '"@type"|itemlistelement|ga4_event_options|query_info|currency_iso|privacy notice'
 CALLS_TO_APPLY = r"\b(click here to apply|apply now!?|submit your application today)\b[.!]*"
 BARE_HEADINGS = r"\b(What Youll Do|What Youll Bring|Who We Are|Job Summary|Key Responsibilities|Required Qualifications|Preferred Qualifications|Additional Information|Interview Process|Work Authorization)\b(?!\s*:)"
+# a label and its value on one line, labels whose value gets a line of its own, the longest such value; what a page's embedded description stands behind, how far, and its shortest length
+INLINE_LABEL, INLINE_VALUE_MOST = r"[A-Z][A-Za-z0-9/&+,'’() -]{1,48}", 220
+LABEL_OF_TWO_WORDS, LABEL_WORDS = r"[A-Z][a-z]+\s+[A-Z]", ["location", "salary", "compensation", "business"]
+EMBEDDED_MARKERS, EMBEDDED_REACH, EMBEDDED_LEAST = ['window["az_details"]', "window['az_details']", '"az_details"'], 60000, 120
 
 # signs of currencies in English; others by their code
 CURRENCY_SIGNS = {"USD": "$", "CAD": "CA$", "EUR": "€", "GBP": "£", "AUD": "A$", "NZD": "NZ$"}

@@ -12,6 +12,8 @@ from postforge.functions.text import EDGE, compact, contains_any, sanitize
 
 BLOCK = "array<struct<kind:string,text:string>>"
 _HEADING = r"^(?:#{1,3}\s+\S.*|\*\*[^*]+\*\*:?|[A-Z][A-Z\s&'/():-]{3,}|[A-Z][^.!?]{0,55}:)$"
+#: Possessive, so that a long text costs no stack.
+_DESCRIPTION = r'"description"\s*:\s*"([^"\\]*+(?:\\[\s\S][^"\\]*+)*+)"'
 _ITEM = r"^(?:[-•*–·]|\d{1,2}\.)\s+(.+)$"
 
 
@@ -70,25 +72,48 @@ def best(candidates: Column) -> Column:
     return F.array_max(scored)["said"]
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once, however often then names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _first(low: Column, words: list[str]) -> Column:
     """The 1-based place of the first of these words; null if there is none."""
     return F.array_min(F.filter(F.array(*[F.instr(low, F.lit(w)) for w in words]), lambda x: x > 0))
 
 
+def _embedded(raw: Column) -> Column:
+    """A page's description in its data, decoded: the first behind a marker, else the longest, the first of equals; null if none is long enough."""
+
+    def decoded(m: Column) -> Column:
+        one_line = F.replace(F.replace(m, F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
+        return F.trim(F.coalesce(F.from_json(F.concat(F.lit('{"d":"'), one_line, F.lit('"}')), "d string")["d"], m))
+
+    long = lambda x: F.when(F.length(x) >= R.EMBEDDED_LEAST, x)
+    at = [F.instr(raw, F.lit(m)) for m in R.EMBEDDED_MARKERS]
+    marked = [F.when(i > 0, long(decoded(F.regexp_extract(F.substring(raw, i, F.lit(R.EMBEDDED_REACH)), _DESCRIPTION, 1)))) for i in at]
+    found = F.transform(F.transform(F.regexp_extract_all(raw, F.lit(_DESCRIPTION), 1), decoded), long)
+    longest = F.array_max(F.transform(found, lambda x, i: F.when(x.isNotNull(), F.struct(F.length(x).alias("n"), (-i).alias("at"), x.alias("x")))))["x"]
+    return F.coalesce(*marked, longest)
+
+
 def primary(raw: Column) -> Column:
     """The description within a page's text: from the first heading of one to the first sign of what follows it, without lines of scripts, data and page chrome.
 
-    An embedded description of 120 characters or more goes before the text around it, the longest of several.
+    An embedded description goes before the text around it: the one behind a page's marker, else the longest of all.
     """
-    embedded = F.filter(F.transform(F.regexp_extract_all(raw, F.lit(r'"description"\s*:\s*"((?:\\.|[^"\\])*)"'), 1), lambda m: F.trim(F.from_json(F.concat(F.lit('{"d":"'), m, F.lit('"}')), "d string")["d"])), lambda x: F.length(x) >= 120)
-    longest = F.array_max(F.transform(embedded, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("at"), x.alias("x"))))["x"]
-    said = F.replace(F.coalesce(longest, raw), F.lit("\r"), F.lit(""))
-    bare = F.length(F.regexp_extract(said, r"(?is)^(.*?)(?:^|\n)\s*description\s*(?:\n|$)", 1)) + 1
-    bare = F.when(said.rlike(r"(?i)(?:^|\n)\s*description\s*(?:\n|$)"), bare)
-    begun = F.substring(said, F.coalesce(F.least(_first(F.lower(said), R.START_MARKERS), bare), F.lit(1)), F.length(said))
-    low = F.lower(begun)
-    ends = F.array_min(F.filter(F.array(*[F.instr(low, F.lit(w)) for w in R.END_MARKERS]), lambda x: x > 121))
-    body = F.substring(begun, F.lit(1), F.coalesce(ends - 1, F.length(begun)))
+
+    def begun(said: Column) -> Column:
+        bare = F.length(F.regexp_extract(said, r"(?is)^(.*?)(?:^|\n)\s*description\s*(?:\n|$)", 1)) + 1
+        bare = F.when(said.rlike(r"(?i)(?:^|\n)\s*description\s*(?:\n|$)"), bare)
+        return F.substring(said, F.coalesce(F.least(_let(F.lower(said), lambda low: _first(low, R.START_MARKERS)), bare), F.lit(1)), F.length(said))
+
+    def ended(text: Column) -> Column:
+        ends = _let(F.lower(text), lambda low: F.array_min(F.filter(F.array(*[F.instr(low, F.lit(w)) for w in R.END_MARKERS]), lambda x: x > 121)))
+        return F.substring(text, F.lit(1), F.coalesce(ends - 1, F.length(text)))
+
+    said = _let(raw, lambda r: F.replace(F.coalesce(_embedded(r), r), F.lit("\r"), F.lit("")))
+    body = _let(_let(said, begun), ended)
 
     def noise(line: Column) -> Column:
         marks = F.length(line) - F.length(F.translate(line, "{}[];", ""))
@@ -98,6 +123,17 @@ def primary(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), "^\n+|\n+$", "")
 
 
+def _inline_headings(c: Column) -> Column:
+    """Labels at the beginning of a line and their values: on two lines if the label is a heading and the value short, on one if not."""
+    label = f"({R.INLINE_LABEL})"
+    plain = [h for h in R.SECTION_HEADINGS if "'" not in h]  # a label's apostrophes don't count, so headings with one are never met
+    letters = lambda h: "['’]*".join(re.escape(x) for x in h).replace(r"\ ", "[ ,]+")
+    heading = "(?:{})".format("|".join([rf"(?i:['’]*(?:{'|'.join(map(letters, plain))})['’ ,]*):", R.LABEL_OF_TWO_WORDS, f"[^:\n]*(?i:{'|'.join(R.LABEL_WORDS)})"]))
+    # the mark tells what is a label here from what only looks like one in a value; it is no character of a text that was sanitized
+    marked = F.regexp_replace(F.replace(c, F.lit("\x01"), F.lit("")), rf"(?m)^{label}:\s+(\S.*)$", "$1:\x01$2")
+    return F.replace(F.regexp_replace(marked, rf"(?m)^(?={heading}){label}:\x01(\S.{{0,{R.INLINE_VALUE_MOST - 1}}}?)[ \t]*$", "$1:\n$2"), F.lit("\x01"), F.lit(" "))
+
+
 def cleanup(raw: Column) -> Column:
     """A description as text: the page around it and its markup taken away, headings of sections on lines of their own, items on lines with a mark."""
     trimmed = F.trim(raw)
@@ -107,6 +143,7 @@ def cleanup(raw: Column) -> Column:
         F.replace(c, F.lit("\r"), F.lit("")), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|section|article|li|ul|ol|h1|h2|h3|h4|h5|h6)>", "\n"), ("(?i)<li[^>]*>", "\n• "), ("<[^>]+>", " "), ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
         ("(?i)" + R.CALLS_TO_APPLY, ""), (r"(?m)^[=\-*_]{3,}\s*$", ""), ("[“”]", '"'), ("[‘’]", "'"), ("[ \t]+\n", "\n"), ("\n[ \t]+", "\n"), ("[ \t]{2,}", " "),
     )
+    c = _inline_headings(c)
     for heading in R.SECTION_HEADINGS:
         c = F.regexp_replace(c, rf"(?i)\s*({re.escape(heading)})\s*:", "\n\n$1:\n")
     return F.regexp_replace(_replace(

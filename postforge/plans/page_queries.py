@@ -178,7 +178,7 @@ def description_blocks(spark, d):
 _PAGE = "concat('United States', chr(10), 'Search', chr(10), 'var path = 1;', chr(10), 'Job description', chr(10), '<p>', description, '</p><ul><li>One', id, '</li><li>Two</li></ul>Responsibilities: Build and run', chr(10), repeat('Further words of the text. ', 6), chr(10), '{\"a\": [1]};', chr(10), 'Similar jobs', chr(10), 'Other role')"
 
 
-@query("SELECT id, 'Job description' || chr(10) || CASE WHEN description LIKE '<p>Ship%' THEN 'Ship & sell' || chr(10) || '• Travel arrangements' || chr(10) ELSE replace(replace(description, ' salary: ', chr(10) || chr(10) || 'salary:' || chr(10) || ' '), ' - 45', chr(10) || '- 45') || chr(10) END || '• One' || CAST(id AS VARCHAR) || chr(10) || '• Two' || chr(10) || chr(10) || 'Responsibilities:' || chr(10) || ' Build and run' || chr(10) || trim(repeat('Further words of the text. ', 6)) AS said FROM canonical", "canonical")
+@query("SELECT id, 'Job description' || chr(10) || CASE WHEN description LIKE '<p>Ship%' THEN 'Ship & sell' || chr(10) || '• Travel arrangements' || chr(10) ELSE replace(replace(description, ' salary: ', chr(10) || chr(10) || 'salary:' || chr(10) || ' '), ' - 45', chr(10) || '- 45') || chr(10) END || '• One' || CAST(id AS VARCHAR) || chr(10) || '• Two' || chr(10) || chr(10) || 'Responsibilities:' || chr(10) || chr(10) || 'Build and run' || chr(10) || trim(repeat('Further words of the text. ', 6)) AS said FROM canonical", "canonical")
 def clean_descriptions(spark, d):
     return view(spark, d, "canonical", "id", "description").select("id", describe.cleanup(F.expr(_PAGE)).alias("said"))
 
@@ -186,14 +186,36 @@ def clean_descriptions(spark, d):
 _GOOD = "repeat('A sentence of the longer text. ', 12)"
 
 
-@query("SELECT id, CASE id % 4 WHEN 0 THEN 'Duties:' || chr(10) || '- one' || chr(10) || '- two' || chr(10) || trim(repeat('A sentence of the longer text. ', 12)) WHEN 1 THEN NULL WHEN 2 THEN 'Duties:' || chr(10) || trim(repeat('A sentence of the longer text. ', 12)) END AS best FROM canonical WHERE id % 4 <> 3", "canonical")
+@query("SELECT id, CASE id % 4 WHEN 0 THEN 'Duties:' || chr(10) || '- one' || chr(10) || '- two' || chr(10) || trim(repeat('A sentence of the longer text. ', 12)) WHEN 3 THEN 'Requirements:' || chr(10) || trim(repeat('A sentence of the longer text. ', 12)) END AS best FROM canonical", "canonical")
 def best_description(spark, d):
+    """A label with one long line behind it is no heading, unless it is that of a section."""
     long = f"trim({_GOOD})"
-    one, two = f"concat('Duties:', chr(10), {long})", f"concat('Duties:', chr(10), '- one', chr(10), '- two', chr(10), {long})"
-    c = view(spark, d, "canonical", "id").where("id % 4 <> 3").selectExpr("id", f"CASE id % 4 WHEN 0 THEN array({one}, NULL, {two}, 'short') WHEN 1 THEN array(NULL, ' ', 'short', {long}, concat({one}, '...')) WHEN 2 THEN array('x', {one}, {one}) END AS said")
+    one, two, three = f"concat('Duties:', chr(10), {long})", f"concat('Duties:', chr(10), '- one', chr(10), '- two', chr(10), {long})", f"concat('Requirements:', chr(10), {long})"
+    c = view(spark, d, "canonical", "id").selectExpr("id", f"CASE id % 4 WHEN 0 THEN array({one}, NULL, {two}, 'short') WHEN 1 THEN array(NULL, ' ', 'short', {long}, concat({one}, '...')) WHEN 2 THEN array('x', {one}, {one}) ELSE array('x', {one}, {three}, {three}) END AS said")
     return c.select("id", describe.best(F.col("said")).alias("best"))
 
 
+_LABELLED = "concat(company, ' has a place.', chr(10), CASE id % 7 WHEN 0 THEN concat('Work Location: ', location) WHEN 1 THEN concat('Shift:', chr(10), chr(10), title) WHEN 2 THEN concat('Business unit:  ', title) WHEN 3 THEN concat('Business unit: ', repeat('x', 221)) WHEN 4 THEN concat('Industry: Base: ', title) WHEN 5 THEN concat('Reports To: ', title, chr(10), 'Grade: 7') ELSE concat('see Shift: ', title) END, chr(10), '• last')"
+
+
+@query("""SELECT id, regexp_replace(company || ' has a place.' || CASE id % 7 WHEN 0 THEN E'\\n\\nWork Location:\\n' || coalesce(chr(10) || location, '') WHEN 1 THEN E'\\nShift: ' || title WHEN 2 THEN E'\\nBusiness unit:\\n' || title WHEN 3 THEN E'\\nBusiness unit: ' || repeat('x', 221) WHEN 4 THEN E'\\n\\nIndustry:\\n\\nBase: ' || title WHEN 5 THEN E'\\nReports To:\\n' || title || E'\\nGrade: 7' ELSE E'\\nsee Shift: ' || title END || E'\\n• last', '\\s+[-–—]\\s+([A-Z0-9])', E'\\n- \\\\1', 'g') AS said FROM canonical WHERE company <> '' AND title <> '' AND location <> ''""", "canonical")
+def inline_headings(spark, d):
+    """Labels with a value on their line: a heading with a line below, or one line as before."""
+    c = view(spark, d, "canonical", "id", "company", "title", "location").where("company <> '' AND title <> '' AND location <> ''")
+    return c.select("id", describe.cleanup(F.expr(_LABELLED)).alias("said"))
+
+
+_DATA_OF = "concat('Menu', chr(10), '{{\"description\": \"', repeat(concat(title, ' and more words. '), 12), '\", \"n\": 1}}', chr(10), {0}, chr(10), 'Footer of the page')"
+_MARKED = _DATA_OF.format("""CASE id % 4 WHEN 0 THEN concat('window["az_details"] = {"description": "', repeat(concat(company, ' said \\\\"yes\\\\" to it. '), 8), '"};') WHEN 1 THEN concat('window["az_details"] = {"description": "', company, '"};') WHEN 2 THEN concat('{"description": "', repeat(concat(company, ' has it all. '), 30), '"}') ELSE '' END""")
+
+
+@query("""SELECT id, CASE id % 4 WHEN 0 THEN trim(repeat(company || ' said "yes" to it. ', 8)) WHEN 2 THEN trim(repeat(company || ' has it all. ', 30)) ELSE trim(repeat(title || ' and more words. ', 12)) END AS said FROM canonical WHERE length(company) > 2 AND length(title) > 2""", "canonical")
+def embedded_descriptions(spark, d):
+    """A page's description in its data: the one behind the marker if it is long enough, else the longest."""
+    c = view(spark, d, "canonical", "id", "company", "title").where("length(company) > 2 AND length(title) > 2")
+    return c.select("id", describe.primary(F.expr(_MARKED)).alias("said"))
+
+
 # --- pages -----------------------------------------------------------------------------------------------------------
 
 _LD = "'<script type=\"application/ld+json\">{\"@type\": \"JobPosting\", \"title\": \"Nurse\", \"description\": \"<b>Care</b>\"}</script>'"

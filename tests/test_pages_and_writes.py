@@ -122,3 +122,28 @@ def test_lists_over_several_pages_are_followed(spark):
     lists = boards.site_listings(starts, landed)
     assert lists.count() == 3 and {r["title"] for r in boards.company_site(lists, landed.limit(0)).collect()} == {"Job 1", "Job 2", "Job 3"}
     assert pages.reached(starts.limit(0), landed).count() == 0 and pages.reached(starts, landed.limit(0)).count() == 0
+
+
+def test_embedded_descriptions_and_labels_on_odd_texts(spark):
+    say = lambda n, end="": '{"description": "' + "x" * n + end + '"}'
+    mark = 'window["az_details"] = '
+    cases = [
+        ("a\n" + say(300) + mark + say(150), "x" * 150),  # the marked one, though shorter
+        ("a\n" + say(300) + mark + say(100), "x" * 300),  # too short behind the marker
+        ("a\n" + say(300) + mark + " " * 60000 + say(150), "x" * 300),  # too far behind it
+        ("a\n" + say(130, "\nnext line"), "x" * 130 + "\nnext line"),  # a line break that JSON doesn't allow
+        ("a\n" + say(10, '\\"q\\" ' * 30000), ("x" * 10 + '"q" ' * 30000).strip()),  # very long, with escapes
+        ("", ""),
+        (None, None),
+    ]
+    got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, d string").select("i", describe.primary(F.col("d"))).collect()
+    assert [r[1] for r in sorted(got)] == [c[1] for c in cases]
+    lines = [
+        ("• a\nWhat You’ll Do: build", "• a\nWhat You’ll Do:\nbuild"),  # an apostrophe doesn't count
+        ("• a\nSkills, : x: y", "• a\nSkills, :\nx: y"),
+        ("• a\nGrade: Salary: 5", "• a\nGrade: Salary: 5"),  # a value is no label
+        ("• a\nBase salary: " + "y" * 220, "• a\nBase salary:\n" + "y" * 220),
+        ("• a\nlower: x", "• a\nlower: x"),
+    ]
+    got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(lines)], "i int, d string").select("i", describe._inline_headings(F.col("d"))).collect()
+    assert [r[1] for r in sorted(got)] == [c[1] for c in lines]
