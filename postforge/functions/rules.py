@@ -282,3 +282,26 @@ LEASE_MINUTES = {"COMPANY_DISCOVERY": 180, "REDISCOVERY": 180, "SOURCE_VALIDATIO
 LEASE_OTHERS = 120
 # The least, the usual and the most minutes between two cycles.
 CYCLE_MINUTES = (5, 10, 360)
+
+# words that a search in English leaves out
+SEARCH_STOP_WORDS = """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those
+    am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below
+    to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now
+""".split()
+# weights of where a term stands, in tenths
+SEARCH_WEIGHTS = {"title": 10, "company": 4, "role_family": 2, "location": 1}
+
+# the published English stemmer (Porter's second): words with a stem of their own, words left as they are after the plurals, beginnings that count as a whole, endings and what becomes of them
+STEM_EXCEPTIONS = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+STEM_KEPT = ["inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"]
+STEM_BEGINNINGS = ["gener", "commun", "arsen"]
+STEM_ENDINGS_2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous",
+    "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
+}
+STEM_ENDINGS_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+STEM_ENDINGS_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"]

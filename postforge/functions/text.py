@@ -30,6 +30,11 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once, however often then names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def compact(c: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
     return F.trim(F.regexp_replace(c, WS + "+", " "))

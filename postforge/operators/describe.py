@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postforge.functions import rules as R
-from postforge.functions.text import EDGE, compact, contains_any, sanitize
+from postforge.functions.text import EDGE, compact, contains_any, let, sanitize
 
 BLOCK = "array<struct<kind:string,text:string>>"
 _HEADING = r"^(?:#{1,3}\s+\S.*|\*\*[^*]+\*\*:?|[A-Z][A-Z\s&'/():-]{3,}|[A-Z][^.!?]{0,55}:)$"
@@ -72,11 +72,6 @@ def best(candidates: Column) -> Column:
     return F.array_max(scored)["said"]
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value worked out once, however often then names it."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _first(low: Column, words: list[str]) -> Column:
     """The 1-based place of the first of these words; null if there is none."""
     return F.array_min(F.filter(F.array(*[F.instr(low, F.lit(w)) for w in words]), lambda x: x > 0))
@@ -106,14 +101,14 @@ def primary(raw: Column) -> Column:
     def begun(said: Column) -> Column:
         bare = F.length(F.regexp_extract(said, r"(?is)^(.*?)(?:^|\n)\s*description\s*(?:\n|$)", 1)) + 1
         bare = F.when(said.rlike(r"(?i)(?:^|\n)\s*description\s*(?:\n|$)"), bare)
-        return F.substring(said, F.coalesce(F.least(_let(F.lower(said), lambda low: _first(low, R.START_MARKERS)), bare), F.lit(1)), F.length(said))
+        return F.substring(said, F.coalesce(F.least(let(F.lower(said), lambda low: _first(low, R.START_MARKERS)), bare), F.lit(1)), F.length(said))
 
     def ended(text: Column) -> Column:
-        ends = _let(F.lower(text), lambda low: F.array_min(F.filter(F.array(*[F.instr(low, F.lit(w)) for w in R.END_MARKERS]), lambda x: x > 121)))
+        ends = let(F.lower(text), lambda low: F.array_min(F.filter(F.array(*[F.instr(low, F.lit(w)) for w in R.END_MARKERS]), lambda x: x > 121)))
         return F.substring(text, F.lit(1), F.coalesce(ends - 1, F.length(text)))
 
-    said = _let(raw, lambda r: F.replace(F.coalesce(_embedded(r), r), F.lit("\r"), F.lit("")))
-    body = _let(_let(said, begun), ended)
+    said = let(raw, lambda r: F.replace(F.coalesce(_embedded(r), r), F.lit("\r"), F.lit("")))
+    body = let(let(said, begun), ended)
 
     def noise(line: Column) -> Column:
         marks = F.length(line) - F.length(F.translate(line, "{}[];", ""))

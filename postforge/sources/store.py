@@ -14,6 +14,7 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,13 @@ BUCKETS = 64
 
 @dataclass(frozen=True)
 class Table:
+    """many: a key has many rows, which are replaced together; one with nothing but the key says that it has none now. order: how a bucket's file is sorted."""
+
     schema: str
     keys: list[str]
     buckets: int = BUCKETS
+    many: bool = False
+    order: tuple[str, ...] = ()
 
 
 @dataclass
@@ -116,16 +121,23 @@ class Store:
 
     # writing
 
-    def _write(self, table: str, rows: DataFrame, at: Snapshot, folder: str) -> dict[int, str]:
-        """Writes the touched buckets with rows in place of those with their keys; where they are now."""
+    def _write(self, table: str, rows: DataFrame, at: Snapshot, folder: str) -> dict[int, str | None]:
+        """Writes the touched buckets with rows in place of those with their keys; where they are now, None if nothing is left of one."""
         t = self.tables[table]
         rows = rows.select(*self.spark.createDataFrame([], t.schema).columns)
         touched = {r["b"] for r in rows.select(bucket(t.keys, t.buckets).alias("b")).distinct().collect()}
         if not touched:
             return {}
-        merged = upsert(self.read(table, at, touched), rows, t.keys).drop("change").withColumn("bucket", bucket(t.keys, t.buckets))
-        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{table}/{folder}")
-        return {b: f"{table}/{folder}/bucket={b}" for b in touched}
+        old = self.read(table, at, touched)
+        if t.many:
+            said = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in rows.columns if c not in t.keys])
+            merged = old.join(rows.select(*t.keys), t.keys, "left_anti").unionByName(rows.where(said))
+        else:
+            merged = upsert(old, rows, t.keys).drop("change")
+        dealt = merged.withColumn("bucket", bucket(t.keys, t.buckets)).repartition("bucket")
+        (dealt.sortWithinPartitions("bucket", *t.order) if t.order else dealt).write.partitionBy("bucket").parquet(f"{self.root}/{table}/{folder}")
+        there = {x.getPath().getName() for x in self._fs().listStatus(self._path(f"{self.root}/{table}/{folder}"))}
+        return {b: f"{table}/{folder}/bucket={b}" if f"bucket={b}" in there else None for b in touched}
 
     def commit(self, change: Callable[[Snapshot], dict[str, DataFrame]], stream: str | None = None, number: int | None = None) -> int | None:
         """Puts into force what change makes of the list in force: rows per table that replace those with their keys. The version, or None if there was nothing to do.
@@ -143,7 +155,7 @@ class Store:
             for table, rows in made.items():
                 moved = self._write(table, rows, at, folder)
                 touched |= bool(moved)
-                places.setdefault(table, {}).update(moved)
+                places[table] = {b: p for b, p in {**places.get(table, {}), **moved}.items() if p}
             if not touched and stream is None:
                 return None
             streams = at.streams if stream is None else {**at.streams, stream: number}
