@@ -56,6 +56,12 @@ def readable(html: Column, longest: int = 18_000) -> Column:
     return F.substring(decode_entities(F.regexp_replace(c, r"^\s+|\s+$", "")), 1, longest)
 
 
+def opening(html: Column, longest: int = 4_000) -> Column:
+    """The first characters of a page's text, its blocks run together with spaces."""
+    c = F.regexp_replace(F.regexp_replace(html, "(?is)<script.*?</script>|<style.*?</style>", " "), "<[^>]+>", " ")
+    return decode_entities(F.substring(F.trim(F.regexp_replace(c, "[ \t]{2,}", " ")), 1, longest))
+
+
 def site_links(html: Column, url: Column) -> Column:
     """Links with a text that stay on the page's host, in order: structs href (absolute) and text."""
     from postforge.functions.urls import host
@@ -152,7 +158,7 @@ def route(html: Column, url: Column) -> Column:
     from postforge.functions import rules as R
 
     n_ld, n_data, n_links = F.size(structured(html, url, False)), F.size(structured(html, url, True)), F.size(job_links(html, url))
-    about = F.concat_ws("\n", F.lower(url), F.lower(readable(html, 4000))).rlike("|".join(R.CAREER_PAGE))
+    about = F.concat_ws("\n", F.lower(url), F.lower(opening(html))).rlike("|".join(R.CAREER_PAGE))
     name = F.when(n_ld > 0, "STRUCTURED_JSON").when(n_data > 0, "STRUCTURED_API").when((n_links > 0) | about, "HTML_FALLBACK").otherwise("UNKNOWN")
     sure = F.when(n_ld > 0, 0.96).when(n_data > 0, 0.82).when(n_links > 0, F.least(F.lit(0.7), F.lit(0.35) + n_links * 0.02)).when(about, 0.22).otherwise(0.15)
     return F.struct(name.alias("route"), sure.alias("confidence"))
