@@ -37,14 +37,14 @@ def tombstones(mappings: DataFrame, seen: DataFrame, source: str, as_of: Column)
 def active_evidence(m: DataFrame, as_of: Column) -> Column:
     r = steps(hours_between(as_of, m["last_seen_at"]), [(12, 1), (48, 0.92), (168, 0.78), (336, 0.6), (720, 0.42), (1440, 0.24)], 0.12)
     kind = m["source_type"]
-    full = m["source_reliability"] * 55 * r + F.when(m["is_full_snapshot"], r * 6).otherwise(0.0)
+    full = m["source_reliability"].cast("double") * 55 * r + F.when(m["is_full_snapshot"], r * 6).otherwise(0.0)
     return F.greatest(F.lit(0.0), full + F.when(kind == "ATS", r * 8).when(kind == "BOARD", r * 4).when(kind == "AGGREGATOR", (r - 1) * 3).otherwise(0.0))
 
 
 def removal_evidence(m: DataFrame, as_of: Column) -> Column:
     f = steps(days_between(as_of, m["removed_at"]), [(2, 1), (7, 0.85), (21, 0.65), (45, 0.35)], 0.15)
     kind = m["source_type"]
-    score = m["source_reliability"] * 22 + F.when(m["is_full_snapshot"], 12).otherwise(0) + F.when(kind == "ATS", 8).when(kind == "BOARD", 4).when(kind == "AGGREGATOR", -10).otherwise(0)
+    score = m["source_reliability"].cast("double") * 22 + F.when(m["is_full_snapshot"], 12).otherwise(0) + F.when(kind == "ATS", 8).when(kind == "BOARD", 4).when(kind == "AGGREGATOR", -10).otherwise(0)
     return F.greatest(F.lit(0.0), score * f)
 
 
