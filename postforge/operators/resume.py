@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postforge.functions import rules as R
-from postforge.functions.text import compact
+from postforge.functions.text import compact, let
 
 CONTACT = ("full_name", "email", "phone", "location", "linkedin_url", "github_url", "portfolio_url")
 
@@ -23,8 +23,7 @@ def same(a: Column, b: Column) -> Column:
 
 def heading(line: Column) -> Column:
     """The section that a line begins; null if it is no heading."""
-    said = F.regexp_replace(F.lower(F.trim(line)), "[^a-z ]+", " ")
-    return F.coalesce(*[F.when(said.isin(names), s) for s, names in R.RESUME_SECTIONS.items()])
+    return let(F.regexp_replace(F.lower(F.trim(line)), "[^a-z ]+", " "), lambda said: F.coalesce(*[F.when(said.isin(names), s) for s, names in R.RESUME_SECTIONS.items()]))
 
 
 def sections(text: Column) -> Column:
@@ -33,19 +32,21 @@ def sections(text: Column) -> Column:
     start = F.struct(F.lit("header").alias("at"), F.array().cast("array<struct<s:string,x:string>>").alias("said"))
 
     def step(a: Column, line: Column) -> Column:
-        h = heading(line)
-        return F.when(h.isNotNull(), F.struct(h.alias("at"), a["said"].alias("said"))).otherwise(F.struct(a["at"].alias("at"), F.concat(a["said"], F.array(F.struct(a["at"].alias("s"), line.alias("x")))).alias("said")))
+        more = F.struct(a["at"].alias("at"), F.concat(a["said"], F.array(F.struct(a["at"].alias("s"), line.alias("x")))).alias("said"))
+        return let(heading(line), lambda h: F.when(h.isNotNull(), F.struct(h.alias("at"), a["said"].alias("said"))).otherwise(more))
 
-    said = F.aggregate(lines, start, step)["said"]
-    names = F.array_distinct(F.transform(said, lambda p: p["s"]))
-    return F.map_from_arrays(names, F.transform(names, lambda s: F.array_join(F.transform(F.filter(said, lambda p: p["s"] == s), lambda p: p["x"]), "\n")))
+    lines_of = lambda said, s: F.array_join(F.transform(F.filter(said, lambda p: p["s"] == s), lambda p: p["x"]), "\n")
+    by_name = lambda said: let(F.array_distinct(F.transform(said, lambda p: p["s"])), lambda names: F.map_from_arrays(names, F.transform(names, lambda s: lines_of(said, s))))
+    return let(F.aggregate(lines, start, step)["said"], by_name)
 
 
 def skills(section: Column, most: int = 100) -> Column:
     """Distinct skills of a section, in order, labels before a colon left out."""
     parts = F.flatten(F.transform(F.split(F.coalesce(section, F.lit("")), "\n"), lambda x: F.split(F.regexp_replace(x, r"^[A-Za-z ]+:\s*", ""), "[,|•]")))
     named = F.filter(F.transform(parts, lambda x: F.substring(compact(x), 1, 120)), lambda x: x != "")
-    return F.slice(F.filter(named, lambda x, i: ~F.exists(F.slice(named, 1, i), lambda y: same(y, x))), 1, most)
+    keyed = F.transform(named, lambda x: F.struct(x.alias("x"), comparable(x).alias("key")))
+    known = lambda all_, x, i: F.exists(F.slice(all_, 1, i), lambda y: y["key"] == x["key"])
+    return F.slice(F.transform(let(keyed, lambda all_: F.filter(all_, lambda x, i: ~known(all_, x, i))), lambda x: x["x"]), 1, most)
 
 
 def contact(text: Column) -> dict[str, Column]:
