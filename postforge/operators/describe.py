@@ -30,20 +30,22 @@ def blocks(description: Column) -> Column:
     """
     lines = F.filter(F.transform(F.split(sanitize(description), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (x != ":"))
 
+    def shape(line: Column) -> Column:
+        said = lambda head, item: F.when(head, F.trim(F.regexp_replace(line, r"^#+\s+|\*\*|:$", ""))).when(item != "", item).otherwise(line)
+        of = lambda head, item: F.struct(head.alias("head"), (item != "").alias("item"), (F.length(line) <= 180).alias("short"), said(head, item).alias("said"))
+        return let(F.regexp_extract(line, _ITEM, 1), lambda item: let((item == "") & line.rlike(_HEADING), lambda head: of(head, item)))
+
     def step(done: Column, line: Column) -> Column:
-        item = F.nullif(F.regexp_extract(line, _ITEM, 1), F.lit(""))
-        head = item.isNull() & line.rlike(_HEADING)
-        last = F.try_element_at(done, F.lit(-1))
-        listed = item.isNotNull() | (~head & (last["kind"] == "list") & (F.length(line) <= 180))
+        last, head, said = F.try_element_at(done, F.lit(-1)), line["head"], line["said"]
+        listed = line["item"] | (~head & (last["kind"] == "list") & line["short"])
         kind = F.when(head, "header").when(listed, "list").otherwise("paragraph")
-        said = F.when(head, F.trim(F.regexp_replace(line, r"^#+\s+|\*\*|:$", ""))).otherwise(F.coalesce(item, line))
         one = F.struct(kind.alias("kind"), said.alias("text"))
         joined = F.struct(F.lit("list").alias("kind"), F.concat_ws("\n", last["text"], said).alias("text"))
         grow = (kind == "list") & F.coalesce(last["kind"] == "list", F.lit(False))
         head_again = head & F.coalesce((last["kind"] == "header") & (F.lower(last["text"]) == F.lower(said)), F.lit(False))
         return F.when(head_again, done).when(grow, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(one))).cast(BLOCK)
 
-    return F.aggregate(lines, F.array().cast(BLOCK), step)
+    return F.aggregate(F.transform(lines, shape), F.array().cast(BLOCK), step)
 
 
 def worth(description: Column, found: Column | None = None) -> Column:
@@ -129,6 +131,13 @@ def _inline_headings(c: Column) -> Column:
     return F.replace(F.regexp_replace(marked, rf"(?m)^(?={heading}){label}:\x01(\S.{{0,{R.INLINE_VALUE_MOST - 1}}}?)[ \t]*$", "$1:\n$2"), F.lit("\x01"), F.lit(" "))
 
 
+def _section_headings(c: Column) -> Column:
+    """Headings of sections before a colon, each on a line of its own; only those that the text has are looked for as patterns."""
+    every = F.array(*[F.struct(F.lit(h).alias("said"), F.lit(rf"(?i)\s*({re.escape(h)})\s*:").alias("pattern")) for h in R.SECTION_HEADINGS])
+    there = let(F.lower(c), lambda low: F.filter(every, lambda h: F.contains(low, h["said"])))
+    return F.aggregate(there, c, lambda done, h: F.regexp_replace(done, h["pattern"], F.lit("\n\n$1:\n")))
+
+
 def cleanup(raw: Column) -> Column:
     """A description as text: the page around it and its markup taken away, headings of sections on lines of their own, items on lines with a mark."""
     trimmed = F.trim(raw)
@@ -139,8 +148,7 @@ def cleanup(raw: Column) -> Column:
         ("(?i)" + R.CALLS_TO_APPLY, ""), (r"(?m)^[=\-*_]{3,}\s*$", ""), ("[“”]", '"'), ("[‘’]", "'"), ("[ \t]+\n", "\n"), ("\n[ \t]+", "\n"), ("[ \t]{2,}", " "),
     )
     c = _inline_headings(c)
-    for heading in R.SECTION_HEADINGS:
-        c = F.regexp_replace(c, rf"(?i)\s*({re.escape(heading)})\s*:", "\n\n$1:\n")
+    c = let(c, _section_headings)
     return F.regexp_replace(_replace(
         c, (r"(?i)^description\s*\n+", ""), (r"\n+\s*:\s*\n+", ":\n"), (r"\s+[•·▪◦]\s+", "\n• "), (r"\s+[-–—]\s+(?=[A-Z0-9])", "\n- "), (r"\s+(\d{1,2}\.\s+)", "\n$1"), (R.BARE_HEADINGS, "\n\n$1\n"), (r"(?im)^About the job\s+.+$", "About the job"), ("\n{3,}", "\n\n"),
     ), r"^\s+|\s+$", "")
