@@ -47,7 +47,7 @@ def _terms_sql(asked: str = "") -> str:
 
 @query(_terms_sql() + " SELECT * FROM terms", "canonical")
 def search_terms(spark, d):
-    return searching.terms(view(spark, d, "canonical", *_OF)).where("term IS NOT NULL").select("id", "term", F.col("weight").cast("long").alias("weight"))
+    return searching.terms(view(spark, d, "canonical", *_OF, dear=True)).where("term IS NOT NULL").select("id", "term", F.col("weight").cast("long").alias("weight"))
 
 
 @query("+ texts AS (SELECT string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ') AS ws FROM documents), " + _stems_sql("SELECT unnest(ws) AS w FROM texts") + " SELECT w AS word, stem FROM stemmed WHERE w <> ''", "canonical")
@@ -65,7 +65,7 @@ def _hits_sql(asked: str) -> str:
 @query(_hits_sql("engineers soft"), "canonical")
 def ranked_search(spark, d):
     """A stored index: postings with other titles first, then those that changed, then a query with a stop word, plurals and a mark."""
-    jobs = view(spark, d, "canonical", *_OF)
+    jobs = view(spark, d, "canonical", *_OF, dear=True)
     store = Store(spark, scratch(spark, "search"), {"terms": searching.table(8)})
     before = jobs.where("id % 4 <> 1").withColumn("title", F.expr("CASE WHEN id % 3 = 0 THEN concat('Software engineering of ', company) ELSE title END"))
     searching.refresh(store, before, stream="changes", number=0)
@@ -76,5 +76,5 @@ def ranked_search(spark, d):
 @query("SELECT id, 0::BIGINT AS rank FROM canonical WHERE contains(lower(concat_ws(chr(10), title, company, role_family)), 'ple & so')", "canonical")
 def search_without_terms(spark, d):
     """A query whose stop word doesn't count and whose other word begins no term: what holds it as it is."""
-    jobs = view(spark, d, "canonical", *_OF)
+    jobs = view(spark, d, "canonical", *_OF, dear=True)
     return searching.search(searching.terms(jobs), jobs, "ple & so").select("id", "rank")

@@ -27,3 +27,32 @@ def test_resumes_are_chosen_once_per_user_and_role(spark):
     assert {r["id"]: r["resume_id"] for r in out.collect()} == {1: 8, 2: 6, 3: None, 4: 6}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")  # what is joined was reduced first
+
+
+def test_a_fingerprint_of_the_beginning_is_that_of_the_whole(spark):
+    from postforge.functions import text
+
+    word = lambda i: "word" + "".join(chr(97 + int(x)) for x in str(i))
+    many = " ".join(map(word, range(900)))
+    texts = [many, " ".join(["same"] * 700) + " " + many, "< " + many + " > tail" + many, many.replace(" ", "\n"), "short text here", None]
+    whole = lambda c: F.array_join(F.slice(F.array_distinct(text.content_words(c)), 1, 24), "-")
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.description_fingerprint(F.col("t")).alias("a"), whole(F.col("t")).alias("b"))
+    assert all(r["a"] == r["b"] for r in df.collect())
+    long = spark.range(1).select(text.description_fingerprint(F.concat(F.lit(many + " "), F.repeat(F.lit("more and more words "), 3_000_000))).alias("a"))
+    assert long.first()["a"] == "-".join(map(word, range(24)))
+
+
+def test_dear_rows_are_spread(spark):
+    from postforge.bindings import view
+
+    parts = view(spark, "/root/testdata/sf0.001", "canonical", "id", dear=True).rdd.glom().map(len).collect()
+    assert len(parts) > 4 and sum(parts) == 200 and max(parts) < 100
+
+
+def test_sections_of_a_resume_are_worked_out_once(spark):
+    from postforge.operators import resume
+
+    t = "\n".join(["Skills", *[f"Tool{i}, tool {i}" for i in range(60)], "Summary", "me"])
+    s = resume.sections(F.col("t"))
+    out = spark.createDataFrame([(t,)] * 20, "t string").select(resume.skills(s["skills"]).alias("k"), s["summary"].alias("m")).collect()
+    assert {(len(r["k"]), r["m"]) for r in out} == {(60, "me")}
