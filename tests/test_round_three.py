@@ -56,3 +56,24 @@ def test_sections_of_a_resume_are_worked_out_once(spark):
     s = resume.sections(F.col("t"))
     out = spark.createDataFrame([(t,)] * 20, "t string").select(resume.skills(s["skills"]).alias("k"), s["summary"].alias("m")).collect()
     assert {(len(r["k"]), r["m"]) for r in out} == {(60, "me")}
+
+
+def test_the_closest_of_classes_is_the_closest_of_pairs(spark):
+    from pyspark.sql import Window
+
+    from postforge.operators import matching
+    from postforge.plans.queries import _keyed
+
+    rows = "CAST(id AS LONG) AS id, CASE id % 3 WHEN 0 THEN 'Data Analyst' WHEN 1 THEN 'Senior Data Analyst II' ELSE 'Data Quality Analyst' END AS title, 'acme' AS company, 'acme' AS company_key, IF(id % 2 = 0, 'Bern', 'Bonn') AS location, 'many words about the office and further words' AS description, 'SWE' AS role_family, IF(id % 5 = 0, 'US', NULL) AS region, 'REMOTE' AS work_mode, CAST(NULL AS STRING) AS apply_url, IF(id % 11 = 0, NULL, timestampadd(HOUR, CAST((id * {n}) % 4000 AS INT), TIMESTAMP_NTZ'2001-01-01 00:00:00')) AS posted_at"
+    known, new = (_keyed(spark.sql(f"SELECT {rows.format(n=n)} FROM range({a}, {b})")).withColumn("arrival", (F.col("id") * 37) % 1009) for a, b, n in ((0, 150, 7919), (1000, 1060, 131)))
+    first = Window.partitionBy("new_id").orderBy(F.desc("score"), "known_id")
+    pairs = matching.score_pairs(known, new, 45).withColumn("n", F.row_number().over(first)).where("n = 1")
+    got = {(r["new_id"], r["known_id"], r["score"]) for r in matching.closest(known, new).collect()}
+    assert got == {(r["new_id"], r["known_id"], r["score"]) for r in pairs.collect()} and got
+    at = {r["id"]: r["arrival"] for r in known.collect()}
+    best = {}
+    for r in matching.score_pairs(known, known, 45).collect():
+        if at[r["known_id"]] < at[r["new_id"]]:
+            best[r["new_id"]] = min(best.get(r["new_id"], (0,)), (-r["score"], at[r["known_id"]], r["known_id"]))
+    got = {r["new_id"]: (-r["score"], r["order"], r["known_id"]) for r in matching.closest(known, known, order="arrival", earlier=True).collect()}
+    assert got == best
