@@ -7,11 +7,11 @@ depends on the ranks before it; that is reduced to one instant per row and rank,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postforge.operators import matching
-from postforge.sources.tables import scratch
+from postforge.operators.matching import kept as _kept
 
 #: Keys by which postings of a poll meet, with how a match is called and its rung among those of matching.PRECEDENCE.
 KEYS = [("apply_url_key", "applyUrlKey", 0), ("source_url_key", "sourceUrlKey", 2), ("posting_id_key", "postingIdKey", 4), ("duplicate_cluster_id", "duplicateCluster", 6)]
@@ -19,13 +19,6 @@ KEYS = [("apply_url_key", "applyUrlKey", 0), ("source_url_key", "sourceUrlKey",
 CHUNK = 4096
 
 
-def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, so that a round doesn't carry all those before it."""
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _asking(postings: DataFrame, key: str) -> DataFrame:
     rows = postings.where(F.col(key).isNotNull())
     return rows.where(F.col("company_key") != matching.UNKNOWN_COMPANY) if key == "duplicate_cluster_id" else rows
@@ -64,10 +57,9 @@ def components(postings: DataFrame) -> DataFrame:
 
 
 def earlier_matches(postings: DataFrame, asking: DataFrame) -> DataFrame:
-    """new_id, earlier_id, how, rung, score, arrival: of each asking posting the first posting of the poll with an equal key, by key; and for those without one, every earlier posting that is similar enough.
+    """new_id, earlier_id, how, rung, score, arrival: of each asking posting the first posting of the poll with an equal key, by key.
 
-    postings, asking: rows of one poll with id, arrival and the columns of matching. Postings alike in all that a comparison reads stand for
-    themselves by the first of them, which is the one that would be chosen among equals.
+    postings, asking: rows of one poll with id, arrival and the columns of matching.
     """
     parts = []
     for key, how, rung in KEYS:
@@ -77,12 +69,7 @@ def earlier_matches(postings: DataFrame, asking: DataFrame) -> DataFrame:
     exact = parts[0]
     for p in parts[1:]:
         exact = exact.union(p)
-    profile = ["company_key", "region", "title_key", "title_core_key", "description_fingerprint", "location_key", "role_family", "work_mode", "posted_at", "_title", "_words", "_snippet"]
-    first = matching.prepared(postings).groupBy(*profile).agg(F.min(F.struct("arrival", "id")).alias("f")).select("f.arrival", "f.id", *profile)
-    open_ = matching.prepared(asking.join(exact.select(F.col("new_id").alias("_x")).distinct(), F.col("id") == F.col("_x"), "left_anti"))
-    pairs = matching.candidates(first, open_).join(first.alias("k"), F.col("known_id") == F.col("k.id")).join(open_.alias("n"), F.col("new_id") == F.col("n.id")).where("k.arrival < n.arrival")
-    close = pairs.select("new_id", F.col("known_id").alias("earlier_id"), F.lit("similarity").alias("how"), F.lit(9).alias("rung"), matching.similarity("k", "n").alias("score"), F.col("k.arrival").alias("arrival"))
-    return exact.union(close.where(F.col("score") >= matching.LEAST_SCORE))
+    return exact
 
 
 def resolve(postings: DataFrame, settled: DataFrame, mappings: DataFrame, known: DataFrame) -> DataFrame:
@@ -94,12 +81,16 @@ def resolve(postings: DataFrame, settled: DataFrame, mappings: DataFrame, known:
     """
     c = F.col
     asking = postings.join(settled.select(c("id").alias("_s")), c("id") == c("_s"), "left_anti")
-    exact = matching.exact_matches(asking, mappings, known).withColumn("score", F.when(c("how") == "duplicateCluster", 95).otherwise(100))
-    close = matching.score_pairs(known, asking, matching.LEAST_SCORE).select("new_id", "known_id", F.lit("similarity").alias("how"), F.lit(9).alias("rung"), "score")
     none = F.lit(None).cast("long")
-    old = exact.unionByName(close).select("new_id", "rung", (-c("score")).cast("int").alias("s"), F.lit(0).alias("own"), c("known_id").alias("tie"), "how", "known_id", none.alias("earlier_id"))
+    exact = matching.exact_matches(asking, mappings, known).withColumn("score", F.when(c("how") == "duplicateCluster", 95).otherwise(100))
+    old = exact.select("new_id", "rung", (-c("score")).cast("int").alias("s"), F.lit(0).alias("own"), c("known_id").alias("tie"), "how", "known_id", none.alias("earlier_id"))
     new = earlier_matches(postings, asking).select("new_id", "rung", (-c("score")).cast("int").alias("s"), F.lit(1).alias("own"), c("arrival").alias("tie"), "how", none.alias("known_id"), "earlier_id")
-    best = old.unionByName(new).groupBy("new_id").agg(F.min(F.struct("rung", "s", "own", "tie", "how", "known_id", "earlier_id")).alias("b"))
+    keyed = matching.kept(postings.sparkSession, old.unionByName(new), "keyed")
+    # similarity counts for postings that no key matches, and of what is similar the best
+    open_, like = matching.unmatched(asking, keyed), F.lit("similarity").alias("how")
+    close = matching.closest(known, open_).select("new_id", F.lit(9).alias("rung"), (-c("score")).cast("int").alias("s"), F.lit(0).alias("own"), c("known_id").alias("tie"), like, "known_id", none.alias("earlier_id"))
+    near = matching.closest(postings, open_, order="arrival", earlier=True).select("new_id", F.lit(9).alias("rung"), (-c("score")).cast("int").alias("s"), F.lit(1).alias("own"), c("order").alias("tie"), like, none.alias("known_id"), c("known_id").alias("earlier_id"))
+    best = keyed.unionByName(close).unionByName(near).groupBy("new_id").agg(F.min(F.struct("rung", "s", "own", "tie", "how", "known_id", "earlier_id")).alias("b"))
     rows = asking.select("id").join(best, c("id") == c("new_id"), "left").select("id", c("b.known_id").alias("canonical_id"), F.when(c("b").isNull(), c("id")).alias("created_by"), c("b.how").alias("how"), c("b.earlier_id").alias("next"))
     rows = rows.unionByName(settled.select("id", "canonical_id", none.alias("created_by"), F.lit(None).cast("string").alias("how"), none.alias("next")))
     rows = _kept(postings.sparkSession, rows, "parents")
