@@ -75,6 +75,11 @@ def _postings(df: DataFrame, name: Column, freshness: str, values: dict[str, Col
     return df.select(name.alias("source_name"), *cols, F.lit(freshness).alias("freshness_mode"), "fetched_at")
 
 
+def _met(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """Listing rows with their detail pages. Both sides are shuffled: pages are made of little, so their size is underrated, and a broadcast would send all of them through the driver."""
+    return rows.join(known.hint("merge"), F.col("_url") == F.col("_key"), how)
+
+
 def successfactors(lists: DataFrame, details: DataFrame) -> DataFrame:
     """lists: token (host, or host/path), html, fetched_at; details: url, html. Rows without a link, title or place are passed over."""
     c = F.col
@@ -92,7 +97,7 @@ def successfactors(lists: DataFrame, details: DataFrame) -> DataFrame:
         F.nullif(F.concat_ws(", ", meta("addressLocality"), meta("addressRegion"), meta("addressCountry")), F.lit("")).alias("location"), one_line(said).alias("description"), when_posted(meta("datePosted")).alias("at"),
         find(h, r'(?i)<a[^>]*class="[^"]*\bapply\b[^"]*"[^>]*href="([^"]+)"').alias("apply"),
     )
-    df = rows.join(known, c("_url") == c("_key"), "left")
+    df = _met(rows, known, "left")
     host = F.regexp_replace(F.lower("token"), r"^jobs\.|^careers?\.", "")
     company = F.coalesce("company", F.initcap(F.replace(F.substring_index(host, ".", 1), F.lit("-"), F.lit(" "))))
     title, place = F.coalesce("title", "_title"), F.coalesce("location", "_place")
@@ -130,7 +135,7 @@ def icims(lists: DataFrame, details: DataFrame) -> DataFrame:
     blocks = F.transform(F.regexp_extract_all("html", F.lit(r"""(?is)<script\s+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1), lambda b: F.from_json(b, LD))
     page = F.coalesce(find(c("html"), '(?is)class="[^"]*iCIMS_JobContent[^"]*"[^>]*>(.*?)</div>'), find(c("html"), '(?is)class="[^"]*iCIMS_InfoMsg_Job[^"]*"[^>]*>(.*?)</div>'))
     known = least(details.select("url", "html"), ["url"]).select(c("url").alias("_key"), F.try_element_at(F.filter(blocks, lambda j: j["@type"] == "JobPosting"), F.lit(1)).alias("j"), page.alias("page"))
-    df = rows.join(known, c("_url") == c("_key"))
+    df = _met(rows, known, "inner")
     ld, remote = c("j").isNotNull(), F.coalesce(c("j.jobLocationType") == "TELECOMMUTE", F.lit(False))
     places = F.array_join(F.filter(F.transform("j.jobLocation", lambda x: F.concat_ws(", ", F.nullif(x["address"]["addressLocality"], F.lit("")), F.nullif(x["address"]["addressRegion"], F.lit("")), F.nullif(x["address"]["addressCountry"], F.lit("")))), lambda x: x != ""), "; ")
     there = F.nullif(places, F.lit(""))
