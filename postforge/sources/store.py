@@ -19,8 +19,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postforge.sources.tables import upsert
-
 #: Buckets of a table; fixed for its life. A change costs the buckets that it touches, so a large table has thousands.
 BUCKETS = 64
 
@@ -121,6 +119,18 @@ class Store:
 
     # writing
 
+    def _dealt(self, table: str, old: DataFrame, rows: DataFrame) -> DataFrame:
+        """What becomes of old buckets, with the column bucket, a bucket in one task: rows in place of old ones with their keys, in one shuffle."""
+        t, at = self.tables[table], bucket(self.tables[table].keys, self.tables[table].buckets)
+        if t.many:
+            said = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in rows.columns if c not in t.keys])
+            return old.join(rows.select(*t.keys), t.keys, "left_anti").unionByName(rows.where(said)).withColumn("bucket", at).repartition("bucket")
+        # of new rows with equal keys the last by all columns, before the old one
+        rest = [c for c in rows.columns if c not in t.keys]
+        both = old.withColumn("_new", F.lit(False)).unionByName(rows.withColumn("_new", F.lit(True))).withColumn("bucket", at).repartition("bucket")
+        last = both.groupBy("bucket", *t.keys).agg(F.max(F.struct("_new", *rest)).alias("_last"))
+        return last.select(*t.keys, *[F.col(f"_last.{c}").alias(c) for c in rest], "bucket")
+
     def _write(self, table: str, rows: DataFrame, at: Snapshot, folder: str) -> dict[int, str | None]:
         """Writes the touched buckets with rows in place of those with their keys; where they are now, None if nothing is left of one."""
         t = self.tables[table]
@@ -129,12 +139,7 @@ class Store:
         if not touched:
             return {}
         old = self.read(table, at, touched)
-        if t.many:
-            said = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in rows.columns if c not in t.keys])
-            merged = old.join(rows.select(*t.keys), t.keys, "left_anti").unionByName(rows.where(said))
-        else:
-            merged = upsert(old, rows, t.keys).drop("change")
-        dealt = merged.withColumn("bucket", bucket(t.keys, t.buckets)).repartition("bucket")
+        dealt = self._dealt(table, old, rows)
         (dealt.sortWithinPartitions("bucket", *t.order) if t.order else dealt).write.partitionBy("bucket").parquet(f"{self.root}/{table}/{folder}")
         there = {x.getPath().getName() for x in self._fs().listStatus(self._path(f"{self.root}/{table}/{folder}"))}
         return {b: f"{table}/{folder}/bucket={b}" if f"bucket={b}" in there else None for b in touched}
